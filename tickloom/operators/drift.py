@@ -7,7 +7,6 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from decimal import Decimal, InvalidOperation
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ FIELDS = {
     "commission": ("commission", "comm", "fee", "fees", "broker_fee", "commissions", "charge"),
     "venue": ("venue", "mic", "exchange", "market"),
     "strategy": ("strategy", "strat"),
-    "order_ref": ("order_ref", "order_id", "orderref", "ref"),
+    "order_ref": ("order_ref", "order_id", "orderref", "ref", "ord"),
 }
 
 
@@ -84,24 +83,44 @@ def kind_of(text: str) -> str | None:
     return "integer" if INTEGER.match(text) else "decimal" if DECIMAL.match(text) else "text"
 
 
+NUMBER = re.compile(r"[^\d+\-.,]{0,4}([+-]?[\d][\d.,]*|[+-]?[.,]\d+)[^\d.,]{0,12}\Z", re.ASCII)
+
+
+def plain_number(text: str) -> float | None:
+    """The number a text writes, with units, currency signs, thousands separators and decimal commas read away."""
+    m = NUMBER.match(text.strip().replace("\u00a0", "").replace(" ", ""))
+    if not m:
+        return None
+    digits = m.group(1)
+    dot, comma = digits.rfind("."), digits.rfind(",")
+    if comma >= 0 and dot >= 0:
+        point = "." if dot > comma else ","
+    elif comma >= 0:
+        point = "" if digits.count(",") > 1 or re.fullmatch(r"[+-]?[1-9]\d{0,2},\d{3}", digits) else ","
+    else:
+        point = "" if digits.count(".") > 1 else "."
+    other = {".": ",", ",": ".", "": ".,"}[point]
+    digits = "".join("." if c == point else c for c in digits if c not in other or c == point)
+    try:
+        return float(digits)
+    except ValueError:
+        return None
+
+
 def quantity_of(text: str) -> object:
-    """What a value says, whatever its writing: a number, an instant, or upper-case text; None if missing."""
+    """What a value says, whatever its writing: a number, an instant in seconds, or upper-case text; None if missing."""
     t = text.strip()
     if t.lower() in MISSING:
         return None
-    bare = re.sub(r"(?<=\d),(?=\d{3})", "", t)
-    m = re.fullmatch(r"[^\d+\-.]{0,4}\s*([+-]?(?:\d+\.?\d*|\.\d+))\s*[^\d.]{0,12}", bare)
-    if m and (bare == t or re.fullmatch(r"[^\d]*[\d,]+(\.\d+)?[^\d]*", t)):
+    if (n := plain_number(t)) is not None:
+        return n
+    if re.match(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}", t):
         try:
-            n = Decimal(m.group(1))
-            return float(n / 1000 if abs(n) > 10**11 else n)
-        except InvalidOperation:
+            stamp = pd.Timestamp(t)
+            return (stamp.tz_convert("UTC").tz_localize(None) if stamp.tzinfo else stamp).value / 1e9
+        except (ValueError, OverflowError):
             pass
-    try:
-        stamp = pd.Timestamp(t)
-        return float((stamp.tz_convert("UTC").tz_localize(None) if stamp.tzinfo else stamp).value // 10**3) / 1e6
-    except (ValueError, OverflowError):
-        return t.upper()
+    return t.upper()
 
 
 @dataclass
@@ -119,19 +138,26 @@ def evidence(a: str, b: str, old: Schema, new: Schema) -> float | None:
 
     Column b may be scaled or rounded, but has to agree; a missing value tells nothing.
     """
-    told = []
+    told: list[float] = []
+    scales = set()
     for x, y in border(old, new):
         u, v = quantity_of(x.get(a, "")), quantity_of(y.get(b, ""))
         if u is None and v is None:
             continue
-        if u is None or v is None:
-            told.append(0.0)
-        elif isinstance(u, float) and isinstance(v, float):
-            told.append(float(abs(u - v) <= 1e-6 * max(1.0, abs(u), abs(v)) or round(u, 2) == round(v, 2)))
+        if isinstance(u, float) and isinstance(v, float):
+            for scale in (1.0, 100.0, 0.01, 1000.0, 0.001, 1e6, 1e-6):  # cents, milliseconds and the like
+                if abs(u * scale - v) <= 1e-6 * max(abs(u * scale), abs(v)) or u * scale == v:
+                    scales.add(scale)
+                    break
+            else:
+                scales.add(0.0)
+            told.append(float(0.0 not in scales))
         elif isinstance(u, str) and isinstance(v, str):
             told.append(float(u == v or u[0] == v[0] and min(len(u), len(v)) == 1))
         else:
             told.append(0.0)
+    if len(scales - {1.0}) > 1:  # one scale has to explain all rows
+        return 0.0
     return sum(told) / len(told) if told else None
 
 
