@@ -19,11 +19,11 @@ LARGEST_SET = 20_000  # items held by one pass; a larger evaluation set is searc
 
 # Invisible characters, ways of blacking out, and characters written in more than one form.
 INVISIBLE = re.compile("­\\s*|[​-‏⁠﻿ـ︀-️]")
-BLACKED = re.compile(r"\[(?:redacted|…|\.\.\.)\]|█+|\*{2,}|■+|_{3,}", re.IGNORECASE)
-MARKS = re.compile("[̀-ͯ]+")
-FORMS = str.maketrans({"𠮷": "吉", "髙": "高", "﨑": "崎", "嵜": "崎", "濵": "浜", "濱": "浜", "邊": "辺", "邉": "辺", "澤": "沢", "齋": "斎", "ё": "е", "ı": "i", "ß": "ss", "’": "'"})
-INNER = re.compile(r"(?<=\d)[.,](?=\d)|(?<=[^\W\d_])'(?=[^\W\d_])")
-WORD = re.compile(r"█|[^\W_]+(?:[ऀ-෿฀-໿ً-ْ]+[^\W_]*)*")
+BLACKED = re.compile(r"█+|\[(?:redacted|…|\.\.\.)\]|\*{2,}|■+|_{3,}")
+FORMS = {"𠮷": "吉", "髙": "高", "﨑": "崎", "嵜": "崎", "濵": "浜", "濱": "浜", "邊": "辺", "邉": "辺", "澤": "沢", "齋": "斎", "ё": "е", "ı": "i", "ß": "ss", "’": "'"}
+IN_FORMS = re.compile("[" + "".join(FORMS) + "]")
+# one number, or one elided or possessive form, is one word
+WORD = re.compile(r"█|\d+(?:[.,]\d+)*[^\W_]*|[^\W_]+(?:'[^\W_]+|[ऀ-෿฀-໿ً-ْ]+[^\W_]*)*")
 CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 
 
@@ -43,13 +43,16 @@ WORDS, CHARS = Search(20, 5), Search(40, 8)
 def normalise(text: str) -> str:
     """Letters and digits in one form: headers, invisible characters, case and variants put away."""
     t = INVISIBLE.sub("", without_headers(text.replace("\r\n", "\n"), fill=False))
-    if not t.isascii():
-        t = unicodedata.normalize("NFKC", t)
-    t = BLACKED.sub(" █ ", t).lower()
-    if not t.isascii():
-        t = unicodedata.normalize("NFC", MARKS.sub("", unicodedata.normalize("NFD", t.translate(FORMS))))
-    t = INNER.sub("", t)  # one number or elided form is one word
-    return t
+    if t.isascii():
+        return BLACKED.sub(" █ ", t.lower())
+    t = BLACKED.sub(" █ ", unicodedata.normalize("NFKC", t.replace("[…]", "█")).lower())
+    return IN_FORMS.sub(lambda m: FORMS[m.group()], t)
+
+
+def spellings(word: str) -> set[str]:
+    """The ways punctuation within a word may be written."""
+    bare = re.sub(r"[.,']", "", word)
+    return {word, bare, word.replace(".", ","), word.replace(",", "."), word.translate({44: 46, 46: 44})}
 
 
 def units(normal: str, chars: bool) -> list[str]:
@@ -68,8 +71,8 @@ class PatternSet:
         self.search, self.ids, self.items, self.names = search, {"": 0}, [], []
         for name, u in passages:
             self.names.append(name)
-            self.items.append(np.array([self.ids.setdefault(x, len(self.ids)) for x in u], np.int64))
-        self.size = len(self.ids)
+            self.items.append(np.array([self._id(x) for x in u], np.int64))
+        self.size = max(self.ids.values()) + 1
         m, b = search.pattern, search.block
         self.reach = m - b + 1  # the largest shift
         shift: dict[int, int] = {}
@@ -85,6 +88,14 @@ class PatternSet:
         self.runs = np.array(sorted(bucket), np.int64)
         self.places = [bucket[h] for h in sorted(bucket)]
 
+    def _id(self, unit: str) -> int:
+        ways = spellings(unit)
+        known = [self.ids[w] for w in ways if w in self.ids]
+        number = known[0] if known else max(self.ids.values()) + 1
+        for w in ways:
+            self.ids.setdefault(w, number)
+        return number
+
     def _block(self, x: np.ndarray) -> int:
         h = 0
         for v in x:

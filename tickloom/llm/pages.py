@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-CASE_NO = re.compile(r"(?<!\w)[A-Za-z]{1,4}-\d{1,3}-\d{1,6}/\d{2,4}(?!\w)")
+CASE_NO = re.compile(r"-\d{1,3}-\d{1,6}/\d{2,4}(?!\w)")  # after up to four letters
+COURT_CODE = re.compile(r"(?<!\w)[A-Za-z]{1,4}\Z")
 LONGEST = 110
 
 
@@ -15,12 +16,15 @@ def header_lines(text: str) -> list[tuple[int, int]]:
     """
     out = []
     for m in CASE_NO.finditer(text):
+        code = COURT_CODE.search(text[max(0, m.start() - 6) : m.start()])
+        if not code:
+            continue
         lo = text.rfind("\n", 0, m.start()) + 1
         hi = text.find("\n", m.end())
         hi = len(text) if hi < 0 else hi
         if hi - lo > LONGEST or (out and out[-1][0] == lo):
             continue
-        rest = text[lo : m.start()] + text[m.end() : hi]
+        rest = text[lo : m.start() - len(code.group())] + text[m.end() : hi]
         if any(c.isdigit() for c in rest) and rest.rstrip()[-1:] not in {".", "!", "?", "。", "।"}:
             out.append((lo, hi))
     return out

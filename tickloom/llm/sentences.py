@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ ABBREVIATIONS = {
     "es": "Sr Sra Srta Sres D Dña Da Dr Dra núm núms Núm pág págs Pág art arts Art p ej cf Cf Ud Uds Excmo Ilmo apdo",
     "ru": "т п с см См Пост пост ст др тыс млн млрд гр ул д г им проч пр стр абз гл ч Ст ред обл р",
     "ar": "د ص م ج أ",
-    "hi": "डॉ पृ आ.नि श्री सं प्रो क्र",
+    "hi": "डॉ पृ आ आ.नि श्री सं प्रो क्र",
 }
 #: take a number after them, but end a sentence before a capital
 NUMBERED = "yrs hrs A.L.R a.m p.m"
@@ -65,16 +66,18 @@ LATIN = [
     rule(False, r"", r"[,;:）)\]，、；：]|[–—-]\s"),
     rule(False, r"", r"(?-i:[a-zß-öø-ÿœ])"),
     # names of companies and closing formulas of citations
+    rule(False, r"\./\.|/\.", r""),
+    rule(False, r"(?<!\w)e\.", r"[KV]\."),
     rule(True, rf"{W0}(?:m\.\s?w\.\s?N|d\.\s?A|e\.\s?K|p\.\s?a)\.", r"[^\W\d_]|[„“\"«¿¡█*\[]"),
     rule(False, rf"{W0}(?:{_words(COMPANIES)})\.", r"[(\d&]"),
     rule(True, rf"{W0}(?:{_words(COMPANIES)})\.", r""),
     rule(False, rf"{W0}(?:{_words(NUMBERED)})\.", r"[\d(]"),
     rule(True, rf"{W0}(?:{_words(NUMBERED)})\.", r""),
     # German days before a month
-    rule(False, r"(?<!\d)\d{1,2}\.", rf"(?:{_words(GERMAN_MONTHS)})(?!\w)"),
+    rule(False, r"(?<!\d)\d{1,2}\.", rf"(?:{_words(GERMAN_MONTHS)}|M\S{{1,3}}rz|J\S{{1,3}}nner)(?!\w)"),
+    rule(False, r"(?<!\w)(?:[Aa]m|[Zz]um|[Vv]om|[Dd]em|[Dd]en)\s+\d{1,2}\.", r"[█*\[]|[A-Z]\."),
     rule(False, rf"{W0}(?:{_words(' '.join(ABBREVIATIONS[x] for x in ('en', 'de', 'fr', 'es')))})\.", r""),
-    rule(False, r"(?<![\w.])[A-ZÀ-ÖØ-Þ]\.", r""),  # initials, and X. for a name taken out
-    rule(False, r"(?<=[^\W\d_]\.)[A-ZÀ-ÖØ-Þ]\.", r"[A-ZÀ-ÖØ-Þ]\."),
+    rule(False, r"(?<!\w)[A-ZÀ-ÖØ-Þ]\.", r""),  # initials, and X. for a name taken out
     rule(False, r"\s(?:\.\.\.|…)", r"[█*\[\d]"),  # a gap in a quotation
 ]
 CYRILLIC = [
@@ -93,6 +96,10 @@ WIDE_RULES = [rule(False, r"", r"[，、；：)）」』”]"), rule(False, r"(?
 SHARED = [rule(False, r"", r"[,;:)\]]"), rule(True, r"", r"")]
 
 
+MISREAD = re.compile("Ã([\x80-\xbf])")  # UTF-8 read as Latin-1
+SMALL_ABBREVIATION = re.compile(rf"(?<!\w)(?:\w|{_words(' '.join(ABBREVIATIONS.values()).lower())})\.\Z")
+
+
 def table_for(ch: str) -> list[Rule]:
     """The cascade for a position, by the script of the character before its punctuation."""
     o = ord(ch)
@@ -109,10 +116,26 @@ def table_for(ch: str) -> list[Rule]:
     return LATIN
 
 
-def decides(text: str, lo: int, end: int, nxt: int, script: str) -> bool:
-    """Whether a unit ends at ``end``: the first rule whose pair fits there decides."""
-    before = text[max(lo, end - 14) : end]
-    after = text[nxt : nxt + 14]
+def _written(t: str) -> str:
+    """A stretch of context with composed accents and the commonest mis-decoding undone."""
+    if t.isascii():
+        return t
+    if "Ã" in t:
+        t = MISREAD.sub(lambda m: chr(ord(m.group(1)) + 64), t)
+    return unicodedata.normalize("NFC", t)
+
+
+def decides(text: str, lo: int, end: int, nxt: int, script: str, small: bool = False) -> bool:
+    """Whether a unit ends at ``end``: the first rule whose pair fits there decides.
+
+    ``small``: the block has no capitals at all, so that small letters may begin sentences.
+    """
+    before = _written(text[max(lo, end - 16) : end])
+    after = _written(text[nxt : nxt + 16])
+    if small:
+        if text[nxt].islower() and before[-1:] == "." and SMALL_ABBREVIATION.search(before):
+            return False
+        after = after.upper() if len(after.upper()) == len(after) else after
     for rules in (table_for(script), SHARED):
         for r in rules:
             if r.after.match(after) and r.before.search(before):
@@ -162,6 +185,8 @@ def block_units(text: str, lo: int, hi: int) -> Iterator[int]:
     found = list(TOKENS.finditer(text, start, hi))
     pairs = _pairs(text, found) if any(f.group()[0] in PAIRS or f.group() == '"' for f in found) else {}
     inside = start
+    own = text[start:hi]
+    small = hi - start > 40 and own == own.lower() and own != own.upper()
     for f in found:
         at, end = f.span()
         c = text[at]
@@ -179,7 +204,7 @@ def block_units(text: str, lo: int, hi: int) -> Iterator[int]:
                     last -= 1
                 while last > at and text[last] in CLOSERS:
                     last -= 1
-                if text[last] not in TERMINALS or last <= at:
+                if text[last] not in TERMINALS or not any(x.isalpha() for x in text[at + 1 : last]):
                     continue
                 end = close + 1
                 while end < hi and text[end] in CLOSERS and end not in pairs:
@@ -203,7 +228,7 @@ def block_units(text: str, lo: int, hi: int) -> Iterator[int]:
         if nxt >= hi:
             break
         wide = text[at] in WIDE or text[f.end() - 1] in WIDE
-        if nxt == end and not wide:
+        if nxt == end and not wide and not _begins(text, nxt):  # lost blanks: only what surely begins anew
             continue
         if at == start:  # nothing but punctuation so far
             continue
@@ -214,12 +239,20 @@ def block_units(text: str, lo: int, hi: int) -> Iterator[int]:
             script = text[k]
         if script.isdigit() and c == "." and not wide:
             script = "a" if text[nxt] < "Ѐ" else text[nxt]
-        if decides(text, lo, end if end == f.end() else f.end(), nxt, script):
+        if decides(text, lo, end if end == f.end() else f.end(), nxt, script, small):
             yield end
             start = inside = nxt
     yield hi
 
 
+def _begins(text: str, at: int) -> bool:
+    """Whether a sentence may begin here although no blank stands before it."""
+    c, more = text[at], text[at + 1 : at + 2]
+    if c in "¿¡«“„\"「—":
+        return True
+    return c.isalpha() and not c.islower() and not (c.isupper() and more.isupper())
+
+
 def _quotation_ends(text: str, start: int, opened: int, end: int, nxt: int) -> bool:
     """Whether a quotation or bracket whose last sentence is complete closes the sentence around it."""
     c = text[nxt]
@@ -227,8 +260,12 @@ def _quotation_ends(text: str, start: int, opened: int, end: int, nxt: int) -> b
         return False
     if c.islower():
         return False
+    if c.isupper() and text[opened] not in "([（［【《":
+        return True
     if text[opened] in "([（［【《":
         return _skip(text, start, opened) == opened and (c.isupper() or not c.isalpha())
+    if c in PAIRS:
+        return opened > start or end < nxt
     if re.match(rf"[{CJK}]", c):
         if text[opened] in "「『":
             return c not in "とっのがをにはもで" and opened > start
