@@ -162,7 +162,7 @@ def damped(current: Column, target: Column, keep: float = 0.9) -> Column:
 
 def rebalance_rows(df: DataFrame, every: int, by: str = "symbol", order: str = "date") -> DataFrame:
     """Rows on which a book is rebalanced: each (every + 1)-th date."""
-    return df.where(F.row_number().over(Window.partitionBy(by).orderBy(order)) % (every + 1) == 0)
+    return df.withColumn("turn_", F.row_number().over(Window.partitionBy(by).orderBy(order)) % (every + 1)).where("turn_ = 0").drop("turn_")
 
 
 def cumulative_quantity(df: DataFrame, n: int = 20, by: str = "symbol") -> DataFrame:
