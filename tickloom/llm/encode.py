@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEPT_WORDS = 1_000_000  # entries of a worker's table before it starts anew; memory only, no effect on results
-SLICE_CHARS = 4_000_000
+KEPT_WORDS = 200_000  # entries of a worker's table before it starts anew; memory only, no effect on results
+SLICE_CHARS = 1_000_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k", folder: str | None = None) -> str:
