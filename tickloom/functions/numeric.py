@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import Window as W
@@ -38,6 +39,11 @@ ACKLAM_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e0
 ACKLAM_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x computed once: long expressions would double in every use of x otherwise."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def normal_cdf(x: Column) -> Column:
     """P(Z <= x), accurate to about 1e-15."""
     a = F.abs(x)
@@ -48,15 +54,21 @@ def normal_cdf(x: Column) -> Column:
 
 
 def normal_ppf(p: Column) -> Column:
-    """Inverse of normal_cdf for 0 < p < 1: a rational start and one Newton step."""
-    q = p - 0.5
-    r = q * q
-    middle = _poly(r, ACKLAM_A) * q / _poly(r, ACKLAM_B)
-    low = F.sqrt(-2 * F.log(p))
-    high = F.sqrt(-2 * F.log(1 - p))
-    x = F.when(p < 0.02425, _poly(low, ACKLAM_C) / _poly(low, ACKLAM_D)).when(p > 0.97575, -_poly(high, ACKLAM_C) / _poly(high, ACKLAM_D)).otherwise(middle)
-    step = (normal_cdf(x) - p) * F.lit(math.sqrt(2 * math.pi)) * F.exp(x * x / 2)
-    return F.when((p > 0) & (p < 1), x - step / (1 + x * step / 2))
+    """Inverse of normal_cdf for 0 < p < 1, else NULL: a rational start and one Newton step."""
+
+    def start(p: Column) -> Column:
+        q = p - 0.5
+        middle = let(q * q, lambda r: _poly(r, ACKLAM_A) / _poly(r, ACKLAM_B)) * q
+        low = let(F.sqrt(-2 * F.log(p)), lambda t: _poly(t, ACKLAM_C) / _poly(t, ACKLAM_D))
+        high = let(F.sqrt(-2 * F.log(1 - p)), lambda t: -_poly(t, ACKLAM_C) / _poly(t, ACKLAM_D))
+        return F.when(p < 0.02425, low).when(p > 0.97575, high).otherwise(middle)
+
+    def improved(p: Column, x: Column) -> Column:
+        step = (normal_cdf(x) - p) * F.lit(math.sqrt(2 * math.pi)) * F.exp(x * x / 2)
+        return let(step, lambda s: x - s / (1 + x * s / 2))
+
+    inside = F.when((p > 0) & (p < 1), p)
+    return let(inside, lambda p: let(start(p), lambda x: improved(p, x)))
 
 
 def _poly_sql(z: str, coefficients: tuple[float, ...]) -> str:

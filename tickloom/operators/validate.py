@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import normal_cdf, normal_ppf
+from tickloom.functions.numeric import let, normal_cdf, normal_ppf
 
 EULER = 0.5772156649015329
 
@@ -85,7 +85,7 @@ def sharpe_per_period(df: DataFrame, x: str, by: list[str]) -> DataFrame:
 def probabilistic_sharpe(sharpe: Column, against: Column, n: Column, skew: Column, kurt: Column) -> Column:
     """P(true Sharpe > against); 0.5 below two values, NULL where the variance formula breaks down."""
     v = 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe
-    return F.when(n < 2, 0.5).when(v > 0, normal_cdf((sharpe - against) * F.sqrt(n - 1) / F.sqrt(F.when(v > 0, v))))
+    return F.when(n < 2, 0.5).when(v > 0, let((sharpe - against) * F.sqrt(n - 1) / F.sqrt(F.when(v > 0, v)), normal_cdf))
 
 
 def expected_best(variance: Column, trials: Column) -> Column:

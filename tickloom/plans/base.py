@@ -64,11 +64,13 @@ RET = f"""{PANEL}, ret AS (SELECT * FROM (SELECT *, close / lag(close) OVER (PAR
 def cross_section(spark: SparkSession, d: str) -> DataFrame:
     """Monthly cross-sections of suppliers: three factors and a return."""
     li, p = load(spark, d, "lineitem"), load(spark, d, "part")
+    cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("bigint"))  # noqa: E731  exact sums, in any order
     return li.join(p, li.l_partkey == p.p_partkey).groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("date"), F.col("l_suppkey").alias("symbol")).agg(
-        F.round(F.avg("l_discount"), 6).alias("f1"), F.round(F.avg("p_size"), 6).alias("f2"), F.round(F.avg("p_retailprice") / 1000, 6).alias("f3"), F.round(F.avg("l_tax") - 0.04 + F.avg("l_discount") / 10, 6).alias("ret"))
+        (cents("l_discount") / F.count("*") / 100).alias("f1"), (F.sum("p_size") / F.count("*")).alias("f2"), (cents("p_retailprice") / F.count("*") / 100_000).alias("f3"), ((cents("l_tax") * 10 + cents("l_discount")) / F.count("*") / 1000 - 0.04).alias("ret"))
 
 
-XS = """xs AS (SELECT strftime(l_shipdate, '%Y-%m') AS date, l_suppkey AS symbol, round(avg(l_discount), 6) AS f1, round(avg(p_size), 6) AS f2, round(avg(p_retailprice) / 1000, 6) AS f3, round(avg(l_tax) - 0.04 + avg(l_discount) / 10, 6) AS ret
+XS = """xs AS (SELECT strftime(l_shipdate, '%Y-%m') AS date, l_suppkey AS symbol, sum(CAST(round(l_discount * 100) AS BIGINT)) / count(*) / 100 AS f1, sum(p_size) / count(*) AS f2, sum(CAST(round(p_retailprice * 100) AS BIGINT)) / count(*) / 100000 AS f3,
+ (sum(CAST(round(l_tax * 100) AS BIGINT)) * 10 + sum(CAST(round(l_discount * 100) AS BIGINT))) / count(*) / 1000 - 0.04 AS ret
  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 
 

@@ -400,9 +400,9 @@ def _trio(spark: SparkSession, d: str) -> DataFrame:
     return W.composite(t, ["momentum", "vol", "val"]).withColumn("composite", F.round("composite", 8))
 
 
-@query(f"WITH {_TRIO} SELECT strftime(date, '%Y-%m-%d') AS date, symbol, {q6('momentum', 'vol', 'val', 'composite')} FROM cmp")
+@query(f"WITH {_TRIO} SELECT strftime(date, '%Y-%m-%d') AS date, symbol, {q6('momentum', 'vol', 'val')}, composite FROM cmp")
 def w19_w20_composite(spark: SparkSession, d: str) -> DataFrame:
-    return _trio(spark, d).select(iso(), "symbol", *r6("momentum", "vol", "val", "composite"))
+    return _trio(spark, d).select(iso(), "symbol", *r6("momentum", "vol", "val"), "composite")
 
 
 @query(f"""WITH {_TRIO}, tb3 AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY date ORDER BY composite DESC, symbol) <= 3 THEN 1.0 / 3 WHEN row_number() OVER (PARTITION BY date ORDER BY composite, symbol) <= 3 THEN -1.0 / 3 ELSE 0.0 END AS w1 FROM cmp)
@@ -414,10 +414,10 @@ def w21_top_bottom(spark: SparkSession, d: str) -> DataFrame:
 _SIDE = f"""{_CUM}, wx AS (SELECT date, symbol, round(reversal, 6) AS weight FROM mo WHERE reversal IS NOT NULL), sd AS (SELECT *, sum(greatest(weight, 0)) OVER (PARTITION BY date) AS lg, sum(greatest(-weight, 0)) OVER (PARTITION BY date) AS sh FROM wx), sc AS (SELECT date, symbol, weight AS w0, CASE WHEN lg > 0 AND sh > 0 THEN least(lg, sh) / greatest(lg, sh) ELSE 1 END AS ratio FROM sd)"""
 
 
-@query(f"WITH {_SIDE} SELECT strftime(date, '%Y-%m-%d') AS date, symbol, round(CASE WHEN w0 > 0 THEN w0 * ratio ELSE w0 / ratio END, 6) + 0.0 AS weight, round(0.1 * 0.01 + 0.9 * w0, 6) + 0.0 AS damped FROM sc")
+@query(f"WITH {_SIDE} SELECT strftime(date, '%Y-%m-%d') AS date, symbol, round(CASE WHEN w0 > 0 THEN w0 * ratio ELSE w0 / ratio END, 8) + 0.0 AS weight, round(0.1 * 0.01 + 0.9 * w0, 8) + 0.0 AS damped FROM sc")
 def w22_w23_balanced(spark: SparkSession, d: str) -> DataFrame:
     m = _momentum(spark, d).select("date", "symbol", F.round("reversal", 6).alias("weight")).where("weight IS NOT NULL").withColumn("damped", W.damped(F.lit(0.01), F.col("weight")))
-    return W.balance_sides(m).select(iso(), "symbol", *r6("weight", "damped"))
+    return W.balance_sides(m).select(iso(), "symbol", *r6("weight", "damped", digits=8))
 
 
 @query(f"WITH {RET} SELECT strftime(date, '%Y-%m-%d') AS date, symbol FROM (SELECT date, symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM ret) WHERE i % 6 = 0")
