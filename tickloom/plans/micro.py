@@ -81,14 +81,20 @@ def o8_market_walk(spark: SparkSession, d: str) -> DataFrame:
     return K.walk(depth, ["symbol", "qty"], order="price").select("symbol", "qty", "filled", *r6("vwap"))
 
 
-_ORD = "ord AS (SELECT symbol AS s, symbol || '-' || CAST(seq AS VARCHAR) AS order_id, symbol, seq AS submit_seq, volume * 7 AS qty FROM et WHERE seq % 40 = 0)"
+_ORD = "ord AS (SELECT symbol || '-' || CAST(min(seq) AS VARCHAR) AS order_id, symbol, min(seq) AS submit_seq, arg_min(volume, seq) * 7 AS qty FROM et GROUP BY symbol, epoch_us(ts) // 3600000000)"
 _NAIVE = f"""{ET}, {_ORD}, fl AS (SELECT ord.order_id, et.seq, et.volume, (et.bid + et.ask) / 2 AS mid, ord.qty, sum(et.volume) OVER (PARTITION BY ord.order_id ORDER BY et.seq) AS cum FROM ord JOIN et ON et.symbol = ord.symbol AND et.seq >= ord.submit_seq),
  fills AS (SELECT order_id, seq, CAST(least(qty, cum) - least(qty, cum - volume) AS BIGINT) AS fill, mid AS price FROM fl WHERE least(qty, cum) - least(qty, cum - volume) > 0)"""
 
 
+def _opening(e: DataFrame) -> DataFrame:
+    """The first tick of each symbol and hour: an order is sent with it."""
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    return e.groupBy("symbol", hour.alias("hour")).agg(F.min_by(F.struct("seq", "price", "volume"), "seq").alias("t")).select("symbol", "hour", "t.*")
+
+
 def _naive(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = base.eticks(spark, d)
-    o = e.where("seq % 40 = 0").select(F.concat_ws("-", "symbol", "seq").alias("order_id"), "symbol", F.col("seq").alias("submit_seq"), (F.col("volume") * 7).alias("qty"))
+    o = _opening(e).select(F.concat_ws("-", "symbol", "seq").alias("order_id"), "symbol", F.col("seq").alias("submit_seq"), (F.col("volume") * 7).alias("qty"))
     return K.naive_fills(o, e.withColumn("mid", (F.col("bid") + F.col("ask")) / 2)), o
 
 
@@ -121,11 +127,11 @@ def o20_guarded_ledger(spark: SparkSession, d: str) -> DataFrame:
     return K.guarded_ledger(f, 20_000.0, "symbol").select("seq", "accepted", *r6("cash", digits=4))
 
 
-@query(f"""WITH {ET}, f AS (SELECT symbol, seq, CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END * volume AS dq, price FROM et WHERE seq % 25 = 0), run AS (SELECT et.symbol, et.seq, et.price, sum(coalesce(dq, 0)) OVER w AS q, sum(coalesce(-dq * f.price, 0)) OVER w AS c FROM et LEFT JOIN f ON et.symbol = f.symbol AND et.seq = f.seq WINDOW w AS (PARTITION BY et.symbol ORDER BY et.seq))
+@query(f"""WITH {ET}, f AS (SELECT symbol, min(seq) AS seq, CASE WHEN epoch_us(ts) // 3600000000 % 2 = 0 THEN 1 ELSE -1 END * arg_min(volume, seq) AS dq, arg_min(price, seq) AS price FROM et GROUP BY symbol, epoch_us(ts) // 3600000000), run AS (SELECT et.symbol, et.seq, et.price, sum(coalesce(dq, 0)) OVER w AS q, sum(coalesce(-dq * f.price, 0)) OVER w AS c FROM et LEFT JOIN f ON et.symbol = f.symbol AND et.seq = f.seq WINDOW w AS (PARTITION BY et.symbol ORDER BY et.seq))
  SELECT symbol, seq, round(10000 + c + q * price, 4) + 0.0 AS equity FROM run""")
 def o22_equity_marks(spark: SparkSession, d: str) -> DataFrame:
     e = base.eticks(spark, d)
-    f = e.where("seq % 25 = 0").select("symbol", "seq", F.when(F.col("seq") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.col("volume").alias("qty"), "price")
+    f = _opening(e).select("symbol", "seq", F.when(F.col("hour") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.col("volume").alias("qty"), "price")
     return K.equity_curve(f, e, 10_000.0).select("symbol", "seq", *r6("equity", digits=4))
 
 
@@ -138,10 +144,10 @@ def o23_active_orders(spark: SparkSession, d: str) -> DataFrame:
 def o10_o21_book_replay(spark: SparkSession, d: str) -> DataFrame:
     """Orders of all kinds against the tick stream with first-in-first-out queues."""
     e = base.eticks(spark, d).select("symbol", (F.col("seq") * 10).alias("seq"), F.lit("tick").alias("kind"), F.round("price", 2).alias("price"), "volume", F.round("bid", 2).alias("bid"), F.round("ask", 2).alias("ask"), "bid_size", "ask_size")
-    src = base.eticks(spark, d).where("seq % 30 = 0")
-    kind = F.element_at(F.array(F.lit("MARKET"), F.lit("LIMIT"), F.lit("IOC")), (F.col("seq") / 30 % 3 + 1).cast("int"))
-    o = src.select("symbol", (F.col("seq") * 10 + 5).alias("seq"), F.lit("order").alias("kind"), F.concat_ws("-", "symbol", "seq").alias("order_id"), F.when(F.col("seq") % 60 == 0, "BUY").otherwise("SELL").alias("side"), kind.alias("order_type"), (F.col("volume") * 5).alias("qty"), F.round("price", 2).alias("limit_price"))
-    c = src.where("seq % 180 = 0").select("symbol", (F.col("seq") * 10 + 1005).alias("seq"), F.lit("cancel").alias("kind"), F.concat_ws("-", "symbol", "seq").alias("order_id"))
+    src = _opening(base.eticks(spark, d))
+    kind = F.element_at(F.array(F.lit("MARKET"), F.lit("LIMIT"), F.lit("IOC")), (F.col("hour") % 3 + 1).cast("int"))
+    o = src.select("symbol", (F.col("seq") * 10 + 5).alias("seq"), F.lit("order").alias("kind"), F.concat_ws("-", "symbol", "seq").alias("order_id"), F.when(F.col("hour") % 2 == 0, "BUY").otherwise("SELL").alias("side"), kind.alias("order_type"), (F.col("volume") * 5).alias("qty"), F.round("price", 2).alias("limit_price"))
+    c = src.select("symbol", (F.col("seq") * 10 + 1005).alias("seq"), F.lit("cancel").alias("kind"), F.concat_ws("-", "symbol", "seq").alias("order_id"))
     return K.replay_book(e.unionByName(o, allowMissingColumns=True).unionByName(c, allowMissingColumns=True))
 
 
@@ -207,13 +213,13 @@ def e6_toxicity_summary(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ execution audits
 
 _SIZES = [100, 400, 1600, 6400, 25600]
-_CURVE = f"""{ET}, mids AS (SELECT seq AS sample, (bid + ask) / 2 AS mid FROM et WHERE seq % 50 = 0), gr AS (SELECT *, CAST(unnest({_SIZES}) AS BIGINT) AS qty FROM (SELECT *, unnest(['uniform', 'linear']) AS profile FROM mids)), ld AS (SELECT *, unnest(generate_series(0, 299)) AS level FROM gr),
+_CURVE = f"""{ET}, hf AS (SELECT min(seq) AS seq, arg_min(price, seq) AS mid FROM et GROUP BY symbol, epoch_us(ts) // 3600000000), mids AS (SELECT seq AS sample, mid FROM hf), gr AS (SELECT *, CAST(unnest({_SIZES}) AS BIGINT) AS qty FROM (SELECT *, unnest(['uniform', 'linear']) AS profile FROM mids)), ld AS (SELECT *, unnest(generate_series(0, 299)) AS level FROM gr),
  lz AS (SELECT *, mid + 0.01 + level * 0.01 AS price, CASE WHEN profile = 'uniform' THEN 100 ELSE 100 * (level + 1) END AS size FROM ld), tk AS (SELECT *, least(size, greatest(0, qty - coalesce(sum(size) OVER (PARTITION BY profile, sample, qty ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS taken FROM lz),
  cu AS (SELECT profile, sample, mid, qty, CAST(sum(taken) AS BIGINT) AS filled, sum(taken * price) / sum(taken) AS vwap FROM tk GROUP BY ALL), ip AS (SELECT *, (vwap - (mid + 0.01)) / (mid + 0.01) * 1e4 AS bps FROM cu)"""
 
 
 def _curve(spark: SparkSession, d: str) -> DataFrame:
-    mids = base.eticks(spark, d).where("seq % 50 = 0").select(F.col("seq").alias("sample"), ((F.col("bid") + F.col("ask")) / 2).alias("mid"))
+    mids = _opening(base.eticks(spark, d)).select(F.col("seq").alias("sample"), F.col("price").alias("mid"))
     return K.impact_curve(mids, _SIZES, 300, 0.01, 0.01, 100)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import normal_cdf_sql, normal_ppf, rows
-from tickloom.operators import clean as C
 from tickloom.operators import factors as X
 from tickloom.operators import meta as L
 from tickloom.operators import perf as A
@@ -140,7 +139,7 @@ def f17_exposures(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def f19_frontier(spark: SparkSession, d: str) -> DataFrame:
-    x = base.cross_section(spark, d).where("date = '1998-01'").select("symbol", F.col("ret").alias("alpha"), (F.col("f2") / 25).alias("beta"), (F.lit(0.05) + F.col("f1")).alias("sigma"))
+    x = base.cross_section(spark, d).groupBy("symbol").agg(F.avg("ret").alias("alpha"), (F.avg("f2") / 25).alias("beta"), (F.lit(0.05) + F.avg("f1")).alias("sigma"))
     return X.frontier(x)
 
 
@@ -286,18 +285,15 @@ def p5_allocator_scores(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------ validation
 
-_N = "(SELECT count(*) FROM orders)"
-
-
 def _label_rows(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    o = load(spark, d, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("idx"))
-    return V.label_windows(o, 10), 2000
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("idx"))
+    return V.label_windows(o, 10), o.count()
 
 
-_CP = """ix AS (SELECT o_orderkey AS idx, o_orderkey AS t0, o_orderkey + 10 AS t1, CASE WHEN o_orderkey < 2 * 334 THEN o_orderkey // 334 ELSE 2 + (o_orderkey - 668) // 333 END AS grp FROM orders WHERE o_orderkey < 2000),
- cb AS (SELECT row_number() OVER (ORDER BY a.g, b.g) - 1 AS split_id, a.g AS ga, b.g AS gb FROM (SELECT unnest(generate_series(0, 5)) AS g) a JOIN (SELECT unnest(generate_series(0, 5)) AS g) b ON a.g < b.g),
- al AS (SELECT split_id, ix.*, grp = ga OR grp = gb AS test FROM ix, cb), rl AS (SELECT a.split_id, a.idx, CASE WHEN a.test THEN 'test' WHEN EXISTS (SELECT 1 FROM al t WHERE t.split_id = a.split_id AND t.test AND t.t0 <= a.t1 AND t.t1 >= a.t0) THEN 'purged'
-  WHEN EXISTS (SELECT 1 FROM al t WHERE t.split_id = a.split_id AND t.test AND a.idx > t.t1 AND a.idx <= t.t1 + 20) THEN 'embargoed' ELSE 'train' END AS role FROM al a)"""
+# a window is [i, i + 10], so a test group [lo, hi] purges rows from lo - 10 to hi + 10 and embargoes those after
+_CP = """nn AS (SELECT count(*) AS n FROM orders), ix AS (SELECT o_orderkey AS idx, CASE WHEN o_orderkey < (n % 6) * (n // 6 + 1) THEN o_orderkey // (n // 6 + 1) ELSE n % 6 + (o_orderkey - (n % 6) * (n // 6 + 1)) // (n // 6) END AS grp, CAST(floor(n * 0.01) AS BIGINT) AS gap FROM orders, nn),
+ gb AS (SELECT grp AS g, min(idx) AS lo, max(idx) AS hi FROM ix GROUP BY 1), cb AS (SELECT row_number() OVER (ORDER BY a.g, b.g) - 1 AS split_id, a.g AS ga, a.lo AS la, a.hi AS ha, b.g AS gb, b.lo AS lb, b.hi AS hb FROM gb a JOIN gb b ON a.g < b.g),
+ rl AS (SELECT split_id, idx, CASE WHEN grp = ga OR grp = gb THEN 'test' WHEN (idx + 10 >= la AND idx <= ha + 10) OR (idx + 10 >= lb AND idx <= hb + 10) THEN 'purged' WHEN (idx > ha + 10 AND idx <= ha + 10 + gap) OR (idx > hb + 10 AND idx <= hb + 10 + gap) THEN 'embargoed' ELSE 'train' END AS role FROM ix, cb)"""
 
 
 @query(f"WITH {_CP} SELECT CAST(split_id AS INT) AS split_id, role, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idxs FROM rl GROUP BY 1, 2")
@@ -353,10 +349,12 @@ def v13_trial_ids(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.substring(F.sha1(text), 1, 12).alias("trial_id"))
 
 
-@query(f"WITH {RET}, ii AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i FROM ret), bl AS (SELECT symbol, CAST(least(i // 400, 5) AS INT) AS grp, {_MOM} FROM ii WHERE i < 2400 GROUP BY 1, 2), sr AS ({_SR} bl) SELECT symbol, grp, n, round(sharpe, 6) AS sharpe FROM sr")
+@query(f"WITH {RET}, ii AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ret), bl AS (SELECT symbol, CAST(CASE WHEN i < (n % 6) * (n // 6 + 1) THEN i // (n // 6 + 1) ELSE n % 6 + (i - (n % 6) * (n // 6 + 1)) // (n // 6) END AS INT) AS grp, {_MOM} FROM ii GROUP BY 1, 2), sr AS ({_SR} bl) SELECT symbol, grp, n, round(sharpe, 6) AS sharpe FROM sr")
 def v15_block_sharpes(spark: SparkSession, d: str) -> DataFrame:
-    r = base.returns(spark, d).withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("date")) - 1).where("idx < 2400")
-    return V.block_sharpes(r, "ret", 2400, 6, ["symbol"]).select("symbol", "grp", "n", F.round("sharpe", 6).alias("sharpe"))
+    r = base.returns(spark, d)
+    n = r.select("date").distinct().count()
+    r = r.withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("date")) - 1)
+    return V.block_sharpes(r, "ret", n, 6, ["symbol"]).select("symbol", "grp", "n", F.round("sharpe", 6).alias("sharpe"))
 
 
 # ------------------------------------------------------------------ meta-labels
@@ -540,5 +538,3 @@ def a10_cointegration(spark: SparkSession, d: str) -> DataFrame:
 def a12_runtime_estimate(spark: SparkSession, d: str) -> DataFrame:
     return A.runtime_estimate(load(spark, d, "tick"), 800_000.0).select("rows", F.round("seconds", 6).alias("seconds"))
 
-
-__all__ = ["C", "QUERIES", "SQL"]
