@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86_400_000_000
 
 
-def as_known(events: DataFrame, changes: DataFrame, kinds: list[str], bucket_us: int = 7 * DAY, salts: int = 8) -> DataFrame:
+def as_known(events: DataFrame, changes: DataFrame, kinds: list[str], bucket_us: int = 7 * DAY, per_task: int = 200_000) -> DataFrame:
     """For every event and kind, the version in force that was known at the event's instant.
 
     events: (entity, event_id, at); changes: (entity, kind, change_id, valid, known), all instants
@@ -21,36 +21,47 @@ def as_known(events: DataFrame, changes: DataFrame, kinds: list[str], bucket_us:
 
     Both sides are co-grouped by entity and time bucket, so that neither a hot entity nor a long history
     meets in one task: each bucket gets, beside its own changes, the single best version per kind of all
-    earlier buckets (a running maximum over one row per bucket). Events of a bucket are salted. Inside a group
+    earlier buckets (a running maximum over one row per bucket). A bucket of more than ``per_task`` events is
+    salted into so many parts, by its count. Inside a group
     the versions in order of activation are turned into a running best, found by vectorised binary search.
     """
-    ev = events.select("entity", "event_id", "at", F.floor(F.col("at") / bucket_us).alias("b")).dropna().withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))
+    ev = events.select("entity", "event_id", "at", F.floor(F.col("at") / bucket_us).alias("b")).dropna()
+    counts = ev.groupBy("entity", "b").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts"))
     ch = changes.where(F.col("kind").isin(kinds)).select("entity", "kind", "change_id", "valid", "known").dropna()
     ch = ch.withColumn("active", F.greatest("valid", "known")).withColumn("b", F.floor(F.col("active") / bucket_us))
     rank = F.struct("valid", "known", "change_id")
     best = ch.groupBy("entity", "kind", "b").agg(F.max(rank).alias("best"))
     # event buckets hold no change of their own unless some became active in them
-    asked = ev.select("entity", "b").distinct().select("entity", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"), "b", F.lit(None).cast(best.schema["best"].dataType).alias("best"), F.lit(1).alias("ask"))
-    line = best.withColumn("ask", F.lit(0)).unionByName(asked)
+    asked = counts.select("entity", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"), "b", "salts", F.lit(None).cast(best.schema["best"].dataType).alias("best"), F.lit(1).alias("ask"))
+    line = best.withColumn("ask", F.lit(0)).withColumn("salts", F.lit(None).cast("int")).unionByName(asked)
     w = Window.partitionBy("entity", "kind").orderBy("b").rangeBetween(Window.unboundedPreceding, -1)
     carried = line.withColumn("carry", F.max("best").over(w)).where("ask = 1 AND carry IS NOT NULL")
-    carried = carried.select("entity", "kind", F.col("carry.change_id").alias("change_id"), F.col("carry.valid").alias("valid"), F.col("carry.known").alias("known"), F.greatest("carry.valid", "carry.known").alias("active"), "b")
-    versions = ch.unionByName(carried).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    carried = carried.select("entity", "kind", F.col("carry.change_id").alias("change_id"), F.col("carry.valid").alias("valid"), F.col("carry.known").alias("known"), F.greatest("carry.valid", "carry.known").alias("active"), "b", "salts")
+    own = ch.join(counts, ["entity", "b"])
+    versions = own.unionByName(carried).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    salted = ev.join(counts, ["entity", "b"]).withColumn("salt", F.pmod(F.xxhash64("event_id"), F.col("salts")).cast("int")).drop("salts")
     keys = ["entity", "b", "salt"]
-    schema = "event_id bigint, kind string, change_id bigint"
-    return ev.groupBy(*keys).cogroup(versions.groupBy(*keys)).applyInPandas(_search, schema)
+    versions = versions.select(*[F.col(k).alias(f"of_{k}") for k in keys], "kind", "change_id", "valid", "known", "active")
+    return salted.groupBy(*keys).cogroup(versions.groupBy(*[f"of_{k}" for k in keys])).applyInArrow(_search, "event_id bigint, kind string, change_id bigint")
 
 
-def _search(ev: pd.DataFrame, ch: pd.DataFrame) -> pd.DataFrame:
+FOUND = pa.schema([("event_id", pa.int64()), ("kind", pa.string()), ("change_id", pa.int64())])
+
+
+def _search(ev: pa.Table, ch: pa.Table) -> pa.Table:
+    if not ev.num_rows or not ch.num_rows:
+        return FOUND.empty_table()
+    ids, first = np.unique(ev["event_id"].to_numpy(), return_index=True)
+    at = ev["at"].to_numpy()[first]
+    change, valid, known, active = (ch[c].to_numpy() for c in ("change_id", "valid", "known", "active"))
+    kinds = np.array(ch["kind"].to_pylist(), object)
     out = []
-    if len(ev) and len(ch):
-        ev = ev.drop_duplicates("event_id")
-        at = ev["at"].to_numpy()
-        for kind, own in ch.groupby("kind", sort=True):
-            own = own.sort_values(["valid", "known", "change_id"], kind="stable").reset_index(drop=True)
-            by = np.argsort(own["active"].to_numpy(), kind="stable")
-            running = np.maximum.accumulate(by)  # rank of the best version active so far
-            where = np.searchsorted(own["active"].to_numpy()[by], at, side="right") - 1
-            hit = where >= 0
-            out.append(pd.DataFrame({"event_id": ev["event_id"].to_numpy()[hit], "kind": kind, "change_id": own["change_id"].to_numpy()[running[where[hit]]]}))
-    return pd.concat(out) if out else pd.DataFrame({"event_id": pd.Series(dtype="int64"), "kind": pd.Series(dtype="object"), "change_id": pd.Series(dtype="int64")})
+    for kind in sorted(set(kinds)):
+        own = np.flatnonzero(kinds == kind)
+        own = own[np.lexsort((change[own], known[own], valid[own]))]  # from the weakest to the best
+        by = np.argsort(active[own], kind="stable")
+        best = np.maximum.accumulate(by)  # rank of the best version active so far
+        where = np.searchsorted(active[own][by], at, side="right") - 1
+        hit = where >= 0
+        out.append(pa.table([pa.array(ids[hit]), pa.array([kind] * int(hit.sum()), pa.string()), pa.array(change[own[best[where[hit]]]])], schema=FOUND))
+    return pa.concat_tables(out)
