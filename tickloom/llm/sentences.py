@@ -69,7 +69,7 @@ LATIN = [
     # names of companies and closing formulas of citations
     rule(False, r"\./\.|/\.", r""),
     rule(False, r"(?<!\w)e\.", r"[KV]\."),
-    rule(True, rf"{W0}(?:m\.\s{0,3}w\.\s{0,3}N|d\.\s{0,3}A|e\.\s{0,3}K|p\.\s{0,3}a)\.", r"[^\W\d_]|[„“\"«¿¡█*\[]"),
+    rule(True, rf"{W0}(?:m\.\s*w\.\s*N|d\.\s*A|e\.\s*K|p\.\s*a)\.", r"[^\W\d_]|[„“\"«¿¡█*\[]"),
     rule(False, rf"{W0}(?:{_words(COMPANIES)})\.", r"[(\d&]"),
     rule(True, rf"{W0}(?:{_words(COMPANIES)})\.", r""),
     rule(False, rf"{W0}(?:{_words(NUMBERED)})\.", r"[\d(]"),
