@@ -153,8 +153,8 @@ def equity_curve(fills: DataFrame, ticks: DataFrame, cash: float) -> DataFrame:
 class Book:
     """One symbol's full-depth book with first-in-first-out queues, plus tracked orders of our own."""
 
-    def __init__(self, model: str = "full_depth") -> None:
-        self.model, self.queues, self.ours, self.live = model, {"BUY": {}, "SELL": {}}, {}, []
+    def __init__(self) -> None:
+        self.queues, self.ours, self.live = {"BUY": {}, "SELL": {}}, {}, []
         self.touch, self.fills = {}, []
 
     def rest(self, side: str, price: float, oid: str, size: int, front: bool = False) -> int:
@@ -253,7 +253,41 @@ class Book:
                 self.live.remove(oid)
 
 
-def replay_book(events: DataFrame) -> DataFrame:
+class TouchBook:
+    """Matching without depth: at the touch with a shared displayed size, or naively at the mid.
+
+    top_of_book: market and immediate orders take what the touch displays, limit orders do when it crosses them; what
+    one takes is gone for the next until a new quote. naive: every order fills against each tick's volume by itself,
+    market orders at the mid and limit orders at their limit once crossed. No quote, no fill.
+    """
+
+    def __init__(self, model: str) -> None:
+        self.model, self.live, self.fills = model, {}, []
+
+    def submit(self, seq: int, oid: str, side: str, kind: str, qty: int, limit: float | None) -> None:
+        self.live[oid] = [side, kind, qty, limit]
+
+    def cancel(self, oid: str) -> bool:
+        return self.live.pop(oid, None) is not None
+
+    def tick(self, seq: int, price: float, volume: int, quote: tuple[float, float, int, int]) -> None:
+        bid, ask, bid_size, ask_size = quote
+        shown = {"BUY": ask_size, "SELL": bid_size}
+        for oid, o in list(self.live.items()):
+            side, kind, left, limit = o
+            touch = ask if side == "BUY" else bid
+            crosses = kind == "MARKET" or limit is not None and (touch <= limit if side == "BUY" else touch >= limit)
+            n = min(left, volume if self.model == "naive" else shown[side]) if crosses else 0
+            if n > 0:
+                at = touch if self.model != "naive" else (bid + ask) / 2 if kind == "MARKET" else limit
+                self.fills.append((oid, seq, n, at, "taker"))
+                o[2] -= n
+                shown[side] -= n
+            if o[2] <= 0 or kind == "IOC":
+                del self.live[oid]
+
+
+def replay_book(events: DataFrame, model: str = "full_depth") -> DataFrame:
     """Fills (symbol, order_id, seq, qty, price, role) of orders meeting a stream of ticks, per symbol.
 
     events: (symbol, seq, kind tick|order|cancel, order_id, side, order_type, qty, limit_price, price, volume, bid, ask,
@@ -262,7 +296,7 @@ def replay_book(events: DataFrame) -> DataFrame:
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        book = Book()
+        book = Book() if model == "full_depth" else TouchBook(model)
         for e in pdf.sort_values("seq", kind="stable").itertuples():
             if e.kind == "tick":
                 book.tick(e.seq, e.price, int(e.volume), (e.bid, e.ask, int(e.bid_size), int(e.ask_size)))

@@ -193,8 +193,9 @@ def c1_fill_report(spark: SparkSession, d: str) -> DataFrame:
     return C.fill_report(_raw(spark, d))
 
 
+_AC = """ac AS (SELECT symbol, date, action, max(value) AS value FROM (SELECT nullif(upper(trim(symbol, E' \\t\\r\\n')), '') AS symbol, date, lower(trim(action, E' \\t\\r\\n')) AS action, value FROM corporate_actions WHERE value IS NOT NULL) GROUP BY 1, 2, 3)"""
 _DAILY = """dc AS (SELECT symbol, CAST(make_timestamp(timestamp * 1000000) AS DATE) AS date, arg_max(close, (timestamp, bar_id)) AS close, CAST(sum(volume) AS DOUBLE) AS volume FROM (SELECT DISTINCT bar_id, nullif(upper(trim(symbol, E' \\t\\r\\n')), '') AS symbol, timestamp, close, volume FROM test_data)
-  WHERE isfinite(close) AND close > 0 GROUP BY 1, 2), ac AS (SELECT symbol, date, action, max(value) AS value FROM (SELECT nullif(upper(trim(symbol, E' \\t\\r\\n')), '') AS symbol, date, lower(trim(action, E' \\t\\r\\n')) AS action, value FROM corporate_actions WHERE value IS NOT NULL) GROUP BY 1, 2, 3)"""
+  WHERE isfinite(close) AND close > 0 GROUP BY 1, 2)"""
 
 
 def _daily_actions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -204,7 +205,7 @@ def _daily_actions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return px, ac
 
 
-@query(f"""WITH {_DAILY}, f AS (SELECT ac.symbol, ac.date, ac.action, ac.value, (SELECT arg_max(close, dc.date) FROM dc WHERE dc.symbol = ac.symbol AND dc.date < ac.date) AS raw FROM ac),
+@query(f"""WITH {_DAILY}, {_AC}, f AS (SELECT ac.symbol, ac.date, ac.action, ac.value, (SELECT arg_max(close, dc.date) FROM dc WHERE dc.symbol = ac.symbol AND dc.date < ac.date) AS raw FROM ac),
  g AS (SELECT symbol, date, CASE WHEN action = 'split' AND value > 0 THEN 1 / value WHEN action = 'dividend' AND value > 0 AND value < raw THEN 1 - value / raw ELSE 1 END AS pf, CASE WHEN action = 'split' AND value > 0 THEN value ELSE 1 END AS vf FROM f)
  SELECT dc.symbol, strftime(dc.date, '%Y-%m-%d') AS date, round(dc.close * coalesce((SELECT product(pf) FROM g WHERE g.symbol = dc.symbol AND g.date > dc.date), 1), 4) + 0.0 AS close, round(dc.volume * coalesce((SELECT product(vf) FROM g WHERE g.symbol = dc.symbol AND g.date > dc.date), 1), 2) + 0.0 AS volume FROM dc""")
 def c4_back_adjusted(spark: SparkSession, d: str) -> DataFrame:
@@ -270,6 +271,28 @@ def c16_missing_share(spark: SparkSession, d: str) -> DataFrame:
     return C.missing_share(load(spark, d, "factor_data").withColumn("symbol", code("symbol")), "symbol", "volatility").select("symbol", *r6("missing"))
 
 
+@query(f"""WITH {_RAW}, {_AC}, ff AS (SELECT * FROM (SELECT seq, symbol, ts, last_value(price IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq) AS price, coalesce(volume, 0) AS volume FROM raw) WHERE price IS NOT NULL), td AS (SELECT symbol, CAST(ts AS DATE) AS date, arg_max(price, (ts, seq)) AS close, CAST(sum(volume) AS DOUBLE) AS volume FROM ff GROUP BY 1, 2),
+ f AS (SELECT ac.*, (SELECT arg_max(close, td.date) FROM td WHERE td.symbol = ac.symbol AND td.date < ac.date) AS raw FROM ac), g AS (SELECT symbol, date, CASE WHEN action = 'split' AND value > 0 THEN 1 / value WHEN action = 'dividend' AND value > 0 AND value < raw THEN 1 - value / raw ELSE 1 END AS pf, CASE WHEN action = 'split' AND value > 0 THEN value ELSE 1 END AS vf FROM f)
+ SELECT td.symbol, strftime(td.date, '%Y-%m-%d') AS date, round(td.close * coalesce((SELECT product(pf) FROM g WHERE g.symbol = td.symbol AND g.date > td.date), 1), 4) + 0.0 AS close, round(td.volume * coalesce((SELECT product(vf) FROM g WHERE g.symbol = td.symbol AND g.date > td.date), 1), 2) + 0.0 AS volume FROM td""")
+def i18_ingestion_job(spark: SparkSession, d: str) -> DataFrame:
+    _, ac = _daily_actions(spark, d)
+    return I.process_ticks(_raw(spark, d).where("symbol IS NOT NULL"), ac).select("symbol", iso(), *r6("close", digits=4), *r6("volume", digits=2))
+
+
+@query("SELECT count(*) AS bars, CAST(sum(timestamp) AS BIGINT) AS stamps, count(close) AS closes, CAST(sum(volume) AS BIGINT) AS volume FROM test_data")
+def i8_parquet_bars(spark: SparkSession, d: str) -> DataFrame:
+    load(spark, d, "test_data")  # session zone
+    b = I.read_parquet_bars(spark, f"{d}/test_data.parquet")
+    return b.agg(F.count("*").alias("bars"), F.sum(F.unix_seconds("bar_ts")).alias("stamps"), F.count("close").alias("closes"), F.sum("volume").alias("volume"))
+
+
+@query("SELECT nullif(upper(trim(symbol, E' \\t\\r\\n')), '') AS symbol, count(*) AS ticks, count(DISTINCT timestamp) AS instants FROM test_data GROUP BY 1")
+def i17_bars_as_ticks(spark: SparkSession, d: str) -> DataFrame:
+    load(spark, d, "test_data")
+    t = I.bars_as_ticks(I.read_parquet_bars(spark, f"{d}/test_data.parquet"))
+    return t.groupBy(code("symbol").alias("symbol")).agg(F.count("*").alias("ticks"), F.count_distinct("ts").alias("instants"))
+
+
 # ------------------------------------------------------------------ bars
 
 @query(f"WITH {ET} SELECT symbol, CAST(epoch_us(ts) // 60000000 * 60 AS BIGINT) AS bar_s, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM et GROUP BY 1, 2")

@@ -140,15 +140,24 @@ def o23_active_orders(spark: SparkSession, d: str) -> DataFrame:
     return K.order_summary(*_naive(spark, d)).where("status IN ('PENDING', 'PARTIALLY_FILLED')").select("order_id")
 
 
-@query()
-def o10_o21_book_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Orders of all kinds against the tick stream with first-in-first-out queues."""
+def _order_stream(spark: SparkSession, d: str) -> DataFrame:
     e = base.eticks(spark, d).select("symbol", (F.col("seq") * 10).alias("seq"), F.lit("tick").alias("kind"), F.round("price", 2).alias("price"), "volume", F.round("bid", 2).alias("bid"), F.round("ask", 2).alias("ask"), "bid_size", "ask_size")
     src = _opening(base.eticks(spark, d))
     kind = F.element_at(F.array(F.lit("MARKET"), F.lit("LIMIT"), F.lit("IOC")), (F.col("hour") % 3 + 1).cast("int"))
     o = src.select("symbol", (F.col("seq") * 10 + 5).alias("seq"), F.lit("order").alias("kind"), F.concat_ws("-", "symbol", "seq").alias("order_id"), F.when(F.col("hour") % 2 == 0, "BUY").otherwise("SELL").alias("side"), kind.alias("order_type"), (F.col("volume") * 5).alias("qty"), F.round("price", 2).alias("limit_price"))
     c = src.select("symbol", (F.col("seq") * 10 + 1005).alias("seq"), F.lit("cancel").alias("kind"), F.concat_ws("-", "symbol", "seq").alias("order_id"))
-    return K.replay_book(e.unionByName(o, allowMissingColumns=True).unionByName(c, allowMissingColumns=True))
+    return e.unionByName(o, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
+
+
+@query()
+def o10_o21_book_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of all kinds against the tick stream with first-in-first-out queues."""
+    return K.replay_book(_order_stream(spark, d))
+
+
+@query()
+def o14_top_of_book_replay(spark: SparkSession, d: str) -> DataFrame:
+    return K.replay_book(_order_stream(spark, d), "top_of_book")
 
 
 # ------------------------------------------------------------------ order flow and toxicity

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.schemas import BAR, TICK, TRADELOG, WEIGHTS
+from tickloom.schemas import BAR, TRADELOG, WEIGHTS
 
 
 def epoch_micros(raw: Column) -> Column:
@@ -194,4 +194,24 @@ def replay(df: DataFrame, batch: int = 1000) -> Iterator[DataFrame]:
         yield numbered.where(F.col("_b") == b).drop("_b")
 
 
-EMPTY_TICKS = TICK
+def bars_as_ticks(bars: DataFrame) -> DataFrame:
+    """Minute bars as a tick feed: one tick per bar at its close."""
+    return bars.select("symbol", F.col("bar_ts").alias("ts"), F.unix_micros("bar_ts").alias("seq"), F.col("close").alias("price"), F.col("close").alias("bid"), F.col("close").alias("ask"), *[F.col("volume").alias(c) for c in ("bid_size", "ask_size", "volume")])
+
+
+def process_ticks(ticks: DataFrame, actions: DataFrame) -> DataFrame:
+    """The ingestion job: ticks filled forward, as daily closes, adjusted for corporate actions."""
+    from tickloom.operators.clean import back_adjust, forward_fill, valid_actions
+
+    filled = forward_fill(ticks)
+    at = F.struct("ts", "seq")
+    daily = filled.groupBy("symbol", F.to_date("ts").alias("date")).agg(F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
+    return back_adjust(daily, valid_actions(actions))
+
+
+def write_equity(equity: DataFrame, path: str) -> None:
+    equity.select("timestamp", "equity").write.mode("overwrite").csv(path, header=True)
+
+
+def write_tradelog(trades: DataFrame, path: str) -> None:
+    trades.select(*[f.name for f in TRADELOG]).write.mode("overwrite").csv(path, header=True)
