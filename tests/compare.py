@@ -46,7 +46,7 @@ def rows_of(cols: list[str], rows: list) -> list:
 def compare(spark, con, name: str, d: str, query, sql: str | None) -> str:
     t = time.time()
     df = query(spark, d)
-    got = df.collect()
+    got = df.collect()  # small inputs only
     t = time.time() - t
     if sql is None:
         return f"ok   {name}: {len(got)} rows, {t:.1f} s (no SQL)"

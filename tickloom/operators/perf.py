@@ -22,7 +22,7 @@ def sharpe(returns: DataFrame, by: str, periods: int = 252, risk_free: float = 0
 
 def growth(equity: DataFrame, by: str, order: str = "date", periods: int = 252) -> DataFrame:
     """Largest drawdown, compound annual growth over n - 1 periods, and their ratio (0 without drawdown)."""
-    e = equity.withColumn("dd", F.col("equity") / F.max("equity").over(rows(by, order)) - 1)
+    e = equity.withColumn("dd", F.try_divide(F.col("equity"), F.max("equity").over(rows(by, order))) - 1)
     g = e.groupBy(by).agg(F.count("*").alias("n"), F.min("dd").alias("max_drawdown"), F.min_by("equity", order).alias("first"), F.max_by("equity", order).alias("last"))
     cagr = F.when((F.col("n") > 1) & (F.col("first") > 0), F.pow(F.col("last") / F.col("first"), F.lit(float(periods)) / (F.col("n") - 1)) - 1).otherwise(0.0)
     return g.withColumn("cagr", cagr).withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")).otherwise(0.0)).select(by, "n", "max_drawdown", "cagr", "calmar")
@@ -48,7 +48,7 @@ def summary(equity: DataFrame, by: str, order: str = "date", periods: int = 252)
 def crude_measures(equity: DataFrame, by: str, order: str, periods: int) -> DataFrame:
     """Total return, volatility of returns, their ratio, and a Sharpe ratio at the rows' own frequency."""
     r = curve_returns(equity, by, order).groupBy(by).agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("sd"))
-    t = equity.groupBy(by).agg((F.max_by("equity", order) / F.min_by("equity", order) - 1).alias("total_return"))
+    t = equity.groupBy(by).agg((F.try_divide(F.max_by("equity", order), F.min_by("equity", order)) - 1).alias("total_return"))
     return t.join(r, by).select(by, "total_return", F.col("sd").alias("volatility"), F.try_divide(F.col("total_return"), F.col("sd")).alias("ratio"), (F.try_divide(F.col("m"), F.col("sd")) * periods**0.5).alias("sharpe"))
 
 

@@ -75,7 +75,7 @@ def rolling_sharpe(x: str, by: str, order: str, n: int = 63, periods: int = 252)
 
 def drawdown(x: str, by: str, order: str) -> Column:
     top = F.max(x).over(rows(by, order))
-    return (F.col(x) - top) / top
+    return F.try_divide(F.col(x) - top, top)
 
 
 def rolling_beta(y: str, x: str, by: str, order: str, n: int, least: int, shrink: float = 0.0) -> Column:

@@ -29,17 +29,14 @@ def query(sql: str | None = None):
 
 # ------------------------------------------------------------------ order books: line items are resting orders
 
-_REST = """rest AS (SELECT 'S' || CAST(l_suppkey % 20 AS VARCHAR) AS symbol, CASE WHEN l_returnflag = 'A' THEN 'BUY' ELSE 'SELL' END AS side, CAST(l_quantity AS BIGINT) + CASE WHEN l_returnflag = 'A' THEN 0 ELSE 50 END AS price, l_linenumber % 2 AS priority, l_orderkey * 10 + l_linenumber AS seq,
+_REST = """rest AS (SELECT 'S' || CAST(l_suppkey % 20 AS VARCHAR) AS symbol, CASE WHEN l_returnflag = 'A' THEN 'BUY' ELSE 'SELL' END AS side, CAST(l_quantity AS BIGINT) + CASE WHEN l_returnflag = 'A' THEN 0 ELSE 50 END AS price, l_linenumber % 2 AS priority, l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS seq,
  CAST(l_partkey % 9 + 1 AS BIGINT) AS size FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_quantity, l_partkey FROM lineitem))"""
 
 
 def _resting(spark: SparkSession, d: str) -> DataFrame:
     li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity", "l_partkey").distinct()
     buy = F.col("l_returnflag") == "A"
-    return li.select(F.concat(F.lit("S"), (F.col("l_suppkey") % 20).cast("string")).alias("symbol"), F.when(buy, "BUY").otherwise("SELL").alias("side"), (F.col("l_quantity").cast("bigint") + F.when(buy, 0).otherwise(50)).alias("price"), (F.col("l_linenumber") % 2).alias("priority"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_partkey") % 9 + 1).cast("bigint").alias("size"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("order_id"), F.col("l_partkey").alias("part"))
-
-
-_TIE = "priority, seq, size"
+    return li.select(F.concat(F.lit("S"), (F.col("l_suppkey") % 20).cast("string")).alias("symbol"), F.when(buy, "BUY").otherwise("SELL").alias("side"), (F.col("l_quantity").cast("bigint") + F.when(buy, 0).otherwise(50)).alias("price"), (F.col("l_linenumber") % 2).alias("priority"), (F.col("l_orderkey") * 10_000_000 + F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("seq"), (F.col("l_partkey") % 9 + 1).cast("bigint").alias("size"), (F.col("l_orderkey") * 10_000_000 + F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).cast("string").alias("order_id"))
 
 
 @query(f"WITH {ET}, q AS (SELECT symbol, arg_max(struct_pack(bid := bid, ask := ask, bid_size := bid_size, ask_size := ask_size), (ts, seq)) AS q FROM et GROUP BY symbol) SELECT symbol, round(q.bid, 6) AS bid, round(q.ask, 6) AS ask, q.bid_size AS bid_size, q.ask_size AS ask_size, round((q.bid + q.ask) / 2, 6) AS mid, round(q.ask - q.bid, 6) AS spread FROM q")

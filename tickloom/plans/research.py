@@ -168,7 +168,7 @@ def r6_r11_s_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).select("date", "symbol", "r2", "beta", "kappa", "tau", "s")
 
 
-_ZS = f"""{RET}, zs AS (SELECT date, symbol, CASE WHEN count(ret) OVER w = 20 THEN round((ret - avg(ret) OVER w) / stddev_samp(ret) OVER w, 8) END AS s FROM ret WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING)), nz AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM zs)"""
+_ZS = f"""{RET}, zs AS (SELECT date, symbol, CASE WHEN count(ret) OVER w = 20 THEN round((ret - avg(ret) OVER w) / nullif(stddev_samp(ret) OVER w, 0), 8) END AS s FROM ret WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING)), nz AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM zs)"""
 _STEP = "CASE WHEN {s} IS NULL THEN 0 WHEN {s} < -1.25 THEN 1 WHEN {s} > 1.25 THEN -1 WHEN {p} = 1 AND {s} <= -0.5 THEN 1 WHEN {p} = -1 AND {s} >= 0.75 THEN -1 ELSE 0 END"
 _POS = f"{_ZS}, fold AS (SELECT i, symbol, date, s, CAST({_STEP.format(s='s', p='0')} AS INT) AS pos FROM nz WHERE i = 1 UNION ALL SELECT nz.i, nz.symbol, nz.date, nz.s, CAST({_STEP.format(s='nz.s', p='fold.pos')} AS INT) FROM nz JOIN fold ON nz.symbol = fold.symbol AND nz.i = fold.i + 1)"
 
@@ -177,7 +177,7 @@ def _zscores(spark: SparkSession, d: str) -> DataFrame:
     """A cheap score for position machines: the standardised return."""
     w = rows("symbol", "date", 20)
     r = base.returns(spark, d)
-    return r.select("date", "symbol", F.when(F.count("ret").over(w) == 20, F.round((F.col("ret") - F.avg("ret").over(w)) / F.stddev_samp("ret").over(w), 8)).alias("s"))
+    return r.select("date", "symbol", F.when(F.count("ret").over(w) == 20, F.round(F.try_divide(F.col("ret") - F.avg("ret").over(w), F.stddev_samp("ret").over(w)), 8)).alias("s"))
 
 
 @query(f"WITH RECURSIVE {_POS} SELECT strftime(date, '%Y-%m-%d') AS date, symbol, pos FROM fold")
