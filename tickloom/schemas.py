@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+KINDS = {"string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """A schema from "name kind, ..." that needs no running session."""
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (x.split() for x in spec.split(", "))])
 
 
 TICK = _struct("symbol string, ts timestamp, seq bigint, price double, bid double, ask double, bid_size bigint, ask_size bigint, volume bigint")
