@@ -307,3 +307,17 @@ def test_cointegration(spark):
     p = spark.createDataFrame(rows, "date int, symbol string, close double")
     t = {(r["a"], r["b"]): r["t"] for r in perf.cointegration_t(p, perf.pair_search(p)).collect()}
     assert t["A", "B"] < -8 < t["A", "C"]
+
+
+def test_running_values_over_buckets(spark):
+    from tickloom.functions.running import running
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, 1, 2, 5])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, seq long, x int")
+    got = {r["seq"]: (r["total"], r["last"]) for r in running(df, ["k"], ["seq"], F.floor(F.col("seq") / 7), sums={"total": F.col("x")}, lasts={"last": F.col("x")}).collect()}
+    total, last = {}, {}
+    for k, i, x in rows:
+        total[k] = total.get(k, 0) + (x or 0)
+        last[k] = x if x is not None else last.get(k)
+        assert got[i] == (total[k], last[k])

@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import rows
+from tickloom.functions.running import day_of, running
 
-BOOK = ["symbol", "side", "price", "priority", "seq"]
+SPAN = 1_000_000  # sequence numbers of one bucket of a running value
 
 
 def top_of_book(quotes: DataFrame, by: str = "symbol") -> DataFrame:
@@ -83,10 +83,9 @@ def naive_fills(orders: DataFrame, ticks: DataFrame) -> DataFrame:
     done within the ticks whose running volume lies between that at its submission and qty more. The running
     volume at submission is looked up by the union of both streams, so no order meets all of a symbol's ticks.
     """
-    w = rows("symbol", ["seq", "is_order"])
     t = ticks.select("symbol", "seq", F.lit(1).alias("is_order"), "volume", "mid", F.lit(None).cast("string").alias("order_id"), F.lit(None).cast("bigint").alias("qty"))
     o = orders.select("symbol", F.col("submit_seq").alias("seq"), F.lit(0).alias("is_order"), F.lit(0).cast("bigint").alias("volume"), F.lit(None).cast("double").alias("mid"), "order_id", F.col("qty").cast("bigint").alias("qty"))
-    s = t.unionByName(o).withColumn("cum", F.sum("volume").over(w))
+    s = running(t.unionByName(o), ["symbol"], ["seq", "is_order"], F.floor(F.col("seq") / SPAN), sums={"cum": F.col("volume")})
     # volume is cut into bins; an order joins only the bins its fills can lie in
     bin_ = 1024
     left = s.where("is_order = 0").select("symbol", "order_id", "qty", F.col("cum").alias("from")).withColumn("bin", F.explode(F.sequence(F.floor(F.col("from") / bin_), F.floor((F.col("from") + F.col("qty")) / bin_))))
@@ -112,8 +111,8 @@ def with_slippage(price: Column, coefficient: Column, qty: Column, side: Column)
 def ledger(fills: DataFrame, cash: float, by: str = "symbol", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
     """Running cash and position of a key, without a cash check."""
     sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
-    w = rows(by, list(order))
-    return fills.withColumn("position", F.sum(sign * F.col("qty")).over(w)).withColumn("cash", F.lit(cash) - F.sum(sign * F.col("qty") * F.col("price")).over(w))
+    out = running(fills, [by], list(order), day_of(order[0]), sums={"position": sign * F.col("qty"), "spent": sign * F.col("qty") * F.col("price")})
+    return out.withColumn("cash", F.lit(cash) - F.col("spent")).drop("spent")
 
 
 def guarded_ledger(fills: DataFrame, cash: float, by: str = "account") -> DataFrame:
@@ -145,8 +144,8 @@ def equity_curve(fills: DataFrame, ticks: DataFrame, cash: float) -> DataFrame:
     sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
     f = fills.select("symbol", "seq", F.lit(0).alias("k"), (sign * F.col("qty")).alias("dq"), (-sign * F.col("qty") * F.col("price")).alias("dc"), F.lit(None).cast("double").alias("px"))
     t = ticks.select("symbol", "seq", F.lit(1).alias("k"), F.lit(0).cast("bigint").alias("dq"), F.lit(0.0).alias("dc"), F.col("price").alias("px"))
-    w = rows("symbol", ["seq", "k"])
-    run = f.withColumn("dq", F.col("dq").cast("bigint")).unionByName(t).withColumn("q", F.sum("dq").over(w)).withColumn("c", F.sum("dc").over(w))
+    both = f.withColumn("dq", F.col("dq").cast("bigint")).unionByName(t)
+    run = running(both, ["symbol"], ["seq", "k"], F.floor(F.col("seq") / SPAN), sums={"q": F.col("dq"), "c": F.col("dc")})
     return run.where("k = 1").select("symbol", "seq", (F.lit(cash) + F.col("c") + F.col("q") * F.col("px")).alias("equity"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.running import day_of, running
 from tickloom.functions.scalars import finite
 
 
@@ -13,17 +14,16 @@ def forward_fill(ticks: DataFrame, by: str = "symbol", order: tuple[str, ...] =
 
     One extra column, ``was_filled``. Non-finite prices count as missing.
     """
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     p = finite("price")
-    out = ticks.withColumn("was_filled", p.isNull()).withColumn("price", F.last(p, ignorenulls=True).over(w))
+    out = running(ticks.withColumn("was_filled", p.isNull()), [by], list(order), day_of(order[0]), lasts={"price": p})
     return out.where("price IS NOT NULL").withColumn("volume", F.coalesce("volume", F.lit(0)))
 
 
 def fill_report(ticks: DataFrame, by: str = "symbol") -> DataFrame:
     """Per key: rows, rows without a price, without a volume, and leading rows that filling drops."""
-    w = Window.partitionBy(by).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     p = finite("price")
-    return ticks.withColumn("leading", F.last(p, ignorenulls=True).over(w).isNull()).groupBy(by).agg(
+    filled = running(ticks, [by], ["ts", "seq"], day_of("ts"), lasts={"seen": p})
+    return filled.withColumn("leading", F.col("seen").isNull()).groupBy(by).agg(
         F.count("*").alias("rows"), F.count_if(p.isNull()).alias("no_price"), F.count_if(F.col("volume").isNull()).alias("no_volume"), F.count_if("leading").alias("dropped"))
 
 
@@ -57,13 +57,12 @@ def back_adjust(prices: DataFrame, actions: DataFrame) -> DataFrame:
 def close_panel(prices: DataFrame) -> DataFrame:
     """Dense (date, symbol, close, volume) from the day all symbols trade: gaps carry the last close, volume too.
 
-    The grid is the distinct dates for each symbol (dates are a bounded calendar, broadcast by its size).
-    Columns also tell what was filled.
+    The grid is the distinct dates for each symbol; the universe's names are a scalar. A column tells what was filled.
     """
     span = prices.groupBy("symbol").agg(F.min("date").alias("first"))
     live = span.agg(F.max("first").alias("live"), F.collect_list("symbol").alias("symbols"))
     dates = prices.select("date").distinct()
-    grid = dates.join(F.broadcast(live), F.lit(True)).select("date", "live", F.explode("symbols").alias("symbol"))
+    grid = dates.select("date", live.select("live").scalar().alias("live"), F.explode(live.select("symbols").scalar()).alias("symbol"))
     w = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     met = grid.join(prices.select("date", "symbol", "close", "volume"), ["date", "symbol"], "left")
     out = met.withColumn("was_filled", F.col("close").isNull()).withColumn("close", F.last("close", ignorenulls=True).over(w)).withColumn("volume", F.coalesce(F.last("volume", ignorenulls=True).over(w), F.lit(0)))
@@ -96,7 +95,7 @@ def nonfinite_count(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def filter_stats(df: DataFrame, kept: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("total")).join(F.broadcast(kept.agg(F.count("*").alias("kept"))), F.lit(True)).withColumn("dropped", F.col("total") - F.col("kept"))
+    return df.agg(F.count("*").alias("total")).withColumn("kept", kept.agg(F.count("*")).scalar()).withColumn("dropped", F.col("total") - F.col("kept"))
 
 
 def complete_cases(df: DataFrame, *columns: str) -> DataFrame:

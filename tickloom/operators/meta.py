@@ -53,7 +53,7 @@ def sample_weights(labels: DataFrame, by_return: bool = False) -> DataFrame:
     """Uniqueness (times the absolute return), scaled to a mean of 1 over all labels."""
     w = F.col("uniqueness") * (F.abs("ret") if by_return else F.lit(1.0))
     total = labels.agg(F.avg(w).alias("mean_"))
-    return labels.join(F.broadcast(total), F.lit(True)).withColumn("weight", F.coalesce(F.try_divide(w, F.col("mean_")), F.lit(1.0))).drop("mean_")
+    return labels.withColumn("mean_", total.scalar()).withColumn("weight", F.coalesce(F.try_divide(w, F.col("mean_")), F.lit(1.0))).drop("mean_")
 
 
 def sequential_bootstrap(labels: DataFrame, draws: int, seed: int = 0, by: str = "symbol") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import normal_cdf, rows
+from tickloom.functions.running import day_of, running
 
 
 def flow_events(quotes: DataFrame, by: str = "symbol", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
@@ -27,8 +28,7 @@ def volume_buckets(trades: DataFrame, size: int, by: str = "symbol") -> DataFram
 
     A large trade fills several; the unfinished last bucket gives no row. Trades without price or volume are left out.
     """
-    w = Window.partitionBy(by).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    cum = trades.where("price IS NOT NULL AND volume > 0").withColumn("cum", F.sum("volume").over(w))
+    cum = running(trades.where("price IS NOT NULL AND volume > 0"), [by], ["ts", "seq"], day_of("ts"), sums={"cum": F.col("volume")})
     first, last = F.floor((F.col("cum") - F.col("volume")) / size) + 1, F.floor(F.col("cum") / size)
     full = cum.where(last >= first).withColumn("bucket", F.explode(F.sequence(first, last)))
     return full.select(by, "bucket", "price", "ts", "seq")

@@ -82,7 +82,7 @@ def walk_forward(vectors: DataFrame, lookback: int, hold: int, allocators: dict[
     v = vectors.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1)  # date-level rows
     n = v.agg(F.count("*").alias("n_"))
     first, last = F.greatest(F.lit(0), F.ceil((F.col("i") - lookback - hold + 1) / hold)), F.floor(F.col("i") / hold)
-    g = v.join(F.broadcast(n), F.lit(True)).withColumn("rebalance", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    g = v.withColumn("n_", n.scalar()).withColumn("rebalance", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     start = F.col("rebalance") * hold + lookback
     g = g.where((F.col("i") >= start - lookback) & (F.col("i") < start + hold) & (start + hold <= F.col("n_"))).withColumn("past", F.col("i") < start)
 

@@ -88,7 +88,7 @@ def causal_states(features: DataFrame, columns: list[str], states: int = 3, warm
     """
     numbered = features.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1)  # date-level rows
     last = numbered.agg(F.max("idx").alias("last"))
-    seg = numbered.join(F.broadcast(last), F.lit(True)).withColumn("seg", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("idx") - warm) / every)).cast("int"), F.floor((F.greatest(F.col("last"), F.lit(warm)) - warm) / every).cast("int"))))
+    seg = numbered.withColumn("last", last.scalar()).withColumn("seg", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("idx") - warm) / every)).cast("int"), F.floor((F.greatest(F.col("last"), F.lit(warm)) - warm) / every).cast("int"))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")

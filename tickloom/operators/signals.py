@@ -71,7 +71,7 @@ def delta_orders(weights: DataFrame, holdings: DataFrame, prices: DataFrame, cas
     """
     book = weights.join(holdings, "symbol", "full").join(prices.where("price > 0"), "symbol").select("symbol", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("position", F.lit(0)).alias("position"), "price")
     nav = book.agg((F.lit(cash) + F.coalesce(F.sum(F.col("position") * F.col("price")), F.lit(0.0))).alias("nav"))
-    out = book.join(F.broadcast(nav), F.lit(True)).where("nav <> 0").withColumn("dollars", F.col("weight") * F.col("nav") - F.col("position") * F.col("price"))
+    out = book.withColumn("nav", nav.scalar()).where("nav <> 0").withColumn("dollars", F.col("weight") * F.col("nav") - F.col("position") * F.col("price"))
     out = out.where(F.abs("dollars") >= min_dollar).withColumn("qty", F.floor(F.abs(F.col("dollars") / F.col("price"))))
     return out.where("qty > 0").select("symbol", F.when(F.col("dollars") > 0, "BUY").otherwise("SELL").alias("side"), "qty")
 

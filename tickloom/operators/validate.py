@@ -58,8 +58,8 @@ def purged_train(rows: DataFrame, spark: SparkSession, n: int, groups: int, k: i
     united into disjoint intervals; since those are ordered, a training row need only look at the last interval that
     starts before its own end: one running maximum per split instead of a join on ranges.
     """
-    s = F.broadcast(splits(spark, groups, k).groupBy("split_id").agg(F.collect_set("grp").alias("chosen")))  # C(groups, k) rows
-    all_ = rows.withColumn("grp", group_of(F.col("idx"), n, groups)).join(s, F.lit(True)).withColumn("test", F.array_contains("chosen", F.col("grp")))
+    tests = F.array(*[F.struct(F.lit(i).alias("split_id"), F.array(*[F.lit(g) for g in c]).alias("chosen")) for i, c in enumerate(combinations(range(groups), k))])
+    all_ = rows.withColumn("grp", group_of(F.col("idx"), n, groups)).withColumn("s", F.explode(tests)).select("*", "s.*").drop("s").withColumn("test", F.array_contains("chosen", F.col("grp")))
     gap = int(n * embargo)
     isles = _merged(all_.where("test").select("split_id", "t0", "t1"))
     ends = isles.select("split_id", F.col("lo").alias("at"), F.lit(0).alias("k"), F.col("hi"), F.lit(None).cast("bigint").alias("idx"), F.lit(None).cast("bigint").alias("t0"))

@@ -135,7 +135,7 @@ def load_equity(df: DataFrame) -> DataFrame:
     order = "seq" if "seq" in df.columns else "timestamp"
     once = df.groupBy("timestamp").agg(F.max_by(name, order).alias("equity"))
     unit = once.agg(F.max("timestamp").alias("largest"))
-    return once.join(F.broadcast(unit)).select(scaled_epoch_micros(F.col("timestamp"), F.col("largest")).alias("ts_us"), "equity")
+    return once.withColumn("largest", unit.scalar()).select(scaled_epoch_micros(F.col("timestamp"), F.col("largest")).alias("ts_us"), "equity")
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
