@@ -181,6 +181,14 @@ def test_drift_report_and_table(spark):
     assert {r["price"] for r in table} == {1.5, 2.5, 3.5} and all(r["timestamp"] is not None for r in table)
 
 
+def test_drifted_scales_and_decimal_commas(spark):
+    a = ["timestamp,cash,price", "1355803089,1500.25,227.08", "1355803090,1400.00,1200.50", "1355803091,1300.75,9.00"]
+    b = ["timestamp;acct_cash;price", '1355803089000;150025;"227,08"', '1355803090000;140000;"1.200,50"', '1355803091000;130075;"9,00"']
+    t = drift.consistent_table(spark.createDataFrame(file_rows("s", 1, a) + file_rows("s", 2, b), LINES)).orderBy("file_no", "line_no").collect()
+    assert [(r["timestamp"], r["cash"], r["price"]) for r in t[:3]] == [(r["timestamp"], r["cash"], r["price"]) for r in t[3:]]
+    assert [r["cash"] for r in t[3:]] == [1500.25, 1400.0, 1300.75] and t[4]["price"] == 1200.5
+
+
 def test_drift_empty(spark):
     assert drift.drift_report(spark.createDataFrame([], LINES)).count() == 0
 

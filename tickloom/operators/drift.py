@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MISSING = frozenset({"", "na", "null", "-"})
@@ -133,10 +133,14 @@ class Schema:
     last: list[dict[str, str]] = field(default_factory=list)
 
 
-def evidence(a: str, b: str, old: Schema, new: Schema) -> float | None:
-    """Share of the rows both files hold in which column b says what a said; None if none tells.
+SCALES = (1.0, 100.0, 0.01, 1000.0, 0.001, 1e6, 1e-6)  # cents, milliseconds and the like
+
+
+def compared(a: str, b: str, old: Schema, new: Schema) -> tuple[float | None, float]:
+    """(agreement, scale) of column b with column a over the rows both files hold.
 
-    Column b may be scaled or rounded, but has to agree; a missing value tells nothing.
+    The agreement is the share of those rows in which b says what a said, None if all are missing; numbers may be
+    rewritten by one scale, which then has to explain all rows.
     """
     told: list[float] = []
     scales = set()
@@ -145,20 +149,21 @@ def evidence(a: str, b: str, old: Schema, new: Schema) -> float | None:
         if u is None and v is None:
             continue
         if isinstance(u, float) and isinstance(v, float):
-            for scale in (1.0, 100.0, 0.01, 1000.0, 0.001, 1e6, 1e-6):  # cents, milliseconds and the like
-                if abs(u * scale - v) <= 1e-6 * max(abs(u * scale), abs(v)) or u * scale == v:
-                    scales.add(scale)
-                    break
-            else:
-                scales.add(0.0)
-            told.append(float(0.0 not in scales))
+            fits = next((k for k in SCALES if abs(u * k - v) <= 1e-6 * max(abs(u * k), abs(v)) or u * k == v), 0.0)
+            if u or v:  # zeros fit any scale
+                scales.add(fits)
+            told.append(float(fits > 0))
         elif isinstance(u, str) and isinstance(v, str):
             told.append(float(u == v or u[0] == v[0] and min(len(u), len(v)) == 1))
         else:
             told.append(0.0)
-    if len(scales - {1.0}) > 1:  # one scale has to explain all rows
-        return 0.0
-    return sum(told) / len(told) if told else None
+    if len(scales) > 1:
+        return (0.0 if len(scales - {0.0}) > 1 else sum(told) / len(told)), 1.0
+    return (sum(told) / len(told) if told else None), (scales.pop() or 1.0) if scales else 1.0
+
+
+def evidence(a: str, b: str, old: Schema, new: Schema) -> float | None:
+    return compared(a, b, old, new)[0]
 
 
 def border(old: Schema, new: Schema) -> list[tuple[dict[str, str], dict[str, str]]]:
@@ -320,7 +325,7 @@ def _schema(columns, first, last) -> Schema:
 
 
 def schema_scripts(schemas: DataFrame) -> DataFrame:
-    """(stream, file_no, file_name, op, old, new, old_kind, new_kind): the edit script of each file against the one before."""
+    """(stream, file_no, file_name, op, old, new, old_kind, new_kind, scale): the edit script of each file against the one before."""
     w = Window.partitionBy("stream").orderBy("file_no")
     paired = schemas.select("*", *[F.lag(c).over(w).alias(f"old_{c}") for c in ("columns", "first", "last")])
 
@@ -334,10 +339,11 @@ def schema_scripts(schemas: DataFrame) -> DataFrame:
                 else:
                     old = _schema(r.old_columns, r.old_first, r.old_last)
                     script = edit_script(old, new)
-                out += [(r.stream, r.file_no, r.file_name, op, a, b, old.kinds.get(a), new.kinds.get(b)) for op, a, b in script]
-            yield pd.DataFrame(out, columns=["stream", "file_no", "file_name", "op", "old", "new", "old_kind", "new_kind"])
+                scale = lambda a, b: compared(a, b, old, new)[1] if a is not None and b is not None else 1.0  # noqa: B023, E731
+                out += [(r.stream, r.file_no, r.file_name, op, a, b, old.kinds.get(a), new.kinds.get(b), scale(a, b)) for op, a, b in script]
+            yield pd.DataFrame(out, columns=["stream", "file_no", "file_name", "op", "old", "new", "old_kind", "new_kind", "scale"])
 
-    return paired.drop("order").mapInPandas(compare, "stream string, file_no int, file_name string, op string, old string, new string, old_kind string, new_kind string")
+    return paired.drop("order").mapInPandas(compare, "stream string, file_no int, file_name string, op string, old string, new string, old_kind string, new_kind string, scale double")
 
 
 def drift_report(lines: DataFrame) -> DataFrame:
@@ -360,16 +366,24 @@ def projections(scripts: DataFrame) -> DataFrame:
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         out, held = [], {}
         for no, rows in pdf.sort_values("file_no").groupby("file_no", sort=True):
-            now = {r.new: held.get(r.old) for r in rows.itertuples() if r.new is not None and r.old is not None}
+            now = {r.new: (held[r.old][0], held[r.old][1] * r.scale) for r in rows.itertuples() if r.new is not None and r.old in held}
             for r in rows.itertuples():
-                if r.new is not None and not now.get(r.new):
+                if r.new is not None and r.new not in now:
                     guess = FIELD_OF.get(fold(r.new.rpartition(".")[2]), r.new.lower())
-                    now[r.new] = guess if guess not in now.values() else r.new.lower()
+                    now[r.new] = (guess if guess not in {f for f, _ in now.values()} else r.new.lower(), 1.0)
             held = now
-            out.append((pdf["stream"].iloc[0], no, [{"name": k, "value": v} for k, v in now.items()]))
+            out.append((pdf["stream"].iloc[0], no, [{"name": k, "value": f, "scale": c} for k, (f, c) in now.items()]))
         return pd.DataFrame(out, columns=["stream", "file_no", "mapping"])
 
-    return scripts.groupBy("stream").applyInPandas(follow, f"stream string, file_no int, mapping {CELLS}")
+    return scripts.groupBy("stream").applyInPandas(follow, "stream string, file_no int, mapping array<struct<name:string,value:string,scale:double>>")
+
+
+def number_in(text: Column) -> Column:
+    """The number a text writes: units and signs dropped, thousands separators and decimal commas read."""
+    d = F.regexp_extract(text, r"([+-]?(?:[0-9][0-9.,]*|[.,][0-9]+))", 1)
+    bare, european = F.regexp_replace(d, ",", ""), F.replace(F.regexp_replace(d, r"\.", ""), F.lit(","), F.lit("."))
+    plain = F.when(d.rlike(r"^[+-]?[1-9][0-9]{0,2}(,[0-9]{3})+(\.[0-9]+)?$"), bare).when(d.rlike(r"^[+-]?[0-9]{1,3}(\.[0-9]{3})+,[0-9]+$|^[+-]?[0-9]{1,3}(\.[0-9]{3}){2,}$|^[+-]?[0-9]*,[0-9]+$"), european).otherwise(bare)
+    return plain.try_cast("double")
 
 
 def consistent_table(lines: DataFrame, salts: int = 8) -> DataFrame:
@@ -380,19 +394,19 @@ def consistent_table(lines: DataFrame, salts: int = 8) -> DataFrame:
     parsed = parse_files(lines)
     plan = projections(schema_scripts(file_schemas(parsed))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = parsed.withColumn("salt", F.pmod(F.coalesce("line_no", F.lit(0)), F.lit(salts))).join(plan, ["stream", "file_no", "salt"])
-    as_map = lambda c: F.map_from_entries(F.transform(F.array_distinct(c), lambda x: F.struct(x["name"], x["value"])))
-    name_of = as_map("mapping")
+    name_of = F.map_from_entries(F.transform("mapping", lambda x: F.struct(x["name"], x["value"])))
+    scale_of = F.map_from_entries(F.transform("mapping", lambda x: F.struct(x["value"], x["scale"])))
     uniq = F.aggregate("cells", F.expr(f"CAST(array() AS {CELLS})"), lambda acc, x: F.when(F.exists(acc, lambda y: y["name"] == x["name"]), acc).otherwise(F.concat(acc, F.array(x))))
     value = F.map_from_entries(F.transform(F.filter(uniq, lambda x: F.element_at(name_of, x["name"]).isNotNull()), lambda x: F.struct(F.element_at(name_of, x["name"]), F.when(~F.lower(F.btrim(x["value"])).isin(*MISSING), x["value"]))))
-    row = met.select("stream", "file_no", "file_name", "line_no", value.alias("v"))
+    row = met.select("stream", "file_no", "file_name", "line_no", value.alias("v"), scale_of.alias("c"))
     text = lambda n: F.element_at("v", n)
-    plain = lambda n: F.regexp_extract(F.regexp_replace(text(n), r"(?<=\d),(?=\d{3})", ""), r"([+-]?(?:\d+\.?\d*|\.\d+))", 1)
+    number = lambda n: number_in(text(n)) / F.coalesce(F.element_at("c", n), F.lit(1.0))
     stamp = F.when(text("timestamp").rlike(r"^[0-9]+(\.[0-9]+)?$"), F.timestamp_micros((F.when(text("timestamp").cast("double") > 1e11, text("timestamp").cast("double") * 1000).otherwise(text("timestamp").cast("double") * 1000000)).cast("bigint")))
     stamp = F.coalesce(stamp, F.try_to_timestamp(text("timestamp")))
     core = ["timestamp", "symbol", "type", "quantity", "price", "cash", "commission"]
     return row.select(
         "stream", "file_no", "file_name", "line_no", stamp.alias("timestamp"), F.upper(F.btrim(text("symbol"))).alias("symbol"), F.upper(F.btrim(text("type"))).alias("type"),
-        plain("quantity").try_cast("double").cast("bigint").alias("quantity"),
-        *[plain(c).try_cast("double").alias(c) for c in core[4:]],
+        F.rint(number("quantity")).cast("bigint").alias("quantity"),
+        *[number(c).alias(c) for c in core[4:]],
         F.to_json(F.map_filter("v", lambda k, v: ~k.isin(*core) & v.isNotNull())).alias("others"),
     )
