@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import normal_cdf, normal_cdf_sql, rows
+from tickloom.functions.numeric import normal_cdf, normal_cdf_sql
 from tickloom.operators import book as K
 from tickloom.operators import micro as M
 from tickloom.operators import signals as S
