@@ -11,11 +11,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tickloom.llm.pages import without_headers
 
-LARGEST_SET = 20_000  # items held by one pass; a larger evaluation set is searched in several passes
+LARGEST_SET = 8_000_000  # characters of passages broadcast for one pass; a larger evaluation set takes several
 
 # Invisible characters, ways of blacking out, and characters written in more than one form.
 INVISIBLE = re.compile("­\\s*|[​-‏⁠﻿ـ︀-️]")
@@ -199,25 +198,32 @@ class PatternSet:
 def leaked_items(docs: DataFrame, items: DataFrame, words: Search = WORDS, chars: Search = CHARS) -> DataFrame:
     """(item_id, doc_id) of every document holding a long enough stretch of an item's passage.
 
-    docs: (doc_id, text); items: (item_id, passage). Evaluation sets are bounded, so their patterns travel with
-    the tasks; sets beyond LARGEST_SET items are searched in blocks. NULL and empty texts or passages, and
+    docs: (doc_id, text); items: (item_id, passage). A stretch may begin or end with an altered word. Passages are
+    broadcast in blocks of at most LARGEST_SET characters (or one passage), each block searched in its own pass. NULL and empty texts or passages, and
     passages shorter than a stretch, give nothing; repeated items are reported each. Documents are read once,
     whole, and nothing is shuffled.
     """
     known = [(r[0], r[1]) for r in items.where("item_id IS NOT NULL AND passage IS NOT NULL").select("item_id", "passage").toLocalIterator()]
-    out = None
-    for lo in range(0, max(len(known), 1), LARGEST_SET):
-        part = _search_block(docs, known[lo : lo + LARGEST_SET], words, chars)
-        out = part if out is None else out.unionByName(part)
+    blocks: list[list[tuple[int, str]]] = [[]]
+    size = 0
+    for item, passage in known:
+        if blocks[-1] and size + len(passage) > LARGEST_SET:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((item, passage))
+        size += len(passage)
+    out = _search_block(docs, blocks[0], words, chars)
+    for block in blocks[1:]:
+        out = out.unionByName(_search_block(docs, block, words, chars))
     return out
 
 
 def _search_block(docs: DataFrame, known: list[tuple[int, str]], words: Search, chars: Search) -> DataFrame:
-    as_words = [(i, units(normalise(p), False)) for i, p in known if not by_characters(p)]
-    as_chars = [(i, units(normalise(p), True)) for i, p in known if by_characters(p)]
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_word, by_char = PatternSet(as_words, words), PatternSet(as_chars, chars)
+        kinds = {c: [(i, units(normalise(p), c)) for i, p in sent.value if by_characters(p) == c] for c in (False, True)}
+        by_word, by_char = PatternSet(kinds[False], words), PatternSet(kinds[True], chars)
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
