@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +27,28 @@ def build_session(app: str = "tickloom", cores: str = "*", shuffle_partitions: i
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where neither their path nor their folder offers it."""
+    root = Path(__file__).resolve().parents[1]
+    paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    sc = spark.sparkContext
+    if root in paths or Path.cwd() == root or getattr(sc, "_tickloom_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="tickloom")  # the driver serves the archive from here while it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "tickloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "tickloom").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(archive)
+    sc._tickloom_shipped = True
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory. Instants are read as UTC whatever the cluster's zone is."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
