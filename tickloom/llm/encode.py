@@ -91,20 +91,18 @@ def encode_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", p
 
 
 def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """One row holding the vocabulary's pieces (as hexadecimal bytes) in order of their ids; 50,256 entries."""
-    ranks = read_ranks(path or vocabulary_path())
-    pieces = [""] * (max(ranks.values()) + 1)
-    for piece, i in ranks.items():
-        pieces[i] = piece.hex()
-    return spark.createDataFrame([(0, pieces)], "one int, pieces array<string>")
+    """(id, piece): the vocabulary's pieces as hexadecimal bytes; 50,256 rows."""
+    return spark.createDataFrame([(i, piece.hex()) for piece, i in read_ranks(path or vocabulary_path()).items()], "id int, piece string")
 
 
 def decode_documents(spark: SparkSession, encoded: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
     """(key, text): ids joined with their pieces and put together by position; an empty list gives ''.
 
-    The piece table has the size of the vocabulary, not of the data, so it is broadcast; unknown ids give NULL.
+    Ids are looked up in the piece table, gathered once as an array in order of id (its size is the vocabulary's, not
+    the data's), so that no occurrence is shuffled. Unknown ids give NULL.
     """
-    met = encoded.withColumn("one", F.lit(0)).join(F.broadcast(piece_table(spark, path)), "one")
-    text = F.decode(F.unhex(F.array_join(F.transform("ids", lambda i: F.get("pieces", i)), "")), "UTF-8")
+    pieces = piece_table(spark, path).agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "piece"))), lambda x: x["piece"]).alias("p")).scalar()
+    met = encoded.withColumn("pieces", pieces)
     known = ~F.exists("ids", lambda i: (i < 0) | (i >= F.size("pieces")))
+    text = F.decode(F.unhex(F.array_join(F.transform("ids", lambda i: F.get("pieces", i)), "")), "UTF-8")
     return met.select(key, F.when(known, text).alias("text"))
