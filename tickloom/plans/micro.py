@@ -118,7 +118,8 @@ def o20_ledger(spark: SparkSession, d: str) -> DataFrame:
     return K.ledger(f, 100_000.0).select("seq", "position", *r6("cash", digits=4))
 
 
-@query()
+@query(f"""WITH RECURSIVE {base.TR}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS i, quantity * price AS cost FROM tr), fold AS (SELECT i, symbol, seq, type <> 'BUY' OR cost <= 20000.0 AS accepted, CASE WHEN type <> 'BUY' THEN 20000.0 + cost WHEN cost <= 20000.0 THEN 20000.0 - cost ELSE 20000.0 END AS cash FROM n WHERE i = 1
+ UNION ALL SELECT n.i, n.symbol, n.seq, n.type <> 'BUY' OR n.cost <= fold.cash, CASE WHEN n.type <> 'BUY' THEN fold.cash + n.cost WHEN n.cost <= fold.cash THEN fold.cash - n.cost ELSE fold.cash END FROM n JOIN fold ON n.symbol = fold.symbol AND n.i = fold.i + 1) SELECT seq, accepted, round(cash, 4) + 0.0 AS cash FROM fold""")
 def o20_guarded_ledger(spark: SparkSession, d: str) -> DataFrame:
     f = base.ledger_trades(spark, d).select("seq", "ts", "symbol", F.col("type").alias("side"), F.col("quantity").alias("qty"), "price")
     return K.guarded_ledger(f, 20_000.0, "symbol").select("seq", "accepted", *r6("cash", digits=4))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -222,7 +225,14 @@ def r29_active_sharpe(spark: SparkSession, d: str) -> DataFrame:
 _BANDS = [(-1.25, 1.25, -0.5, 0.75), (-1.5, 1.5, -0.5, 0.5), (-1.0, 1.0, -0.25, 0.25), (-2.0, 2.0, -0.5, 0.75)]
 
 
-@query()
+_SWEEP_STEP = "CASE WHEN nz.s IS NULL THEN 0 WHEN nz.s < ol THEN 1 WHEN nz.s > os THEN -1 WHEN {p} = 1 AND nz.s <= cl THEN 1 WHEN {p} = -1 AND nz.s >= cs THEN -1 ELSE 0 END"
+_SWEEP = f"""{_ZS}, bands(config, ol, os, cl, cs) AS (VALUES {', '.join(str((i, *b)) for i, b in enumerate(_BANDS))}), fold AS (SELECT config, ol, os, cl, cs, i, symbol, date, CAST({_SWEEP_STEP.format(p='0')} AS INT) AS pos FROM nz, bands WHERE i = 1
+ UNION ALL SELECT config, ol, os, cl, cs, nz.i, nz.symbol, nz.date, CAST({_SWEEP_STEP.format(p='fold.pos')} AS INT) FROM nz JOIN fold ON nz.symbol = fold.symbol AND nz.i = fold.i + 1),
+ sd AS (SELECT *, count(*) FILTER (WHERE pos > 0) OVER (PARTITION BY config, date) AS lg, count(*) FILTER (WHERE pos < 0) OVER (PARTITION BY config, date) AS sh FROM fold), wt AS (SELECT config, date, symbol, CASE WHEN lg > 0 AND sh > 0 AND pos > 0 THEN 0.5 / lg WHEN lg > 0 AND sh > 0 AND pos < 0 THEN -0.5 / sh ELSE 0.0 END AS weight FROM sd),
+ hd AS (SELECT wt.config, ret.date, ret.ret, lag(weight, 2) OVER (PARTITION BY wt.config, ret.symbol ORDER BY ret.date) AS h FROM ret JOIN wt ON wt.date = ret.date AND wt.symbol = ret.symbol), pnl AS (SELECT config, date, sum(coalesce(h * ret, 0)) AS pnl FROM hd GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {_SWEEP} SELECT CAST(config AS INT) AS config, count(*) AS days, round(avg(pnl) / stddev_samp(pnl) * sqrt(252), 5) AS sharpe FROM pnl WHERE pnl <> 0 GROUP BY config")
 def v14_band_sweep(spark: SparkSession, d: str) -> DataFrame:
     return R.band_sweep(_zscores(spark, d), base.returns(spark, d), _BANDS).select("config", "days", F.round("sharpe", 5).alias("sharpe"))
 
@@ -324,7 +334,16 @@ def v9_probabilistic_sharpe(spark: SparkSession, d: str) -> DataFrame:
     return s.select("trial_id", F.round(V.probabilistic_sharpe(F.col("sharpe"), F.lit(0.2), F.col("n"), F.col("skew"), F.col("kurt")), 6).alias("psr"))
 
 
-@query()
+def _deflated_sql() -> str:
+    """The universe has twelve names, so the two quantiles of twelve trials are constants."""
+    law = NormalDist()
+    bar = f"sqrt(v) * ({1 - V.EULER!r} * {law.inv_cdf(1 - 1 / 12)!r} + {V.EULER!r} * {law.inv_cdf(1 - 1 / (12 * math.e))!r})"
+    x = "(sharpe - {0}) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe)"
+    return f"""WITH {_SHR}, vv AS (SELECT var_samp(sharpe) AS v, count(*) AS trials FROM sr), be AS (SELECT * FROM sr ORDER BY sharpe DESC, trial_id DESC LIMIT 1), bb AS (SELECT be.*, trials, {bar} AS bar FROM be, vv),
+ xx AS (SELECT *, {x.format('0')} AS x0, {x.format('bar')} AS x1 FROM bb) SELECT trial_id, trials, round(sharpe, 6) AS sharpe, round(bar, 6) AS expected_best, round({normal_cdf_sql('x0')}, 6) AS psr, round({normal_cdf_sql('x1')}, 6) AS dsr FROM xx"""
+
+
+@query(_deflated_sql())
 def v10_v11_deflated(spark: SparkSession, d: str) -> DataFrame:
     out = V.deflated_sharpe(base.returns(spark, d).withColumnRenamed("symbol", "trial_id"), "ret")
     return out.select("trial_id", "trials", *[F.round(c, 6).alias(c) for c in ("sharpe", "expected_best", "psr", "dsr")])
@@ -456,7 +475,19 @@ def l13_l15_sized_weights(spark: SparkSession, d: str) -> DataFrame:
     return L.sized_weights(L.carry_size(p, sized)).select("symbol", "idx", F.round("size", 6).alias("size"), *r6("weight"))
 
 
-@query()
+def _verdict_sql() -> str:
+    parts, ends = [], []
+    sizes = {"off": "1.0", "gate": f"CASE WHEN {_PSIZE} >= 0.5 THEN 1.0 ELSE 0.0 END", "size": f"least(greatest(({_PSIZE} - 0.5) / 0.5, 0), 1)"}
+    for m, size in sizes.items():
+        parts.append(f"""z_{m} AS (SELECT symbol, t0 AS idx, {size} AS size FROM lb), c_{m} AS (SELECT ru.date, ru.symbol, ru.pos, coalesce(first_value(size IGNORE NULLS) OVER (PARTITION BY ru.symbol, run ORDER BY ru.idx ROWS UNBOUNDED PRECEDING), 1.0) AS size FROM ru LEFT JOIN z_{m} z ON z.symbol = ru.symbol AND z.idx = ru.idx),
+ s_{m} AS (SELECT *, sum(CASE WHEN pos = 1 THEN size ELSE 0 END) OVER (PARTITION BY date) AS lg, sum(CASE WHEN pos = -1 THEN size ELSE 0 END) OVER (PARTITION BY date) AS sh FROM c_{m}), w_{m} AS (SELECT date, symbol, CASE WHEN lg > 0 AND sh > 0 AND pos = 1 THEN 0.5 * size / lg WHEN lg > 0 AND sh > 0 AND pos = -1 THEN -0.5 * size / sh ELSE 0 END AS weight FROM s_{m}),
+ h_{m} AS (SELECT ret.date, ret.ret, lag(weight, 2) OVER (PARTITION BY ret.symbol ORDER BY ret.date) AS h FROM ret LEFT JOIN w_{m} w ON w.date = ret.date AND w.symbol = ret.symbol), p_{m} AS (SELECT date, sum(coalesce(h * ret, 0)) AS pnl FROM h_{m} GROUP BY 1)""")
+        ends.append(f"SELECT '{m}' AS mode, count(*) AS days, round(avg(pnl) / stddev_samp(pnl) * sqrt(252), 5) AS sharpe FROM p_{m} WHERE pnl <> 0")
+    runs = "ru AS (SELECT *, sum(CASE WHEN pos <> pp THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY idx) AS run FROM (SELECT *, coalesce(lag(pos) OVER (PARTITION BY symbol ORDER BY idx), 0) AS pp FROM pi))"
+    return f"WITH RECURSIVE {_TB}, {runs}, {', '.join(parts)} {' UNION ALL '.join(ends)}"
+
+
+@query(_verdict_sql())
 def l16_l17_meta_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Sharpe ratio of the book without meta-labels, and gated or sized by them, on one set of returns."""
     labels, p = _labels(spark, d)
