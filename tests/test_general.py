@@ -100,8 +100,8 @@ def readings(spark, rows):
     return spark.createDataFrame([("t", *r) for r in rows], "table_name string, symbol string, row_id long, s long, level double, amount long")
 
 
-def flags(spark, rows, width=10**9):
-    return {(r["row_id"], r["field"], r["reason"]) for r in spikes.flag_readings(readings(spark, rows), {"t": width}).collect()}
+def flags(spark, rows, width=10**9, **kw):
+    return {(r["row_id"], r["field"], r["reason"]) for r in spikes.flag_readings(readings(spark, rows), {"t": width}, **kw).collect()}
 
 
 def walk(n, seed=0, start=100.0):
@@ -124,6 +124,7 @@ def test_spikes_stuck_and_levels(spark):
     want = {(50, "level", "spike"), (51, "level", "spike"), (80, "level", "spike"), (81, "level", "spike"), (120, "level", "impossible"), (121, "level", "impossible"), (250, "amount", "spike"), (251, "amount", "impossible")} | {(i, "level", "stuck") for i in range(201, 209)}
     assert flags(spark, rows + rows[:40]) == want  # redelivered rows change nothing
     assert flags(spark, rows, width=600) == want  # nor does cutting a source into small buckets
+    assert flags(spark, rows, width=24_000, per_task=37) == want  # or dividing full ones
 
 
 def test_halt_is_no_case(spark):
