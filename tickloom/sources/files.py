@@ -124,7 +124,8 @@ def execution_weights(weights: DataFrame, lag: int) -> DataFrame:
 
 
 def write_execution_weights(weights: DataFrame, path: str, lag: int = 1) -> None:
-    execution_weights(weights, lag).write.mode("overwrite").partitionBy("exec_date").csv(path, header=True)
+    # one file per date
+    execution_weights(weights, lag).repartition("exec_date").write.mode("overwrite").partitionBy("exec_date").csv(path, header=True)
 
 
 def load_equity(df: DataFrame) -> DataFrame:
