@@ -50,10 +50,16 @@ def i20_i26_tradelog_sink(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("symbol", "type").agg(F.count("*").alias("trades"), F.sum("quantity").alias("quantity"), F.round(F.sum("price"), 4).alias("price"))
 
 
-@query(f"WITH {_WEIGHTS}, days AS (SELECT date, lead(date) OVER (ORDER BY date) AS exec_date FROM (SELECT DISTINCT date FROM wt)) SELECT strftime(exec_date, '%Y-%m-%d') AS exec_date, symbol, weight + 0.0 AS weight FROM wt JOIN days USING (date) WHERE exec_date IS NOT NULL")
+_MONTHLY = f"{_WEIGHTS}, me AS (SELECT max(date) AS date FROM wt GROUP BY date_trunc('month', date)), mw AS (SELECT wt.* FROM wt JOIN me USING (date)), days AS (SELECT date, lead(date) OVER (ORDER BY date) AS exec_date FROM me)"
+
+
+@query(f"WITH {_MONTHLY} SELECT strftime(exec_date, '%Y-%m-%d') AS exec_date, symbol, weight + 0.0 AS weight FROM mw JOIN days USING (date) WHERE exec_date IS NOT NULL")
 def i21_i24_weight_files(spark: SparkSession, d: str) -> DataFrame:
+    """The books of a monthly rebalance, a file per execution date."""
     folder = f"{E.shared_folder(spark)}/weights"
-    I.write_execution_weights(_weights(spark, d), folder)
+    w = _weights(spark, d)
+    ends = w.groupBy(F.date_trunc("month", "date")).agg(F.max("date").alias("date")).select("date")
+    I.write_execution_weights(w.join(ends, "date"), folder)
     back = spark.read.csv(folder, schema="symbol string, weight double, exec_date date", header=True)
     return I.usable_weights(back, strict=True).select(F.date_format("exec_date", "yyyy-MM-dd").alias("exec_date"), "symbol", *r6("weight", digits=9))
 
