@@ -74,7 +74,9 @@ def test_order_flow_values(spark):
     df = spark.createDataFrame([("A", at(i), i, *r) for i, r in enumerate(q)], "symbol string, ts timestamp, seq long, bid double, bid_size long, ask double, ask_size long")
     got = [r["e"] for r in micro.flow_events(df).orderBy("seq").collect()]
     assert got == [None, 5, 3, -10, -8]
-    assert micro.rolling_flow(micro.flow_events(df), 2).orderBy("seq").collect()[-1]["ofi"] == -18
+    for bucketed in (False, True):
+        flow = micro.rolling_flow(micro.flow_events(df, bucketed=bucketed), 2, bucketed=bucketed).orderBy("seq").collect()
+        assert [r["e"] for r in flow] == got and flow[-1]["ofi"] == -18
 
 
 def test_volume_buckets(spark):
@@ -310,7 +312,7 @@ def test_cointegration(spark):
 
 
 def test_running_values_over_buckets(spark):
-    from tickloom.functions.running import running
+    from tickloom.functions.running import rolling_sum, running
 
     rng = random.Random(9)
     rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, 1, 2, 5])) for i in range(200)]
@@ -321,3 +323,11 @@ def test_running_values_over_buckets(spark):
         total[k] = total.get(k, 0) + (x or 0)
         last[k] = x if x is not None else last.get(k)
         assert got[i] == (total[k], last[k])
+    own = [r for r in rows if r[0] == "a"]
+    a = df.where("k = 'a'")
+    prev = {r["seq"]: r["was"] for r in running(a, ["k"], ["seq"], F.floor(F.col("seq") / 7), before={"was": F.col("x")}).collect()}
+    rolled = {r["seq"]: r["r"] for r in rolling_sum(a, ["k"], ["seq"], F.floor(F.col("seq") / 7), "x", 5, "r").collect()}
+    for j, (_, i, _) in enumerate(own):
+        assert prev[i] == (own[j - 1][2] if j else None)
+        frame = [x for _, _, x in own[max(0, j - 4) : j + 1] if x is not None]
+        assert rolled[i] == (sum(frame) if frame else None)

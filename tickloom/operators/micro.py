@@ -6,21 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import normal_cdf, rows
-from tickloom.functions.running import day_of, running
+from tickloom.functions.running import day_of, rolling_sum, running
 
 
-def flow_events(quotes: DataFrame, by: str = "symbol", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
-    """Signed change of resting size between snapshots, as ``e``; the first snapshot of a key has none (NULL)."""
-    w = Window.partitionBy(by).orderBy(*order)
-    was = lambda c: F.lag(c).over(w)
+def flow_events(quotes: DataFrame, by: str = "symbol", order: tuple[str, ...] = ("ts", "seq"), bucketed: bool = False) -> DataFrame:
+    """Signed change of resting size between snapshots, as ``e``; the first snapshot of a key has none (NULL).
+
+    ``bucketed`` gives the same by days with a carry between them, for a key too hot for one ordered task.
+    """
+    quote = F.struct("bid", "ask", "bid_size", "ask_size")
+    if bucketed:
+        q = running(quotes, [by], list(order), day_of(order[0]), before={"was_": quote})
+    else:
+        q = quotes.withColumn("was_", F.lag(quote).over(Window.partitionBy(by).orderBy(*order)))
+    was = lambda c: F.col("was_")[c]
     bid = F.when(F.col("bid") > was("bid"), F.col("bid_size")).when(F.col("bid") < was("bid"), -was("bid_size")).otherwise(F.col("bid_size") - was("bid_size"))
     ask = F.when(F.col("ask") > was("ask"), was("ask_size")).when(F.col("ask") < was("ask"), -F.col("ask_size")).otherwise(was("ask_size") - F.col("ask_size"))
-    return quotes.withColumn("e", F.when(was("bid").isNotNull(), bid + ask))
+    return q.withColumn("e", F.when(was("bid").isNotNull(), bid + ask)).drop("was_")
 
 
-def rolling_flow(events: DataFrame, n: int = 50, by: str = "symbol", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
-    """Sum of the last n events."""
-    return events.withColumn("ofi", F.sum("e").over(rows(by, list(order), n)))
+def rolling_flow(events: DataFrame, n: int = 50, by: str = "symbol", order: tuple[str, ...] = ("ts", "seq"), bucketed: bool = False) -> DataFrame:
+    """Sum of the last n events; ``bucketed`` as in flow_events."""
+    if not bucketed:
+        return events.withColumn("ofi", F.sum("e").over(rows(by, list(order), n)))
+    return rolling_sum(events, [by], list(order), day_of(order[0]), "e", n, "ofi")
 
 
 def volume_buckets(trades: DataFrame, size: int, by: str = "symbol") -> DataFrame:
