@@ -50,12 +50,12 @@ def o2_consumed_display(spark: SparkSession, d: str) -> DataFrame:
     return K.consume_displayed(e.withColumn("size", F.max("bid_size").over(Window.partitionBy("symbol", "epoch")))).select("symbol", "seq", "filled")
 
 
-@query(f"WITH {_REST}, lv AS (SELECT symbol, side, price, CAST(sum(size) AS BIGINT) AS size, count(*) AS orders FROM rest GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY CASE WHEN side = 'BUY' THEN -price ELSE price END) AS level FROM lv) WHERE level <= 5")
+@query(f"WITH {_REST}, lv AS (SELECT symbol, side, price, CAST(sum(size) AS BIGINT) AS size, count(*) AS orders FROM rest GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY symbol, side ORDER BY CASE WHEN side = 'BUY' THEN -price ELSE price END) AS INT) AS level FROM lv) WHERE level <= 5")
 def o3_top_levels(spark: SparkSession, d: str) -> DataFrame:
     return K.top_levels(_resting(spark, d), 5)
 
 
-@query(f"WITH {_REST} SELECT symbol, side, price, place, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM (SELECT *, row_number() OVER (PARTITION BY symbol, side, price ORDER BY priority, seq) AS place FROM rest) GROUP BY ALL")
+@query(f"WITH {_REST} SELECT symbol, side, price, CAST(place AS INT) AS place, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM (SELECT *, row_number() OVER (PARTITION BY symbol, side, price ORDER BY priority, seq) AS place FROM rest) GROUP BY ALL")
 def o4_o5_queue_positions(spark: SparkSession, d: str) -> DataFrame:
     return K.queue_positions(_resting(spark, d)).groupBy("symbol", "side", "price", "place").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 

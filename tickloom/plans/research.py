@@ -146,7 +146,7 @@ def f19_frontier(spark: SparkSession, d: str) -> DataFrame:
     return X.frontier(x)
 
 
-@query(f"WITH {XS} SELECT date, symbol, [0.5, 1.0, 4.0][CAST(least(greatest(CAST(floor(f2) AS INT) % 5 - 1, 0), 2) + 1 AS INT)] AS aversion FROM xs")
+@query(f"WITH {XS} SELECT date, symbol, CAST([0.5, 1.0, 4.0][CAST(least(greatest(CAST(floor(f2) AS INT) % 5 - 1, 0), 2) + 1 AS INT)] AS DOUBLE) AS aversion FROM xs")
 def f20_regime_aversion(spark: SparkSession, d: str) -> DataFrame:
     return base.cross_section(spark, d).select("date", "symbol", X.regime_aversion(F.floor("f2") % 5 - 1, [0.5, 1.0, 4.0]).alias("aversion"))
 
@@ -447,7 +447,7 @@ def l10_importance(spark: SparkSession, d: str) -> DataFrame:
     return L.importance(ev, roles, ["abs_s", "regime", "dow"])
 
 
-@query(f"WITH RECURSIVE {_TB}, ns AS (SELECT symbol, i AS idx, date, s FROM nz), rg AS (SELECT DISTINCT i AS idx, max(CASE WHEN i % 5 = 0 THEN i END) OVER (ORDER BY i) AS last FROM nz WHERE symbol = 'S00') SELECT lb.symbol, t0, round(abs(s), 6) AS abs_s, CAST(coalesce(last % 3, -1) AS BIGINT) AS regime, (dayofweek(date) + 6) % 7 AS dow, label FROM lb JOIN ns ON ns.symbol = lb.symbol AND ns.idx = lb.t0 JOIN rg ON rg.idx = lb.t0")
+@query(f"WITH RECURSIVE {_TB}, ns AS (SELECT symbol, i AS idx, date, s FROM nz), rg AS (SELECT DISTINCT i AS idx, max(CASE WHEN i % 5 = 0 THEN i END) OVER (ORDER BY i) AS last FROM nz WHERE symbol = 'S00') SELECT lb.symbol, t0, round(abs(s), 6) AS abs_s, CAST(coalesce(last % 3, -1) AS BIGINT) AS regime, CAST((dayofweek(date) + 6) % 7 AS INT) AS dow, label FROM lb JOIN ns ON ns.symbol = lb.symbol AND ns.idx = lb.t0 JOIN rg ON rg.idx = lb.t0")
 def l11_meta_dataset(spark: SparkSession, d: str) -> DataFrame:
     labels, p = _labels(spark, d)
     regimes = p.where("symbol = 'S00' AND idx % 5 = 0").select("idx", (F.col("idx") % 3).alias("state"))
