@@ -161,10 +161,25 @@ def active_sharpe(pnl: DataFrame, x: str = "pnl", periods: int = 252, by: tuple[
     return pnl.where(F.col(x) != 0).groupBy(*by).agg(F.count("*").alias("days"), (F.try_divide(F.avg(x), F.stddev_samp(x)) * periods**0.5).alias("sharpe"))
 
 
-def band_sweep(scores: DataFrame, returns: DataFrame, bands: list[tuple[float, float, float, float]]) -> DataFrame:
-    """Sharpe of the book for each set of bands; the scores are computed once and joined with the grid."""
+def grid_pnl(weights: DataFrame, returns: DataFrame, configs: int) -> DataFrame:
+    """(config, date, pnl): paper profit of ``configs`` books side by side, on the grid of the returns."""
+    met = returns.withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(configs - 1)))).join(weights.select("config", "date", "symbol", "weight"), ["config", "date", "symbol"], "left")
+    held = F.lag("weight", 2).over(Window.partitionBy("config", "symbol").orderBy("date"))
+    return met.withColumn("x", F.coalesce(held * F.col("ret"), F.lit(0.0))).groupBy("config", "date").agg(F.sum("x").alias("pnl"))
+
+
+def band_sweep(scores: DataFrame, returns: DataFrame, bands: list[tuple[float, float, float, float]], windows: list[int] | None = None) -> DataFrame:
+    """Sharpe of the book for each set of bands; the scores are computed once and joined with the grid.
+
+    With windows, scores carry a column ``window`` and every set of bands meets every window: config is the number of
+    the bands times that of the windows, plus the window's place.
+    """
     grid = F.array(*[F.struct(F.lit(i).alias("config"), *[F.lit(float(v)).alias(n) for v, n in zip(b, ("ol_", "os_", "cl_", "cs_"))]) for i, b in enumerate(bands)])
-    s = scores.withColumn("g", F.explode(grid)).select("*", "g.*").drop("g").withColumn("key", F.concat_ws("|", "config", "symbol"))
+    s = scores.withColumn("g", F.explode(grid)).select("*", "g.*").drop("g")
+    if windows:
+        place = F.array_position(F.array(*[F.lit(w) for w in windows]), F.col("window")).cast("int")
+        s = s.where(place > 0).withColumn("config", F.col("config") * len(windows) + place - 1)
+    s = s.withColumn("key", F.concat_ws("|", "config", "symbol"))
     # bands enter as columns, so that one plan serves all configurations
     i = F.row_number().over(Window.partitionBy("key").orderBy("date"))
     w = rows("key", "date")
@@ -175,7 +190,4 @@ def band_sweep(scores: DataFrame, returns: DataFrame, bands: list[tuple[float, f
     os, bs = at(sc > F.col("os_")), F.coalesce(at(sc.isNull() | (sc < F.col("cs_"))), F.lit(0))
     o = o.withColumn("pos", F.when(ol > bl, 1).when(os > bs, -1).otherwise(0)).withColumn("cell", F.concat_ws("|", "config", "date"))
     weights = neutral_weights(o, by="cell").select("config", "date", "symbol", "weight")
-    met = returns.withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(len(bands) - 1)))).join(weights, ["config", "date", "symbol"], "left")
-    held = F.lag("weight", 2).over(Window.partitionBy("config", "symbol").orderBy("date"))
-    pnl = met.withColumn("x", F.coalesce(held * F.col("ret"), F.lit(0.0))).groupBy("config", "date").agg(F.sum("x").alias("pnl"))
-    return active_sharpe(pnl, by=("config",))
+    return active_sharpe(grid_pnl(weights, returns, len(bands) * len(windows or [0])), by=("config",))

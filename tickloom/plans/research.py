@@ -162,8 +162,8 @@ def r1_r5_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return R.spectrum(R.windows(_vectors(spark, d), 60), 60)
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return R.reversion(R.rolling_residuals(R.windows(_vectors(spark, d), 60), 60))
+def _scores(spark: SparkSession, d: str, window: int = 60, v: DataFrame | None = None) -> DataFrame:
+    return R.reversion(R.rolling_residuals(R.windows(_vectors(spark, d) if v is None else v, window), window))
 
 
 @query()
@@ -237,6 +237,51 @@ def v14_band_sweep(spark: SparkSession, d: str) -> DataFrame:
     return R.band_sweep(_zscores(spark, d), base.returns(spark, d), _BANDS).select("config", "days", F.round("sharpe", 5).alias("sharpe"))
 
 
+# the books and the sweep on the s-scores of R1-R11; an eigen-decomposition has no SQL
+
+def _scored_book(spark: SparkSession, d: str) -> DataFrame:
+    return R.neutral_weights(R.banded_positions(_scores(spark, d).select("date", "symbol", "s")))
+
+
+@query()
+def r25_r26_scored_book(spark: SparkSession, d: str) -> DataFrame:
+    return _scored_book(spark, d).select("date", "symbol", "s", "pos", "weight")
+
+
+@query()
+def r27_scored_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return R.book_diagnostics(_scored_book(spark, d))
+
+
+@query()
+def r28_scored_pnl(spark: SparkSession, d: str) -> DataFrame:
+    return R.paper_pnl(_scored_book(spark, d), base.returns(spark, d))
+
+
+@query()
+def r29_scored_sharpe(spark: SparkSession, d: str) -> DataFrame:
+    return R.active_sharpe(R.paper_pnl(_scored_book(spark, d), base.returns(spark, d)))
+
+
+_BAND_SETS = [(-1.25, 1.25, -0.5, 0.75), (-1.0, 1.0, -0.25, 0.5), (-1.5, 1.5, -0.75, 1.0), (-2.0, 2.0, -0.5, 0.5)]
+_WINDOWS = [40, 60, 80]
+
+
+@query()
+def v14_scored_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The search of V14: four sets of bands times three estimation windows, on s-scores."""
+    v = cut_lineage(_vectors(spark, d))  # date-level rows, read once per window
+    scores = None
+    for n in _WINDOWS:
+        one = _scores(spark, d, n, v).select("date", "symbol", "s", F.lit(n).alias("window"))
+        scores = one if scores is None else scores.unionByName(one)
+    grid = spark.range(len(_BAND_SETS) * len(_WINDOWS)).select(F.col("id").cast("int").alias("config"))
+    out = grid.join(R.band_sweep(scores, base.returns(spark, d), _BAND_SETS, _WINDOWS), "config", "left")  # a flat book counts as a trial
+    place = lambda values: F.array(*[F.lit(x) for x in values])
+    band = F.floor(F.col("config") / len(_WINDOWS)).cast("int")
+    return out.select("config", F.get(place(_WINDOWS), F.col("config") % len(_WINDOWS)).alias("window"), *[F.get(place([b[k] for b in _BAND_SETS]), band).alias(n) for k, n in enumerate(("open_long", "open_short", "close_long", "close_short"))], F.coalesce("days", F.lit(0)).alias("days"), "sharpe")
+
+
 # ------------------------------------------------------------------ regimes
 
 def _market(spark: SparkSession, d: str) -> DataFrame:
