@@ -89,3 +89,54 @@ def test_book_follows_s_scores(spark, market):
     for j in range(6):
         pos = fold([row[j] for row in s], (-1.25, 1.25, -0.5, 0.75))
         assert [got[DAY + dt.timedelta(days=t), f"S{j:02d}"] for t in range(59, 140)] == pos[59:]
+
+
+def test_event_embargo_on_the_bar_axis(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    t0 = np.sort(rng.integers(0, 400, 90))  # several events a bar, as of several names
+    t1 = t0 + rng.integers(1, 8, 90)
+    bars, pct = 410, 0.05
+    rows = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(t0, t1))], "idx long, t0 long, t1 long")
+    got = {(r["split_id"], r["idx"]): r["role"] for r in validate.purged_train(rows, spark, 90, 6, 2, pct, bars).collect()}
+    grp, met = np.repeat(np.arange(6), 15), set()
+    for s, chosen in enumerate(combinations(range(6), 2)):
+        test = [i for i in range(90) if grp[i] in chosen]
+        for i in range(90):
+            if i in test:
+                want = "test"
+            elif any(t0[t] <= t1[i] and t1[t] >= t0[i] for t in test):
+                want = "purged"
+            elif any(t1[t] < t0[i] <= t1[t] + int(bars * pct) for t in test):
+                want = "embargoed"
+            else:
+                want = "train"
+            met.add(want)
+            assert got[s, i] == want
+    assert met == {"test", "purged", "embargoed", "train"}
+
+
+def test_meta_splits_embargo_bars(spark, monkeypatch):
+    """The registered splits ban what starts within int(bars / 100) bars after a test event, and nothing else."""
+    rng = np.random.default_rng(6)
+    s = rng.normal(0, 1.3, (300, 4))
+    px = 100 * np.cumprod(1 + rng.normal(0, 0.2, (300, 4)), axis=0)
+    data = [(DAY + dt.timedelta(days=t), f"S{j:02d}", float(s[t, j]), float(px[t, j])) for t in range(300) for j in range(4)]
+    df = spark.createDataFrame(data, "date date, symbol string, s double, close double").cache()
+    monkeypatch.setattr(research, "_zscores", lambda spark, d: df.select("date", "symbol", "s"))
+    monkeypatch.setattr(base, "panel", lambda spark, d: df.select("date", "symbol", "close"))
+    ev, roles = research._meta(spark, "")
+    at = {r["event"]: (r["t0"], r["t1"]) for r in ev.collect()}
+    role = {}
+    for r in roles.collect():
+        role.setdefault(r["split_id"], {})[r["event"]] = r["role"]
+    banned = 0
+    for split in role.values():
+        ends = [at[e][1] for e, x in split.items() if x == "test"]
+        for e, x in split.items():
+            late = any(t < at[e][0] <= t + 3 for t in ends)
+            if x in ("train", "embargoed"):
+                assert (x == "embargoed") == late
+                banned += late
+    assert banned

@@ -50,9 +50,12 @@ def _merged(test: DataFrame) -> DataFrame:
     return t.groupBy("split_id", "isle").agg(F.min("t0").alias("lo"), F.max("t1").alias("hi"))
 
 
-def purged_train(rows: DataFrame, spark: SparkSession, n: int, groups: int, k: int, embargo: float = 0.0) -> DataFrame:
+def purged_train(rows: DataFrame, spark: SparkSession, n: int, groups: int, k: int, embargo: float = 0.0, bars: int | None = None) -> DataFrame:
     """(split_id, idx, role) with role test, train, purged or embargoed for every split.
 
+    With ``bars``, idx numbers events in order of start while t0 and t1 are bars: the embargo then lies on the bar
+    axis, and an event is embargoed if its t0 lies within int(bars embargo) bars after a test window ends.
+
     rows: (idx, t0, t1). A training row is purged if its window meets any test window (ends included), and
     embargoed if it starts within int(n embargo) rows after a test window ends. Test windows of a split are first
     united into disjoint intervals; since those are ordered, a training row need only look at the last interval that
@@ -60,16 +63,17 @@ def purged_train(rows: DataFrame, spark: SparkSession, n: int, groups: int, k: i
     """
     tests = F.array(*[F.struct(F.lit(i).alias("split_id"), F.array(*[F.lit(g) for g in c]).alias("chosen")) for i, c in enumerate(combinations(range(groups), k))])
     all_ = rows.withColumn("grp", group_of(F.col("idx"), n, groups)).withColumn("s", F.explode(tests)).select("*", "s.*").drop("s").withColumn("test", F.array_contains("chosen", F.col("grp")))
-    gap = int(n * embargo)
+    at_ = "idx" if bars is None else "t0"
+    gap = int((n if bars is None else bars) * embargo)
     isles = _merged(all_.where("test").select("split_id", "t0", "t1"))
     ends = isles.select("split_id", F.col("lo").alias("at"), F.lit(0).alias("k"), F.col("hi"), F.lit(None).cast("bigint").alias("idx"), F.lit(None).cast("bigint").alias("t0"))
     mine = all_.where("NOT test").select("split_id", F.col("t1").alias("at"), F.lit(1).alias("k"), F.lit(None).cast("bigint").alias("hi"), F.col("idx").cast("bigint").alias("idx"), F.col("t0").cast("bigint").alias("t0"))
     w = Window.partitionBy("split_id").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0)
     met = ends.withColumn("hi", F.col("hi").cast("bigint")).unionByName(mine).withColumn("reach", F.max("hi").over(w)).where("k = 1")
-    # the embargo follows row positions: the last interval that ends before the row
-    after = ends.select("split_id", F.col("hi").cast("bigint").alias("at"), F.lit(0).alias("k"), F.col("hi").cast("bigint").alias("hi"), "idx", "t0").unionByName(mine.select("split_id", F.col("idx").alias("at"), F.lit(-1).alias("k"), "hi", "idx", "t0"))
+    # the embargo follows row positions, or bars: the last interval that ends before the row
+    after = ends.select("split_id", F.col("hi").cast("bigint").alias("at"), F.lit(0).alias("k"), F.col("hi").cast("bigint").alias("hi"), "idx", "t0").unionByName(mine.select("split_id", F.col(at_).alias("at"), F.lit(-1).alias("k"), "hi", "idx", "t0"))
     late = after.withColumn("ended", F.max("hi").over(Window.partitionBy("split_id").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0))).where("k = -1").select("split_id", "idx", "ended")
-    role = F.when(F.col("reach") >= F.col("t0"), "purged").when((F.col("idx") > F.col("ended")) & (F.col("idx") <= F.col("ended") + gap), "embargoed").otherwise("train")
+    role = F.when(F.col("reach") >= F.col("t0"), "purged").when((F.col(at_) > F.col("ended")) & (F.col(at_) <= F.col("ended") + gap), "embargoed").otherwise("train")
     train = met.join(late, ["split_id", "idx"]).select("split_id", "idx", role.alias("role"))
     return train.unionByName(all_.where("test").select("split_id", F.col("idx").cast("bigint").alias("idx"), F.lit("test").alias("role")))
 

@@ -474,9 +474,9 @@ def _meta(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     m = L.meta_dataset(L.sample_weights(L.uniqueness(labels)), scores, regimes)
     # events in order of start: one row each, so numbering them is cheap
     ev = cut_lineage(m.withColumn("event", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("t0", "symbol")) - 1).select("event", "symbol", "t0", "t1", "label", "ret", "weight", "s", "abs_s", "regime", "dow"))
-    n = ev.count()
+    n, bars = ev.count(), p.agg(F.max("idx").alias("bars")).head()["bars"] or 0
     rows_ = ev.select(F.col("event").cast("bigint").alias("idx"), "t0", "t1")
-    roles = V.purged_train(rows_, ev.sparkSession, n, 6, 2, 0.01).withColumnRenamed("idx", "event")
+    roles = V.purged_train(rows_, ev.sparkSession, n, 6, 2, 0.01, bars).withColumnRenamed("idx", "event")
     return ev.withColumn("event", F.col("event").cast("bigint")), roles
 
 
