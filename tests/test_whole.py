@@ -140,3 +140,43 @@ def test_meta_splits_embargo_bars(spark, monkeypatch):
                 assert (x == "embargoed") == late
                 banned += late
     assert banned
+
+
+def test_verdict_deflates_the_whole_meta_search(spark, market):
+    from statistics import NormalDist
+
+    x, _ = market
+    law, names = NormalDist(), [f"S{j:02d}" for j in range(6)]
+    positions, events = research._scored_events(spark, "")
+    prob = {(r["symbol"], r["t0"]): r["p"] for r in events.collect()}
+    assert len({round(p, 9) for p in prob.values()}) > 5
+    at = {(r["symbol"], r["idx"]): r["pos"] for r in positions.collect()}
+    pos = np.zeros(x.shape, int)
+    for (symbol, i), v in at.items():
+        pos[58 + i, names.index(symbol)] = v
+    floors = (0.5, 0.52, 0.54, 0.56, 0.58, 0.6)
+    configs = [("off", 0.0), *[("gate", f) for f in floors], *[("size", f) for f in floors]]
+    series = []
+    for mode, floor in configs:
+        size = np.ones(x.shape)
+        for j, symbol in enumerate(names):
+            for t in range(59, 140):
+                if pos[t, j] and pos[t, j] == pos[t - 1, j]:
+                    size[t, j] = size[t - 1, j]
+                elif mode != "off" and (symbol, t - 58) in prob:
+                    p = prob[symbol, t - 58]
+                    size[t, j] = float(p >= floor) if mode == "gate" else min(max((p - floor) / (1 - floor), 0.0), 1.0)
+        series.append(pnl_of(pos, size, x))
+    sr = [p.mean() / p.std(ddof=1) if p.std(ddof=1) > 0 else 0.0 for p in series]
+    bar = np.std(sr, ddof=1) * ((1 - validate.EULER) * law.inv_cdf(1 - 1 / 13) + validate.EULER * law.inv_cdf(1 - 1 / (13 * np.e)))
+    got = {(r["mode"], r["floor"]): r for r in research.l16_l17_deflated_verdict(spark, "").collect()}
+    assert list(sorted(got)) == sorted(configs)
+    for c, p, s in zip(configs, series, sr):
+        z = (p - p.mean()) / p.std() if p.std() > 0 else None
+        skew, kurt = ((z**3).mean(), (z**4).mean()) if z is not None else (0.0, 3.0)
+        v = 1 - skew * s + (kurt - 1) / 4 * s * s
+        assert got[c]["sharpe"] == pytest.approx(s * 252**0.5, rel=1e-6, abs=1e-9)
+        assert got[c]["dsr"] == pytest.approx(law.cdf((s - bar) * (len(p) - 1) ** 0.5 / v**0.5), abs=1e-5)
+        assert got[c]["psr"] == pytest.approx(law.cdf(s * (len(p) - 1) ** 0.5 / v**0.5), abs=1e-5)
+    best = max(range(1, 13), key=lambda i: sr[i])
+    assert {c: r["verdict"] for c, r in got.items() if r["verdict"]} == {("off", 0.0): "off", configs[best]: "best"}

@@ -175,6 +175,21 @@ def sized_weights(positions: DataFrame, gross: float = 1.0, by: str = "date") ->
     return positions.withColumn("weight", F.when(both & (F.col("pos") == 1), gross / 2 * F.col("size") / F.nullif(side(1), F.lit(0.0))).when(both & (F.col("pos") == -1), -gross / 2 * F.col("size") / F.nullif(side(-1), F.lit(0.0))).otherwise(0.0))
 
 
+def family(floors: list[float]) -> list[tuple[str, float]]:
+    """Configurations of the meta search: off, then gate and size at each floor."""
+    return [("off", 0.0), *[(m, f) for m in ("gate", "size") for f in floors]]
+
+
+def family_weights(positions: DataFrame, scored: DataFrame, configs: list[tuple[str, float]]) -> DataFrame:
+    """Books (config, date, symbol, idx, size, weight) of all configurations in one plan; scored: (symbol, t0, p)."""
+    keyed = lambda df: df.withColumn("key", F.concat_ws("|", "config", "symbol"))
+    sizes = F.array(*[F.struct(F.lit(i).alias("config"), bet_size(F.col("p"), m, f).alias("size")) for i, (m, f) in enumerate(configs)])
+    sized = keyed(scored.select("symbol", "t0", F.explode(sizes).alias("c")).select("symbol", "t0", "c.*"))
+    p = keyed(positions.withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(len(configs) - 1)))))
+    held = carry_size(p, sized, "key").withColumn("cell", F.concat_ws("|", "config", "date"))
+    return sized_weights(held, by="cell").select("config", "date", "symbol", "idx", "size", "weight")
+
+
 def accuracy(scored: DataFrame) -> DataFrame:
     """Accuracy at one half beside that of always naming the commoner class."""
     right = (F.col("p") > 0.5) == (F.col("label") == 1)

@@ -107,6 +107,14 @@ def deflated_sharpe(trials: DataFrame, x: str, by: str = "trial_id") -> DataFram
     return a.withColumn("bar", bar).select(F.col(f"b.{by}").alias(by), F.col("b.sharpe").alias("sharpe"), "trials", F.col("bar").alias("expected_best"), psr(F.lit(0.0)).alias("psr"), psr(F.col("bar")).alias("dsr"))
 
 
+def deflated_trials(trials: DataFrame, x: str, by: str = "trial_id") -> DataFrame:
+    """Every trial with its Sharpe ratio per period, PSR, and DSR against the expected best of all of them."""
+    s = sharpe_per_period(trials, x, [by])
+    a = s.agg(expected_best(F.coalesce(F.var_samp("sharpe"), F.lit(0.0)), F.count("*")).alias("bar"))
+    psr = lambda against: probabilistic_sharpe(F.col("sharpe"), against, F.col("n"), F.col("skew"), F.col("kurt"))
+    return s.withColumn("bar", a.scalar()).select(by, "n", "sharpe", F.col("bar").alias("expected_best"), psr(F.lit(0.0)).alias("psr"), psr(F.col("bar")).alias("dsr"))
+
+
 def noise_trials(spark: SparkSession, trials: int = 100, length: int = 250, seed: int = 7) -> DataFrame:
     """Returns without skill, from numpy's generator: (trial_id, idx, ret). Bounded by its arguments."""
     x = np.random.default_rng(seed).standard_normal((trials, length)) * 0.01

@@ -467,8 +467,8 @@ def l6_sequential_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return L.sequential_bootstrap(_labels(spark, d)[0], 20)
 
 
-def _meta(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    labels, p = _labels(spark, d)
+def _meta(spark: SparkSession, d: str, p: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    labels, p = _labels(spark, d) if p is None else (L.triple_barrier(p, L.entries(p), 0.5, 0.5, 10), p)
     scores = p.select("symbol", "idx", "date", "s", "close")
     regimes = p.where("symbol = 'S00'").select("idx", (F.col("idx") % 3).alias("state")).where("idx % 5 = 0")
     m = L.meta_dataset(L.sample_weights(L.uniqueness(labels)), scores, regimes)
@@ -546,6 +546,36 @@ def l16_l17_meta_verdict(spark: SparkSession, d: str) -> DataFrame:
     return out.select("mode", "days", F.round("sharpe", 5).alias("sharpe"))
 
 
+# sizing by the model's out-of-sample p, on the positions of the s-scores; a fitted model has no SQL
+_FLOORS = [0.5, 0.52, 0.54, 0.56, 0.58, 0.6]
+
+
+def _scored_events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Positions of the s-scores, and (symbol, t0, p) of their events."""
+    p = R.banded_positions(_scores(spark, d).select("date", "symbol", "s")).withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("date")).cast("bigint"))
+    p = cut_lineage(p.join(base.panel(spark, d).select("date", "symbol", "close"), ["date", "symbol"]))  # a row a day and name
+    ev, roles = _meta(spark, d, p)
+    return p, ev.join(L.out_of_sample(ev, roles, ["abs_s", "regime", "dow"]), "event").select("symbol", "t0", "p")
+
+
+@query()
+def l13_l15_model_weights(spark: SparkSession, d: str) -> DataFrame:
+    return L.family_weights(*_scored_events(spark, d), [("size", 0.5)]).select("date", "symbol", "idx", "size", "weight")
+
+
+@query()
+def l16_l17_deflated_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """All 13 configurations of the meta search with PSR and DSR; ``verdict`` marks the book without meta-labels and
+    the best of those with them."""
+    configs = L.family(_FLOORS)
+    pnl = R.grid_pnl(L.family_weights(*_scored_events(spark, d), configs), base.returns(spark, d), len(configs))
+    of = lambda k: F.get(F.array(*[F.lit(c[k]) for c in configs]), F.col("config"))
+    out = V.deflated_trials(pnl, "pnl", "config").withColumn("mode", of(0)).withColumn("floor", of(1))
+    rank = F.row_number().over(Window.partitionBy(F.col("mode") == "off").orderBy(F.desc("sharpe"), "config"))  # a row a configuration
+    verdict = F.when(rank == 1, F.when(F.col("mode") == "off", "off").otherwise("best"))
+    return out.withColumn("verdict", verdict).select("config", "mode", "floor", "verdict", "n", (F.col("sharpe") * 252**0.5).alias("sharpe"), "expected_best", "psr", "dsr")
+
+
 # ------------------------------------------------------------------ performance
 
 _CR = f"{EQ}, cr AS (SELECT * FROM (SELECT *, equity / lag(equity) OVER (PARTITION BY account ORDER BY date) - 1 AS ret FROM eq) WHERE ret IS NOT NULL)"
