@@ -180,3 +180,31 @@ def test_verdict_deflates_the_whole_meta_search(spark, market):
         assert got[c]["psr"] == pytest.approx(law.cdf(s * (len(p) - 1) ** 0.5 / v**0.5), abs=1e-5)
     best = max(range(1, 13), key=lambda i: sr[i])
     assert {c: r["verdict"] for c, r in got.items() if r["verdict"]} == {("off", 0.0): "off", configs[best]: "best"}
+
+
+def test_walk_forward_holds_21_dates(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(0, 0.01, (252 + 2 * 21 + 20, 3))
+    v = spark.createDataFrame([(DAY + dt.timedelta(days=t), r.tolist()) for t, r in enumerate(x)], "date date, r array<double>")
+    monkeypatch.setattr(research, "_vectors", lambda spark, d: v)
+    got = research.p2_p4_walk_forward(spark, "").where("allocator = 'equal'").orderBy("date").collect()
+    assert [r["rebalance"] for r in got] == [0] * 21 + [1] * 21  # the last 20 dates fill no block
+    assert [r["ret"] for r in got] == pytest.approx(x[252:294].mean(axis=1).tolist())
+
+
+def test_regimes_have_three_states_of_five_features_and_a_quarterly_refit(spark, monkeypatch):
+    from tickloom.operators import regime
+
+    rng, columns = np.random.default_rng(9), ["rv_long", "rv_short", "vov", "range_short", "volume_ratio"]
+    x = np.repeat(rng.integers(0, 3, 40), 10)[:, None] * np.array([4.0, 0, 0, 0, 4.0]) + rng.normal(0, 0.3, (400, 5))
+    f = spark.createDataFrame([(DAY + dt.timedelta(days=t), *map(float, r)) for t, r in enumerate(x)], "date date, " + ", ".join(f"{c} double" for c in columns))
+    monkeypatch.setattr(research, "_market", lambda spark, d: f)
+    got = {r["date"]: r for r in research.r30_r32_causal_states(spark, "").collect()}
+    assert len(got) == 400 - 252 and {r["state"] for r in got.values()} == {0, 1, 2}
+    for at in range(252, 400, 63):
+        m, s = x[:at].mean(axis=0), x[:at].std(axis=0)
+        model = regime.GaussianHmm(3).fit((x[:at] - m) / s)
+        end = min(at + 63, 400)
+        p = model.filter((x[:end] - m) / s)[:, np.argsort(model.mean[:, 0], kind="stable")]
+        for t in range(at, end):
+            r = got[DAY + dt.timedelta(days=t)]
+            assert r["state"] == p[t].argmax() and r["p"] == pytest.approx(p[t].max(), abs=1e-6)

@@ -291,7 +291,7 @@ def _market(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def r30_r32_causal_states(spark: SparkSession, d: str) -> DataFrame:
-    return G.causal_states(_market(spark, d), ["rv_long", "rv_short"], 2, 252, 252)
+    return G.causal_states(_market(spark, d), ["rv_long", "rv_short", "vov", "range_short", "volume_ratio"], 3, 252, 63)
 
 
 _STATES = f"{RET}, vs AS (SELECT symbol AS series, date, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS BIGINT) AS i, CASE WHEN abs(ret) > 0.6 THEN 2 WHEN abs(ret) > 0.2 THEN 1 ELSE 0 END AS state, 0.5 + (volume % 50) / 100.0 AS p FROM ret)"
@@ -325,7 +325,7 @@ def p1_simple_allocators(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _walk(spark: SparkSession, d: str) -> DataFrame:
-    return P.walk_forward(_vectors(spark, d), 252, 63)
+    return P.walk_forward(_vectors(spark, d), 252, 21)
 
 
 @query()
