@@ -208,3 +208,32 @@ def test_regimes_have_three_states_of_five_features_and_a_quarterly_refit(spark,
         for t in range(at, end):
             r = got[DAY + dt.timedelta(days=t)]
             assert r["state"] == p[t].argmax() and r["p"] == pytest.approx(p[t].max(), abs=1e-6)
+
+
+def test_bootstrap_draws_as_many_as_there_are_labels(spark, monkeypatch):
+    labels = spark.createDataFrame([(n, 3 * i, 3 * i + 5) for n, k in (("A", 45), ("B", 7)) for i in range(k)], "symbol string, t0 long, t1 long")
+    monkeypatch.setattr(research, "_labels", lambda spark, d: (labels, None))
+    got = research.l6_sequential_bootstrap(spark, "").groupBy("symbol").agg(F.count("*").alias("n"), F.max("draw").alias("last")).collect()
+    assert {r["symbol"]: (r["n"], r["last"]) for r in got} == {"A": (45, 44), "B": (7, 6)}
+
+
+def test_importance_repeats_ten_times(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.normal(0, 1, (60, 3))
+    y = (x[:, 0] + rng.normal(0, 0.5, 60) > 0).astype(int)
+    names = ["abs_s", "regime", "dow"]
+    ev = spark.createDataFrame([(i, int(y[i]), 1.0, *map(float, x[i])) for i in range(60)], "event long, label int, weight double, abs_s double, regime double, dow double")
+    roles = spark.createDataFrame([(0, i, "train" if i < 40 else "test") for i in range(60)], "split_id int, event long, role string")
+    monkeypatch.setattr(research, "_meta", lambda spark, d: (ev, roles))
+    model = meta.WeightedLogistic().fit(x[:40], y[:40].astype(float), np.ones(40))
+    right = lambda z: ((model.predict(z) > 0.5) == (y[40:] > 0)).mean()
+    draw, want = np.random.default_rng(0), {}
+    for k, n in enumerate(names):
+        loss = []
+        for _ in range(10):
+            z = x[40:].copy()
+            z[:, k] = draw.permutation(z[:, k])
+            loss.append(right(x[40:]) - right(z))
+        want[n] = np.mean(loss)
+    got = {r["feature"]: r["importance"] for r in research.l10_importance(spark, "").collect()}
+    assert got == {n: pytest.approx(v, abs=1e-9) for n, v in want.items()} and got["abs_s"] > 0

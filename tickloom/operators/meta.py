@@ -56,8 +56,9 @@ def sample_weights(labels: DataFrame, by_return: bool = False) -> DataFrame:
     return labels.withColumn("mean_", total.scalar()).withColumn("weight", F.coalesce(F.try_divide(w, F.col("mean_")), F.lit(1.0))).drop("mean_")
 
 
-def sequential_bootstrap(labels: DataFrame, draws: int, seed: int = 0, by: str = "symbol") -> DataFrame:
-    """Draws (by, draw, t0) with chances in proportion to the uniqueness left after the draws before.
+def sequential_bootstrap(labels: DataFrame, draws: int | None = None, seed: int = 0, by: str = "symbol") -> DataFrame:
+    """Draws (by, draw, t0) with chances in proportion to the uniqueness left after the draws before; by default as
+    many as the group has labels.
 
     Each draw rests on those before it, so a group is one task; groups are the events of one name.
     """
@@ -68,7 +69,7 @@ def sequential_bootstrap(labels: DataFrame, draws: int, seed: int = 0, by: str =
         used = np.zeros(int(pdf["t1"].max()) - lo + 1)
         a, b = pdf["t0"].to_numpy() - lo, pdf["t1"].to_numpy() - lo + 1
         out = []
-        for k in range(draws):
+        for k in range(len(pdf) if draws is None else draws):
             inv = np.concatenate([[0.0], np.cumsum(1 / (used + 1))])
             u = (inv[b] - inv[a]) / (b - a)
             i = int(rng.choice(len(u), p=u / u.sum()))

@@ -464,7 +464,7 @@ def l4_l5_sample_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def l6_sequential_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return L.sequential_bootstrap(_labels(spark, d)[0], 20)
+    return L.sequential_bootstrap(_labels(spark, d)[0])
 
 
 def _meta(spark: SparkSession, d: str, p: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -489,7 +489,7 @@ def l7_l9_out_of_sample(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def l10_importance(spark: SparkSession, d: str) -> DataFrame:
     ev, roles = _meta(spark, d)
-    return L.importance(ev, roles, ["abs_s", "regime", "dow"])
+    return L.importance(ev, roles, ["abs_s", "regime", "dow"], 10)
 
 
 @query(f"WITH RECURSIVE {_TB}, ns AS (SELECT symbol, i AS idx, date, s FROM nz), rg AS (SELECT DISTINCT i AS idx, max(CASE WHEN i % 5 = 0 THEN i END) OVER (ORDER BY i) AS last FROM nz WHERE symbol = 'S00') SELECT lb.symbol, t0, round(abs(s), 6) AS abs_s, CAST(coalesce(last % 3, -1) AS BIGINT) AS regime, CAST((dayofweek(date) + 6) % 7 AS INT) AS dow, label FROM lb JOIN ns ON ns.symbol = lb.symbol AND ns.idx = lb.t0 JOIN rg ON rg.idx = lb.t0")
