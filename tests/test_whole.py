@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import meta, statarb, validate
-from tickloom.plans import base, research
+from tickloom.operators import meta, signals, statarb, validate
+from tickloom.plans import base, market as orders, research, sinks
 
 DAY = dt.date(2020, 1, 1)
 
@@ -237,3 +237,32 @@ def test_importance_repeats_ten_times(spark, monkeypatch):
         want[n] = np.mean(loss)
     got = {r["feature"]: r["importance"] for r in research.l10_importance(spark, "").collect()}
     assert got == {n: pytest.approx(v, abs=1e-9) for n, v in want.items()} and got["abs_s"] > 0
+
+
+def test_equity_of_all_accounts(spark, monkeypatch):
+    data = [(a, DAY + dt.timedelta(days=t), 100.0 * a + t) for a in range(5) for t in range(3)]
+    df = spark.createDataFrame(data, "account long, date date, equity double")
+    monkeypatch.setattr(base, "equity", lambda spark, d: df)
+    us = lambda day: (day - dt.date(1970, 1, 1)).days * 86_400_000_000
+    want = sorted((a, us(day), v) for a, day, v in data)
+    assert sorted((r["account"], r["ts_us"], r["equity"]) for r in orders.i25_loaded_accounts(spark, "").collect()) == want
+    assert sorted((r["account"], r["timestamp"] * 1000, r["equity"]) for r in sinks.i19_account_sink(spark, "").collect()) == want
+
+
+def test_orders_take_the_whole_book(spark, tmp_path):
+    spark.createDataFrame([(k, 10.0, 10) for k in range(1, 13)], "p_partkey long, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    # weight 0.005, position 0: 5000 of a million at 10 is 500 shares of every part
+    assert {r["symbol"]: (r["side"], r["qty"]) for r in orders.t9_whole_orders(spark, str(tmp_path)).collect()} == {k: ("BUY", 500) for k in range(1, 13)}
+    assert {r["symbol"]: r["qty"] for r in orders.t12_t14_whole_orders(spark, str(tmp_path)).collect()} == {k: 500 for k in range(1, 13)}
+
+
+def test_absent_weights_and_holdings(spark):
+    w = spark.createDataFrame([("A", 0.1), ("C", 0.1)], "symbol string, weight double")
+    h = spark.createDataFrame([("A", 10), ("B", 20)], "symbol string, position int")
+    p = spark.createDataFrame([(s, 10.0) for s in "ABCD"], "symbol string, price double")
+    got = {r["symbol"]: (r["side"], r["qty"]) for r in signals.delta_orders(w, h, p, 700.0, 1.0).collect()}
+    assert got == {"B": ("SELL", 20), "C": ("BUY", 10)}  # NAV 1000: A is on target, B leaves, C enters
+    px = spark.createDataFrame([(s, t, 10.0) for s in "AB" for t in range(4)], "symbol string, date int, close double")
+    books = spark.createDataFrame([("A", 0, 0.5), ("B", 0, 0.5), ("A", 2, 0.5), ("A", 3, 0.5), ("B", 3, 0.25)], "symbol string, date int, weight double")
+    got = {(r["symbol"], r["date"]): (r["target"], r["trade"]) for r in signals.rebalance_trades(books, px, 1000.0).collect()}
+    assert got == {("A", 0): (50, 50), ("A", 2): (50, 0), ("A", 3): (50, 0), ("B", 0): (50, 50), ("B", 2): (0, -50), ("B", 3): (25, 25)}

@@ -158,6 +158,12 @@ def i25_loaded_equity(spark: SparkSession, d: str) -> DataFrame:
     return I.load_equity(e).select(F.lit(0).cast("bigint").alias("account"), "ts_us", *r6("equity", digits=4))
 
 
+@query("SELECT account, epoch_us(CAST(date AS TIMESTAMP)) AS ts_us, round(equity, 4) AS equity FROM (WITH " + base.EQ + " SELECT * FROM eq)")
+def i25_loaded_accounts(spark: SparkSession, d: str) -> DataFrame:
+    e = base.equity(spark, d).select("account", F.unix_millis(F.col("date").cast("timestamp")).alias("timestamp"), F.col("equity").alias("portfolio_value"))
+    return I.load_equity(e, ("account",)).select("account", "ts_us", *r6("equity", digits=4))
+
+
 @query("""SELECT regexp_extract(file_name, '^[a-z]+_([a-z]+)_', 1) AS strategy, regexp_extract(file_name, '\\.([a-z]+)$', 1) AS kind, count(DISTINCT file_name) AS files FROM tradelog_files GROUP BY 1, 2""")
 def i27_discovered_runs(spark: SparkSession, d: str) -> DataFrame:
     f = load(spark, d, "tradelog_files").select("file_name").distinct()
@@ -527,6 +533,33 @@ def t16_rebalance_trades(spark: SparkSession, d: str) -> DataFrame:
     return S.rebalance_trades(w, base.panel(spark, d), 1e6).select(iso(), "symbol", "target", "trade")
 
 
+_WHOLE = """bk AS (SELECT p_partkey AS symbol, p_retailprice AS price, ((p_size % 11) - 5) / 1000.0 AS weight, (p_size % 7) - 3 AS position FROM part)"""
+
+
+def _whole_book(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = load(spark, d, "part").select(F.col("p_partkey").alias("symbol"), F.col("p_retailprice").alias("price"), "p_size")
+    return p.select("symbol", ((F.col("p_size") % 11 - 5) / 1000.0).alias("weight")), p.select("symbol", (F.col("p_size") % 7 - 3).alias("position")), p.select("symbol", "price")
+
+
+@query(f"""WITH {_WHOLE}, live AS (SELECT * FROM bk WHERE (weight IS NOT NULL OR position IS NOT NULL) AND price > 0), nav AS (SELECT 1000000.0 + sum(coalesce(position, 0) * price) AS nav FROM live), o AS (SELECT symbol, coalesce(weight, 0) * nav - coalesce(position, 0) * price AS dollars, price FROM live, nav)
+ SELECT symbol, CASE WHEN dollars > 0 THEN 'BUY' ELSE 'SELL' END AS side, CAST(floor(abs(dollars / price)) AS BIGINT) AS qty FROM o WHERE abs(dollars) >= 50 AND floor(abs(dollars / price)) > 0""")
+def t9_whole_orders(spark: SparkSession, d: str) -> DataFrame:
+    return S.delta_orders(*_whole_book(spark, d), 1_000_000.0, 50.0)
+
+
+@query(f"""WITH {_WHOLE}, t AS (SELECT symbol, coalesce(position, 0) AS position, weight * 1000000.0 / price AS target FROM bk WHERE weight IS NOT NULL AND price > 0), x AS (SELECT symbol, CAST(sign(target - position) * floor(abs((target - position) / 5) + 0.5) * 5 AS BIGINT) AS delta FROM t WHERE abs(target) <= 1e9)
+ SELECT symbol, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, abs(delta) AS qty, 'MARKET' AS order_type, 'PENDING' AS status FROM x WHERE delta <> 0 AND abs(delta) > 4""")
+def t12_t14_whole_orders(spark: SparkSession, d: str) -> DataFrame:
+    return S.submit_status(S.build_orders(S.target_deltas(*_whole_book(spark, d), 1_000_000.0, 5), 4))
+
+
+@query(f"""WITH {_WEIGHTS}, days AS (SELECT DISTINCT date FROM wt), t AS (SELECT panel.date, panel.symbol, CAST(sign(coalesce(weight, 0)) * floor(abs(coalesce(weight, 0) * 1e6 / close) + 0.5) AS BIGINT) AS target FROM panel JOIN days USING (date) LEFT JOIN wt ON wt.date = panel.date AND wt.symbol = panel.symbol)
+ SELECT strftime(date, '%Y-%m-%d') AS date, symbol, target, target - coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY date), 0) AS trade FROM t""")
+def t16_whole_trades(spark: SparkSession, d: str) -> DataFrame:
+    return S.rebalance_trades(_weights(spark, d), base.panel(spark, d), 1e6).select(iso(), "symbol", "target", "trade")
+
+
+
 @query(f"""WITH l AS (SELECT order_id, sum(local_fill_qty) AS q FROM (SELECT DISTINCT nullif(upper(trim(order_id, E' \\t\\r\\n')), '') AS order_id, local_fill_qty, updated_at FROM recon_local) GROUP BY 1), v AS (SELECT order_id, max(venue_fill_qty) AS f FROM (SELECT nullif(upper(trim(order_id, E' \\t\\r\\n')), '') AS order_id, venue_fill_qty FROM recon_venue) GROUP BY 1)
  SELECT v.order_id, coalesce(f, 0) AS filled_qty, CAST(coalesce(q, 0) AS BIGINT) AS local_qty, coalesce(q, 0) = coalesce(f, 0) AS matched FROM v LEFT JOIN l USING (order_id)""")
 def t20_reconciled_fills(spark: SparkSession, d: str) -> DataFrame:

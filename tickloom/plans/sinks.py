@@ -41,6 +41,14 @@ def i19_equity_sink(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.csv(folder, schema="timestamp bigint, equity double", header=True)
 
 
+@query(f"WITH {EQ} SELECT account, CAST(epoch_ms(CAST(date AS TIMESTAMP)) AS BIGINT) AS timestamp, round(equity, 4) AS equity FROM eq")
+def i19_account_sink(spark: SparkSession, d: str) -> DataFrame:
+    e = base.equity(spark, d).select("account", F.unix_millis(F.col("date").cast("timestamp")).alias("timestamp"), F.round("equity", 4).alias("equity"))
+    folder = f"{E.shared_folder(spark)}/accounts"
+    I.write_equity(e, folder, ("account",))
+    return spark.read.csv(folder, schema="timestamp bigint, equity double, account bigint", header=True)
+
+
 @query(f"WITH {TR} SELECT symbol, type, count(*) AS trades, CAST(sum(quantity) AS BIGINT) AS quantity, round(sum(price), 4) AS price FROM tr GROUP BY 1, 2")
 def i20_i26_tradelog_sink(spark: SparkSession, d: str) -> DataFrame:
     t = base.ledger_trades(spark, d).select(F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), "symbol", "type", "quantity", "price", F.lit(0.0).alias("cash"))

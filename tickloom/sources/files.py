@@ -128,15 +128,15 @@ def write_execution_weights(weights: DataFrame, path: str, lag: int = 1) -> None
     execution_weights(weights, lag).repartition("exec_date").write.mode("overwrite").partitionBy("exec_date").csv(path, header=True)
 
 
-def load_equity(df: DataFrame) -> DataFrame:
-    """(ts_us, equity) from any of the three column names; of equal timestamps the last row holds."""
+def load_equity(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, ts_us, equity) from any of the three column names; of equal timestamps of a curve the last row holds."""
     name = next((c for c in ("equity", "portfolio_value", "value") if c in df.columns), None)
     if name is None or "timestamp" not in df.columns:
         raise ValueError("an equity file needs timestamp and one of equity, portfolio_value, value")
     order = "seq" if "seq" in df.columns else "timestamp"
-    once = df.groupBy("timestamp").agg(F.max_by(name, order).alias("equity"))
+    once = df.groupBy(*by, "timestamp").agg(F.max_by(name, order).alias("equity"))
     unit = once.agg(F.max("timestamp").alias("largest"))
-    return once.withColumn("largest", unit.scalar()).select(scaled_epoch_micros(F.col("timestamp"), F.col("largest")).alias("ts_us"), "equity")
+    return once.withColumn("largest", unit.scalar()).select(*by, scaled_epoch_micros(F.col("timestamp"), F.col("largest")).alias("ts_us"), "equity")
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -210,8 +210,9 @@ def process_ticks(ticks: DataFrame, actions: DataFrame) -> DataFrame:
     return back_adjust(daily, valid_actions(actions))
 
 
-def write_equity(equity: DataFrame, path: str) -> None:
-    equity.select("timestamp", "equity").write.mode("overwrite").csv(path, header=True)
+def write_equity(equity: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """One folder per curve where ``by`` names the curves."""
+    equity.select(*by, "timestamp", "equity").write.partitionBy(*by).mode("overwrite").csv(path, header=True)
 
 
 def write_tradelog(trades: DataFrame, path: str) -> None:
