@@ -165,3 +165,14 @@ def test_empty_long_and_table(spark):
     assert len(sentences.unit_ends(long)) == 20_000
     df = spark.createDataFrame([(1, "A b. C d."), (2, None), (3, "")], "doc_id long, text string").withColumn("end_pos", F.lit(dt.date(2024, 1, 1)))
     assert sorted(tuple(r) for r in sentences.sentence_units(df).collect()) == [(1, 4), (1, 9)]
+
+
+def test_leak_with_a_word_split_near_its_end():
+    u = lambda words: leaks.units(leaks.normalise(" ".join(words)), False)
+    w = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(40)]
+    pad = [f"zq{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    p = leaks.PatternSet([(1, u(w))], leaks.WORDS)
+    found = lambda words: p.found(p.code(u(pad + words + pad)))
+    assert found(w[:17] + [w[17][:3], w[17][3:]] + w[18:22]) == {1}  # 21 of 22 words, the last four on the next diagonal
+    assert found(w[:17] + w[18:22]) == {1}
+    assert found(w[:12] + ["neu", "neu", "neu", "neu"] + w[16:18]) == set()

@@ -170,21 +170,28 @@ class PatternSet:
             for group in groups:
                 same = np.zeros(n, bool)
                 for d in group:
-                    lo, hi = max(0, -d), min(n, len(x) - d)
-                    if lo >= hi:
-                        continue
-                    eq = (x[lo + d : hi + d] == it[lo:hi]) & (it[lo:hi] > 0)
-                    if len(group) > 1:  # beside another diagonal only runs tell, single equal units do not
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], eq.view(np.int8), [0]])))
-                        for a, z in zip(edge[::2], edge[1::2]):
-                            if z - a < 3:
-                                eq[a:z] = False
-                    same[lo:hi] |= eq
+                    self._mark(same, x, it, d, len(group) > 1)
+                if not self._long_enough(same):  # the rest behind a unit split, joined, lost or gained may be too short for a seed
+                    for d in {d + k for d in group for k in range(-3, 4)} - set(group):
+                        self._mark(same, x, it, d, True)
                 if self._long_enough(same):
                     out.add(self.names[item])
                     break
         return out
 
+    def _mark(self, same: np.ndarray, x: np.ndarray, it: np.ndarray, d: int, runs: bool) -> None:
+        """Mark the item's units that x has on a diagonal; beside another diagonal only runs tell, single equal units do not."""
+        lo, hi = max(0, -d), min(len(it), len(x) - d)
+        if lo >= hi:
+            return
+        eq = (x[lo + d : hi + d] == it[lo:hi]) & (it[lo:hi] > 0)
+        if runs:
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], eq.view(np.int8), [0]])))
+            for a, z in zip(edge[::2], edge[1::2]):
+                if z - a < 3:
+                    eq[a:z] = False
+        same[lo:hi] |= eq
+
     def _long_enough(self, same: np.ndarray) -> bool:
         # a stretch i..j with per * (altered units) <= its length: prefix(j) >= prefix(i), j - i >= least
         least, per = self.search.least, self.search.per
