@@ -66,7 +66,7 @@ def _tick_lines(spark: SparkSession, d: str, legacy: bool) -> DataFrame:
     return t.select(F.concat_ws(",", *cols).alias("value"))
 
 
-@query(f"WITH {ET} SELECT symbol, count(*) AS ticks, CAST(sum(volume) AS BIGINT) AS volume, round(sum(round(price, 2)), 2) AS px, CAST(sum(CASE WHEN seq % 2 = 0 THEN epoch_ms(ts) ELSE epoch_ms(ts) // 1000 * 1000 END) AS BIGINT) AS ms, CAST(sum(bid_size + ask_size) AS BIGINT) AS sizes FROM et WHERE seq % 50 <> 0 GROUP BY symbol")
+@query(f"WITH {ET} SELECT symbol, count(*) AS ticks, CAST(sum(volume) AS BIGINT) AS volume, round(sum(round(price, 2)), 2) AS px, CAST(sum(CASE WHEN seq % 2 = 0 THEN epoch_us(ts) // 1000 ELSE epoch_us(ts) // 1000000 * 1000 END) AS BIGINT) AS ms, CAST(sum(bid_size + ask_size) AS BIGINT) AS sizes FROM et WHERE seq % 50 <> 0 GROUP BY symbol")
 def i3_full_tick_lines(spark: SparkSession, d: str) -> DataFrame:
     t = I.parse_ticks(_tick_lines(spark, d, False)).where("NOT skipped")
     return t.groupBy("symbol").agg(F.count("*").alias("ticks"), F.sum("volume").alias("volume"), F.round(F.sum("price"), 2).alias("px"), F.sum(F.unix_millis("ts")).alias("ms"), F.sum(F.col("bid_size") + F.col("ask_size")).alias("sizes"))

@@ -53,9 +53,9 @@ def _two_sql(src: str, by: str) -> str:
  b AS (SELECT *, (ay * bb - by_ * ab) / nullif(aa * bb - ab * ab, 0) AS b1, (by_ * aa - ay * ab) / nullif(aa * bb - ab * ab, 0) AS b2, yy - sy * sy / n AS tss FROM sm), fit AS (SELECT *, yy - b1 * ay - b2 * by_ AS rss FROM b)"""
 
 
-@query(f"WITH {XS}, {_two_sql('xs', 'date')} SELECT date, n, round(b1, 6) + 0.0 AS b1, round(b2, 6) + 0.0 AS b2, round(1 - rss / nullif(tss, 0), 6) + 0.0 AS r2, round(b1 / nullif(sqrt(rss / (n - 2) / aa), 0), 5) + 0.0 AS t1, round(b2 / nullif(sqrt(rss / (n - 2) / bb), 0), 5) + 0.0 AS t2, round(1 - (yy - ay * ay / aa) / nullif(tss, 0), 6) + 0.0 AS r2_1 FROM fit WHERE n > 5")
+@query(f"WITH {XS}, {_two_sql('xs', 'date')} SELECT date, n, round(b1, 6) + 0.0 AS b1, round(b2, 6) + 0.0 AS b2, round(1 - rss / nullif(tss, 0), 6) + 0.0 AS r2, round(b1 / nullif(sqrt(greatest(rss, 0) / nullif(n - 2, 0) / aa), 0), 5) + 0.0 AS t1, round(b2 / nullif(sqrt(greatest(rss, 0) / nullif(n - 2, 0) / bb), 0), 5) + 0.0 AS t2, round(1 - (yy - ay * ay / aa) / nullif(tss, 0), 6) + 0.0 AS r2_1 FROM fit")
 def f2_f4_regression(spark: SparkSession, d: str) -> DataFrame:
-    return X.regress_two(base.cross_section(spark, d), "ret", "f1", "f2", "date").where("n > 5").select("date", "n", *r6("b1", "b2", "r2"), *r6("t1", "t2", digits=5), *r6("r2_1"))
+    return X.regress_two(base.cross_section(spark, d), "ret", "f1", "f2", "date").select("date", "n", *r6("b1", "b2", "r2"), *r6("t1", "t2", digits=5), *r6("r2_1"))
 
 
 @query()
@@ -63,10 +63,10 @@ def f2_many_factors(spark: SparkSession, d: str) -> DataFrame:
     return X.regress_many(base.cross_section(spark, d), "ret", ["f1", "f2", "f3"], "date")
 
 
-@query(f"WITH {XS}, {_two_sql('xs', 'date')} SELECT xs.date, symbol, round(ret - b1 * f1 - b2 * f2, 6) + 0.0 AS resid FROM xs JOIN fit ON xs.date = fit.date WHERE n > 5")
+@query(f"WITH {XS}, {_two_sql('xs', 'date')} SELECT xs.date, symbol, round(ret - b1 * f1 - b2 * f2, 6) + 0.0 AS resid FROM xs JOIN fit ON xs.date = fit.date")
 def f5_residuals(spark: SparkSession, d: str) -> DataFrame:
     x = base.cross_section(spark, d)
-    fit = X.regress_two(x, "ret", "f1", "f2", "date").where("n > 5")
+    fit = X.regress_two(x, "ret", "f1", "f2", "date")
     return X.residuals(x, fit, "ret", "f1", "f2", "date").select("date", "symbol", *r6("resid"))
 
 
