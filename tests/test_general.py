@@ -127,6 +127,45 @@ def test_spikes_stuck_and_levels(spark):
     assert flags(spark, rows, width=24_000, per_task=37) == want  # or dividing full ones
 
 
+def test_spikes_do_not_depend_on_the_bucket_width(spark):
+    rng = np.random.default_rng(1)
+    near = lambda level, n: (level + rng.normal(0, 0.3, n)).tolist()
+    x = near(100, 100) + near(150, 90) + [float("nan")] * 10 + near(100, 2) + near(150, 98)
+    rows = [("a", i, i, v, None if 150 <= i < 260 else 5 + i % 3) for i, v in enumerate(x)]
+    wide = flags(spark, rows, width=10_000)
+    assert {(200, "level", "spike"), (201, "level", "spike")} <= wide
+    for width in (100, 20, 7, 1):  # buckets without any usable reading among them
+        assert flags(spark, rows, width=width) == wide
+    # halts crowd nothing out of the context either
+    y = [100.0, 101.0] * 30 + [107.0] * 5 + [107.0] * 40 + [107.0] + [100.0, 101.0] * 30
+    rows = [("a", i, i, v, 0 if 65 <= i < 105 else 5 + i % 3) for i, v in enumerate(y)]
+    wide = flags(spark, rows, width=10_000)
+    assert (105, "level", "stuck") in wide
+    for width in (50, 9, 1):
+        assert flags(spark, rows, width=width) == wide
+
+
+def test_fitted_tail_keeps_its_risk(spark):
+    rng = np.random.default_rng(2)
+    for draw in (rng.laplace, rng.normal):
+        r = np.abs(draw(0, 1, 200_000))
+        bins = np.round(np.log(r) * 20)
+        _, at = np.unique(bins, return_inverse=True)
+        n, s1, s2 = (np.bincount(at, w) for w in (np.ones(len(r)), r, r * r))
+        z = spikes.tail_cutoff(s1 / n, n, s1, s2, 1e-3, 0.05)
+        assert 0.4e-3 < np.mean(np.abs(draw(0, 1, 400_000)) > z) < 2e-3
+    x = 100 + rng.laplace(0, 0.05, 12_000)
+    planted = list(range(500, 12_000, 1000))
+    for i in planted:
+        x[i] += 3.0
+    rows = [("a", i, i * 60, float(v), int(1000 * math.exp(rng.normal(0, 0.3))) * (40 if i == 777 else 1)) for i, v in enumerate(x)]
+    got = flags(spark, rows, width=60_000, moves=None, times_volume=None)
+    spiked = {i for i, f, _ in got if f == "level"}
+    assert set(planted) <= spiked and len(spiked) <= len(planted) + 2 * 1e-3 * len(x)
+    volumes = {i for i, f, r in got if (f, r) == ("amount", "spike")}
+    assert 777 in volumes and len(volumes) <= 1 + 2 * 1e-3 * len(x)
+
+
 def test_halt_is_no_case(spark):
     x = walk(100)
     x[40:60] = [x[40]] * 20

@@ -13,7 +13,7 @@ from tickloom.session import cut_lineage
 
 FINENESS = 1000  # histogram bins per factor e over all hours: 0.1 % wide, which bounds the error of a median
 COARSENESS = 20  # the same of the hourly histograms, from which seasons and tails are told
-EDGE = 10  # readings of context on either side of a bucket; a run needs 6, a group 3 and its anchors
+EDGE = 12  # usable readings of context per field on either side of a bucket; a run needs 6, a group 3 and its anchors
 
 
 def _bin(x: Column, fineness: int) -> Column:
@@ -48,7 +48,7 @@ def tail_cutoff(r: np.ndarray, n: np.ndarray, s1: np.ndarray, s2: np.ndarray, ri
     return max(u, float(z))
 
 
-def flag_readings(readings: DataFrame, bucket: dict[str, int], moves: float = 10.0, times_volume: float = 25.0, longest_group: int = 3, shortest_run: int = 6, risk: float = 1e-3, tail: float = 0.05, per_second: int = 1, per_task: int = 500_000) -> DataFrame:
+def flag_readings(readings: DataFrame, bucket: dict[str, int], moves: float | None = 10.0, times_volume: float | None = 25.0, longest_group: int = 3, shortest_run: int = 6, risk: float = 1e-3, tail: float = 0.05, per_second: int = 1, per_task: int = 500_000) -> DataFrame:
     """Flag impossible, stuck and implausible readings per source.
 
     readings: (table_name, symbol, row_id, s, level, amount): time (``per_second`` units a second), a price-like reading and a
@@ -57,16 +57,18 @@ def flag_readings(readings: DataFrame, bucket: dict[str, int], moves: float = 10
 
     Per source the moves between neighbouring readings, less their seasonal (hour of the day) median, and the log
     volumes, likewise, get a tail cutoff at a fixed risk by peaks over threshold. A reading over the cutoff is
-    a candidate; the cutoff never exceeds the stated multiple of the usual move (or of the median volume), so
-    no case is lost. Candidates are then checked exactly: a group of at most ``longest_group`` readings on one
-    side of the sound readings around it is a spike, a level that lasts is none. Runs of ``shortest_run``
+    a candidate. Without ``moves`` and ``times_volume`` the cutoffs decide: a group of at most ``longest_group``
+    readings that departs from the sound readings around it by more than the cutoff (beyond the season's move) is a
+    spike, as is a volume over its cutoff. With them, cases are fixed multiples of the usual move and of the median
+    volume: the cutoff then never exceeds the multiple, so no case is lost, and candidates are checked exactly. A
+    level that lasts is no spike in either mode. Runs of ``shortest_run``
     equal readings are stuck from the second on. Halts (amount 0 and level unchanged) are no stuck readings.
     NULL readings, and rows without symbol, id or time, are left out; redelivered rows count once; equal
     times are ordered by id. Usual move and median are exact to 0.1 %.
 
     A hot source is split into time buckets (of ``bucket`` units by table, divided further where one would hold more
-    than ``per_task`` readings); each gets the last and first
-    readings of its neighbours as context through a table of one row per bucket.
+    than ``per_task`` readings); each gets the last and first usable readings of the buckets around it as context, level
+    and amount apart, through a table of one row per bucket: readings that are NULL or impossible take no place in it.
     """
     key = ["table_name", "symbol", "b"]
     base = readings.where("symbol IS NOT NULL AND row_id IS NOT NULL AND s IS NOT NULL AND (level IS NOT NULL OR amount IS NOT NULL)")
@@ -77,21 +79,44 @@ def flag_readings(readings: DataFrame, bucket: dict[str, int], moves: float = 10
     base = base.select("table_name", "symbol", of(width).alias("b"), "s", "row_id", "level", F.col("amount").cast("double").alias("amount"))
     per_hour = 3600 * per_second
     summary = cut_lineage(base.groupBy(*key).applyInArrow(_summariser(per_hour), SUMMARY))
-    line = Window.partitionBy("table_name", "symbol").orderBy("b")
-    context = summary.select(
-        *key, "heads",
-        F.flatten(F.collect_list("tails").over(line.rowsBetween(-EDGE, -1))).alias("before"),
-        F.flatten(F.collect_list("heads").over(line.rowsBetween(1, EDGE))).alias("after"),
-    )
+    context = _around(summary)
     limits = _limits(summary, context, risk, tail, per_hour)
-    told = context.drop("heads").join(limits, ["table_name", "symbol"], "left")
-    told = told.select(*[F.col(c).alias(f"of_{c}") for c in key], "before", "after", "usual", "typical", "move_season", "move_z", "log_season", "log_z")
+    told = context.drop("level_heads").join(limits, ["table_name", "symbol"], "left")
+    told = told.select(*[F.col(c).alias(f"of_{c}") for c in key], *SIDES, "usual", "typical", "move_season", "move_z", "log_season", "log_z")
     check = _checker(moves, times_volume, longest_group, shortest_run, per_hour)
     return base.groupBy(*key).cogroup(told.groupBy(*[f"of_{c}" for c in key])).applyInArrow(check, "table_name string, row_id bigint, field string, reason string")
 
 
-READING = "struct<s:bigint,row_id:bigint,level:double,amount:double>"
-SUMMARY = f"table_name string, symbol string, b bigint, heads array<{READING}>, tails array<{READING}>, bins array<struct<what:string,hour:int,sign:int,bin:bigint,n:bigint,t:double,tt:double>>"
+READING = "struct<s:bigint,row_id:bigint,level:double,amount:double,live:boolean>"
+ENDS = ("level_heads", "level_tails", "calm_heads", "calm_tails", "amount_heads", "amount_tails")  # all levels, those that are no halts, amounts
+SIDES = ("level_before", "level_after", "calm_before", "calm_after", "amount_before", "amount_after")
+SUMMARY = f"table_name string, symbol string, b bigint, {', '.join(f'{c} array<{READING}>' for c in ENDS)}, bins array<struct<what:string,hour:int,sign:int,bin:bigint,n:bigint,t:double,tt:double>>"
+
+
+def _around(summary: DataFrame) -> DataFrame:
+    """Each bucket with the last usable readings before it and the first ones after it, per field.
+
+    However many buckets in between hold none, the nearest ones that do are found: their readings are gathered
+    among buckets that have some, and then carried over those that have not.
+    """
+    source = ["table_name", "symbol"]
+    earlier = Window.partitionBy(*source).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    # whether a bucket's first level halts, the level before it tells
+    out = summary.withColumn("held", F.last(F.try_element_at("level_tails", F.lit(-1))["level"], ignorenulls=True).over(earlier))
+    told = lambda r: F.coalesce(r["live"], F.coalesce(r["level"] != F.col("held"), F.lit(True)))
+    full = lambda r: F.struct(*[r[c].alias(c) for c in ("s", "row_id", "level", "amount")], told(r).alias("live"))
+    out = out.withColumns({c: F.transform(c, full) for c in ENDS}).withColumns({c: F.filter(c, lambda r: r["live"]) for c in ENDS[2:]}).drop("held")
+    for k, side in enumerate(SIDES):
+        back = k % 2 == 0
+        ends = ENDS[k + 1] if back else ENDS[k - 1]
+        order, has = F.col("b") if back else -F.col("b"), F.size(ends) > 0
+        lists = F.collect_list(ends).over(Window.partitionBy(*source, has).orderBy(order).rowsBetween(-EDGE, 0))
+        x = F.flatten(lists if back else F.reverse(lists))
+        n = F.least(F.size("x_"), F.lit(EDGE + 1))
+        cut = F.when(n > 0, F.slice("x_", F.size("x_") - n + 1 if back else F.lit(1), n))
+        out = out.withColumn("x_", F.when(has, x)).withColumn("x_", cut)
+        out = out.withColumn(side, F.last("x_", ignorenulls=True).over(Window.partitionBy(*source).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
+    return out.select(*source, "b", "level_heads", *SIDES)
 
 
 def _in_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,11 +154,15 @@ def _summariser(per_hour: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         s, ids, level, null, amount = _in_order(table)
-        # halted bars apart, so that they crowd nothing out of the context
-        quiet = amount == 0
-        ends = [np.flatnonzero(quiet), np.flatnonzero(~quiet)]
-        rows = lambda idx: [{"s": int(s[i]), "row_id": int(ids[i]), "level": None if null[i] else float(level[i]), "amount": None if np.isnan(amount[i]) else float(amount[i])} for i in np.sort(idx)]
-        heads, tails = rows(np.concatenate([e[:EDGE] for e in ends])), rows(np.concatenate([e[-EDGE:] for e in ends]))
+        seq = np.flatnonzero(_possible(level))
+        live = np.ones(len(s), bool)  # no halt; the bucket's first level cannot tell
+        live[seq[1:]] = ~((amount[seq[1:]] == 0) & (np.diff(level[seq]) == 0))
+        unknown = seq[:1][amount[seq[:1]] == 0]
+        flow = np.flatnonzero(~np.isnan(amount) & live)
+        rows = lambda idx: [{"s": int(s[i]), "row_id": int(ids[i]), "level": None if null[i] else float(level[i]), "amount": None if np.isnan(amount[i]) else float(amount[i]), "live": None if i in unknown else bool(live[i])} for i in idx]
+        calm = seq[live[seq]]
+        n = EDGE + 1
+        ends = [rows(x) for i in (seq, calm, flow) for x in (i[:n], i[-n:])]
         hour = (s // per_hour) % 24
         good = np.flatnonzero(_possible(level))
         has = np.flatnonzero(~np.isnan(amount))
@@ -141,23 +170,22 @@ def _summariser(per_hour: int) -> Callable[[pa.Table], pa.Table]:
         moves = np.diff(level[good])
         bins = _binned("move", np.abs(moves)) + _binned("move", moves, hour[good[1:]]) + _binned("size", amount[has]) + _binned("log", np.log1p(amount[up]), hour[up])
         k = table.slice(0, 1)
-        schema = pa.schema([("table_name", pa.string()), ("symbol", pa.string()), ("b", pa.int64()), ("heads", pa.list_(ROW)), ("tails", pa.list_(ROW)), ("bins", pa.list_(BIN))])
-        return pa.Table.from_arrays([k["table_name"].combine_chunks(), k["symbol"].combine_chunks(), k["b"].combine_chunks(), pa.array([heads], schema.field("heads").type), pa.array([tails], schema.field("tails").type), pa.array([bins], schema.field("bins").type)], schema=schema)
+        schema = pa.schema([("table_name", pa.string()), ("symbol", pa.string()), ("b", pa.int64()), *[(c, pa.list_(ROW)) for c in ENDS], ("bins", pa.list_(BIN))])
+        return pa.Table.from_arrays([*[k[c].combine_chunks() for c in ("table_name", "symbol", "b")], *[pa.array([e], schema.field(c).type) for c, e in zip(ENDS, ends)], pa.array([bins], schema.field("bins").type)], schema=schema)
 
     return run
 
 
-ROW = pa.struct([("s", pa.int64()), ("row_id", pa.int64()), ("level", pa.float64()), ("amount", pa.float64())])
+ROW = pa.struct([("s", pa.int64()), ("row_id", pa.int64()), ("level", pa.float64()), ("amount", pa.float64()), ("live", pa.bool_())])
 BIN = pa.struct([("what", pa.string()), ("hour", pa.int32()), ("sign", pa.int32()), ("bin", pa.int64()), ("n", pa.int64()), ("t", pa.float64()), ("tt", pa.float64())])
 
 
 def _limits(summary: DataFrame, context: DataFrame, risk: float, tail: float, per_hour: int) -> DataFrame:
     """One row per source: usual move, median volume, and hourly candidate cutoffs for both fields."""
     source = ["table_name", "symbol"]
-    good = lambda x: (x["level"] > 0) & (x["level"] < float("inf"))
-    first, last = F.element_at(F.filter("heads", good), 1), F.element_at(F.filter("before", good), -1)
+    first, last = F.try_element_at("level_heads", F.lit(1)), F.try_element_at("level_before", F.lit(-1))
     # moves across the seams of buckets complete those within
-    seam = context.where(F.size(F.filter("heads", good)) > 0).where(F.size(F.filter("before", good)) > 0)
+    seam = context.where((F.size("level_heads") > 0) & (F.size("level_before") > 0))
     seam = seam.select(*source, (F.floor(first["s"] / per_hour) % 24).cast("int").alias("h"), (first["level"] - last["level"]).alias("d"))
     cell = lambda hour, x, fineness: F.struct(hour.cast("int").alias("hour"), F.signum(x).cast("int").alias("sign"), _bin(x, fineness).alias("bin"), x.alias("t"), (x * x).alias("tt"))
     seam = seam.select(*source, F.explode(F.array(cell(F.lit(-1), F.abs("d"), FINENESS), cell(F.col("h"), F.col("d"), COARSENESS))).alias("c"))
@@ -203,15 +231,15 @@ def _source_limits(risk: float, tail: float) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _spikes(x: np.ndarray, candidate: np.ndarray, limit: float, longest: int) -> np.ndarray:
-    """Exact check around the candidate breaks (positions whose move from the reading before is unusual)."""
+def _spikes(x: np.ndarray, candidate: np.ndarray, limit: np.ndarray, longest: int) -> np.ndarray:
+    """Exact check around the candidate breaks (positions whose move from the reading before is unusual); limits by position."""
     bad, n, nxt = np.zeros(len(x), bool), len(x), 0
 
     def group(at: int, base: float) -> int:
         side = np.sign(x[at] - base)
         for k in range(1, min(longest, n - at - 1) + 1):
             own = x[at : at + k]
-            if np.all((own - base) * side > limit) and np.all((own - x[at + k]) * side > limit):
+            if np.all((own - base) * side > limit[at : at + k]) and np.all((own - x[at + k]) * side > limit[at : at + k]):
                 return k
         return 0
 
@@ -219,7 +247,7 @@ def _spikes(x: np.ndarray, candidate: np.ndarray, limit: float, longest: int) ->
         if i < nxt:
             continue
         at, base = i, x[i - 1]
-        while at < n and abs(x[at] - base) > limit and (k := group(at, base)):
+        while at < n and abs(x[at] - base) > limit[at] and (k := group(at, base)):
             bad[at : at + k] = True
             at += k
         nxt = at + 1  # sound, or a level that lasts
@@ -235,69 +263,77 @@ def _stuck(x: np.ndarray, shortest: int) -> np.ndarray:
     return np.repeat(length >= shortest, length) & ~start
 
 
-def _checker(moves: float, times_volume: float, longest: int, shortest: int, per_hour: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _merged(s: np.ndarray, ids: np.ndarray, columns: list[np.ndarray], near: list[dict], names: list[str]) -> tuple[np.ndarray, ...]:
+    """A bucket's readings with those around it in order of time: mine, s, ids and the columns."""
+    seen, more = set(), []
+    for r in near:
+        if (r["s"], r["row_id"]) not in seen:
+            seen.add((r["s"], r["row_id"]))
+            more.append(r)
+    mine = np.concatenate([np.ones(len(s), bool), np.zeros(len(more), bool)])
+    s = np.concatenate([s, np.array([r["s"] for r in more], np.int64)])
+    ids = np.concatenate([ids, np.array([r["row_id"] for r in more], np.int64)])
+    columns = [np.concatenate([c, np.array([np.nan if r[n] is None else float(r[n]) for r in more], float)]) for c, n in zip(columns, names)]
+    order = np.lexsort((ids, s))
+    return mine[order], s[order], ids[order], *[c[order] for c in columns]
+
+
+def _checker(moves: float | None, times_volume: float | None, longest: int, shortest: int, per_hour: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Second pass over a bucket, with its context and its source's limits."""
     schema = pa.schema([("table_name", pa.string()), ("row_id", pa.int64()), ("field", pa.string()), ("reason", pa.string())])
 
     def check(own: pa.Table, told: pa.Table) -> pa.Table:
         if not own.num_rows:
             return schema.empty_table()
-        ctx = {c: told[c][0].as_py() if told.num_rows else None for c in ("before", "after", "usual", "typical", "move_season", "move_z", "log_season", "log_z")}
+        ctx = {c: told[c][0].as_py() if told.num_rows else None for c in (*SIDES, "usual", "typical", "move_season", "move_z", "log_season", "log_z")}
+        near = lambda *of: [r for f in of for side in ("before", "after") for r in ctx[f"{f}_{side}"] or []]
         s, ids, level, null, amount = _in_order(own)
-        odd = ~null & ~_possible(level)
-        near = [x for side in ("before", "after") for x in ctx[side] or []]
-        mine = np.concatenate([np.ones(len(s), bool), np.zeros(len(near), bool)])
-        number = lambda x: np.nan if x is None else x
-        s = np.concatenate([s, np.array([x["s"] for x in near], np.int64)])
-        ids = np.concatenate([ids, np.array([x["row_id"] for x in near], np.int64)])
-        level = np.concatenate([level, np.array([number(x["level"]) for x in near], float)])
-        amount = np.concatenate([amount, np.array([number(x["amount"]) for x in near], float)])
-        odd = np.concatenate([odd, np.zeros(len(near), bool)])
-        order = np.lexsort((ids, s))
-        s, ids, level, amount, odd, mine = s[order], ids[order], level[order], amount[order], odd[order], mine[order]
         out: list[tuple[np.ndarray, str, str]] = []
 
-        def tell(where: np.ndarray, field: str, reason: str) -> None:
-            if where.any():
-                out.append((ids[where], field, reason))
+        def tell(flagged: np.ndarray, field: str, reason: str) -> None:
+            if len(flagged):
+                out.append((flagged, field, reason))
 
-        hour = (s // per_hour) % 24
         # levels
-        tell(odd & mine, "level", "impossible")
         possible = _possible(level)
-        seq = np.flatnonzero(possible)
-        x = level[seq]
+        tell(ids[~null & ~possible], "level", "impossible")
+        at = np.flatnonzero(possible)
+        mine, t, k, x, flow, live = _merged(s[at], ids[at], [level[at], amount[at], np.full(len(at), np.nan)], near("level", "calm"), ["level", "amount", "live"])
         before = np.concatenate([[np.nan], x[:-1]])
-        halt = np.zeros(len(s), bool)
-        halt[seq] = (amount[seq] == 0) & (x == before)
+        halt = np.where(np.isnan(live), (flow == 0) & (x == before), live == 0)
+        hour = (t // per_hour) % 24
         usual = ctx["usual"]
         if usual is not None and len(x) > 1:
-            limit = moves * usual
-            season, z = np.array(ctx["move_season"]), np.array(ctx["move_z"])
-            cut = np.minimum(z, limit - np.abs(season))[hour[seq]]
-            candidate = np.flatnonzero(np.abs((x - before) - season[hour[seq]]) > cut)
-            bad = np.zeros(len(s), bool)
-            bad[seq] = _spikes(x, candidate[candidate > 0], limit, longest)
-            tell(bad & mine, "level", "spike")
-        stuck = np.zeros(len(s), bool)
-        live = np.flatnonzero(possible & ~halt)
-        stuck[live] = _stuck(level[live], shortest)
-        tell(stuck & mine, "level", "stuck")
-        # amounts
-        has = ~np.isnan(amount)
-        if has.any():
-            tell(has & (amount < 0) & mine, "amount", "impossible")
+            season, z = np.array(ctx["move_season"])[hour], np.array(ctx["move_z"])[hour]
+            limit = z + np.abs(season) if moves is None else np.full(len(x), moves * usual)
+            cut = z if moves is None else np.minimum(z, limit - np.abs(season))
+            candidate = np.flatnonzero(np.abs((x - before) - season) > cut)
+            bad = _spikes(x, candidate[candidate > 0], limit, longest)
+            tell(k[bad & mine], "level", "spike")
+        stuck = np.zeros(len(x), bool)
+        stuck[~halt] = _stuck(x[~halt], shortest)
+        tell(k[stuck & mine], "level", "stuck")
+        # amounts; what halts is told by the levels
+        still = set(zip(t[halt].tolist(), k[halt].tolist()))
+        has = np.flatnonzero(~np.isnan(amount))
+        if len(has):
+            tell(ids[has[amount[has] < 0]], "amount", "impossible")
             typical = ctx["typical"]
             if typical is not None:
-                season, z = np.array(ctx["log_season"]), np.array(ctx["log_z"])
-                lv = np.log1p(np.where(has & (amount >= 0), amount, 0.0))
-                bound = np.log1p(max(times_volume * typical, 0.0))
-                over = has & (lv - season[hour] >= np.minimum(z, bound - season)[hour] - 1e-12)
-                tell(over & (amount > times_volume * typical) & mine, "amount", "spike")
-            stuck = np.zeros(len(s), bool)
-            live = np.flatnonzero(has & ~halt)
-            stuck[live] = _stuck(amount[live], shortest)
-            tell(stuck & mine, "amount", "stuck")
+                hour = (s[has] // per_hour) % 24
+                season, z = np.array(ctx["log_season"])[hour], np.array(ctx["log_z"])[hour]
+                over = np.log1p(np.maximum(amount[has], 0.0)) - season
+                if times_volume is None:
+                    bad = over > z
+                else:
+                    bound = np.log1p(max(times_volume * typical, 0.0))
+                    bad = (over >= np.minimum(z, bound - season) - 1e-12) & (amount[has] > times_volume * typical)
+                tell(ids[has[bad]], "amount", "spike")
+            mine, t, k, x = _merged(s[has], ids[has], [amount[has]], near("amount"), ["amount"])
+            live = np.array([(a, b) not in still for a, b in zip(t.tolist(), k.tolist())], bool) if still else np.ones(len(x), bool)
+            stuck = np.zeros(len(x), bool)
+            stuck[live] = _stuck(x[live], shortest)
+            tell(k[stuck & mine], "amount", "stuck")
         if not out:
             return schema.empty_table()
         name = own["table_name"][0].as_py()

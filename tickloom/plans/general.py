@@ -49,11 +49,11 @@ def p2_close(spark: SparkSession, d: str) -> DataFrame:
     return out.select("symbol", F.date_format("date", "yyyy-MM-dd").alias("date_iso"), *[F.round(c, 8).alias(c) if c[0] in "tm" else F.col(c) for c in ("total_7", "n_7", "mean_7", "total_30", "n_30", "mean_30")])
 
 
-def _flags(spark: SparkSession, d: str) -> DataFrame:
+def _flags(spark: SparkSession, d: str, **rules: float | None) -> DataFrame:
     t, b = load(spark, d, "tick"), load(spark, d, "test_data")
     ticks = t.select(F.lit("tick").alias("table_name"), code("symbol").alias("symbol"), F.col("tick_id").alias("row_id"), micros("timestamp").alias("s"), F.col("price").alias("level"), F.lit(None).cast("bigint").alias("amount"))
     bars = b.select(F.lit("test_data").alias("table_name"), code("symbol").alias("symbol"), F.col("bar_id").alias("row_id"), (F.col("timestamp") * 1_000_000).alias("s"), F.col("close").alias("level"), F.col("volume").alias("amount"))
-    return spikes.flag_readings(ticks.unionByName(bars), {"tick": 86_400_000_000, "test_data": 90 * 86_400_000_000}, per_second=1_000_000)
+    return spikes.flag_readings(ticks.unionByName(bars), {"tick": 86_400_000_000, "test_data": 90 * 86_400_000_000}, per_second=1_000_000, **rules)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,6 +61,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d).select("table_name", "row_id", name.alias("field")).distinct()
 
 
+def p4_outliers(spark: SparkSession, d: str) -> DataFrame:
+    """Readings beyond the fitted tail of their own source, at a risk of one in a thousand; no fixed multiples."""
+    return _flags(spark, d, moves=None, times_volume=None).select("table_name", "row_id", "field", "reason").distinct()
+
+
 def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(F.col("field") == "amount", "volume").when(F.col("table_name") == "tick", "price").otherwise("close")
     return _flags(spark, d).groupBy("table_name", name.alias("field"), "reason").agg(F.count("*").alias("n"))
@@ -111,7 +116,7 @@ def p7_trades(spark: SparkSession, d: str) -> DataFrame:
     return once.join(seen.withColumnRenamed("event_id", "trade_id"), "trade_id", "left").select("trade_id", "symbol", iso("split_date"), "split_value", iso("dividend_date"), "dividend_value")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_volatility, p2_close, p4_found, p4_reasons, p5_found, p5_series, p6_found, p6_table, p7_found, p7_trades)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_volatility, p2_close, p4_found, p4_outliers, p4_reasons, p5_found, p5_series, p6_found, p6_table, p7_found, p7_trades)}
 
 _CODE = "nullif(upper(trim({0}, E' \\t\\r\\n')), '')"
 _SYM = _CODE.format("symbol")
