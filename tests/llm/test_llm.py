@@ -142,6 +142,30 @@ def test_sentences_of_a_block(want):
     assert [" ".join(u.split()) for u in units("\r\n".join(" ".join(want).split(" ")))] == [" ".join(u.split()) for u in want]
 
 
+@pytest.mark.parametrize("want", [
+    ["The answer is no.", "He left."], ["It was the best art.", "We left."], ["He got an ex.", "She left."], ["He has no para.", "She left."], ["See art. 5 and no. 7 of App. B here.", "Next."],
+    ["Es war von dieser Art.", "Er ging."], ["Vgl. Art. 5 Abs. 2 BGB.", "Der Kläger, z. B. Hr. Dr. Meier, ging."],
+    ["it rained.", "they left.", "he wept."], ["it rained.", "they left.", "he wept."] * 2, ["Er kam am 3. █ nach Wien."],
+    ["The parties met at 9.30 a.m. █████ 4 May 2002 in Corvale.", "The rate was 7.31 per cent. […] annum until May."], ['It says only this: "Not admitted."', '"The stones were mine," she said.'],
+])
+def test_sentences_by_language_whatever_their_length_and_padding(want):
+    text = " ".join(want)
+    assert units(text) == want
+    for blank in (" " * 8, " " * 20, "\r\n  ", " " * 300):
+        assert [" ".join(u.split()) for u in units(text.replace(" ", blank))] == want
+    for around in ("Er kam nach Wien und ist nicht mit dem Zug gefahren.", "El tren no es como los de la ciudad."):  # other languages beside it, another label
+        assert units(around + "\n\n" + text)[1:] == want and [text[a:b].strip() for a, b in zip([0, *sentences.unit_ends(text, "es")], sentences.unit_ends(text, "es"))] == want
+
+
+def test_headers_however_padded():
+    for line in ("Court of Appeal of Aldmoor — HC-00-5562/24 — Page 2 of 11", "KC-00-3250/13    Tribunal    p. 2/14", "[2] High Court, RG-00-6415/23", "- 1 - RG-00-565/17", "阿原上诉法院 RG-00-6/09 第2页 共11页"):
+        for n in (1, 40, 5000):
+            text = "It was so\n" + line.replace(" ", " " * n) + "\nin law."
+            assert [text[a:b] for a, b in pages.header_lines(text)] == [line.replace(" ", " " * n)]
+    for line in ("as held in HC-00-5562/24; the page was 2.", "see HC-00-1/24 and HC-00-2/24, p. 3", "HC-00-1/24 was about the ship"):
+        assert pages.header_lines(line) == []
+
+
 def test_sentences_without_blanks():
     assert units("证人称：“我看见了木材。都已生锈。”通知是否及时送达？“不是我的！”陈丙回答说。货物……有理。") == ["证人称：“我看见了木材。都已生锈。”", "通知是否及时送达？", "“不是我的！”陈丙回答说。", "货物……有理。"]
     assert units("「違います。」と下崎は答えた。責任を負う（別紙33。なお写しも同じ）。") == ["「違います。」と下崎は答えた。", "責任を負う（別紙33。なお写しも同じ）。"]

@@ -6,32 +6,49 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import ModuleType
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tickloom.llm.pages import without_headers
 
-# ------------------------------------------------------------------ fixed values: abbreviations by language
+# ------------------------------------------------------------------ fixed values: abbreviations and common words by language
 
+#: never the last word of a sentence, in each language of the Latin script and beyond them
 ABBREVIATIONS = {
-    "en": "Mr Mrs Ms Messrs Dr Prof Rev Hon Sgt Capt Col Gen Lt Maj St Mt Rd Ave No Nos no nos pp p ss s r rr ex exh cf Cf Fig Figs fig App Apps para paras Para Paras Art art Sch sch cl Cl viz i.e e.g incl approx Esk Rep ed eds vol Vol v vs c ca",
-    "de": "Hr Hrn Fr Dr Prof Nr Nrn Abs S Az Bl Rn Rdnr Urt Beschl ca bzw z d i u H v m w o vgl Vgl Art Ziff Str Tsd Mio Mrd ff f sog Hs lit Buchst gem einschl usw Anm",
-    "fr": "M MM Mme Mlle Me Dr Pr St Ste Cf cf Cass com civ soc crim art Art al p pp ex n no c C éd t vol chap",
-    "es": "Sr Sra Srta Sres D Dña Da Dr Dra núm núms Núm pág págs Pág art arts Art p ej cf Cf Ud Uds Excmo Ilmo apdo",
+    "shared": "Mr Mrs Ms Messrs Dr Prof Mme Mlle MM Dña Sra Sres Hrn Sgt Capt viz i.e e.g vs v cf Cf vgl Vgl approx incl Esk Rep Nos Cass\\.\\s*(?:com|civ|soc|crim)",
+    "en": "Rev Hon Col Gen Lt Maj St Mt Rd Ave ed eds c ca",
+    "de": "Hr Fr Urt Beschl ca bzw z d i u m w o Str Tsd Mio Mrd ff f sog gem einschl usw Anm",
+    "fr": "M Me Pr St Ste Cass c C éd et\\s+al par\\s+ex p\\.\\s*ex",
+    "es": "Sr Srta D Da Ud Uds Excmo Ilmo p\\.\\s*ej",
     "ru": "т п с см См Пост пост ст др тыс млн млрд гр ул д г им проч пр стр абз гл ч Ст ред обл р",
     "ar": "د ص م ج أ",
     "hi": "डॉ पृ आ आ.नि श्री सं प्रो क्र",
 }
+#: words of their own otherwise: abbreviations only before a number, a bracket or something blacked out
+BEFORE_NUMBERS = "No no nos Nr Nrn núm núms Núm n p pp pág págs Pág s S ss r rr ex exh H Hs h t Fig Figs fig App Apps Sch sch para paras Para Paras Art art arts Abs Az Bl Rn Rdnr Ziff lit Buchst Cl al vol Vol ch chap apdo Exh"
+#: those of them that letters number as well
+BEFORE_LETTERS = "Fig Figs fig App Apps Sch sch Art art Cl Exh exh ex Vol vol chap lit Buchst"
 #: take a number after them, but end a sentence before a capital
 NUMBERED = "yrs hrs A.L.R a.m p.m"
 #: name endings: may close a sentence before a capital, never before a small letter, bracket or number
 COMPANIES = "Ltd Inc Co Corp Bros plc S.A S.L SARL SAS e.K"
 GERMAN_MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember"
+#: frequent words that tell a language of the Latin script
+COMMON = {
+    "en": "the of and to that was is with by it be which from has this are or were had not court shall he she they his their for",
+    "de": "der das und dem den vom von zu mit ist nicht für ein eine einer sich auch wird wurde hat bei nach im als dass die er sie",
+    "fr": "le les du et dans qui par pour sur au aux une pas il elle ont été sont ne ce cette son des est",
+    "es": "el los las del y una con por se lo fue ha sido como al su sus este esta ante",
+}
 
 # ------------------------------------------------------------------ scripts and characters
 
 THAI, CJK = r"฀-๿", r"぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+# blanks between Thai letters are positions too: see THAI_BLANK
 PAIRS = {"(": ")", "[": "]", "（": "）", "［": "］", "「": "」", "『": "』", "《": "》", "«": "»", "“": "”", "„": "“", "【": "】", "‹": "›", "‚": "‘"}
 CLOSERS = set(PAIRS.values()) | {'"', "“"}
 WIDE = set("。！？｡")
@@ -43,7 +60,8 @@ MARKER = re.compile(r"\s*(?:¶\s*\d+\.?|[(（]\d+[)）]|\[\d+\]|\d+[.)](?!\d)|§
 
 
 def _words(text: str) -> str:
-    return "|".join(re.escape(w) for w in sorted(text.split(), key=len, reverse=True))
+    """Alternatives, longest first; words with a backslash are patterns already."""
+    return "|".join(w if "\\" in w else re.escape(w) for w in sorted(text.split(), key=len, reverse=True))
 
 
 @dataclass(frozen=True)
@@ -55,35 +73,48 @@ class Rule:
     after: re.Pattern[str]
 
 
-def rule(breaks: bool, before: str, after: str = "") -> Rule:
-    return Rule(breaks, re.compile(rf"(?:{before})\Z"), re.compile(after))
+def rule(breaks: bool, before: str, after: str = "", engine: ModuleType = re) -> Rule:
+    return Rule(breaks, engine.compile(rf"(?:{before})\Z"), engine.compile(after))
 
 
-SMALL, NOT_START = r"[^\W\d_]", r"[,;:)\]»”’，、；：]|[-–—](?!\w)"
 W0 = r"(?<![^\W_])"  # a word begins here
+NUMBERS = r"[\d(█*\[§]"
 
-#: Tables cascade: those of a script come first, the shared one last; the first rule that fits decides.
-LATIN = [
+#: Tables cascade: that of a language or script comes first, the shared one last; the first rule that fits decides.
+_LATIN_FIRST = [
     rule(False, r"", r"[,;:）)\]，、；：]|[–—-]\s"),
-    rule(False, r"", r"(?-i:[a-zß-öø-ÿœ])"),
+    rule(False, r"", r"[a-zß-öø-ÿœ]"),
     # names of companies and closing formulas of citations
     rule(False, r"\./\.|/\.", r""),
     rule(False, r"(?<!\w)e\.", r"[KV]\."),
     rule(True, rf"{W0}(?:m\.\s*w\.\s*N|d\.\s*A|e\.\s*K|p\.\s*a)\.", r"[^\W\d_]|[„“\"«¿¡█*\[]"),
     rule(False, rf"{W0}(?:{_words(COMPANIES)})\.", r"[(\d&]"),
     rule(True, rf"{W0}(?:{_words(COMPANIES)})\.", r""),
-    rule(False, rf"{W0}(?:{_words(NUMBERED)})\.", r"[\d(]"),
+    rule(False, rf"{W0}(?:{_words(NUMBERED)}|per\s+cent)\.", r"[\d(█*\[]"),
     rule(True, rf"{W0}(?:{_words(NUMBERED)})\.", r""),
-    # German days before a month
+]
+_GERMAN_DAYS = [
     rule(False, r"(?<!\d)\d{1,2}\.", rf"(?:{_words(GERMAN_MONTHS)}|M\S{{1,3}}rz|J\S{{1,3}}nner)(?!\w)"),
     rule(False, r"(?<!\w)(?:[Aa]m|[Zz]um|[Vv]om|[Dd]em|[Dd]en)\s+\d{1,2}\.", r"[█*\[]|[A-Z]\."),
-    rule(False, rf"{W0}(?:{_words(' '.join(ABBREVIATIONS[x] for x in ('en', 'de', 'fr', 'es')))})\.", r""),
+]
+_LATIN_LAST = [
+    rule(False, rf"{W0}(?:{_words(BEFORE_NUMBERS)})\.", NUMBERS),
+    rule(False, rf"{W0}(?:{_words(BEFORE_LETTERS)})\.", r"(?:[IVXLC]{1,6}|[A-Z])(?![^\W_])"),
     rule(False, r"(?<!\w)[A-ZÀ-ÖØ-Þ]\.", r""),  # initials, and X. for a name taken out
     rule(False, r"\s(?:\.\.\.|…)", r"[█*\[\d]"),  # a gap in a quotation
 ]
+
+
+def _latin(*languages: str) -> list[Rule]:
+    never = " ".join(ABBREVIATIONS[x] for x in ("shared", *languages))
+    return [*_LATIN_FIRST, *(_GERMAN_DAYS if "de" in languages else []), rule(False, rf"{W0}(?:{_words(never)})\.", r""), *_LATIN_LAST]
+
+
+#: by language; "" where no language can be told
+LATIN = {**{x: _latin(x) for x in COMMON}, "": _latin(*COMMON)}
 CYRILLIC = [
     rule(False, r"", r"[,;:）)\]]|[–—-]\s"),
-    rule(False, r"", r"(?-i:[а-яёa-z])"),
+    rule(False, r"", r"[а-яёa-z]"),
     rule(True, r"\d\s*г\.", r"[А-ЯЁ«\[█*\d]"),
     rule(True, r"(?<!\w)руб\.", r""),
     rule(True, r"(?<!\w)и (?:др|пр|проч)\.", r"[А-ЯЁ«]"),
@@ -95,14 +126,76 @@ INDIC = [rule(False, r"", r"[,;:)\]]"), rule(False, rf"(?:{_words(ABBREVIATIONS[
 THAI_RULES = [rule(False, r"", r"[,;:)\]]"), rule(False, rf"[{THAI}]\.", r"")]
 WIDE_RULES = [rule(False, r"", r"[，、；：)）」』”]"), rule(False, r"(?:…|\.\.\.)+", r"")]
 SHARED = [rule(False, r"", r"[,;:)\]]"), rule(True, r"", r"")]
-
+#: blanks between Thai letters
+THAI_BLANK = [rule(True, rf"[{THAI}]", rf"[{THAI}]"), rule(False, r"", r"")]
+
+_BRACKET = r"[(\[（［【《]"
+#: After a quotation or bracket whose last sentence is complete. Before: ^ if it opens the sentence around it, else ~,
+#: and its opener; after: what follows, blanks kept as one.
+QUOTED = [
+    rule(False, r"", r" ?(?:[,;:，、；：،؛]|[–—-]\s)", regex),
+    rule(False, r"", r" ?\p{Ll}", regex),
+    rule(True, r"\^" + _BRACKET, r" ?(?:\p{Lu}|\P{L})", regex),
+    rule(False, _BRACKET, r"", regex),
+    rule(True, r"", r" ?\p{Lu}", regex),
+    rule(True, r"~.", r" ?[(\[（［「『《«“„【‹‚\"]", regex),
+    rule(True, r"", r" [(\[（［「『《«“„【‹‚\"]", regex),
+    rule(False, r"", r"[(\[（［「『《«“„【‹‚\"]", regex),
+    rule(False, r"[「『]", r" ?[とっのがをにはもで]", regex),
+    rule(True, r"~.", rf" ?[{CJK}]", regex),
+    rule(False, r"", rf" ?[{CJK}]", regex),
+    rule(True, r"~.", r" \p{L}", regex),  # scripts without case: a quotation that opens a sentence is attributed after it
+    rule(False, r"", r" ?\p{L}", regex),
+    rule(True, r"", r" ", regex),
+    rule(False, r"", r"", regex),
+]
+#: after a terminal with lost blanks: only what surely begins anew
+JOINED = [
+    rule(True, r"", r"[¿¡«“„\"「—]", regex),
+    rule(True, r"", r"\p{Lu}(?!\p{Lu})|[\p{Lo}\p{Lt}\p{Lm}]", regex),
+    rule(False, r"", r"", regex),
+]
 
 MISREAD = re.compile("Ã([\x80-\xbf])")  # UTF-8 read as Latin-1
-SMALL_ABBREVIATION = re.compile(rf"(?<!\w)(?:\w|{_words(' '.join(ABBREVIATIONS.values()).lower())})\.\Z")
+#: in a block without capitals, small letters begin sentences, but not after these
+SMALL_LETTERS = [rule(False, rf"(?<!\w)(?:\w|{_words(' '.join(ABBREVIATIONS.values()).lower())})\.", r"[^\W\d_]")]
+_LANGUAGE_OF = {w: x for x, words in COMMON.items() for w in words.split()}
+_LATIN_WORD = re.compile(r"[a-zà-öø-ÿ]+")
+
+
+def language_of(text: str) -> str | None:
+    """The language of the Latin script whose common words are most frequent, None if there are none or two tie."""
+    votes = dict.fromkeys(COMMON, 0)
+    for w in _LATIN_WORD.findall(text.lower()):
+        x = _LANGUAGE_OF.get(w)
+        if x:
+            votes[x] += 1
+    first, second = sorted(votes.values(), reverse=True)[:2]
+    return max(votes, key=votes.__getitem__) if first > second else None
+
+
+class Tongue:
+    """The language of a block, told from it, else from the whole text, else from its label; looked up once needed."""
+
+    def __init__(self, text: str, hint: str | None) -> None:
+        self.text, self.hint, self.whole, self.block = text, hint, None, ("", 0, 0, None)
+
+    def of(self, lo: int, hi: int) -> str:
+        if self.block[1:3] != (lo, hi):
+            self.block = ("", lo, hi, self._told(lo, hi))
+        return self.block[3]
 
+    def _told(self, lo: int, hi: int) -> str:
+        if x := language_of(self.text[lo:hi]):
+            return x
+        if self.whole is None:
+            label = (self.hint or "").strip().lower()[:2]
+            self.whole = language_of(self.text) or (label if label in COMMON else "")
+        return self.whole
 
-def table_for(ch: str) -> list[Rule]:
-    """The cascade for a position, by the script of the character before its punctuation."""
+
+def table_for(ch: str) -> list[Rule] | None:
+    """The cascade for a position, by the script of the character before its punctuation; None for the Latin one."""
     o = ord(ch)
     if 0x400 <= o < 0x530:
         return CYRILLIC
@@ -114,7 +207,7 @@ def table_for(ch: str) -> list[Rule]:
         return THAI_RULES
     if 0x3000 <= o < 0xA000 or 0xF900 <= o < 0xFB00 or 0x20000 <= o < 0x40000:
         return WIDE_RULES
-    return LATIN
+    return None
 
 
 def _written(t: str) -> str:
@@ -126,22 +219,51 @@ def _written(t: str) -> str:
     return unicodedata.normalize("NFC", t)
 
 
-def decides(text: str, lo: int, end: int, nxt: int, script: str, small: bool = False) -> bool:
+SIGHT = 24  # no rule looks further, blanks counted as one
+
+
+def _before(text: str, lo: int, end: int) -> str:
+    """What precedes a position, runs of blanks and line breaks as one blank, however long they are."""
+    n = SIGHT
+    while True:
+        w = text[max(lo, end - n) : end]
+        c = " ".join(w.split())
+        if len(c) >= SIGHT or end - n <= lo:
+            return _written(c[-SIGHT:])
+        n *= 2
+
+
+def _after(text: str, nxt: int, hi: int) -> str:
+    n = SIGHT
+    while True:
+        w = text[nxt : min(hi, nxt + n)]
+        c = " ".join(w.split())
+        if len(c) >= SIGHT or nxt + n >= hi:
+            return _written(c[:SIGHT])
+        n *= 2
+
+
+def first_fit(before: str, after: str, *tables: list[Rule]) -> bool | None:
+    """What the first rule decides whose pair fits; None if none does."""
+    for rules in tables:
+        for r in rules:
+            if r.after.match(after) and r.before.search(before):
+                return r.breaks
+    return None
+
+
+def decides(text: str, lo: int, hi: int, end: int, nxt: int, script: str, tongue: Tongue, small: bool = False) -> bool:
     """Whether a unit ends at ``end``: the first rule whose pair fits there decides.
 
     ``small``: the block has no capitals at all, so that small letters may begin sentences.
     """
-    before = _written(text[max(lo, end - 16) : end])
-    after = _written(text[nxt : nxt + 16])
+    before, after = _before(text, lo, end), _after(text, nxt, hi)
     if small:
-        if text[nxt].islower() and before[-1:] == "." and SMALL_ABBREVIATION.search(before):
+        if first_fit(before, after, SMALL_LETTERS) is False:
             return False
-        after = after.upper() if len(after.upper()) == len(after) else after
-    for rules in (table_for(script), SHARED):
-        for r in rules:
-            if r.after.match(after) and r.before.search(before):
-                return r.breaks
-    return True
+        after = (after[:1].upper() if len(after[:1].upper()) == 1 else after[:1]) + after[1:]
+    table = table_for(script)
+    return bool(first_fit(before, after, LATIN[tongue.of(lo, hi)] if table is None else table, SHARED))
 
 
 def _pairs(text: str, found: list[re.Match[str]]) -> dict[int, int]:
@@ -174,20 +296,21 @@ def _skip(text: str, at: int, hi: int) -> int:
     return at
 
 
-def block_units(text: str, lo: int, hi: int) -> Iterator[int]:
+def block_units(text: str, lo: int, hi: int, tongue: Tongue | None = None) -> Iterator[int]:
     """Ends of the units of one block, text[lo:hi]."""
     while hi > lo and (text[hi - 1].isspace() or text[hi - 1] in "​﻿"):
         hi -= 1
     lo = _skip(text, lo, hi)
     if lo >= hi:
         return
+    tongue = tongue or Tongue(text, None)
     m = MARKER.match(text, lo, hi)
     start = m.end() if m else lo  # where the running sentence begins, paragraph number aside
     found = list(TOKENS.finditer(text, start, hi))
     pairs = _pairs(text, found) if any(f.group()[0] in PAIRS or f.group() == '"' for f in found) else {}
     inside = start
     own = text[start:hi]
-    small = hi - start > 40 and own == own.lower() and own != own.upper()
+    small = own == own.lower() and own != own.upper()
     for f in found:
         at, end = f.span()
         c = text[at]
@@ -195,8 +318,9 @@ def block_units(text: str, lo: int, hi: int) -> Iterator[int]:
             continue
         if c not in TERMINALS:
             if c.isspace():
-                yield at
-                start = inside = end
+                if first_fit(text[at - 1], text[end], THAI_BLANK):
+                    yield at
+                    start = inside = end
             elif at in pairs:
                 close = pairs[at]
                 inside = close + 1
@@ -215,7 +339,8 @@ def block_units(text: str, lo: int, hi: int) -> Iterator[int]:
                     continue  # the end of the block ends it
                 if text[nxt] in TERMINALS:  # the sentence goes on to its own full stop
                     continue
-                if _quotation_ends(text, start, at, end, nxt):
+                around = ("^" if _skip(text, start, at) == at else "~") + c
+                if first_fit(around, (" " if nxt > end else "") + text[nxt : nxt + 2], QUOTED):
                     yield end
                     start = inside = nxt
             continue
@@ -229,7 +354,7 @@ def block_units(text: str, lo: int, hi: int) -> Iterator[int]:
         if nxt >= hi:
             break
         wide = text[at] in WIDE or text[f.end() - 1] in WIDE
-        if nxt == end and not wide and not _begins(text, nxt):  # lost blanks: only what surely begins anew
+        if nxt == end and not wide and not first_fit("", text[nxt : nxt + 2], JOINED):
             continue
         if at == start:  # nothing but punctuation so far
             continue
@@ -240,61 +365,33 @@ def block_units(text: str, lo: int, hi: int) -> Iterator[int]:
             script = text[k]
         if script.isdigit() and c == "." and not wide:
             script = "a" if text[nxt] < "Ѐ" else text[nxt]
-        if decides(text, lo, end if end == f.end() else f.end(), nxt, script, small):
+        if decides(text, lo, hi, f.end(), nxt, script, tongue, small):
             yield end
             start = inside = nxt
     yield hi
 
 
-def _begins(text: str, at: int) -> bool:
-    """Whether a sentence may begin here although no blank stands before it."""
-    c, more = text[at], text[at + 1 : at + 2]
-    if c in "¿¡«“„\"「—":
-        return True
-    return c.isalpha() and not c.islower() and not (c.isupper() and more.isupper())
-
-
-def _quotation_ends(text: str, start: int, opened: int, end: int, nxt: int) -> bool:
-    """Whether a quotation or bracket whose last sentence is complete closes the sentence around it."""
-    c = text[nxt]
-    if c in ",;:，、；：،؛" or c in "–—-" and text[nxt + 1 : nxt + 2].isspace():
-        return False
-    if c.islower():
-        return False
-    if c.isupper() and text[opened] not in "([（［【《":
-        return True
-    if text[opened] in "([（［【《":
-        return _skip(text, start, opened) == opened and (c.isupper() or not c.isalpha())
-    if c in PAIRS:
-        return opened > start or end < nxt
-    if re.match(rf"[{CJK}]", c):
-        if text[opened] in "「『":
-            return c not in "とっのがをにはもで" and opened > start
-        return opened > start
-    if c.isalpha() and not c.isupper():  # scripts without case: a quotation that opens a sentence is attributed after it
-        return opened > start and end < nxt
-    return end < nxt
-
-
-def unit_ends(text: str | None) -> list[int]:
+def unit_ends(text: str | None, hint: str | None = None) -> list[int]:
     """Code points from the start of the text to the end of each of its sentence units."""
     if not text:
         return []
     t = without_headers(text, fill=True)
+    tongue = Tongue(t, hint)
     out: list[int] = []
     at = 0
     for m in BLOCK_END.finditer(t):
-        out.extend(block_units(t, at, m.start()))
+        out.extend(block_units(t, at, m.start(), tongue))
         at = m.end()
-    out.extend(block_units(t, at, len(t)))
+    out.extend(block_units(t, at, len(t), tongue))
     return out
 
 
-def sentence_units(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def sentence_units(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """(key, end_pos) of every sentence unit of every text.
 
     Blocks (parted by blank lines) end units; within a block the rule tables decide each position after
-    sentence punctuation, and blanks between Thai letters. Quotations and brackets are passed over whole; running
+    sentence punctuation, and blanks between Thai letters. The table is that of the block's language, told from
+    its common words, else from the text's; a label in ``lang``, if there is one, helps where neither tells. Quotations and brackets are passed over whole; running
     page headers count as blanks. NULL, empty and blank texts have no rows; texts are read whole.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -303,8 +400,9 @@ def sentence_units(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         import numpy as np
 
         for pdf in batches:
-            ends = [unit_ends(t) for t in pdf[text]]
+            ends = [unit_ends(t, x if isinstance(x, str) else None) for t, x in zip(pdf[text], pdf["hint_"])]
             counts = [len(e) for e in ends]
             yield pd.DataFrame({key: pdf[key].to_numpy().repeat(counts), "end_pos": np.fromiter((x for e in ends for x in e), np.int32, sum(counts))})
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, end_pos int")
+    hint = F.col(lang) if lang in docs.columns else F.lit(None)
+    return docs.select(key, text, hint.cast("string").alias("hint_")).mapInPandas(run, f"{key} {kind}, end_pos int")
