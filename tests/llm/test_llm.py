@@ -98,6 +98,9 @@ def test_leaks_empty_and_blocks(spark, monkeypatch):
     assert found(spark, ["some text"], [(4, "too short")]) == set()
     monkeypatch.setattr(leaks, "LARGEST_SET", 1)
     assert found(spark, [PASSAGE + " " + CHINESE]) == {(0, 1), (0, 2)}
+    other = " ".join(reversed(PASSAGE.split()))
+    monkeypatch.setattr(leaks, "HELD_TEXT", 10)  # several blocks beside several slices of documents
+    assert found(spark, [PASSAGE, "", other, CHINESE, None], [(1, PASSAGE), (1, PASSAGE), (2, CHINESE), (3, other)]) == {(0, 1), (2, 3), (3, 2)}
 
 
 def test_search_equals_brute_force():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 
 from tickloom.llm.pages import without_headers
 
-LARGEST_SET = 8_000_000  # characters of passages broadcast for one pass; a larger evaluation set takes several
+LARGEST_SET = 8_000_000  # characters of passages in one broadcast; a larger evaluation set makes several, all searched in one pass
+HELD_TEXT = 8_000_000  # characters of documents held taken apart while several blocks go by
 
 # Invisible characters, ways of blacking out, and characters written in more than one form.
 INVISIBLE = re.compile("­\\s*|[​-‏⁠﻿ـ︀-️]")
@@ -48,10 +49,10 @@ def normalise(text: str) -> str:
     return IN_FORMS.sub(lambda m: FORMS[m.group()], t)
 
 
-def spellings(word: str) -> set[str]:
-    """The ways punctuation within a word may be written."""
+def spellings(word: str) -> list[str]:
+    """The ways punctuation within a word may be written, as written first."""
     bare = re.sub(r"[.,']", "", word)
-    return {word, bare, word.replace(".", ","), word.replace(",", "."), word.translate({44: 46, 46: 44})}
+    return list(dict.fromkeys([word, bare, word.replace(".", ","), word.replace(",", "."), word.translate({44: 46, 46: 44})]))
 
 
 def units(normal: str, chars: bool) -> list[str]:
@@ -64,49 +65,56 @@ def by_characters(text: str) -> bool:
 
 
 class PatternSet:
-    """All runs of ``pattern`` units of the passages, ready for the search."""
+    """All runs of ``pattern`` units of the passages, ready for the search: plain arrays, built once and broadcast."""
 
     def __init__(self, passages: list[tuple[int, list[str]]], search: Search) -> None:
-        self.search, self.ids, self.items, self.names = search, {"": 0}, [], []
-        for name, u in passages:
-            self.names.append(name)
-            self.items.append(np.array([self._id(x) for x in u], np.int64))
-        self.size = max(self.ids.values()) + 1
+        self.search, self.ids, self.names = search, {"": 0}, [name for name, _ in passages]
+        self.last = 0
+        self.items = [np.fromiter((self._id(x) for x in u), np.int64, len(u)) for _, u in passages]
+        self.size = self.last + 1
         m, b = search.pattern, search.block
         self.reach = m - b + 1  # the largest shift
-        shift: dict[int, int] = {}
-        bucket: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, it in enumerate(self.items):
-            for start in range(len(it) - m + 1):
-                for end in range(b, m + 1):
-                    h = self._block(it[start + end - b : start + end])
-                    shift[h] = min(shift.get(h, self.reach), m - end)
-                bucket[self._run(it[start : start + m])].append((k, start))
-        self.blocks = np.array(sorted(shift), np.int64)
-        self.shifts = np.array([shift[h] for h in sorted(shift)], np.int64)
-        self.runs = np.array(sorted(bucket), np.int64)
-        self.places = [bucket[h] for h in sorted(bucket)]
+        long_ = [k for k, it in enumerate(self.items) if len(it) >= m]
+        empty = np.zeros(0, np.int64)
+        # the last block of some run has shift 0; only blocks nearer to a passage's start than a run are farther from an end
+        hashes = np.concatenate([empty, *[self._blocks_of(self.items[k]) for k in long_]])
+        shifts = np.concatenate([empty, *[np.maximum(m - b - np.arange(len(self.items[k]) - b + 1), 0) for k in long_]])
+        order = np.lexsort((shifts, hashes))
+        first = np.flatnonzero(np.concatenate([[True], np.diff(hashes[order]) != 0])) if len(order) else empty
+        self.blocks, self.shifts = hashes[order][first], shifts[order][first]
+        runs = np.concatenate([empty, *[self._runs_of(self.items[k], np.arange(len(self.items[k]) - m + 1)) for k in long_]])
+        item = np.concatenate([empty, *[np.full(len(self.items[k]) - m + 1, k) for k in long_]])
+        place = np.concatenate([empty, *[np.arange(len(self.items[k]) - m + 1) for k in long_]])
+        order = np.lexsort((place, item, runs))
+        self.runs, start = np.unique(runs[order], return_index=True)
+        self.bucket = np.append(start, len(runs))  # suffix-hash buckets: runs[i] stands at places bucket[i] to bucket[i + 1]
+        self.item, self.place = item[order], place[order]
 
     def _id(self, unit: str) -> int:
+        if unit in self.ids:
+            return self.ids[unit]
         ways = spellings(unit)
-        known = [self.ids[w] for w in ways if w in self.ids]
-        number = known[0] if known else max(self.ids.values()) + 1
+        number = next((self.ids[w] for w in ways if w in self.ids), None)
+        if number is None:
+            self.last += 1
+            number = self.last
         for w in ways:
             self.ids.setdefault(w, number)
         return number
 
-    def _block(self, x: np.ndarray) -> int:
-        h = 0
-        for v in x:
-            h = h * self.size + int(v)
+    def _blocks_of(self, x: np.ndarray) -> np.ndarray:
+        b, n = self.search.block, len(x)
+        h = x[: n - b + 1].copy()
+        for k in range(1, b):
+            h = h * self.size + x[k : n - b + 1 + k]
         return h
 
-    def _run(self, x: np.ndarray) -> int:
-        h = np.uint64(0)
+    def _runs_of(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        run = np.zeros(len(starts), np.uint64)
         with np.errstate(over="ignore"):
-            for v in x.astype(np.uint64):
-                h = h * np.uint64(0x100000001B3) + v + np.uint64(1)
-        return int(h.view(np.int64))
+            for k in range(self.search.pattern):
+                run = run * np.uint64(0x100000001B3) + x[starts + k].astype(np.uint64) + np.uint64(1)
+        return run.view(np.int64)
 
     def code(self, u: list[str]) -> np.ndarray:
         get = self.ids.get
@@ -117,9 +125,7 @@ class PatternSet:
         m, b, n = self.search.pattern, self.search.block, len(x)
         if n < m or not len(self.runs):
             return
-        h = x[: n - b + 1].copy()
-        for k in range(1, b):
-            h = h * self.size + x[k : n - b + 1 + k]
+        h = self._blocks_of(x)
         # shift table: every run of m units covers a probe, so windows around probes of full shift are skipped
         probes = np.arange(0, len(h), self.reach)
         live = probes[self._shift(h[probes]) < self.reach]
@@ -131,16 +137,13 @@ class PatternSet:
         if not len(ends):
             return
         starts = ends - (m - b)
-        run = np.zeros(len(starts), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(m):
-                run = run * np.uint64(0x100000001B3) + x[starts + k].astype(np.uint64) + np.uint64(1)
-        run = run.view(np.int64)
+        run = self._runs_of(x, starts)
         at = np.searchsorted(self.runs, run)
         at[at == len(self.runs)] = 0
         for i in np.flatnonzero(self.runs[at] == run):
             s = int(starts[i])
-            for item, place in self.places[at[i]]:
+            for k in range(self.bucket[at[i]], self.bucket[at[i] + 1]):
+                item, place = int(self.item[k]), int(self.place[k])
                 if np.array_equal(self.items[item][place : place + m], x[s : s + m]):  # direct comparison
                     yield item, place, s
 
@@ -202,45 +205,61 @@ class PatternSet:
         return bool(np.any(prefix[least:] >= low))
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, words: Search = WORDS, chars: Search = CHARS) -> DataFrame:
-    """(item_id, doc_id) of every document holding a long enough stretch of an item's passage.
+def pattern_blocks(passages: Iterable[tuple[int, str]], words: Search, chars: Search) -> Iterator[tuple[PatternSet, PatternSet]]:
+    """Pattern sets (by words, by characters) of at most LARGEST_SET characters of passages each, or of one passage."""
+    held: list[tuple[int, str]] = []
+
+    def built() -> tuple[PatternSet, PatternSet]:
+        kinds = {c: [(i, units(normalise(p), c)) for i, p in held if by_characters(p) == c] for c in (False, True)}
+        return PatternSet(kinds[False], words), PatternSet(kinds[True], chars)
 
-    docs: (doc_id, text); items: (item_id, passage). A stretch may begin or end with an altered word. Passages are
-    broadcast in blocks of at most LARGEST_SET characters (or one passage), each block searched in its own pass. NULL and empty texts or passages, and
-    passages shorter than a stretch, give nothing; repeated items are reported each. Documents are read once,
-    whole, and nothing is shuffled.
-    """
-    known = [(r[0], r[1]) for r in items.where("item_id IS NOT NULL AND passage IS NOT NULL").select("item_id", "passage").toLocalIterator()]
-    blocks: list[list[tuple[int, str]]] = [[]]
     size = 0
-    for item, passage in known:
-        if blocks[-1] and size + len(passage) > LARGEST_SET:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, passage))
+    for item, passage in passages:
+        if held and size + len(passage) > LARGEST_SET:
+            yield built()
+            held, size = [], 0
+        held.append((item, passage))
         size += len(passage)
-    out = _search_block(docs, blocks[0], words, chars)
-    for block in blocks[1:]:
-        out = out.unionByName(_search_block(docs, block, words, chars))
-    return out
+    yield built()
 
 
-def _search_block(docs: DataFrame, known: list[tuple[int, str]], words: Search, chars: Search) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+def leaked_items(docs: DataFrame, items: DataFrame, words: Search = WORDS, chars: Search = CHARS) -> DataFrame:
+    """(item_id, doc_id) of every document holding a long enough stretch of an item's passage.
+
+    docs: (doc_id, text); items: (item_id, passage). A stretch may begin or end with an altered word. The tables of the
+    search are built once, from passages streamed to the driver a block of at most LARGEST_SET characters (or one
+    passage) at a time, and broadcast by block. NULL and empty texts or passages, and
+    passages shorter than a stretch, give nothing; repeated items are reported each. Documents are read and taken apart
+    once, whole, whatever the number of blocks, and nothing is shuffled; of several blocks a task holds one at a time.
+    """
+    sc = docs.sparkSession.sparkContext
+    known = ((r[0], r[1]) for r in items.where("item_id IS NOT NULL AND passage IS NOT NULL").select("item_id", "passage").toLocalIterator())
+    blocks = [sc.broadcast(b) for b in pattern_blocks(known, words, chars)]
+
+    def search(taken: list[tuple[int, list[str], list[str] | None]], hits: dict[int, set[int]]) -> None:
+        for block in blocks:
+            by_word, by_char = block.value
+            for k, w, c in taken:
+                hits[k] |= by_word.found(by_word.code(w))
+                if c is not None and by_char.items:
+                    hits[k] |= by_char.found(by_char.code(c))
+            if len(blocks) > 1:
+                block.__dict__.pop("_value", None)  # read anew from the worker's disk for the next documents
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kinds = {c: [(i, units(normalise(p), c)) for i, p in sent.value if by_characters(p) == c] for c in (False, True)}
-        by_word, by_char = PatternSet(kinds[False], words), PatternSet(kinds[True], chars)
         for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                if not text:
-                    continue
-                t = normalise(text)
-                hit = by_word.found(by_word.code(units(t, False)))
-                if by_char.items and CJK.search(t):
-                    hit |= by_char.found(by_char.code(units(t, True)))
-                rows += [(i, doc) for i in sorted(hit)]
-            yield pd.DataFrame(rows, columns=["item_id", "doc_id"]).astype("int64")
+            hits: dict[int, set[int]] = defaultdict(set)
+            taken, size = [], 0
+            for k, text in enumerate(pdf["text"]):
+                if text:
+                    t = normalise(text)
+                    taken.append((k, units(t, False), units(t, True) if CJK.search(t) else None))
+                    size += len(t)
+                    if len(blocks) == 1 or size > HELD_TEXT:
+                        search(taken, hits)
+                        taken, size = [], 0
+            search(taken, hits)
+            ids = pdf["doc_id"].to_numpy()
+            yield pd.DataFrame([(i, ids[k]) for k in sorted(hits) for i in sorted(hits[k])], columns=["item_id", "doc_id"]).astype("int64")
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "item_id bigint, doc_id bigint")
