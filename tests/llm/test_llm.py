@@ -19,8 +19,8 @@ def test_nearest_against_brute_force(spark):
     left += [("a", 900, 1_000_050), ("a", 901, 999_950), ("c", 902, 5), (None, 903, 5), ("a", 904, None)]
     a = spark.createDataFrame(left + left[:10], "entity string, left_id long, at long")
     b = spark.createDataFrame(right + right[:10] + [("a", None, 7), (None, 1, 7)], "entity string, right_id long, at long")
-    for bucket in (10_000, 10**9):
-        got = {(r["left_id"], r["right_id"]) for r in nearest.nearest_in_time(a, b, 200, bucket).collect()}
+    for bucket, per_task in ((10_000, 500_000), (10**9, 500_000), (10**9, 7)):  # wide, and divided by count
+        got = {(r["left_id"], r["right_id"]) for r in nearest.nearest_in_time(a, b, 200, bucket, per_task).collect()}
         want = set()
         for e, i, t in left:
             if e is None or t is None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_us: int, bucket_us: int = 900_000_000) -> DataFrame:
+def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_us: int, bucket_us: int = 900_000_000, per_task: int = 500_000) -> DataFrame:
     """For each left record the nearest right one of its entity, before or after, within the tolerance.
 
     left: (entity, left_id, at); right: (entity, right_id, at), instants in microseconds. Returns (left_id, right_id,
@@ -16,14 +16,19 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_us: int, bucket
     are left out; repeated rows count once; empty sides give no rows.
 
     Time is cut into buckets, so that a hot entity spreads over many tasks; right rows within the tolerance of
-    an edge also go to the bucket beyond it. Left rows first look up which buckets they need: right rows
-    of other buckets are dropped before they are sorted.
+    an edge also go to the bucket beyond it. Buckets of ``bucket_us`` are divided where the fullest one would hold more
+    than ``per_task`` records, though not below four tolerances, since rows near edges are held twice.
     """
-    if tolerance_us >= bucket_us:
-        bucket_us = tolerance_us + 1
-    bucket = lambda c: F.floor(c / F.lit(bucket_us)).cast("bigint")
-    a = left.select("entity", F.col("left_id"), "at").dropna().select("entity", bucket(F.col("at")).alias("b"), "at", F.lit(1).alias("is_left"), F.col("left_id").alias("id"))
+    least = max(4 * tolerance_us, 1)
+    bucket_us = max(bucket_us, least)
+    a = left.select("entity", F.col("left_id"), "at").dropna()
     r = right.select("entity", F.col("right_id"), "at").dropna()
+    wide = lambda df: df.select("entity", F.floor(F.col("at") / F.lit(bucket_us)).alias("b"))
+    fullest = wide(a).unionByName(wide(r)).groupBy("entity", "b").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n"))
+    width = F.greatest(F.floor(F.lit(bucket_us) / F.greatest(F.ceil(fullest.scalar() / per_task), F.lit(1))), F.lit(least)).cast("bigint")
+    a, r = a.withColumn("width", width), r.withColumn("width", width)
+    bucket = lambda c: F.floor(c / F.col("width")).cast("bigint")
+    a = a.select("entity", bucket(F.col("at")).alias("b"), "at", F.lit(1).alias("is_left"), F.col("left_id").alias("id"))
     first, last = bucket(F.col("at") - tolerance_us), bucket(F.col("at") + tolerance_us)
     b = r.select("entity", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last))).alias("b"), "at", F.lit(0).alias("is_left"), F.col("right_id").alias("id"))
     both = a.unionByName(b)
