@@ -21,28 +21,26 @@ def as_known(events: DataFrame, changes: DataFrame, kinds: list[str], bucket_us:
 
     Both sides are co-grouped by entity and time bucket, so that neither a hot entity nor a long history
     meets in one task: each bucket gets, beside its own changes, the single best version per kind of all
-    earlier buckets (a running maximum over one row per bucket). A bucket of more than ``per_task`` events is
-    salted into so many parts, by its count. Inside a group
+    earlier buckets (a running maximum over one row per bucket). Buckets of ``bucket_us`` are divided in time where the
+    fullest one would hold more than ``per_task`` events. Inside a group
     the versions in order of activation are turned into a running best, found by vectorised binary search.
     """
-    ev = events.select("entity", "event_id", "at", F.floor(F.col("at") / bucket_us).alias("b")).dropna()
-    counts = ev.groupBy("entity", "b").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts"))
+    ev = events.select("entity", "event_id", "at").dropna()
+    fullest = ev.groupBy("entity", F.floor(F.col("at") / bucket_us)).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n"))
+    parts = F.greatest(F.ceil(fullest.scalar() / per_task), F.lit(1))
+    width = F.greatest(F.floor(F.lit(bucket_us) / parts), F.lit(1)).cast("bigint")
+    ev = ev.withColumn("b", F.floor(F.col("at") / width))
     ch = changes.where(F.col("kind").isin(kinds)).select("entity", "kind", "change_id", "valid", "known").dropna()
-    ch = ch.withColumn("active", F.greatest("valid", "known")).withColumn("b", F.floor(F.col("active") / bucket_us))
-    rank = F.struct("valid", "known", "change_id")
-    best = ch.groupBy("entity", "kind", "b").agg(F.max(rank).alias("best"))
+    ch = ch.withColumn("active", F.greatest("valid", "known")).withColumn("b", F.floor(F.col("active") / width))
+    best = ch.groupBy("entity", "kind", "b").agg(F.max(F.struct("valid", "known", "change_id")).alias("best"))
     # event buckets hold no change of their own unless some became active in them
-    asked = counts.select("entity", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"), "b", "salts", F.lit(None).cast(best.schema["best"].dataType).alias("best"), F.lit(1).alias("ask"))
-    line = best.withColumn("ask", F.lit(0)).withColumn("salts", F.lit(None).cast("int")).unionByName(asked)
+    asked = ev.select("entity", "b").distinct().select("entity", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"), "b", F.lit(None).cast(best.schema["best"].dataType).alias("best"), F.lit(1).alias("ask"))
     w = Window.partitionBy("entity", "kind").orderBy("b").rangeBetween(Window.unboundedPreceding, -1)
-    carried = line.withColumn("carry", F.max("best").over(w)).where("ask = 1 AND carry IS NOT NULL")
-    carried = carried.select("entity", "kind", F.col("carry.change_id").alias("change_id"), F.col("carry.valid").alias("valid"), F.col("carry.known").alias("known"), F.greatest("carry.valid", "carry.known").alias("active"), "b", "salts")
-    own = ch.join(counts, ["entity", "b"])
-    versions = own.unionByName(carried).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    salted = ev.join(counts, ["entity", "b"]).withColumn("salt", F.pmod(F.xxhash64("event_id"), F.col("salts")).cast("int")).drop("salts")
-    keys = ["entity", "b", "salt"]
-    versions = versions.select(*[F.col(k).alias(f"of_{k}") for k in keys], "kind", "change_id", "valid", "known", "active")
-    return salted.groupBy(*keys).cogroup(versions.groupBy(*[f"of_{k}" for k in keys])).applyInArrow(_search, "event_id bigint, kind string, change_id bigint")
+    carried = best.withColumn("ask", F.lit(0)).unionByName(asked).withColumn("carry", F.max("best").over(w)).where("ask = 1 AND carry IS NOT NULL")
+    carried = carried.select("entity", "kind", *[F.col(f"carry.{c}").alias(c) for c in ("change_id", "valid", "known")], F.greatest("carry.valid", "carry.known").alias("active"), "b")
+    keys = ["entity", "b"]
+    versions = ch.unionByName(carried).select(*[F.col(k).alias(f"of_{k}") for k in keys], "kind", "change_id", "valid", "known", "active")
+    return ev.groupBy(*keys).cogroup(versions.groupBy(*[f"of_{k}" for k in keys])).applyInArrow(_search, "event_id bigint, kind string, change_id bigint")
 
 
 FOUND = pa.schema([("event_id", pa.int64()), ("kind", pa.string()), ("change_id", pa.int64())])
