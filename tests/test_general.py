@@ -244,6 +244,47 @@ def test_edit_script_nested_move():
     assert ("move", "b.y", "c.y2") in drift.edit_script(old, new)
 
 
+def schema(columns, rows, end):
+    return drift.Schema(columns, {}, **{end: [dict(zip(columns, r)) for r in rows]})
+
+
+def test_values_overrule_names():
+    rows = [("1.5", "900.25"), ("2.5", "800.75"), ("3.5", "700.5")]
+    swapped = drift.edit_script(schema(["px", "cash"], rows, "last"), schema(["px", "cash"], [r[::-1] for r in rows], "first"))
+    assert sorted(swapped) == [("rename", "cash", "px"), ("rename", "px", "cash")]
+    taken = drift.edit_script(schema(["qty"], [("10",), ("20",), ("30",)], "last"), schema(["shares", "qty"], [("10", "7"), ("20", "8"), ("30", "9")], "first"))
+    assert sorted(taken, key=str) == [("add", None, "qty"), ("rename", "qty", "shares")]
+    unknown = drift.edit_script(schema(["a", "b"], [], "last"), schema(["b", "a"], [], "first"))
+    assert sorted(unknown) == [("keep", "a", "a"), ("keep", "b", "b")]
+
+
+def test_objects_are_nodes():
+    rows = [("7.5", "3", "X"), ("8.5", "4", "Y")]
+    renamed = drift.edit_script(schema(["trade.px", "trade.qty", "trade.venue"], rows, "last"), schema(["deal.px", "deal.qty", "deal.venue"], rows, "first"))
+    assert sorted(renamed) == [("keep", f"trade.{c}", f"deal.{c}") for c in ("px", "qty", "venue")] + [("rename_node", "trade", "deal")]
+    wrapped = drift.edit_script(schema(["px", "qty"], [r[:2] for r in rows], "last"), schema(["trade.px", "trade.qty"], [r[:2] for r in rows], "first"))
+    assert sorted(wrapped) == [("move", "px", "trade.px"), ("move", "qty", "trade.qty")]
+    both = drift.edit_script(schema(["a", "a.b"], rows, "last"), schema(["a", "a.b"], rows, "first"))
+    assert sorted(both) == [("keep", "a", "a"), ("keep", "a.b", "a.b")]
+    assert drift.edit_script(schema([], [], "last"), schema(["x"], [], "first")) == [("add", None, "x")]
+
+
+def test_tree_distance_is_least():
+    """Against all ways to pair the columns of flat schemas."""
+    from itertools import permutations
+
+    rng = random.Random(4)
+    for _ in range(30):
+        a, b = [f"c{i}" for i in range(rng.randint(0, 4))], [rng.choice(["c", "d"]) + str(i) for i in range(rng.randint(0, 4))]
+        old = schema(a, [[str(rng.randint(1, 3)) for _ in a] for _ in range(2)], "last")
+        new = schema(b, [[str(rng.randint(1, 3)) for _ in b] for _ in range(2)], "first")
+        got = drift.TreeEdit(old, new).trees(drift.tree_of(a), drift.tree_of(b))[0]
+        small, large, flip = (a, b, False) if len(a) <= len(b) else (b, a, True)
+        cost = lambda x, y: min(drift.relabel_cost(y, x, old, new) if flip else drift.relabel_cost(x, y, old, new), 2.0)  # noqa: B023, E731
+        want = min(sum(cost(x, y) for x, y in zip(small, p)) + len(large) - len(small) for p in permutations(large, len(small)))
+        assert got == pytest.approx(want)
+
+
 def test_assignment_is_optimal():
     from itertools import permutations
 

@@ -7,9 +7,11 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,16 +67,27 @@ def flat(value: object, path: str = "") -> Iterator[tuple[str, str]]:
         yield path, "" if value is None else str(value).strip()
 
 
-def parse_line(line: str, header: str | None) -> list[tuple[str, str]]:
-    """(column, text) of one line; ``header`` is the file's header line, or None for JSON lines."""
-    if header is None:
-        try:
-            return list(flat(json.loads(line.strip(" \r\n﻿"), parse_int=str, parse_float=str, parse_constant=str)))
-        except ValueError:
-            return []
-    sep = separator_of(header)
-    names = [clean(x) for x in split_line(header.lstrip("﻿"), sep)]
-    return list(zip(names, split_line(line, sep)))
+class LineParser:
+    """Cells of lines, with each header read once; ``header`` is a file's header line, or None for JSON lines."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[str, list[str]]] = {}
+
+    def cells(self, line: str, header: str | None) -> tuple[list[str], list[str]]:
+        """Names and texts of one line; a broken JSON line has none, a short line only its first columns."""
+        if header is None:
+            try:
+                got = list(flat(json.loads(line.strip(" \r\n\ufeff"), parse_int=str, parse_float=str, parse_constant=str)))
+            except ValueError:
+                return [], []
+            return [n for n, _ in got], [v for _, v in got]
+        if header not in self.known:
+            sep = separator_of(header)
+            self.known[header] = sep, [clean(x) for x in split_line(header.lstrip("\ufeff"), sep)]
+        sep, names = self.known[header]
+        values = split_line(line, sep) if '"' in line else [x.strip() for x in line.rstrip("\r\n").split(sep)]
+        n = min(len(names), len(values))
+        return names[:n], values[:n]
 
 
 def kind_of(text: str) -> str | None:
@@ -107,6 +120,7 @@ def plain_number(text: str) -> float | None:
         return None
 
 
+@lru_cache(maxsize=4096)
 def quantity_of(text: str) -> object:
     """What a value says, whatever its writing: a number, an instant in seconds, or upper-case text; None if missing."""
     t = text.strip()
@@ -172,19 +186,25 @@ def border(old: Schema, new: Schema) -> list[tuple[dict[str, str], dict[str, str
     return list(zip(old.last[len(old.last) - n :], new.first[:n])) if n else []
 
 
+REMOVE_ADD = 2.0  # a leaf removed and another added
+
+
 def relabel_cost(a: str, b: str, old: Schema, new: Schema) -> float:
-    """Cost of turning column a into b, between 0 (the same) and 2 (no cheaper than remove and add)."""
-    if a == b:
-        return 0.0
+    """Cost of turning column a into b, between 0 (the same) and 2 (no cheaper than remove and add).
+
+    The values of the rows both files hold overrule the names, equal ones too; without such rows names decide.
+    """
     fa, fb = FIELD_OF.get(fold(a.rpartition(".")[2])), FIELD_OF.get(fold(b.rpartition(".")[2]))
     same_name = fold(a) == fold(b) or (fa is not None and fa == fb)
     seen = evidence(a, b, old, new)
+    if a == b:
+        return 0.0 if seen is None or seen >= 0.5 else 1.6
     if seen is None:  # nothing but the names can tell
-        return 0.5 if same_name else 2.0
+        return 0.5 if same_name else REMOVE_ADD
     if same_name:
         return 0.3 if seen >= 0.5 else 1.2
     if fa is not None and fb is not None and fa != fb:  # two names known to mean different things
-        return 2.0 if seen < 1 else 1.5
+        return REMOVE_ADD if seen < 1 else 1.5
     return 0.4 + 1.6 * (1 - seen)
 
 
@@ -225,35 +245,118 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(b, a) for a, b in pairs] if turned else pairs
 
 
+@dataclass
+class Node:
+    """A node of a schema tree: an object with its members, or a column (a leaf)."""
+
+    path: str
+    leaf: bool
+    kids: list[Node] = field(default_factory=list)
+
+    @property
+    def name(self) -> str:
+        return self.path.rpartition(".")[2]
+
+    def size(self) -> int:
+        return 1 + sum(k.size() for k in self.kids)
+
+
+def tree_of(columns: list[str]) -> Node:
+    """The tree whose leaves are the columns, dotted paths being members of objects."""
+    root, inner = Node("", False), {}
+    for c in dict.fromkeys(columns):
+        above = root
+        parts = c.split(".")
+        for i in range(1, len(parts)):
+            path = ".".join(parts[:i])
+            if path not in inner:
+                inner[path] = Node(path, False)
+                above.kids.append(inner[path])
+            above = inner[path]
+        above.kids.append(Node(c, True))
+    return root
+
+
+class TreeEdit:
+    """Constrained edit distance of unordered trees (Zhang), with its script.
+
+    Inserting or deleting a node costs 1, relabelling a leaf what relabel_cost says, an object 0 or 1. Disjoint
+    subtrees stay disjoint, so the children of two nodes meet in a minimum-cost assignment.
+    """
+
+    def __init__(self, old: Schema, new: Schema) -> None:
+        self.old, self.new, self.known = old, new, {}
+
+    def relabel(self, a: Node, b: Node) -> float:
+        if a.leaf != b.leaf:
+            return float("inf")
+        if a.leaf:
+            return min(relabel_cost(a.path, b.path, self.old, self.new), REMOVE_ADD)
+        return 0.0 if a.name == b.name else 1.0
+
+    def trees(self, a: Node, b: Node) -> tuple[float, list[tuple[Node, Node]]]:
+        """Least cost of turning one subtree into another, and the pairs of nodes that correspond."""
+        key = (id(a), id(b))
+        if key not in self.known:
+            cost, pairs = self.forests(a, b)
+            ways = [(cost + self.relabel(a, b), [(a, b), *pairs])]
+            for kid in b.kids:  # b stands over what a became
+                if not kid.leaf or a.leaf:
+                    cost, pairs = self.trees(a, kid)
+                    ways.append((b.size() - kid.size() + cost, pairs))
+            for kid in a.kids:  # a is taken off what became b
+                if not kid.leaf or b.leaf:
+                    cost, pairs = self.trees(kid, b)
+                    ways.append((a.size() - kid.size() + cost, pairs))
+            self.known[key] = min(ways, key=lambda w: w[0])
+        return self.known[key]
+
+    def forests(self, a: Node, b: Node) -> tuple[float, list[tuple[Node, Node]]]:
+        """The same for the members of two nodes."""
+        m, n = len(a.kids), len(b.kids)
+        off = np.array([float(k.size()) for k in a.kids]), np.array([float(k.size()) for k in b.kids])
+        met = np.array([[self.trees(x, y)[0] for y in b.kids] for x in a.kids]).reshape(m, n)
+        # square: a node may also meet nothing
+        both = off[0][:, None] + off[1][None, :]
+        gain = np.minimum(met - both, 0.0)
+        pairs = [(i, j) for i, j in assign(gain) if gain[i, j] < 0]
+        ways = [(off[0].sum() + off[1].sum() + sum(gain[i, j] for i, j in pairs), [p for i, j in pairs for p in self.trees(a.kids[i], b.kids[j])[1]])]
+        for kid in b.kids:  # an object put around all members
+            if not kid.leaf and m:
+                cost, inner = self.forests(a, kid)
+                ways.append((b.size() - 1 - (kid.size() - 1) + cost, inner))
+        for kid in a.kids:  # or taken off
+            if not kid.leaf and n:
+                cost, inner = self.forests(kid, b)
+                ways.append((a.size() - 1 - (kid.size() - 1) + cost, inner))
+        return min(ways, key=lambda w: w[0])
+
+
 def edit_script(old: Schema, new: Schema) -> list[tuple[str, str | None, str | None]]:
-    """Minimum-cost script (operation, old column, new column) between two schema trees.
+    """Minimum-cost script (operation, old path, new path) between two schema trees.
 
-    Adding and removing a leaf cost 1 each, relabelling one costs what relabel_cost says; children of one
-    node are unordered, so each level is a minimum-cost assignment. Inner nodes are matched first by
-    their own name, then leaves within matched nodes, and what is left anywhere in the tree as a move.
-    Operations: keep, rename, move, remove, add.
+    The constrained tree edit distance pairs the nodes; columns it deletes in one place and inserts in another, of equal
+    quantity, are moves. Operations on columns: keep (by name and parent, whatever the parent is called), rename, move,
+    remove, add; on objects: rename_node.
     """
+    left, right = tree_of(old.columns), tree_of(new.columns)
+    pairs = TreeEdit(old, new).trees(left, right)[1]
+    above = {b.path: a.path for a, b in pairs if not b.leaf}
     script: list[tuple[str, str | None, str | None]] = []
-    left, right = list(dict.fromkeys(old.columns)), list(dict.fromkeys(new.columns))
-
-    def settle(a: list[str], b: list[str]) -> None:
-        kept = [x for x in a if x in b]
-        script.extend(("keep", x, x) for x in kept)
-        a, b = [x for x in a if x not in kept], [x for x in b if x not in kept]
-        cost = np.array([[relabel_cost(x, y, old, new) for y in b] for x in a]).reshape(len(a), len(b))
-        for i, j in assign(np.minimum(cost, 2.0)):
-            if cost[i, j] < 2.0:
-                same_parent = a[i].rpartition(".")[0] == b[j].rpartition(".")[0]
-                script.append(("rename" if same_parent else "move", a[i], b[j]))
-
-    parents = lambda cols: dict.fromkeys(c.rpartition(".")[0] for c in cols)
-    shared = [p for p in parents(left) if p in parents(right)]
-    for p in shared:
-        settle([c for c in left if c.rpartition(".")[0] == p], [c for c in right if c.rpartition(".")[0] == p])
-    rest = lambda cols, k: [c for c in cols if c not in {s[k] for s in script}]
-    settle(rest(left, 1), rest(right, 2))
-    script += [("remove", c, None) for c in rest(left, 1)] + [("add", None, c) for c in rest(right, 2)]
-    return script
+    for a, b in pairs:
+        if not b.leaf:
+            if a.name != b.name:
+                script.append(("rename_node", a.path, b.path))
+            continue
+        same_parent = above.get(b.path.rpartition(".")[0]) == a.path.rpartition(".")[0]
+        script.append(("move" if not same_parent else "keep" if a.name == b.name else "rename", a.path, b.path))
+    paired = {a for op, a, _ in script if op != "rename_node"}, {b for op, _, b in script if op != "rename_node"}
+    rest = [c for c in dict.fromkeys(old.columns) if c not in paired[0]], [c for c in dict.fromkeys(new.columns) if c not in paired[1]]
+    cost = np.minimum(np.array([[relabel_cost(x, y, old, new) for y in rest[1]] for x in rest[0]]).reshape(len(rest[0]), len(rest[1])), REMOVE_ADD)
+    moved = [(rest[0][i], rest[1][j]) for i, j in assign(cost) if cost[i, j] < REMOVE_ADD]
+    script += [("move" if a.rpartition(".")[0] != b.rpartition(".")[0] else "rename", a, b) for a, b in moved]
+    gone, come = {a for a, _ in moved}, {b for _, b in moved}
+    return script + [("remove", c, None) for c in rest[0] if c not in gone] + [("add", None, c) for c in rest[1] if c not in come]
 
 
 def changes(old: Schema, new: Schema) -> list[tuple[str, str]]:
@@ -265,8 +368,8 @@ def changes(old: Schema, new: Schema) -> list[tuple[str, str]]:
         elif op == "add":
             out.append((b, "added"))
         else:
-            if op in ("rename", "move"):
-                out.append((b, "renamed" if op == "rename" else "moved"))
+            if op != "keep":
+                out.append((b, "moved" if op == "move" else "renamed"))
             if old.kinds.get(a) and new.kinds.get(b) and old.kinds[a] != new.kinds[b]:
                 out.append((b, "retyped"))
     return out
@@ -277,45 +380,60 @@ def changes(old: Schema, new: Schema) -> list[tuple[str, str]]:
 CELLS = "array<struct<name:string,value:string>>"
 
 
-def parse_files(lines: DataFrame, salts: int = 8) -> DataFrame:
-    """Every data line with its cells: (stream, file_no, file_name, line_no, line, cells).
+def data_lines(lines: DataFrame, salts: int = 8) -> DataFrame:
+    """Every data line with its file's header: (stream, file_no, file_name, line_no, line, header), NULL for JSON lines.
 
     A file's header line is found first and joined to its lines under salted keys, so that one file holding a
-    large share of all lines is spread. Blank and NULL lines, and lines without stream or file_no, are
-    left out; broken JSON lines give no cells; repeated lines are kept.
+    large share of all lines is spread. Blank and NULL lines, and lines without stream or file_no, are left out.
     """
-    base = lines.where(F.col("stream").isNotNull() & F.col("file_no").isNotNull() & F.col("line").isNotNull() & (F.btrim("line", F.lit(" \t\r\n﻿")) != ""))
+    base = lines.where(F.col("stream").isNotNull() & F.col("file_no").isNotNull() & F.col("line").isNotNull() & (F.btrim("line", F.lit(" \t\r\n\ufeff")) != ""))
     base = base.select("stream", "file_no", "file_name", "line_no", "line")
-    is_json = F.btrim("line", F.lit(" \t\r\n﻿")).startswith("{")
+    is_json = F.btrim("line", F.lit(" \t\r\n\ufeff")).startswith("{")
     head = base.where(~is_json).groupBy("stream", "file_no").agg(F.min(F.struct("line_no", "line")).alias("h")).where(F.col("h.line_no").isNotNull())
     head = head.select("stream", "file_no", F.col("h.line_no").alias("header_no"), F.col("h.line").alias("header")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = base.withColumn("json", is_json).withColumn("salt", F.when(is_json, F.lit(-1)).otherwise(F.pmod(F.coalesce("line_no", F.lit(0)), F.lit(salts))))
     met = salted.join(head, ["stream", "file_no", "salt"], "left")
     data = met.where(F.col("json") | (F.coalesce("line_no", F.lit(0)) != F.col("header_no")) & (F.col("line") != F.col("header")))
+    return data.select("stream", "file_no", "file_name", "line_no", "line", F.when(~F.col("json"), F.col("header")).alias("header"))
 
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [[{"name": n, "value": v} for n, v in parse_line(x, None if j else h)] for x, j, h in zip(pdf["line"], pdf["json"], pdf["header"])]
-            yield pdf[["stream", "file_no", "file_name", "line_no", "line", "header"]].assign(cells=got)
 
-    return data.mapInPandas(cells, f"stream string, file_no int, file_name string, line_no int, line string, header string, cells {CELLS}")
+def with_cells(data: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of data lines, and their cells; broken JSON lines give none, repeated lines are kept."""
+    kind = ", ".join(f"{c} {data.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = LineParser()
+        for batch in batches:
+            names, values, ends = [], [], [0]
+            for line, header in zip(batch.column("line").to_pylist(), batch.column("header").to_pylist()):
+                n, v = parser.cells(line, header)
+                names += n
+                values += v
+                ends.append(len(names))
+            cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], ["name", "value"]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], cells], [*keep, "cells"])
+
+    return data.mapInArrow(run, f"{kind}, cells {CELLS}")
 
 
-def file_schemas(parsed: DataFrame, border_rows: int = 3) -> DataFrame:
-    """One row per file: columns with their place and types, and its first and last distinct rows."""
+def file_schemas(data: DataFrame, border_rows: int = 3) -> DataFrame:
+    """One row per file: columns with their place and types, and its first and last distinct rows.
+
+    Types are told by partial aggregation over the cells; of the lines themselves only the text is shuffled, once, to
+    find the distinct ones, and only border rows are then taken apart again.
+    """
     f = ["stream", "file_no"]
     value = F.btrim("value")
     empty = F.lower(value).isin(*MISSING)
-    typed = parsed.select(*f, "file_name", F.posexplode("cells").alias("place", "cell")).select(*f, "file_name", "place", F.col("cell.name").alias("name"), F.col("cell.value").alias("value"))
+    typed = with_cells(data, [*f, "file_name", "line", "header"]).select(*f, "file_name", F.posexplode("cells").alias("place", "cell")).select(*f, "file_name", "place", F.col("cell.name").alias("name"), F.col("cell.value").alias("value"))
     kind = F.when(empty | F.col("value").isNull(), None).when(value.rlike(r"^[+-]?[0-9]+$"), 0).when(value.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)$"), 1).otherwise(2)
     columns = typed.groupBy(*f, "name").agg(F.max("file_name").alias("file_name"), F.min("place").alias("place"), F.max(kind).alias("kind"))
     columns = columns.groupBy(*f).agg(F.max("file_name").alias("file_name"), F.sort_array(F.collect_list(F.struct("place", "name", "kind"))).alias("columns"))
-    once = parsed.groupBy(*f, "line").agg(F.min("line_no").alias("line_no"), F.min("cells").alias("cells"))
-    pick = lambda order, name: (  # noqa: E731  a rank limit: pruned before the shuffle
-        once.withColumn("i", F.row_number().over(Window.partitionBy(*f).orderBy(order)))
-        .where(F.col("i") <= border_rows).groupBy(*f).agg(F.sort_array(F.collect_list(F.struct("line_no", "cells"))).alias(name))
-    )
-    return columns.join(pick(F.asc("line_no"), "first"), f, "left").join(pick(F.desc("line_no"), "last"), f, "left")
+    once = data.groupBy(*f, "line").agg(F.min("line_no").alias("line_no"), F.max("header").alias("header"))
+    at = lambda order: F.row_number().over(Window.partitionBy(*f).orderBy(order))  # noqa: E731  a rank limit: pruned before the shuffle
+    ends = [once.withColumn("i", at(order)).where(F.col("i") <= border_rows).withColumn("end", F.lit(name)).drop("i") for order, name in ((F.asc("line_no"), "first"), (F.desc("line_no"), "last"))]
+    border = with_cells(ends[0].unionByName(ends[1]), [*f, "line_no", "end"]).groupBy(*f).agg(*[F.sort_array(F.collect_list(F.when(F.col("end") == n, F.struct("line_no", "cells")))).alias(n) for n in ("first", "last")])
+    return columns.join(border, f, "left")
 
 
 def _schema(columns, first, last) -> Schema:
@@ -347,10 +465,13 @@ def schema_scripts(schemas: DataFrame) -> DataFrame:
 
 
 def drift_report(lines: DataFrame) -> DataFrame:
-    """(file_name, column_name, change): added, removed, renamed, moved or retyped, file against file before."""
-    s = schema_scripts(file_schemas(parse_files(lines)))
+    """(file_name, column_name, change): added, removed, renamed, moved or retyped, file against file before.
+
+    A renamed object is one change, under its own path; its members keep theirs.
+    """
+    s = schema_scripts(file_schemas(data_lines(lines)))
     change = F.array_compact(F.array(
-        F.when(F.col("op") == "remove", F.lit("removed")).when(F.col("op") == "add", F.lit("added")).when(F.col("op") == "rename", F.lit("renamed")).when(F.col("op") == "move", F.lit("moved")),
+        F.when(F.col("op") == "remove", F.lit("removed")).when(F.col("op") == "add", F.lit("added")).when(F.col("op").isin("rename", "rename_node"), F.lit("renamed")).when(F.col("op") == "move", F.lit("moved")),
         F.when(F.col("op").isin("keep", "rename", "move") & (F.col("old_kind") != F.col("new_kind")), F.lit("retyped")),
     ))
     return s.where("op <> 'start'").select("file_name", F.coalesce("new", "old").alias("column_name"), F.explode(change).alias("change"))
@@ -375,7 +496,7 @@ def projections(scripts: DataFrame) -> DataFrame:
             out.append((pdf["stream"].iloc[0], no, [{"name": k, "value": f, "scale": c} for k, (f, c) in now.items()]))
         return pd.DataFrame(out, columns=["stream", "file_no", "mapping"])
 
-    return scripts.groupBy("stream").applyInPandas(follow, "stream string, file_no int, mapping array<struct<name:string,value:string,scale:double>>")
+    return scripts.where("op <> 'rename_node'").groupBy("stream").applyInPandas(follow, "stream string, file_no int, mapping array<struct<name:string,value:string,scale:double>>")
 
 
 def number_in(text: Column) -> Column:
@@ -391,8 +512,9 @@ def consistent_table(lines: DataFrame, salts: int = 8) -> DataFrame:
 
     Values that do not parse are NULL in the typed field. Lines keep their file and place.
     """
-    parsed = parse_files(lines)
-    plan = projections(schema_scripts(file_schemas(parsed))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    data = data_lines(lines)
+    parsed = with_cells(data, ["stream", "file_no", "file_name", "line_no"])
+    plan = projections(schema_scripts(file_schemas(data))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = parsed.withColumn("salt", F.pmod(F.coalesce("line_no", F.lit(0)), F.lit(salts))).join(plan, ["stream", "file_no", "salt"])
     name_of = F.map_from_entries(F.transform("mapping", lambda x: F.struct(x["name"], x["value"])))
     scale_of = F.map_from_entries(F.transform("mapping", lambda x: F.struct(x["value"], x["scale"])))
