@@ -71,10 +71,11 @@ class Rule:
     breaks: bool
     before: re.Pattern[str]
     after: re.Pattern[str]
+    own: bool = False  # of one language among those of a script
 
 
-def rule(breaks: bool, before: str, after: str = "", engine: ModuleType = re) -> Rule:
-    return Rule(breaks, engine.compile(rf"(?:{before})\Z"), engine.compile(after))
+def rule(breaks: bool, before: str, after: str = "", engine: ModuleType = re, own: bool = False) -> Rule:
+    return Rule(breaks, engine.compile(rf"(?:{before})\Z"), engine.compile(after), own)
 
 
 W0 = r"(?<![^\W_])"  # a word begins here
@@ -94,8 +95,8 @@ _LATIN_FIRST = [
     rule(True, rf"{W0}(?:{_words(NUMBERED)})\.", r""),
 ]
 _GERMAN_DAYS = [
-    rule(False, r"(?<!\d)\d{1,2}\.", rf"(?:{_words(GERMAN_MONTHS)}|M\S{{1,3}}rz|J\S{{1,3}}nner)(?!\w)"),
-    rule(False, r"(?<!\w)(?:[Aa]m|[Zz]um|[Vv]om|[Dd]em|[Dd]en)\s+\d{1,2}\.", r"[█*\[]|[A-Z]\."),
+    rule(False, r"(?<!\d)\d{1,2}\.", rf"(?:{_words(GERMAN_MONTHS)}|M\S{{1,3}}rz|J\S{{1,3}}nner)(?!\w)", own=True),
+    rule(False, r"(?<!\w)(?:[Aa]m|[Zz]um|[Vv]om|[Dd]em|[Dd]en)\s+\d{1,2}\.", r"[█*\[]|[A-Z]\.", own=True),
 ]
 _LATIN_LAST = [
     rule(False, rf"{W0}(?:{_words(BEFORE_NUMBERS)})\.", NUMBERS),
@@ -106,8 +107,8 @@ _LATIN_LAST = [
 
 
 def _latin(*languages: str) -> list[Rule]:
-    never = " ".join(ABBREVIATIONS[x] for x in ("shared", *languages))
-    return [*_LATIN_FIRST, *(_GERMAN_DAYS if "de" in languages else []), rule(False, rf"{W0}(?:{_words(never)})\.", r""), *_LATIN_LAST]
+    own = " ".join(ABBREVIATIONS[x] for x in languages)
+    return [*_LATIN_FIRST[:2], rule(False, rf"{W0}(?:{_words(ABBREVIATIONS['shared'])})\.", r""), *_LATIN_FIRST[2:], *(_GERMAN_DAYS if "de" in languages else []), rule(False, rf"{W0}(?:{_words(own)})\.", r"", own=True), *_LATIN_LAST]
 
 
 #: by language; "" where no language can be told
@@ -156,6 +157,23 @@ JOINED = [
     rule(False, r"", r"", regex),
 ]
 
+#: words that pairs speak of, by script; where a position follows another word of letters, only pairs that look no
+#: farther back than it can fit
+FINAL = {
+    id(table): frozenset(re.findall(r"[^\W\d_]+", " ".join([*words, *(ABBREVIATIONS[x] for x in languages)]).replace("\\s", " ")))
+    for table, words, languages in ((LATIN[""], [BEFORE_NUMBERS, NUMBERED, COMPANIES, "cent"], ["shared", *COMMON]), (CYRILLIC, ["руб др пр проч"], ["ru"]))
+}
+_TABLES = (LATIN[""], CYRILLIC, ARABIC, INDIC, THAI_RULES, WIDE_RULES)
+
+
+def _after_only(rules: list[Rule]) -> list[Rule]:
+    return [r for r in rules if r.before.pattern == r"(?:)\Z" and not r.breaks]
+
+
+#: what goes on after any word: pairs that look only ahead; they lead each table, so that those of the table come first
+AHEAD = {id(t): re.compile("|".join(r.after.pattern for r in _after_only(t))) for t in _TABLES}
+GOES_ON = {id(t): re.compile("|".join(r.after.pattern for r in _after_only([*t, *SHARED]))) for t in _TABLES}
+
 MISREAD = re.compile("Ã([\x80-\xbf])")  # UTF-8 read as Latin-1
 #: in a block without capitals, small letters begin sentences, but not after these
 SMALL_LETTERS = [rule(False, rf"(?<!\w)(?:\w|{_words(' '.join(ABBREVIATIONS.values()).lower())})\.", r"[^\W\d_]")]
@@ -194,8 +212,8 @@ class Tongue:
         return self.whole
 
 
-def table_for(ch: str) -> list[Rule] | None:
-    """The cascade for a position, by the script of the character before its punctuation; None for the Latin one."""
+def table_for(ch: str) -> list[Rule]:
+    """The cascade for a position, by the script of the character before its punctuation."""
     o = ord(ch)
     if 0x400 <= o < 0x530:
         return CYRILLIC
@@ -207,7 +225,7 @@ def table_for(ch: str) -> list[Rule] | None:
         return THAI_RULES
     if 0x3000 <= o < 0xA000 or 0xF900 <= o < 0xFB00 or 0x20000 <= o < 0x40000:
         return WIDE_RULES
-    return None
+    return LATIN[""]
 
 
 def _written(t: str) -> str:
@@ -243,27 +261,65 @@ def _after(text: str, nxt: int, hi: int) -> str:
         n *= 2
 
 
-def first_fit(before: str, after: str, *tables: list[Rule]) -> bool | None:
-    """What the first rule decides whose pair fits; None if none does."""
+def first_fit(before: str, after: str, *tables: list[Rule]) -> Rule | None:
+    """The first rule whose pair fits; None if none does."""
     for rules in tables:
         for r in rules:
             if r.after.match(after) and r.before.search(before):
-                return r.breaks
+                return r
     return None
 
 
-def decides(text: str, lo: int, hi: int, end: int, nxt: int, script: str, tongue: Tongue, small: bool = False) -> bool:
-    """Whether a unit ends at ``end``: the first rule whose pair fits there decides.
+def breaks(before: str, after: str, rules: list[Rule]) -> bool:
+    r = first_fit(before, after, rules)
+    return r is not None and r.breaks
 
-    ``small``: the block has no capitals at all, so that small letters may begin sentences.
-    """
-    before, after = _before(text, lo, end), _after(text, nxt, hi)
-    if small:
-        if first_fit(before, after, SMALL_LETTERS) is False:
+
+class Block:
+    """What the decisions of one block share: its bounds, its language, and whether it has no capitals at all."""
+
+    def __init__(self, text: str, lo: int, hi: int, start: int, tongue: Tongue) -> None:
+        self.text, self.lo, self.hi, self.start, self.tongue, self.small = text, lo, hi, start, tongue, None
+
+    def without_capitals(self) -> bool:
+        if self.small is None:
+            own = self.text[self.start : self.hi]
+            self.small = own == own.lower() and own != own.upper()
+        return self.small
+
+    def _plain(self, end: int, table: list[Rule]) -> bool:
+        """Whether no pair that looks back can fit, as after most words."""
+        text, lo, k = self.text, self.lo, end - 1
+        if text[k] != ".":
+            return text[k] != "…"
+        final = FINAL.get(id(table))
+        if final is None:
             return False
-        after = (after[:1].upper() if len(after[:1].upper()) == 1 else after[:1]) + after[1:]
-    table = table_for(script)
-    return bool(first_fit(before, after, LATIN[tongue.of(lo, hi)] if table is None else table, SHARED))
+        while k > lo and text[k - 1].isalpha():
+            k -= 1
+        w = text[k : end - 1]
+        if len(w) > 3:
+            return w not in final and "Ã" not in w and (k == lo or text[k - 1].isspace())
+        return not w and text[end - 4 : end - 1].isdigit() and end - 4 >= lo
+
+    def decides(self, end: int, nxt: int, script: str) -> bool:
+        """Whether a unit ends at ``end``: the first rule whose pair fits there decides."""
+        text, c = self.text, self.text[nxt]
+        table = table_for(script)
+        if c != "Ã" and not (c.islower() and self.without_capitals()):
+            if AHEAD[id(table)].match(text, nxt):
+                return False
+            if self._plain(end, table):
+                return not GOES_ON[id(table)].match(text, nxt)
+        before, after = _before(text, self.lo, end), _after(text, nxt, self.hi)
+        if c.islower() and self.without_capitals():  # small letters may begin sentences
+            if first_fit(before, after, SMALL_LETTERS):
+                return False
+            after = (after[:1].upper() if len(after[:1].upper()) == 1 else after[:1]) + after[1:]
+        r = first_fit(before, after, table, SHARED)
+        if r.own:  # so a language of the script says: is it the block's?
+            r = first_fit(before, after, LATIN[self.tongue.of(self.lo, self.hi)], SHARED)
+        return r.breaks
 
 
 def _pairs(text: str, found: list[re.Match[str]]) -> dict[int, int]:
@@ -309,8 +365,7 @@ def block_units(text: str, lo: int, hi: int, tongue: Tongue | None = None) -> It
     found = list(TOKENS.finditer(text, start, hi))
     pairs = _pairs(text, found) if any(f.group()[0] in PAIRS or f.group() == '"' for f in found) else {}
     inside = start
-    own = text[start:hi]
-    small = own == own.lower() and own != own.upper()
+    block = Block(text, lo, hi, start, tongue)
     for f in found:
         at, end = f.span()
         c = text[at]
@@ -318,7 +373,7 @@ def block_units(text: str, lo: int, hi: int, tongue: Tongue | None = None) -> It
             continue
         if c not in TERMINALS:
             if c.isspace():
-                if first_fit(text[at - 1], text[end], THAI_BLANK):
+                if breaks(text[at - 1], text[end], THAI_BLANK):
                     yield at
                     start = inside = end
             elif at in pairs:
@@ -340,7 +395,7 @@ def block_units(text: str, lo: int, hi: int, tongue: Tongue | None = None) -> It
                 if text[nxt] in TERMINALS:  # the sentence goes on to its own full stop
                     continue
                 around = ("^" if _skip(text, start, at) == at else "~") + c
-                if first_fit(around, (" " if nxt > end else "") + text[nxt : nxt + 2], QUOTED):
+                if breaks(around, (" " if nxt > end else "") + text[nxt : nxt + 2], QUOTED):
                     yield end
                     start = inside = nxt
             continue
@@ -354,7 +409,7 @@ def block_units(text: str, lo: int, hi: int, tongue: Tongue | None = None) -> It
         if nxt >= hi:
             break
         wide = text[at] in WIDE or text[f.end() - 1] in WIDE
-        if nxt == end and not wide and not first_fit("", text[nxt : nxt + 2], JOINED):
+        if nxt == end and not wide and not breaks("", text[nxt : nxt + 2], JOINED):
             continue
         if at == start:  # nothing but punctuation so far
             continue
@@ -365,7 +420,7 @@ def block_units(text: str, lo: int, hi: int, tongue: Tongue | None = None) -> It
             script = text[k]
         if script.isdigit() and c == "." and not wide:
             script = "a" if text[nxt] < "Ѐ" else text[nxt]
-        if decides(text, lo, hi, f.end(), nxt, script, tongue, small):
+        if block.decides(f.end(), nxt, script):
             yield end
             start = inside = nxt
     yield hi
