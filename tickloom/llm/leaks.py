@@ -7,6 +7,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -117,8 +118,7 @@ class PatternSet:
         return run.view(np.int64)
 
     def code(self, u: list[str]) -> np.ndarray:
-        get = self.ids.get
-        return np.fromiter((get(x, 0) for x in u), np.int64, len(u))
+        return np.fromiter(map(self.ids.get, u, repeat(0)), np.int64, len(u))
 
     def occurrences(self, x: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, place in the item, place in x) of every exact run."""
@@ -172,28 +172,36 @@ class PatternSet:
                     groups.append([d])
             for group in groups:
                 same = np.zeros(n, bool)
-                for d in group:
-                    self._mark(same, x, it, d, len(group) > 1)
+                if len(group) > 1:
+                    self._mark_runs(same, x, it, group)
+                else:
+                    self._mark(same, x, it, group[0])
                 if not self._long_enough(same):  # the rest behind a unit split, joined, lost or gained may be too short for a seed
-                    for d in {d + k for d in group for k in range(-3, 4)} - set(group):
-                        self._mark(same, x, it, d, True)
+                    self._mark_runs(same, x, it, sorted({d + k for d in group for k in range(-3, 4)} - set(group)))
                 if self._long_enough(same):
                     out.add(self.names[item])
                     break
         return out
 
-    def _mark(self, same: np.ndarray, x: np.ndarray, it: np.ndarray, d: int, runs: bool) -> None:
-        """Mark the item's units that x has on a diagonal; beside another diagonal only runs tell, single equal units do not."""
+    def _mark(self, same: np.ndarray, x: np.ndarray, it: np.ndarray, d: int) -> None:
+        """Mark the item's units that x has on a diagonal."""
         lo, hi = max(0, -d), min(len(it), len(x) - d)
-        if lo >= hi:
+        if lo < hi:
+            same[lo:hi] |= (x[lo + d : hi + d] == it[lo:hi]) & (it[lo:hi] > 0)
+
+    def _mark_runs(self, same: np.ndarray, x: np.ndarray, it: np.ndarray, diagonals: list[int]) -> None:
+        """The same for neighbouring diagonals at once: there only runs of three tell, single equal units do not."""
+        n = len(it)
+        first, last = max(0, diagonals[0]), min(len(x), n + diagonals[-1])
+        if last - first < 3:
             return
-        eq = (x[lo + d : hi + d] == it[lo:hi]) & (it[lo:hi] > 0)
-        if runs:
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], eq.view(np.int8), [0]])))
-            for a, z in zip(edge[::2], edge[1::2]):
-                if z - a < 3:
-                    eq[a:z] = False
-        same[lo:hi] |= eq
+        at = np.arange(n)[None, :] + np.array(diagonals)[:, None]
+        eq = (at >= 0) & (at < len(x)) & (it > 0)
+        eq &= x[np.clip(at, 0, len(x) - 1)] == it
+        run = (eq[:, :-2] & eq[:, 1:-1] & eq[:, 2:]).any(axis=0)
+        same[:-2] |= run
+        same[1:-1] |= run
+        same[2:] |= run
 
     def _long_enough(self, same: np.ndarray) -> bool:
         # a stretch i..j with per * (altered units) <= its length: prefix(j) >= prefix(i), j - i >= least
