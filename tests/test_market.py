@@ -258,6 +258,31 @@ def test_hidden_markov_recovers():
     assert (got == state).mean() > 0.98
 
 
+def test_hidden_markov_equals_logarithms():
+    """One round of expectation maximisation and the filter, against recursions on logarithms."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(0, 1, (30, 2)), rng.normal(6, 0.2, (30, 2)), rng.normal(0, 1, (30, 2))])
+    m = regime.GaussianHmm(2, 0, rounds=1)
+    m._start(x)
+    lb = regime._log_density(x, m.mean, m.var)
+    lt, n = np.log(m.move), len(x)
+    f, g = np.zeros((n, 2)), np.zeros((n, 2))
+    f[0] = np.log(m.start) + lb[0]
+    for t in range(1, n):
+        f[t] = np.logaddexp.reduce(f[t - 1][:, None] + lt, axis=0) + lb[t]
+    for t in range(n - 2, -1, -1):
+        g[t] = np.logaddexp.reduce(lt + (lb[t + 1] + g[t + 1])[None], axis=1)
+    like = np.logaddexp.reduce(f[-1])
+    post = np.exp(f + g - like)
+    xi = np.exp(f[:-1, :, None] + lt + (lb[1:] + g[1:])[:, None] - like).sum(axis=0)
+    assert m.filter(x) == pytest.approx(np.exp(f - np.logaddexp.reduce(f, axis=1)[:, None]))
+    assert np.allclose(m.move, 0.5)  # equal chances at the start
+    m.fit(x)
+    assert m.mean == pytest.approx(post.T @ x / post.sum(axis=0)[:, None])
+    assert m.move == pytest.approx(xi / xi.sum(axis=1, keepdims=True))
+    assert m.start == pytest.approx(post[0])
+
+
 def test_purged_splits_against_brute_force(spark):
     n, h, emb = 60, 4, 0.05
     rows = validate.label_windows(spark.createDataFrame([(i,) for i in range(n)], "idx long"), h)

@@ -199,15 +199,15 @@ def test_regimes_have_three_states_of_five_features_and_a_quarterly_refit(spark,
     f = spark.createDataFrame([(DAY + dt.timedelta(days=t), *map(float, r)) for t, r in enumerate(x)], "date date, " + ", ".join(f"{c} double" for c in columns))
     monkeypatch.setattr(research, "_market", lambda spark, d: f)
     got = {r["date"]: r for r in research.r30_r32_causal_states(spark, "").collect()}
-    assert len(got) == 400 - 252 and {r["state"] for r in got.values()} == {0, 1, 2}
-    for at in range(252, 400, 63):
-        m, s = x[:at].mean(axis=0), x[:at].std(axis=0)
-        model = regime.GaussianHmm(3).fit((x[:at] - m) / s)
-        end = min(at + 63, 400)
+    assert len(got) == 400 - 251 and {r["state"] for r in got.values()} == {0, 1, 2}
+    for first in range(251, 400, 63):
+        m, s = x[: first + 1].mean(axis=0), x[: first + 1].std(axis=0, ddof=1)
+        model = regime.GaussianHmm(3).fit((x[: first + 1] - m) / s)
+        end = min(first + 63, 400)
         p = model.filter((x[:end] - m) / s)[:, np.argsort(model.mean[:, 0], kind="stable")]
-        for t in range(at, end):
+        for t in range(first, end):
             r = got[DAY + dt.timedelta(days=t)]
-            assert r["state"] == p[t].argmax() and r["p"] == pytest.approx(p[t].max(), abs=1e-6)
+            assert r["state"] == p[t].argmax() and [r[f"p_state_{j}"] for j in range(3)] == pytest.approx(p[t].tolist(), abs=1e-9)
 
 
 def test_bootstrap_draws_as_many_as_there_are_labels(spark, monkeypatch):
