@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import rows
+from tickloom.functions.spread import spread
 
 
 def noise_edge(names: int, window: int) -> float:
@@ -18,15 +21,22 @@ def noise_edge(names: int, window: int) -> float:
 def vectors(returns: DataFrame) -> DataFrame:
     """(date, names, r): one row per date with the returns of all names in order; incomplete dates are dropped."""
     v = returns.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("symbol", "ret"))).alias("v"))
-    widest = Window.partitionBy(F.lit(0))  # date-level rows
-    v = v.withColumn("most", F.max(F.size("v")).over(widest)).where(F.size("v") == F.col("most"))
+    widest = v.agg(F.max(F.size("v")).alias("most"))
+    v = v.where(F.size("v") == widest.scalar())
     return v.select("date", F.col("v.symbol").alias("names"), F.col("v.ret").alias("r"))
 
 
-def windows(v: DataFrame, n: int) -> DataFrame:
-    """Each date with the n last vectors, its own included."""
-    w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(-(n - 1), 0)
-    return v.withColumn("block", F.collect_list("r").over(w)).where(F.size("block") == n)
+def segments(v: DataFrame, n: int, length: int | None = None) -> DataFrame:
+    """Dates cut into stretches, each with the n - 1 dates before it: (seg, i, date, names, r), spread by seg.
+
+    Only the dates are numbered in one place. Windows of n dates that end in a stretch lie within it.
+    """
+    length = length or max(128, 2 * n)
+    place = v.select("date", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1).alias("i"))  # date-level rows
+    last = F.floor((F.col("i") + n - 1) / length)
+    own = F.floor(F.col("i") / length)
+    cut = v.join(place, "date").withColumn("seg", F.explode(F.sequence(own, last)))
+    return spread(cut, "seg").withColumn("length", F.lit(length))
 
 
 def components(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,56 +55,87 @@ def components(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def keep_components(values: np.ndarray, window: int, rule: str, arg: float) -> int:
     """How many components count: above the noise edge (mp), a fixed number, or up to a share of variance."""
     if rule == "fixed":
-        return int(arg)
+        return min(int(arg), len(values))
     if rule == "variance":
         return int(np.searchsorted(np.cumsum(values) / values.sum(), arg) + 1)
     return int((values > noise_edge(len(values), window)).sum())
 
 
+def overlap(resid: np.ndarray, factors: np.ndarray) -> float:
+    """Largest absolute correlation between a residual and a factor: 0 up to rounding, and without factors."""
+    if not factors.shape[1]:
+        return 0.0
+    r, f = resid - resid.mean(axis=0), factors - factors.mean(axis=0)
+    return float(np.abs((r / (np.linalg.norm(r, axis=0) + 1e-300)).T @ (f / (np.linalg.norm(f, axis=0) + 1e-300))).max())
+
+
 def residual_paths(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Residuals of all names on the eigenportfolios, R2, and beta to the first (NaN without components)."""
-    _, vector, sd = components(x)
-    weights = vector[:, :count] / sd[:, None]
-    design = np.column_stack([np.ones(len(x)), x @ weights]) if count else np.ones((len(x), 1))
+    return _regressed(x, *components(x)[1:], count)[:3]
+
+
+def _regressed(x: np.ndarray, vector: np.ndarray, sd: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    factors = x @ (vector[:, :count] / sd[:, None])
+    design = np.column_stack([np.ones(len(x)), factors])
     coef, *_ = np.linalg.lstsq(design, x, rcond=None)
     resid = x - design @ coef
     total = ((x - x.mean(axis=0)) ** 2).sum(axis=0)
     with np.errstate(divide="ignore", invalid="ignore"):
         r2 = np.where(total > 0, 1 - (resid**2).sum(axis=0) / total, np.nan)
-    return resid, r2, coef[1] if count else np.full(x.shape[1], np.nan)
+    return resid, r2, coef[1] if count else np.full(x.shape[1], np.nan), factors
 
 
-def spectrum(blocks: DataFrame, n: int, rule: str = "mp", arg: float = 0.0) -> DataFrame:
-    """(date, eigenvalues, kept, factor_returns) per date; one window per row goes through numpy in Arrow batches."""
+def _each_window(cut: DataFrame, n: int, of: Callable[[np.ndarray, list[str]], dict[str, object]], schema: str) -> DataFrame:
+    """Rows ``of`` makes from every window of n dates, with its last date; windows in which a name stands still give none."""
+    kind = cut.schema["date"].dataType.simpleString()
 
-    @F.pandas_udf("struct<eigenvalues:array<double>,kept:int,factor_returns:array<double>>")
-    def run(block: pd.Series) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        x, at = np.stack([np.asarray(r, float) for r in pdf["r"]]), pdf["i"].to_numpy()
+        first = int(pdf["seg"].iloc[0]) * int(pdf["length"].iloc[0])
         out = []
-        for b in block:
-            x = np.stack(list(b))
-            value, vector, sd = components(x)
-            k = keep_components(value, n, rule, arg)
-            out.append((value.tolist(), k, (x[-1] @ (vector[:, :k] / sd[:, None])).tolist()))
-        return pd.DataFrame(out, columns=["eigenvalues", "kept", "factor_returns"])
+        for t in range(n - 1, len(x)):
+            window = x[t - n + 1 : t + 1]
+            if at[t] >= first and np.all(window.std(axis=0) > 0):
+                out.append({"date": pdf["date"].iloc[t], **of(window, list(pdf["names"].iloc[t]))})
+        return pd.DataFrame(out, columns=["date", *[c.split()[0] for c in schema.split(", ")]])
 
-    return blocks.select("date", run("block").alias("s")).select("date", "s.*")
+    return cut.groupBy("seg").applyInPandas(run, f"date {kind}, {schema}")
 
 
-def rolling_residuals(blocks: DataFrame, n: int, rule: str = "mp", arg: float = 0.0) -> DataFrame:
-    """(date, symbol, path, r2, beta): each name's cumulative residual over the window ending at the date."""
+def spectrum(v: DataFrame, n: int, rule: str = "mp", arg: float = 0.0, share: float = 0.55) -> DataFrame:
+    """Per date the window's eigenvalues, how many count by the noise edge and by a share of variance, how many are kept by
+    ``rule``, and the returns of their eigenportfolios on the date."""
 
-    @F.pandas_udf("array<struct<path:array<double>,r2:double,beta:double>>")
-    def run(block: pd.Series) -> pd.Series:
-        out = []
-        for b in block:
-            x = np.stack(list(b))
-            resid, r2, beta = residual_paths(x, keep_components(components(x)[0], n, rule, arg))
-            path = np.cumsum(resid, axis=0)
-            out.append([{"path": path[:, i].tolist(), "r2": float(r2[i]), "beta": float(beta[i])} for i in range(x.shape[1])])
-        return pd.Series(out)
-
-    e = blocks.select("date", F.explode(F.arrays_zip("names", run("block").alias("res"))).alias("z"))
-    return e.select("date", F.col("z.names").alias("symbol"), "z.res.path", "z.res.r2", "z.res.beta")
+    def of(x: np.ndarray, names: list[str]) -> dict[str, object]:
+        value, vector, sd = components(x)
+        k = keep_components(value, n, rule, arg)
+        return {"eigenvalues": value.tolist(), "kept_mp": keep_components(value, n, "mp", 0.0), "kept_variance": keep_components(value, n, "variance", share), "kept": k, "factor_returns": (x[-1] @ (vector[:, :k] / sd[:, None])).tolist()}
+
+    return _each_window(segments(v, n), n, of, "eigenvalues array<double>, kept_mp int, kept_variance int, kept int, factor_returns array<double>")
+
+
+def factor_rows(spectra: DataFrame) -> DataFrame:
+    """(date, factor, ret), factors numbered from 1."""
+    return spectra.select("date", F.posexplode("factor_returns").alias("factor", "ret")).withColumn("factor", F.col("factor") + 1)
+
+
+def rolling_residuals(v: DataFrame, n: int, rule: str = "mp", arg: float = 0.0) -> DataFrame:
+    """(date, symbol, path, r2, beta, overlap): each name's cumulative residual over the window ending at the date.
+
+    Each window is decomposed once; ``overlap`` is the largest correlation of its residuals with its factors.
+    """
+
+    def of(x: np.ndarray, names: list[str]) -> dict[str, object]:
+        value, vector, sd = components(x)
+        resid, r2, beta, factors = _regressed(x, vector, sd, keep_components(value, n, rule, arg))
+        path = np.cumsum(resid, axis=0).T.tolist()
+        return {"res": [{"symbol": s, "path": p, "r2": float(a), "beta": float(b)} for s, p, a, b in zip(names, path, r2, beta)], "overlap": overlap(resid, factors)}
+
+    kind = v.schema["names"].dataType.elementType.simpleString()
+    # a list of objects per date, not commas at the top level of the schema
+    e = _each_window(segments(v, n), n, of, f"res array<struct<symbol:{kind},path:array<double>,r2:double,beta:double>>, overlap double")
+    return e.select("date", F.explode("res").alias("z"), "overlap").select("date", "z.symbol", "z.path", "z.r2", "z.beta", "overlap")
 
 
 def reversion(paths: DataFrame, dt: float = 1 / 252, speed: float = 0.5) -> DataFrame:

@@ -159,16 +159,21 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def r1_r5_spectrum(spark: SparkSession, d: str) -> DataFrame:
-    return R.spectrum(R.windows(_vectors(spark, d), 60), 60)
+    return R.spectrum(_vectors(spark, d), 60)
+
+
+@query()
+def r5_factor_returns(spark: SparkSession, d: str) -> DataFrame:
+    return R.factor_rows(R.spectrum(_vectors(spark, d), 60, "fixed", 3))
 
 
 def _scores(spark: SparkSession, d: str, window: int = 60, v: DataFrame | None = None) -> DataFrame:
-    return R.reversion(R.rolling_residuals(R.windows(_vectors(spark, d) if v is None else v, window), window))
+    return R.reversion(R.rolling_residuals(_vectors(spark, d) if v is None else v, window))
 
 
 @query()
 def r6_r11_s_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(spark, d).select("date", "symbol", "r2", "beta", "kappa", "tau", "s")
+    return _scores(spark, d).select("date", "symbol", "r2", "beta", "overlap", "kappa", "tau", "s")
 
 
 _ZS = f"""{RET}, zs AS (SELECT date, symbol, CASE WHEN count(ret) OVER w = 20 THEN round((ret - avg(ret) OVER w) / nullif(stddev_samp(ret) OVER w, 0), 8) END AS s FROM ret WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING)), nz AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM zs)"""
