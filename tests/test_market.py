@@ -236,6 +236,30 @@ def test_allocators():
     assert portfolio.inverse_variance(np.diag([0.0, 1.0])) == pytest.approx([0.0, 1.0])
 
 
+def test_hierarchical_parity_clusters_on_the_correlation_distance():
+    """Leaf order by naive single linkage on sqrt((1 - rho) / 2), split by hand; four names suffice for another metric to differ."""
+    rng, differing = np.random.default_rng(7), 0
+    for _ in range(60):
+        cov = np.cov(rng.normal(size=(30, 4)) @ rng.normal(size=(4, 4)), rowvar=False)
+        sd = np.sqrt(np.diag(cov))
+        dist = np.sqrt((1 - np.clip(cov / np.outer(sd, sd), -1, 1)) / 2)
+        clusters, made = {i: [i] for i in range(4)}, 4
+        while len(clusters) > 1:
+            _, a, b = min((min(dist[i, j] for i in clusters[a] for j in clusters[b]), a, b) for a in clusters for b in clusters if a < b)
+            clusters[made] = clusters.pop(a) + clusters.pop(b)
+            made += 1
+        order = clusters.popitem()[1]
+        var = lambda p: 1 / sum(1 / cov[i, i] for i in p) ** 2 * sum(cov[i, j] / cov[i, i] / cov[j, j] for i in p for j in p)  # noqa: B023, E731
+        w, (l, r) = np.ones(4), (order[:2], order[2:])
+        for a, b in ((l, r), (l[:1], l[1:]), (r[:1], r[1:])):
+            share = 1 - var(a) / (var(a) + var(b))
+            w[a] *= share
+            w[b] *= 1 - share
+        assert portfolio.hierarchical(cov) == pytest.approx(w)
+        differing += portfolio._merge_order(dist) != portfolio._merge_order(np.sqrt(((dist[:, None] - dist[None]) ** 2).sum(axis=2)))
+    assert differing
+
+
 def test_residuals_are_orthogonal_and_ou_recovers(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(120, 8)) * 0.01 + rng.normal(size=(120, 1)) * 0.02

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.spread import spread
+from tickloom.operators.validate import deflated_sharpe, sharpe_per_period
+
 
 def equal(cov: np.ndarray) -> np.ndarray:
     return np.full(len(cov), 1 / len(cov))
@@ -51,12 +54,12 @@ def _merge_order(dist: np.ndarray) -> list[int]:
 
 
 def hierarchical(cov: np.ndarray) -> np.ndarray:
-    """Hierarchical risk parity: cluster by correlation distance, then split risk down the ordered halves."""
+    """Hierarchical risk parity: single linkage on the correlation distance, then risk split down the ordered halves."""
     sd = np.sqrt(np.diag(cov))
     with np.errstate(divide="ignore", invalid="ignore"):
         corr = np.clip(np.nan_to_num(cov / np.outer(sd, sd)), -1, 1)
     half = np.sqrt(np.clip((1 - corr) / 2, 0, 1))
-    order = _merge_order(np.sqrt(((half[:, None, :] - half[None, :, :]) ** 2).sum(axis=2)))
+    order = _merge_order(half)
     w, parts = np.ones(len(cov)), [order]
     while parts:
         parts = [h for p in parts if len(p) > 1 for h in (p[: len(p) // 2], p[len(p) // 2 :])]
@@ -98,15 +101,23 @@ def walk_forward(vectors: DataFrame, lookback: int, hold: int, allocators: dict[
         return pd.DataFrame(out, columns=["allocator", "rebalance", "date", "ret", "w"])
 
     kind = vectors.schema["date"].dataType.simpleString()
-    done = g.groupBy("rebalance").applyInPandas(run, f"allocator string, rebalance int, date {kind}, ret double, w array<double>")
+    done = spread(g, "rebalance").groupBy("rebalance").applyInPandas(run, f"allocator string, rebalance int, date {kind}, ret double, w array<double>")
     w = Window.partitionBy("allocator").orderBy("date")
     change = F.aggregate(F.zip_with("w", F.coalesce(F.lag("w").over(w), F.array_repeat(F.lit(0.0), F.size("w"))), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda acc, x: acc + x)
     return done.withColumn("turnover", change).drop("w")
 
 
-def allocator_scores(walk: DataFrame, periods: int = 252) -> DataFrame:
-    """Annual Sharpe ratio and volatility per allocator, and the spread of its blocks' Sharpe ratios."""
-    block = walk.groupBy("allocator", "rebalance").agg((F.try_divide(F.avg("ret"), F.stddev_samp("ret")) * periods**0.5).alias("s"))
-    b = block.groupBy("allocator").agg(F.avg("s").alias("block_mean"), F.stddev_samp("s").alias("block_sd"), F.min("s").alias("block_min"))
-    a = walk.groupBy("allocator").agg((F.try_divide(F.avg("ret"), F.stddev_samp("ret")) * periods**0.5).alias("sharpe"), (F.stddev_samp("ret") * periods**0.5).alias("vol"), F.sum("turnover").alias("turnover"))
-    return a.join(b, "allocator")
+def allocator_scores(walk: DataFrame, periods: int = 252, groups: int = 6) -> DataFrame:
+    """Annual Sharpe ratio and volatility per allocator, mean turnover of its rebalances after the first, mean, deviation and least of its Sharpe ratios per period over
+    ``groups`` contiguous blocks of dates, and for the best allocator its Sharpe ratio deflated by the choice among all."""
+    place = F.row_number().over(Window.partitionBy("allocator").orderBy("date")) - 1
+    w = walk.withColumn("i", place).withColumn("n_", F.count("*").over(Window.partitionBy("allocator")))
+    size, longer = F.floor(F.col("n_") / groups), F.col("n_") % groups
+    cut = longer * (size + 1)
+    w = w.withColumn("grp", F.when(F.col("i") < cut, F.floor(F.col("i") / (size + 1))).otherwise(longer + F.floor((F.col("i") - cut) / F.greatest(size, F.lit(1)))).cast("int"))
+    b = sharpe_per_period(w, "ret", ["allocator", "grp"]).groupBy("allocator").agg(F.avg("sharpe").alias("block_mean"), F.stddev_samp("sharpe").alias("block_sd"), F.min("sharpe").alias("block_min"))
+    a = walk.groupBy("allocator").agg((F.try_divide(F.avg("ret"), F.stddev_samp("ret")) * periods**0.5).alias("sharpe"), (F.stddev_samp("ret") * periods**0.5).alias("vol"), F.countDistinct("rebalance").alias("rebalances"))
+    moved = walk.where("rebalance > 0").groupBy("allocator", "rebalance").agg(F.sum("turnover").alias("t")).groupBy("allocator").agg(F.avg("t").alias("turnover"))
+    a = a.join(moved, "allocator", "left").fillna({"turnover": 0.0})
+    best = deflated_sharpe(walk, "ret", "allocator").select("allocator", F.col("dsr").alias("best_dsr"))
+    return a.join(b, "allocator").join(best, "allocator", "left")

@@ -61,6 +61,16 @@ def returns(spark: SparkSession, d: str) -> DataFrame:
 RET = f"""{PANEL}, ret AS (SELECT * FROM (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM panel) WHERE ret IS NOT NULL)"""
 
 
+def two_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Returns of two portfolios, the even and the odd names: for a universe of two all decompositions have closed forms."""
+    odd = F.substring("symbol", 2, 9).cast("int") % 2 == 1
+    return returns(spark, d).groupBy("date", F.when(odd, "odd").otherwise("even").alias("symbol")).agg(F.avg("ret").alias("ret"))
+
+
+TS = f"""{RET}, ts AS (SELECT date, avg(ret) FILTER (WHERE CAST(substr(symbol, 2) AS INT) % 2 = 0) AS a, avg(ret) FILTER (WHERE CAST(substr(symbol, 2) AS INT) % 2 = 1) AS b FROM ret GROUP BY date),
+ nt AS (SELECT *, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS total FROM ts)"""
+
+
 def cross_section(spark: SparkSession, d: str) -> DataFrame:
     """Monthly cross-sections of suppliers: three factors and a return."""
     li, p = load(spark, d, "lineitem"), load(spark, d, "part")

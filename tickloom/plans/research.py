@@ -18,7 +18,7 @@ from tickloom.operators import statarb as R
 from tickloom.operators import validate as V
 from tickloom.operators import windows as W
 from tickloom.plans import base
-from tickloom.plans.base import EQ, PANEL, RET, TR, XS, iso, q6, r6
+from tickloom.plans.base import EQ, PANEL, RET, TR, TS, XS, iso, q6, r6
 from tickloom.session import cut_lineage, load
 
 QUERIES: dict = {}
@@ -176,6 +176,37 @@ def r6_r11_s_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).select("date", "symbol", "r2", "beta", "overlap", "kappa", "tau", "s")
 
 
+# two portfolios: eigenvectors (1, 1) and (1, -1), eigenvalues 1 + |rho| and 1 - |rho|, so that SQL can follow the whole chain
+_W2 = f"""{TS}, wv AS (SELECT t.i AS w, t.date, x.i, x.a, x.b FROM nt t JOIN nt x ON x.i BETWEEN t.i - 59 AND t.i WHERE t.i >= 60),
+ st AS (SELECT w, any_value(date) AS date, avg(a) AS ma, avg(b) AS mb, stddev_samp(a) AS sa, stddev_samp(b) AS sb, corr(a, b) AS rho FROM wv GROUP BY w)"""
+
+
+@query(f"""WITH {_W2} SELECT strftime(st.date, '%Y-%m-%d') AS date, round(1 + abs(rho), 6) AS largest, round(1 - abs(rho), 6) AS smallest, CAST(CASE WHEN 1 + abs(rho) > {R.noise_edge(2, 60)!r} THEN 1 ELSE 0 END AS INT) AS kept_mp, CAST(CASE WHEN (1 + abs(rho)) / 2 >= 0.55 THEN 1 ELSE 2 END AS INT) AS kept_variance,
+ round(abs(nt.a / sa + sign(rho) * nt.b / sb) / sqrt(2), 5) AS first_return FROM st JOIN nt ON nt.i = st.w""")
+def r1_r5_two_portfolios(spark: SparkSession, d: str) -> DataFrame:
+    """The spectrum of two portfolios; the sign of an eigenvector is free where rho is negative, so the return is absolute."""
+    s = R.spectrum(R.vectors(base.two_sides(spark, d)), 60, "fixed", 1)
+    return s.select(iso(), F.round(F.col("eigenvalues")[0], 6).alias("largest"), F.round(F.col("eigenvalues")[1], 6).alias("smallest"), "kept_mp", "kept_variance", F.round(F.abs(F.col("factor_returns")[0]), 5).alias("first_return"))
+
+
+@query(f"""WITH {_W2}, rs AS (SELECT wv.w, st.date, wv.i, rho, (a - ma) / 2 - sign(rho) * sa * (b - mb) / (2 * sb) AS ra, (b - mb) / 2 - sign(rho) * sb * (a - ma) / (2 * sa) AS rb FROM wv JOIN st ON st.w = wv.w),
+ lg AS (SELECT w, date, i, rho, 'even' AS symbol, ra AS r FROM rs UNION ALL SELECT w, date, i, rho, 'odd', rb FROM rs), pt AS (SELECT *, sum(r) OVER (PARTITION BY w, symbol ORDER BY i) AS y FROM lg), pq AS (SELECT *, lag(y) OVER (PARTITION BY w, symbol ORDER BY i) AS x FROM pt),
+ ar AS (SELECT any_value(date) AS date, symbol, w, any_value(rho) AS rho, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, (regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / 57 AS var, arg_max(y, i) AS last FROM pq GROUP BY w, symbol), ok AS (SELECT *, CASE WHEN b > 0 AND b < 1 AND var > 0 THEN b END AS g FROM ar)
+ SELECT strftime(date, '%Y-%m-%d') AS date, symbol, round((1 + abs(rho)) / 2, 6) AS r2, round(-1 / ln(g), 5) AS tau, round(CASE WHEN -1 / ln(g) < 30 THEN (last - a / (1 - g)) / sqrt(var / (1 - g * g)) END, 5) AS s FROM ok""")
+def r6_r11_two_portfolios(spark: SparkSession, d: str) -> DataFrame:
+    s = R.reversion(R.rolling_residuals(R.vectors(base.two_sides(spark, d)), 60, "fixed", 1))
+    return s.select(iso(), "symbol", F.round("r2", 6).alias("r2"), F.round("tau", 5).alias("tau"), F.round("s", 5).alias("s"))
+
+
+@query(f"WITH {RET}, sz AS (SELECT date, count(*) AS c FROM ret GROUP BY date), nd AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM sz WHERE c = (SELECT max(c) FROM sz)) SELECT strftime(date, '%Y-%m-%d') AS date, CAST((SELECT max(c) FROM sz) AS DOUBLE) AS total, true AS apart, true AS descending FROM nd WHERE i >= 60")
+def r2_r7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for any universe: eigenvalues add up to the number of names and descend, residuals are free of the factors."""
+    v = _vectors(spark, d)
+    ev = R.spectrum(v, 60).select("date", F.round(F.aggregate("eigenvalues", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), (F.reverse(F.array_sort("eigenvalues")) == F.col("eigenvalues")).alias("descending"))
+    rs = R.rolling_residuals(v, 60).groupBy("date").agg((F.max("overlap") < 1e-6).alias("apart"))
+    return ev.join(rs, "date").select(iso(), "total", "apart", "descending")
+
+
 _ZS = f"""{RET}, zs AS (SELECT date, symbol, CASE WHEN count(ret) OVER w = 20 THEN round((ret - avg(ret) OVER w) / nullif(stddev_samp(ret) OVER w, 0), 8) END AS s FROM ret WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING)), nz AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM zs)"""
 _STEP = "CASE WHEN {s} IS NULL THEN 0 WHEN {s} < -1.25 THEN 1 WHEN {s} > 1.25 THEN -1 WHEN {p} = 1 AND {s} <= -0.5 THEN 1 WHEN {p} = -1 AND {s} >= 0.75 THEN -1 ELSE 0 END"
 _POS = f"{_ZS}, fold AS (SELECT i, symbol, date, s, CAST({_STEP.format(s='s', p='0')} AS INT) AS pos FROM nz WHERE i = 1 UNION ALL SELECT nz.i, nz.symbol, nz.date, nz.s, CAST({_STEP.format(s='nz.s', p='fold.pos')} AS INT) FROM nz JOIN fold ON nz.symbol = fold.symbol AND nz.i = fold.i + 1)"
@@ -343,6 +374,41 @@ def p5_allocator_scores(spark: SparkSession, d: str) -> DataFrame:
     return P.allocator_scores(_walk(spark, d))
 
 
+# two portfolios again: hierarchical parity is inverse variance, and the least variance has a closed form
+_WALK2 = f"""{TS}, rb AS (SELECT CAST(k AS INT) AS k FROM (SELECT unnest(generate_series(0, (SELECT CAST(max(total) AS BIGINT) FROM nt) // 21)) AS k) WHERE (SELECT max(total) FROM nt) >= 252 + 21 * (k + 1)),
+ cv AS (SELECT k, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM rb JOIN nt ON i > k * 21 AND i <= k * 21 + 252 GROUP BY k),
+ al AS (SELECT k, unnest(['equal', 'ivp', 'mvo', 'hrp']) AS allocator, unnest([0.5, vb / (va + vb), (vb - c) / (va + vb - 2 * c), vb / (va + vb)]) AS w FROM cv),
+ wk AS (SELECT allocator, k AS rebalance, date, i, w * a + (1 - w) * b AS ret, w, i = k * 21 + 253 AS head FROM al JOIN nt ON i > k * 21 + 252 AND i <= k * 21 + 273),
+ tn AS (SELECT *, CASE WHEN head THEN coalesce(2 * abs(w - lag(w) OVER (PARTITION BY allocator ORDER BY i)), abs(w) + abs(1 - w)) ELSE 0 END AS turnover FROM wk)"""
+
+
+def _walk2(spark: SparkSession, d: str) -> DataFrame:
+    return P.walk_forward(R.vectors(base.two_sides(spark, d)), 252, 21)
+
+
+@query(f"WITH {_WALK2} SELECT allocator, rebalance, strftime(date, '%Y-%m-%d') AS date, {q6('ret', 'turnover')} FROM tn")
+def p2_p4_two_portfolios(spark: SparkSession, d: str) -> DataFrame:
+    return _walk2(spark, d).select("allocator", "rebalance", iso(), *r6("ret", "turnover"))
+
+
+def _scores2_sql() -> str:
+    law = NormalDist()
+    bar = f"sqrt(v) * ({1 - V.EULER!r} * {law.inv_cdf(1 - 1 / 4)!r} + {V.EULER!r} * {law.inv_cdf(1 - 1 / (4 * math.e))!r})"
+    mom = "avg(ret) AS m, stddev_samp(ret) AS sd, count(*) AS n, avg(ret * ret) AS e2, avg(ret * ret * ret) AS e3, avg(ret * ret * ret * ret) AS e4"
+    return f"""WITH {_WALK2}, ix AS (SELECT *, row_number() OVER (PARTITION BY allocator ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY allocator) AS n FROM tn), gp AS (SELECT *, CASE WHEN j < (n % 6) * (n // 6 + 1) THEN j // (n // 6 + 1) ELSE n % 6 + (j - (n % 6) * (n // 6 + 1)) // (n // 6) END AS grp FROM ix),
+ bs AS (SELECT allocator, avg(s) AS block_mean, stddev_samp(s) AS block_sd, min(s) AS block_min FROM (SELECT allocator, grp, avg(ret) / stddev_samp(ret) AS s FROM gp GROUP BY 1, 2) GROUP BY 1),
+ tv AS (SELECT allocator, avg(t) AS turnover FROM (SELECT allocator, rebalance, sum(turnover) AS t FROM tn WHERE rebalance > 0 GROUP BY 1, 2) GROUP BY 1), mo AS (SELECT allocator, count(DISTINCT rebalance) AS rebalances, {mom} FROM tn GROUP BY 1),
+ sr AS (SELECT *, m / sd AS sharpe, (e3 - 3 * m * e2 + 2 * m * m * m) / power(e2 - m * m, 1.5) AS skew, (e4 - 4 * m * e3 + 6 * m * m * e2 - 3 * m * m * m * m) / power(e2 - m * m, 2) AS kurt FROM mo), vv AS (SELECT var_samp(sharpe) AS v FROM sr), be AS (SELECT allocator, sharpe, skew, kurt, n, {bar} AS bar FROM sr, vv ORDER BY sharpe DESC, allocator DESC LIMIT 1),
+ ds AS (SELECT allocator, (sharpe - bar) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) AS x FROM be)
+ SELECT sr.allocator, rebalances, round(sharpe * sqrt(252), 5) AS sharpe, round(sd * sqrt(252), 6) AS vol, round(coalesce(turnover, 0), 6) AS turnover, round(block_mean, 5) AS block_mean, round(block_sd, 5) AS block_sd, round(block_min, 5) AS block_min, round({normal_cdf_sql('ds.x')}, 5) AS best_dsr FROM sr JOIN bs USING (allocator) LEFT JOIN tv USING (allocator) LEFT JOIN ds ON ds.allocator = sr.allocator"""
+
+
+@query(_scores2_sql())
+def p5_two_portfolios(spark: SparkSession, d: str) -> DataFrame:
+    s = P.allocator_scores(_walk2(spark, d))
+    return s.select("allocator", "rebalances", *[F.round(c, 5).alias(c) for c in ("sharpe", "block_mean", "block_sd", "block_min", "best_dsr")], *r6("vol", "turnover"))
+
+
 # ------------------------------------------------------------------ validation
 
 def _label_rows(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
