@@ -207,6 +207,16 @@ def test_uniqueness_values(spark):
     assert [round(r["weight"], 9) for r in meta.sample_weights(meta.uniqueness(lb)).agg(F.avg("weight").alias("weight")).collect()] == [1.0]
 
 
+def test_logistic_penalty_stands_beside_the_mean_gradient():
+    rng = np.random.default_rng(4)
+    x, w = rng.normal(2, 3, (200, 3)), rng.uniform(0.2, 2, 200)
+    y = (x[:, 0] + rng.normal(0, 2, 200) > 2).astype(float)
+    m = meta.WeightedLogistic().fit(x, y, w)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    g = w / w.sum() * (m.predict(x) - y)
+    assert z.T @ g + 1.0 * m.b == pytest.approx(np.zeros(3), abs=1e-9) and g.sum() == pytest.approx(0, abs=1e-9)
+
+
 def test_noise_experiment_and_frontier_golden(spark):
     r = validate.deflated_sharpe(validate.noise_trials(spark), "ret").head()
     assert (round(r["sharpe"], 3), round(r["psr"], 3), round(r["expected_best"], 3), round(r["dsr"], 3)) == (0.162, 0.994, 0.166, 0.475)
@@ -356,7 +366,7 @@ def test_cointegration(spark):
     base = rng.normal(size=300).cumsum()
     rows = [(i, "A", float(base[i])) for i in range(300)] + [(i, "B", float(2 * base[i] + rng.normal() * 0.1)) for i in range(300)] + [(i, "C", float(v)) for i, v in enumerate(rng.normal(size=300).cumsum())]
     p = spark.createDataFrame(rows, "date int, symbol string, close double")
-    t = {(r["a"], r["b"]): r["t"] for r in perf.cointegration_t(p, perf.pair_search(p)).collect()}
+    t = {(r["a"], r["b"]): r["t"] for r in perf.cointegration(p, perf.pair_search(p), lags=0).collect()}
     assert t["A", "B"] < -8 < t["A", "C"]
 
 
@@ -380,3 +390,21 @@ def test_running_values_over_buckets(spark):
         assert prev[i] == (own[j - 1][2] if j else None)
         frame = [x for _, _, x in own[max(0, j - 4) : j + 1] if x is not None]
         assert rolled[i] == (sum(frame) if frame else None)
+
+
+def test_cointegration_p_values(spark):
+    """Asymptotic critical values of two series with a constant."""
+    ts = [-3.9001, -3.3377, -3.0462, -2.62, -19.0, 1.0]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in ts], "t double").select(perf.cointegration_p(F.col("t"))).collect()]
+    assert got[:3] == pytest.approx([0.01, 0.05, 0.1], abs=1.5e-3) and got[4:] == [0.0, 1.0]
+    rng = np.random.default_rng(1)
+    e = rng.normal(0, 1, 400)
+    x = [0.0, 0.0, 0.0]
+    for v in e:
+        x.append(0.5 * x[-1] + 0.4 * x[-3] + v)
+    x = np.array(x)
+    d, k = np.diff(x), perf.lag_count(x)
+    design = np.column_stack([x[k:-1], *[d[k - j : len(d) - j] for j in range(1, k + 1)]])
+    coef = np.linalg.solve(design.T @ design, design.T @ d[k:])
+    r = d[k:] - design @ coef
+    assert k >= 2 and perf.unit_root_t(x, k) == pytest.approx(coef[0] / np.sqrt(r @ r / (len(r) - k - 1) * np.linalg.inv(design.T @ design)[0, 0]))

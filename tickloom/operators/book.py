@@ -310,16 +310,23 @@ def replay_book(events: DataFrame, model: str = "full_depth") -> DataFrame:
 
 
 def impact_curve(mids: DataFrame, sizes: list[int], depth: int, half_spread: float, grid: float, base: int) -> DataFrame:
-    """Slippage of buys of given sizes on synthetic ladders behind each mid: (profile, sample, size, filled, vwap, bps).
+    """Slippage of buys of given sizes on synthetic ladders behind each mid: (profile, sample, mid, qty, filled, vwap, bps).
 
-    Profiles: uniform (equal levels) and linear (levels growing with distance). Sizes and levels are parameters.
+    Profiles: uniform (equal levels) and linear (levels growing with distance). Level sizes are arithmetic series, so the
+    number of whole levels a buy takes has a closed form, and its cost is a sum over those levels within the row.
     """
-    grid_df = mids.withColumn("profile", F.explode(F.array(F.lit("uniform"), F.lit("linear")))).withColumn("qty", F.explode(F.array(*[F.lit(s).cast("bigint") for s in sizes])))
-    lad = grid_df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
-    lad = lad.withColumn("price", F.col("mid") + half_spread + F.col("level") * grid).withColumn("size", F.when(F.col("profile") == "uniform", F.lit(base)).otherwise(F.lit(base) * (F.col("level") + 1)).cast("bigint"))
-    out = walk(lad, ["profile", "sample", "mid", "qty"])
+    rows_ = mids.withColumn("profile", F.explode(F.array(F.lit("uniform"), F.lit("linear")))).withColumn("qty", F.explode(F.array(*[F.lit(s).cast("bigint") for s in sizes])))
+    linear = F.col("profile") == "linear"
+    taken = lambda k: (F.lit(base) * F.when(linear, k * (k + 1) / 2).otherwise(k)).cast("bigint")  # noqa: E731  by k whole levels
+    r = rows_.withColumn("filled", F.greatest(F.least(F.col("qty"), taken(F.lit(depth))), F.lit(0)).cast("bigint"))
+    root = F.floor((F.sqrt(1 + 8 * F.col("filled") / base) - 1) / 2)
+    root = F.when(taken(root + 1) <= F.col("filled"), root + 1).when(taken(root) > F.col("filled"), root - 1).otherwise(root)  # rounding of the root
+    r = r.withColumn("k", F.when(linear, root).otherwise(F.floor(F.col("filled") / base)).cast("int"))
+    price = lambda j: F.col("mid") + half_spread + j * grid
+    whole = F.aggregate(F.sequence(F.lit(0), F.col("k")), F.lit(0.0), lambda acc, j: acc + F.when(j < F.col("k"), F.lit(base) * F.when(linear, j + 1).otherwise(1)).otherwise(F.col("filled") - taken(F.col("k"))) * price(j))
+    r = r.withColumn("vwap", F.when(F.col("filled") > 0, whole / F.col("filled")).otherwise(0.0))
     touch = F.col("mid") + half_spread
-    return out.withColumn("bps", (F.col("vwap") - touch) / touch * 1e4)
+    return r.withColumn("bps", (F.col("vwap") - touch) / touch * 1e4).select("profile", "sample", "mid", "qty", "filled", "vwap", "bps")
 
 
 def power_law(curve: DataFrame, by: str = "profile", least: int = 1600) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import rows
-from tickloom.operators.windows import winsorised, zscored
+from tickloom.functions.spread import spread
+from tickloom.operators.windows import winsorised, winsorised_cases, zscored
 
 
 def composite_alpha(df: DataFrame, weights: dict[str, float], by: str = "date", q: float = 0.01) -> DataFrame:
@@ -20,14 +21,17 @@ def composite_alpha(df: DataFrame, weights: dict[str, float], by: str = "date",
     return df.withColumn("alpha", sum((F.coalesce(zscored(f"{f}_w", by), F.lit(0.0)) * w for f, w in weights.items()), F.lit(0.0)))
 
 
-def regress_two(df: DataFrame, y: str, x1: str, x2: str, by: str) -> DataFrame:
+def regress_two(df: DataFrame, y: str, x1: str, x2: str, by: str, q: float = 0.01, least: int = 1) -> DataFrame:
     """Least squares without intercept on two factors per group, as native sums and Cramer's rule.
 
-    Rows lacking a value are left out. Errors use the diagonal of X'X alone: sqrt(RSS / (n - p) / sum x^2); R2 is
+    Rows lacking a value are left out, and the others winsorised at q (0 keeps them as they are); groups of fewer than
+    ``least`` rows give no fit. Errors use the diagonal of X'X alone: sqrt(RSS / (n - p) / sum x^2); R2 is
     against the centred total; the factors' own R2 come from separate one-factor fits. A singular group gives NULLs.
     """
-    c = df.select(by, F.col(y).alias("y"), F.col(x1).alias("a"), F.col(x2).alias("b")).dropna()
+    c = df.select(by, F.col(y).alias("y"), F.col(x1).alias("a"), F.col(x2).alias("b"))
+    c = winsorised_cases(c, ["y", "a", "b"], by, q) if q else c.dropna()
     s = c.groupBy(by).agg(F.count("*").alias("n"), *[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in ("aa", "ab", "bb", "ay", "by", "yy")], F.sum("y").alias("sy"))
+    s = s.where(F.col("n") >= least)
     det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
     s = s.withColumn("b1", F.try_divide(F.col("ay") * F.col("bb") - F.col("by") * F.col("ab"), det)).withColumn("b2", F.try_divide(F.col("by") * F.col("aa") - F.col("ay") * F.col("ab"), det))
     rss = F.col("yy") - F.col("b1") * F.col("ay") - F.col("b2") * F.col("by")
@@ -38,9 +42,9 @@ def regress_two(df: DataFrame, y: str, x1: str, x2: str, by: str) -> DataFrame:
     return s.withColumn("t1", F.try_divide(F.col("b1"), error("aa"))).withColumn("t2", F.try_divide(F.col("b2"), error("bb"))).withColumn("r2_1", one("aa", "ay")).withColumn("r2_2", one("bb", "by")).select(by, "n", "b1", "b2", "t1", "t2", "r2", "r2_1", "r2_2")
 
 
-def regress_many(df: DataFrame, y: str, xs: list[str], by: str) -> DataFrame:
+def regress_many(df: DataFrame, y: str, xs: list[str], by: str, q: float = 0.01) -> DataFrame:
     """The same fit for any number of factors: sums are native, only the p by p system of a group goes to numpy."""
-    clean = df.dropna(subset=[y, *xs])
+    clean = winsorised_cases(df.select(by, y, *xs), [y, *xs], by, q)
     p = len(xs)
     sums = clean.groupBy(by).agg(F.count("*").alias("n"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in xs for b in xs]).alias("xx"), F.array(*[F.sum(F.col(a) * F.col(y)) for a in xs]).alias("xy"))
 
@@ -51,8 +55,9 @@ def regress_many(df: DataFrame, y: str, xs: list[str], by: str) -> DataFrame:
     return sums.select(by, "n", solve("xx", "xy").alias("betas"))
 
 
-def residuals(df: DataFrame, fit: DataFrame, y: str, x1: str, x2: str, by: str) -> DataFrame:
-    return df.dropna(subset=[y, x1, x2]).join(fit.select(by, "b1", "b2"), by).withColumn("resid", F.col(y) - F.col("b1") * F.col(x1) - F.col("b2") * F.col(x2))
+def residuals(df: DataFrame, fit: DataFrame, y: str, x1: str, x2: str, by: str, q: float = 0.01) -> DataFrame:
+    """What the fit leaves of the winsorised values."""
+    return winsorised_cases(df, [y, x1, x2], by, q).join(fit.select(by, "b1", "b2"), by).withColumn("resid", F.col(y) - F.col("b1") * F.col(x1) - F.col("b2") * F.col(x2))
 
 
 def row_blocks(df: DataFrame, order: list[str], size: int, by: str | None = None) -> DataFrame:
@@ -148,7 +153,7 @@ def optimise(df: DataFrame, gamma: float, aversion: float, market_vol: float, gr
         return pd.DataFrame({by: pdf[by].to_numpy(), "symbol": pdf["symbol"].to_numpy(), "weight": w})
 
     kind = df.schema[by].dataType.simpleString()
-    return df.dropna(subset=["alpha", "beta", "sigma"]).groupBy(by).applyInPandas(run, f"{by} {kind}, symbol {df.schema['symbol'].dataType.simpleString()}, weight double")
+    return spread(df.dropna(subset=["alpha", "beta", "sigma"]), by).groupBy(by).applyInPandas(run, f"{by} {kind}, symbol {df.schema['symbol'].dataType.simpleString()}, weight double")
 
 
 def exposures(weights: DataFrame, by: str = "date") -> DataFrame:
@@ -166,7 +171,7 @@ def frontier(df: DataFrame, steps: int = 20, start: float = 0.25, ratio: float =
         var = market_vol**2 * (b @ w) ** 2 + (s**2) @ (w**2)
         return pd.DataFrame({"k": [int(pdf["k"].iloc[0])], "aversion": [float(pdf["aversion"].iloc[0])], "alpha": [a @ w], "stdev": [var**0.5], "gross": [np.abs(w).sum()]})
 
-    return grid.groupBy("k").applyInPandas(run, "k int, aversion double, alpha double, stdev double, gross double")
+    return spread(grid, "k").groupBy("k").applyInPandas(run, "k int, aversion double, alpha double, stdev double, gross double")
 
 
 def regime_aversion(state: Column, levels: list[float]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import rows
+from tickloom.functions.spread import spread
 
 
 def entries(positions: DataFrame, by: str = "symbol", order: str = "idx") -> DataFrame:
@@ -77,22 +78,23 @@ def sequential_bootstrap(labels: DataFrame, draws: int | None = None, seed: int
             out.append((pdf[by].iloc[0], k, int(pdf["t0"].iloc[i])))
         return pd.DataFrame(out, columns=[by, "draw", "t0"])
 
-    return labels.groupBy(by).applyInPandas(run, f"{by} {labels.schema[by].dataType.simpleString()}, draw int, t0 bigint")
+    return spread(labels, by).groupBy(by).applyInPandas(run, f"{by} {labels.schema[by].dataType.simpleString()}, draw int, t0 bigint")
 
 
 class WeightedLogistic:
-    """Logistic regression by gradient descent on standardised features, with an l2 penalty."""
+    """Logistic regression by gradient descent on standardised features: the weighted mean of the gradient beside the full
+    l2 penalty."""
 
     def __init__(self, l2: float = 1.0, rate: float = 0.3, rounds: int = 800) -> None:
         self.l2, self.rate, self.rounds = l2, rate, rounds
 
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> WeightedLogistic:
         self.m, self.s = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
-        z, w = (x - self.m) / self.s, w / w.sum()
+        z, w = (x - self.m) / self.s, w / w.sum() if w.sum() > 0 else w / len(w)
         self.b, self.a = np.zeros(x.shape[1]), 0.0
         for _ in range(self.rounds):
             g = w * (1 / (1 + np.exp(-np.clip(z @ self.b + self.a, -30, 30))) - y)
-            self.b = self.b - self.rate * (z.T @ g + self.l2 * self.b / len(y))
+            self.b = self.b - self.rate * (z.T @ g + self.l2 * self.b)
             self.a -= self.rate * g.sum()
         return self
 
@@ -117,7 +119,7 @@ def out_of_sample(events: DataFrame, roles: DataFrame, features: list[str]) -> D
             p = WeightedLogistic().fit(train[features].to_numpy(float), y, train["weight"].to_numpy(float)).predict(test[features].to_numpy(float))
         return pd.DataFrame({"event": test["event"].to_numpy(), "p": p})
 
-    return events.join(roles, "event").groupBy("split_id").applyInPandas(run, "event bigint, p double").groupBy("event").agg(F.avg("p").alias("p"))
+    return spread(events.join(roles, "event"), "split_id").groupBy("split_id").applyInPandas(run, "event bigint, p double").groupBy("event").agg(F.avg("p").alias("p"))
 
 
 def importance(events: DataFrame, roles: DataFrame, features: list[str], repeats: int = 3, seed: int = 0) -> DataFrame:
@@ -137,7 +139,7 @@ def importance(events: DataFrame, roles: DataFrame, features: list[str], repeats
                     out.append((f, float(base - ((m.predict(z) > 0.5) == t).mean())))
         return pd.DataFrame(out, columns=["feature", "loss"]).astype({"feature": "object", "loss": "float64"})
 
-    return events.join(roles, "event").groupBy("split_id").applyInPandas(run, "feature string, loss double").groupBy("feature").agg(F.avg("loss").alias("importance"))
+    return spread(events.join(roles, "event"), "split_id").groupBy("split_id").applyInPandas(run, "feature string, loss double").groupBy("feature").agg(F.avg("loss").alias("importance"))
 
 
 def meta_dataset(labels: DataFrame, scores: DataFrame, regimes: DataFrame, by: str = "symbol") -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import rows
+from tickloom.functions.numeric import normal_cdf, rows
+from tickloom.functions.spread import spread
 
 
 def curve_returns(equity: DataFrame, by: str, order: str = "date") -> DataFrame:
@@ -73,17 +74,53 @@ def pair_search(returns: DataFrame, order: str = "date", least: int = 30) -> Dat
     return m.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("xa", "xb").alias("corr"), F.regr_slope("xa", "xb").alias("hedge"), F.regr_r2("xa", "xb").alias("r2")).where(F.col("n") >= least)
 
 
-def unit_root_t(resid: np.ndarray) -> float:
-    """Dickey-Fuller t statistic of a residual series (no constant, no lags)."""
-    x, d = resid[:-1], np.diff(resid)
-    rho = (x @ d) / (x @ x)
-    e = d - rho * x
-    return float(rho / np.sqrt(e @ e / max(len(d) - 1, 1) / (x @ x)))
+def unit_root_t(resid: np.ndarray, lags: int = 0) -> float:
+    """Dickey-Fuller t statistic of a residual series with so many lagged differences (no constant)."""
+    return _lagged_fit(resid, lags, lags)[0]
 
 
-def cointegration_t(panel: DataFrame, pairs: DataFrame, order: str = "date") -> DataFrame:
-    """Engle-Granger statistic per given pair; more negative is stronger."""
-    a = pairs.select("a", "b").join(panel.select(F.col("symbol").alias("a"), order, F.col("close").alias("xa")), "a")
+def _lagged_fit(x: np.ndarray, lags: int, trimmed: int) -> tuple[float, float]:
+    """(t of the level, information criterion of the fit), over the differences after the first ``trimmed``."""
+    d = np.diff(x)
+    y = d[trimmed:]
+    design = np.column_stack([x[trimmed:-1], *[d[trimmed - k : len(d) - k] for k in range(1, lags + 1)]])
+    coef, *_ = np.linalg.lstsq(design, y, rcond=None)
+    e = y - design @ coef
+    n, k = design.shape
+    ss = float(e @ e)
+    error = np.sqrt(ss / max(n - k, 1) * np.linalg.pinv(design.T @ design)[0, 0])
+    t = float(coef[0] / error) if error > 0 else float("-inf")
+    return t, n * np.log(max(ss / n, 1e-300)) + 2 * k
+
+
+def lag_count(x: np.ndarray) -> int:
+    """Lagged differences by the least information criterion, up to 12 (n / 100)^(1/4)."""
+    n = len(x)
+    most = max(min(n // 2 - 1, int(np.ceil(12 * (n / 100) ** 0.25))), 0)
+    return int(np.argmin([_lagged_fit(x, k, most)[1] for k in range(most + 1)]))
+
+
+# MacKinnon's (1994) approximation of the p-value of a co-integration test of two series with a constant:
+# bounds of the statistic, where the two polynomials part, and their coefficients from the constant on.
+P_LOWEST, P_HIGHEST, P_PARTING = -18.86, 0.92, -2.62
+P_SMALL = (2.92, 1.5012, 0.039796)
+P_LARGE = (2.1945, 0.64695, -0.29198, -0.042377)
+
+
+def cointegration_p(t: Column) -> Column:
+    """P-value of an Engle-Granger statistic."""
+    poly = lambda cs: sum((F.lit(c) * F.pow(t, F.lit(i)) for i, c in enumerate(cs)), F.lit(0.0))
+    inside = normal_cdf(F.when(t <= P_PARTING, poly(P_SMALL)).otherwise(poly(P_LARGE)))
+    return F.when(t > P_HIGHEST, F.lit(1.0)).when(t < P_LOWEST, F.lit(0.0)).otherwise(inside)
+
+
+def cointegration(panel: DataFrame, pairs: DataFrame, order: str = "date", lags: int | None = None) -> DataFrame:
+    """The given pairs with hedge intercept, Engle-Granger statistic and p-value.
+
+    ``lags`` states the lagged differences of the unit root test; None chooses them per pair by information criterion. The
+    more negative the statistic, the stronger; a perfect fit has -inf and p 0.
+    """
+    a = pairs.join(panel.select(F.col("symbol").alias("a"), order, F.col("close").alias("xa")), "a")
     m = a.join(panel.select(F.col("symbol").alias("b"), order, F.col("close").alias("xb")), ["b", order])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -91,14 +128,30 @@ def cointegration_t(panel: DataFrame, pairs: DataFrame, order: str = "date") ->
         y, x = pdf["xa"].to_numpy(float), pdf["xb"].to_numpy(float)
         design = np.column_stack([np.ones(len(x)), x])
         coef, *_ = np.linalg.lstsq(design, y, rcond=None)
-        return pd.DataFrame({"a": [pdf["a"].iloc[0]], "b": [pdf["b"].iloc[0]], "t": [unit_root_t(y - design @ coef)]})
+        resid = y - design @ coef
+        spread_ = ((y - y.mean()) ** 2).sum()
+        perfect = spread_ == 0 or (resid @ resid) / spread_ < 100 * np.finfo(float).eps
+        t = float("-inf") if perfect else unit_root_t(resid, lag_count(resid) if lags is None else lags)
+        return pd.DataFrame({"a": [pdf["a"].iloc[0]], "b": [pdf["b"].iloc[0]], "alpha": [coef[0]], "t": [t]})
+
+    fits = spread(m.select("a", "b", order, "xa", "xb"), "a", "b").groupBy("a", "b").applyInPandas(run, "a string, b string, alpha double, t double")
+    return pairs.join(fits, ["a", "b"]).withColumn("p", cointegration_p(F.col("t")))
 
-    return m.groupBy("a", "b").applyInPandas(run, "a string, b string, t double")
+
+def cointegrated(tested: DataFrame, level: float = 0.05) -> DataFrame:
+    """The pairs whose p-value lies below the level."""
+    return tested.where(F.col("p") < level)
 
 
 def rank_pairs(pairs: DataFrame, p: str = "p") -> DataFrame:
     return pairs.withColumn("score", 0.4 * (1 - F.col(p)) + 0.4 * F.col("r2") + 0.2 * F.abs("corr")).orderBy(F.desc("score"), "a", "b")
 
 
+def strategy_counts(trades: DataFrame, by: str = "strategy") -> DataFrame:
+    """Trades per strategy and each one's share of all."""
+    c = trades.groupBy(by).agg(F.count("*").alias("trades"))
+    return c.withColumn("share", F.col("trades") / F.sum("trades").over(Window.partitionBy(F.lit(0))))  # a row a strategy
+
+
 def runtime_estimate(rows: DataFrame, per_second: float) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), (F.count("*") / per_second).alias("seconds"))

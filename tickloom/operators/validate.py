@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import math
@@ -12,8 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import let, normal_cdf, normal_ppf
+from tickloom.functions.running import running
 
 EULER = 0.5772156649015329
+BUCKETS = 64  # stretches of the axis that are walked side by side
+WINDOW, ROW = 0, 1
 
 
 def label_windows(rows: DataFrame, holding: int, idx: str = "idx") -> DataFrame:
@@ -42,14 +46,6 @@ def paths(groups: int, k: int) -> int:
     return math.comb(groups - 1, k - 1)
 
 
-def _merged(test: DataFrame) -> DataFrame:
-    """Test windows of a split united into disjoint intervals."""
-    w = Window.partitionBy("split_id").orderBy("t0", "t1")
-    reach = F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    t = test.withColumn("new", F.coalesce((F.col("t0") > reach).cast("int"), F.lit(1))).withColumn("isle", F.sum("new").over(w))
-    return t.groupBy("split_id", "isle").agg(F.min("t0").alias("lo"), F.max("t1").alias("hi"))
-
-
 def purged_train(rows: DataFrame, spark: SparkSession, n: int, groups: int, k: int, embargo: float = 0.0, bars: int | None = None) -> DataFrame:
     """(split_id, idx, role) with role test, train, purged or embargoed for every split.
 
@@ -57,25 +53,34 @@ def purged_train(rows: DataFrame, spark: SparkSession, n: int, groups: int, k: i
     axis, and an event is embargoed if its t0 lies within int(bars embargo) bars after a test window ends.
 
     rows: (idx, t0, t1). A training row is purged if its window meets any test window (ends included), and
-    embargoed if it starts within int(n embargo) rows after a test window ends. Test windows of a split are first
-    united into disjoint intervals; since those are ordered, a training row need only look at the last interval that
-    starts before its own end: one running maximum per split instead of a join on ranges.
+    embargoed if it starts within int(n embargo) rows after a test window ends. Both are told by two values per group,
+    not per split: the latest end among its windows that start by the row's own end (it meets the row if it reaches the
+    row's start), and the last end before the row. These are running maxima over all rows, in buckets of the axis with
+    a carry between them; only the roles are then spread over the splits.
     """
-    tests = F.array(*[F.struct(F.lit(i).alias("split_id"), F.array(*[F.lit(g) for g in c]).alias("chosen")) for i, c in enumerate(combinations(range(groups), k))])
-    all_ = rows.withColumn("grp", group_of(F.col("idx"), n, groups)).withColumn("s", F.explode(tests)).select("*", "s.*").drop("s").withColumn("test", F.array_contains("chosen", F.col("grp")))
-    at_ = "idx" if bars is None else "t0"
+    chosen = list(combinations(range(groups), k))
+    size = max(1, -(-(n if bars is None else max(bars, 1)) // BUCKETS))
     gap = int((n if bars is None else bars) * embargo)
-    isles = _merged(all_.where("test").select("split_id", "t0", "t1"))
-    ends = isles.select("split_id", F.col("lo").alias("at"), F.lit(0).alias("k"), F.col("hi"), F.lit(None).cast("bigint").alias("idx"), F.lit(None).cast("bigint").alias("t0"))
-    mine = all_.where("NOT test").select("split_id", F.col("t1").alias("at"), F.lit(1).alias("k"), F.lit(None).cast("bigint").alias("hi"), F.col("idx").cast("bigint").alias("idx"), F.col("t0").cast("bigint").alias("t0"))
-    w = Window.partitionBy("split_id").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0)
-    met = ends.withColumn("hi", F.col("hi").cast("bigint")).unionByName(mine).withColumn("reach", F.max("hi").over(w)).where("k = 1")
-    # the embargo follows row positions, or bars: the last interval that ends before the row
-    after = ends.select("split_id", F.col("hi").cast("bigint").alias("at"), F.lit(0).alias("k"), F.col("hi").cast("bigint").alias("hi"), "idx", "t0").unionByName(mine.select("split_id", F.col(at_).alias("at"), F.lit(-1).alias("k"), "hi", "idx", "t0"))
-    late = after.withColumn("ended", F.max("hi").over(Window.partitionBy("split_id").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0))).where("k = -1").select("split_id", "idx", "ended")
-    role = F.when(F.col("reach") >= F.col("t0"), "purged").when((F.col(at_) > F.col("ended")) & (F.col(at_) <= F.col("ended") + gap), "embargoed").otherwise("train")
-    train = met.join(late, ["split_id", "idx"]).select("split_id", "idx", role.alias("role"))
-    return train.unionByName(all_.where("test").select("split_id", F.col("idx").cast("bigint").alias("idx"), F.lit("test").alias("role")))
+    r = rows.select(*[F.col(c).cast("bigint").alias(c) for c in ("idx", "t0", "t1")]).withColumn("grp", group_of(F.col("idx"), n, groups))
+    r = r.withColumn("at", F.col("idx") if bars is None else F.col("t0"))
+    of = lambda g: F.when((F.col("kind") == WINDOW) & (F.col("grp") == g), F.col("t1"))
+
+    def told(asked: DataFrame, x: Column, start: Column, first: bool, name: str) -> DataFrame:
+        """Per asked row the largest t1 of each group's windows whose ``start`` lies by (first) or before its x."""
+        both = asked.withColumn("kind", F.lit(ROW)).withColumn("x", x).withColumn("late", F.lit(int(first)))
+        own = r.select(*[F.col(c) if c in r.columns else F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in asked.columns]).withColumn("kind", F.lit(WINDOW)).withColumn("x", start).withColumn("late", F.lit(int(not first)))
+        done = running(both.unionByName(own), [], ["x", "late"], F.floor(F.col("x") / size), maxima={f"m{g}": of(g) for g in range(groups)})
+        return done.where(F.col("kind") == ROW).withColumn(name, F.array(*[f"m{g}" for g in range(groups)])).select(*asked.columns, name)
+
+    met = told(told(r, F.col("t1"), F.col("t0"), True, "reach"), F.col("at"), F.col("t1"), False, "ended")
+    roles = []
+    for i, c in enumerate(chosen):
+        purged = [F.coalesce(F.col("reach")[g] >= F.col("t0"), F.lit(False)) for g in c]
+        late = [F.coalesce(F.col("ended")[g] + gap >= F.col("at"), F.lit(False)) for g in c]
+        any_ = lambda xs: functools.reduce(lambda a, b: a | b, xs)
+        role = F.when(F.col("grp").isin(*c), "test").when(any_(purged), "purged").when(any_(late), "embargoed").otherwise("train")
+        roles.append(F.struct(F.lit(i).alias("split_id"), role.alias("role")))
+    return met.select("idx", F.explode(F.array(*roles)).alias("s")).select("s.split_id", "idx", "s.role")
 
 
 def sharpe_per_period(df: DataFrame, x: str, by: list[str]) -> DataFrame:

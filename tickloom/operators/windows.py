@@ -42,6 +42,15 @@ def winsorised(df: DataFrame, x: str, by: str, q: float = 0.01) -> DataFrame:
     return df.join(limits, by, "left").withColumn(f"{x}_w", F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.col("lo_")), F.col("hi_")))).drop("lo_", "hi_")
 
 
+def winsorised_cases(df: DataFrame, columns: list[str], by: str, q: float = 0.01) -> DataFrame:
+    """Rows that have all the columns, these clamped as by ``winsorised`` in their group: one aggregate for all of them."""
+    whole = df.dropna(subset=columns)
+    limits = whole.groupBy(by).agg(*[F.sort_array(F.collect_list(c)).alias(f"v_{c}") for c in columns])
+    limits = limits.select(by, *[index_quantile(F.col(f"v_{c}"), x).alias(f"{n}_{c}") for c in columns for n, x in (("lo", q), ("hi", 1 - q))])
+    met = whole.join(limits, by).withColumns({c: F.least(F.greatest(F.col(c), F.col(f"lo_{c}")), F.col(f"hi_{c}")) for c in columns})
+    return met.select(df.columns)
+
+
 def zscored(x: str, by: str | list[str]) -> Column:
     """Population z-score in the group; a group without spread gets 0."""
     w = Window.partitionBy(by)

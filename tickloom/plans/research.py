@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import normal_cdf_sql, normal_ppf, rows
+from tickloom.functions.running import running
 from tickloom.operators import factors as X
 from tickloom.operators import meta as L
 from tickloom.operators import perf as A
@@ -48,8 +49,15 @@ def f1_composite_alpha(spark: SparkSession, d: str) -> DataFrame:
     return X.composite_alpha(base.cross_section(spark, d), {"f1": 0.5, "f2": 0.3, "f3": 0.2}).select("date", "symbol", *r6("alpha"))
 
 
+def _clamp_sql(src: str, by: str) -> str:
+    at = lambda c, q: f"v_{c}[least(CAST(floor(len(v_{c}) * {q}) AS INT) + 1, len(v_{c}))]"
+    cols = ("f1", "f2", "ret")
+    clamped = ", ".join(f"least(greatest({c}, {at(c, 0.01)}), {at(c, 0.99)}) AS {c}" for c in cols)
+    return f"lim_ AS (SELECT {by}, {', '.join(f'list_sort(list({c})) AS v_{c}' for c in cols)} FROM {src} GROUP BY 1), cl_ AS (SELECT s.* REPLACE ({clamped}) FROM (SELECT * FROM {src} JOIN lim_ USING ({by})) s)"
+
+
 def _two_sql(src: str, by: str) -> str:
-    return f"""sm AS (SELECT {by}, count(*) AS n, sum(f1 * f1) AS aa, sum(f1 * f2) AS ab, sum(f2 * f2) AS bb, sum(f1 * ret) AS ay, sum(f2 * ret) AS by_, sum(ret * ret) AS yy, sum(ret) AS sy FROM {src} GROUP BY 1),
+    return f"""{_clamp_sql(src, by)}, sm AS (SELECT {by}, count(*) AS n, sum(f1 * f1) AS aa, sum(f1 * f2) AS ab, sum(f2 * f2) AS bb, sum(f1 * ret) AS ay, sum(f2 * ret) AS by_, sum(ret * ret) AS yy, sum(ret) AS sy FROM cl_ GROUP BY 1),
  b AS (SELECT *, (ay * bb - by_ * ab) / nullif(aa * bb - ab * ab, 0) AS b1, (by_ * aa - ay * ab) / nullif(aa * bb - ab * ab, 0) AS b2, yy - sy * sy / n AS tss FROM sm), fit AS (SELECT *, yy - b1 * ay - b2 * by_ AS rss FROM b)"""
 
 
@@ -63,7 +71,7 @@ def f2_many_factors(spark: SparkSession, d: str) -> DataFrame:
     return X.regress_many(base.cross_section(spark, d), "ret", ["f1", "f2", "f3"], "date")
 
 
-@query(f"WITH {XS}, {_two_sql('xs', 'date')} SELECT xs.date, symbol, round(ret - b1 * f1 - b2 * f2, 6) + 0.0 AS resid FROM xs JOIN fit ON xs.date = fit.date")
+@query(f"WITH {XS}, {_two_sql('xs', 'date')} SELECT cl_.date, symbol, round(ret - b1 * f1 - b2 * f2, 6) + 0.0 AS resid FROM cl_ JOIN fit ON cl_.date = fit.date")
 def f5_residuals(spark: SparkSession, d: str) -> DataFrame:
     x = base.cross_section(spark, d)
     fit = X.regress_two(x, "ret", "f1", "f2", "date")
@@ -75,7 +83,7 @@ _BLOCKS = f"{XS}, nb AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     b = X.row_blocks(base.cross_section(spark, d), ["date"], 20, by="symbol").withColumn("cell", F.concat_ws("|", "symbol", "block"))
-    return X.regress_two(b, "ret", "f1", "f2", "cell")
+    return X.regress_two(b, "ret", "f1", "f2", "cell", least=10)
 
 
 @query(f"WITH {_BLOCKS} SELECT cell, n, round(b1, 6) + 0.0 AS b1, round(b2, 6) + 0.0 AS b2 FROM fit")
@@ -146,6 +154,34 @@ def f19_frontier(spark: SparkSession, d: str) -> DataFrame:
     return X.frontier(x)
 
 
+# with equal specific risk the optimum is the alpha free of net and beta, over the curvature, scaled to the gross limit
+_FREE = f"{XS}, rg AS (SELECT date, regr_slope(ret, f2) AS h, regr_intercept(ret, f2) AS c FROM xs GROUP BY date HAVING var_pop(f2) > 0), fr AS (SELECT xs.date, symbol, f2 / 25 AS beta, ret, ret - c - h * f2 AS free FROM xs JOIN rg ON rg.date = xs.date), sz AS (SELECT *, free / (2 * 0.01 + 0.04) AS raw, sum(abs(free / (2 * 0.01 + 0.04))) OVER (PARTITION BY date) AS gross FROM fr)"
+
+
+@query(f"WITH {_FREE} SELECT date, symbol, round(raw * least(1.0, 2.0 / nullif(gross, 0)), 5) + 0.0 AS weight FROM sz")
+def f15_f18_equal_risk(spark: SparkSession, d: str) -> DataFrame:
+    x = base.cross_section(spark, d).select("date", "symbol", F.col("ret").alias("alpha"), (F.col("f2") / 25).alias("beta"), F.lit(0.2).alias("sigma"))
+    x = x.join(x.groupBy("date").agg(F.var_pop("beta").alias("v")).where("v > 0"), "date")
+    return X.optimise(x, 0.01, 1.0, 0.15, 2.0).select("date", "symbol", *r6("weight", digits=5))
+
+
+@query(f"WITH {XS}, dt AS (SELECT date, count(*) AS n FROM xs GROUP BY date) SELECT date, 0.0 AS net, 0.0 AS beta, true AS within FROM dt")
+def f16_f17_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for every optimised book: no net, no beta, gross within its limit."""
+    w, x = _optimised(spark, d)
+    e = X.exposures(w.join(x.select("date", "symbol", "beta"), ["date", "symbol"]))
+    return e.select("date", *r6("net", "beta", digits=5), (F.col("gross") <= 2.0 + 1e-9).alias("within"))
+
+
+_FRONT = f"{XS}, av AS (SELECT symbol, avg(ret) AS alpha, avg(f2) / 25 AS beta FROM xs GROUP BY symbol), rg AS (SELECT regr_slope(alpha, beta) AS h, regr_intercept(alpha, beta) AS c FROM av), fr AS (SELECT alpha, alpha - c - h * beta AS free FROM av, rg), sm AS (SELECT sum(abs(free)) AS g, sum(free * alpha) AS fa, sum(free * free) AS ff FROM fr), kk AS (SELECT unnest(generate_series(0, 19)) AS k), lv AS (SELECT CAST(k AS INT) AS k, 0.25 * power(1.5, k) AS aversion FROM kk), sc AS (SELECT k, aversion, g, fa, ff, least(1 / (aversion * 0.04), 4.0 / g) AS m FROM lv, sm)"
+
+
+@query(f"WITH {_FRONT} SELECT k, round(aversion, 6) AS aversion, round(fa * m, 5) AS alpha, round(0.2 * sqrt(ff) * m, 5) AS stdev, round(g * m, 3) AS gross FROM sc")
+def f19_equal_risk_frontier(spark: SparkSession, d: str) -> DataFrame:
+    x = base.cross_section(spark, d).groupBy("symbol").agg(F.avg("ret").alias("alpha"), (F.avg("f2") / 25).alias("beta")).withColumn("sigma", F.lit(0.2))
+    return X.frontier(x).select("k", *r6("aversion"), *r6("alpha", "stdev", digits=5), *r6("gross", digits=3))
+
+
 @query(f"WITH {XS} SELECT date, symbol, CAST([0.5, 1.0, 4.0][CAST(least(greatest(CAST(floor(f2) AS INT) % 5 - 1, 0), 2) + 1 AS INT)] AS DOUBLE) AS aversion FROM xs")
 def f20_regime_aversion(spark: SparkSession, d: str) -> DataFrame:
     return base.cross_section(spark, d).select("date", "symbol", X.regime_aversion(F.floor("f2") % 5 - 1, [0.5, 1.0, 4.0]).alias("aversion"))
@@ -529,7 +565,7 @@ def l3_concurrency(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_UQ} SELECT symbol, t0, round(uniqueness, 6) AS uniqueness, round(uniqueness * abs(ret) / avg(uniqueness * abs(ret)) OVER (), 6) AS weight FROM uq")
 def l4_l5_sample_weights(spark: SparkSession, d: str) -> DataFrame:
-    w = L.sample_weights(L.uniqueness(_labels(spark, d)[0]), by_return=True)
+    w = L.sample_weights(L.uniqueness(cut_lineage(_labels(spark, d)[0])), by_return=True)  # a row an event, used four times
     return w.select("symbol", "t0", F.round("uniqueness", 6).alias("uniqueness"), F.round("weight", 6).alias("weight"))
 
 
@@ -542,9 +578,9 @@ def _meta(spark: SparkSession, d: str, p: DataFrame | None = None) -> tuple[Data
     labels, p = _labels(spark, d) if p is None else (L.triple_barrier(p, L.entries(p), 0.5, 0.5, 10), p)
     scores = p.select("symbol", "idx", "date", "s", "close")
     regimes = p.where("symbol = 'S00'").select("idx", (F.col("idx") % 3).alias("state")).where("idx % 5 = 0")
-    m = L.meta_dataset(L.sample_weights(L.uniqueness(labels)), scores, regimes)
-    # events in order of start: one row each, so numbering them is cheap
-    ev = cut_lineage(m.withColumn("event", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("t0", "symbol")) - 1).select("event", "symbol", "t0", "t1", "label", "ret", "weight", "s", "abs_s", "regime", "dow"))
+    m = L.meta_dataset(L.sample_weights(L.uniqueness(cut_lineage(labels))), scores, regimes)
+    numbered = running(m, [], ["t0", "symbol"], F.floor(F.col("t0") / 64), sums={"event": F.lit(1)})  # in order of start
+    ev = cut_lineage(numbered.withColumn("event", F.col("event").cast("int") - 1).select("event", "symbol", "t0", "t1", "label", "ret", "weight", "s", "abs_s", "regime", "dow"))
     n, bars = ev.count(), p.agg(F.max("idx").alias("bars")).head()["bars"] or 0
     rows_ = ev.select(F.col("event").cast("bigint").alias("idx"), "t0", "t1")
     roles = V.purged_train(rows_, ev.sparkSession, n, 6, 2, 0.01, bars).withColumnRenamed("idx", "event")
@@ -700,15 +736,37 @@ def a10_pair_search(spark: SparkSession, d: str) -> DataFrame:
     return A.pair_search(base.panel(spark, d)).select("a", "b", "n", *r6("corr", "hedge", "r2"))
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, round(0.4 * (1 - 0.05) + 0.4 * r2 + 0.2 * abs(corr), 6) AS score FROM pr")
+# the unit root test without lagged differences has a closed form
+_POLY = lambda cs: " + ".join(f"{c!r} * power(t, {i})" for i, c in enumerate(cs))
+_EG = f"""{_PAIRS}, co AS (SELECT a.symbol AS a, b.symbol AS b, a.date, a.close AS xa, b.close AS xb FROM panel a JOIN panel b ON a.date = b.date AND a.symbol < b.symbol), fi AS (SELECT a, b, regr_slope(xa, xb) AS h, regr_intercept(xa, xb) AS alpha FROM co GROUP BY 1, 2),
+ re AS (SELECT co.a, co.b, date, alpha, xa - alpha - h * xb AS e FROM co JOIN fi ON fi.a = co.a AND fi.b = co.b), lg AS (SELECT *, lag(e) OVER (PARTITION BY a, b ORDER BY date) AS x FROM re), su AS (SELECT a, b, any_value(alpha) AS alpha, count(x) AS n, sum(x * (e - x)) AS xd, sum(x * x) AS xx, sum((e - x) * (e - x)) AS dd FROM lg WHERE x IS NOT NULL GROUP BY 1, 2),
+ tt AS (SELECT *, xd / xx / sqrt((dd - xd * xd / xx) / (n - 1) / xx) AS t FROM su), pz AS (SELECT *, CASE WHEN t <= {A.P_PARTING!r} THEN {_POLY(A.P_SMALL)} ELSE {_POLY(A.P_LARGE)} END AS z FROM tt), pv AS (SELECT a, b, alpha, t, CASE WHEN t > {A.P_HIGHEST!r} THEN 1.0 WHEN t < {A.P_LOWEST!r} THEN 0.0 ELSE {normal_cdf_sql('z')} END AS p FROM pz)"""
+
+
+def _tested(spark: SparkSession, d: str, lags: int | None) -> DataFrame:
+    p = base.panel(spark, d)
+    return A.cointegration(p, A.pair_search(p), lags=lags)
+
+
+@query(f"WITH {_EG} SELECT pr.a, pr.b, {q6('corr', 'hedge', 'r2')}, round(alpha, 5) + 0.0 AS alpha, round(t, 5) AS t, round(p, 6) AS p FROM pr JOIN pv ON pv.a = pr.a AND pv.b = pr.b")
+def a10_engle_granger(spark: SparkSession, d: str) -> DataFrame:
+    return _tested(spark, d, 0).select("a", "b", *r6("corr", "hedge", "r2"), *r6("alpha", digits=5), F.round("t", 5).alias("t"), F.round("p", 6).alias("p"))
+
+
+@query(f"WITH {_EG} SELECT pr.a, pr.b, round(0.4 * (1 - p) + 0.4 * r2 + 0.2 * abs(corr), 6) AS score FROM pr JOIN pv ON pv.a = pr.a AND pv.b = pr.b WHERE p < 0.05")
 def a11_pair_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return A.rank_pairs(A.pair_search(base.panel(spark, d)).withColumn("p", F.lit(0.05))).select("a", "b", F.round("score", 6).alias("score"))
+    return A.rank_pairs(A.cointegrated(_tested(spark, d, 0))).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query()
-def a10_cointegration(spark: SparkSession, d: str) -> DataFrame:
-    p = base.panel(spark, d)
-    return A.cointegration_t(p, A.pair_search(p))
+def a10_cointegrated_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pair search as it is run: lagged differences chosen per pair, p below 0.05, ranked."""
+    return A.rank_pairs(A.cointegrated(_tested(spark, d, None)))
+
+
+@query(f"WITH {TR} SELECT type AS strategy, count(*) AS trades, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM tr GROUP BY type")
+def a12_strategy_counts(spark: SparkSession, d: str) -> DataFrame:
+    return A.strategy_counts(base.ledger_trades(spark, d).withColumnRenamed("type", "strategy")).select("strategy", "trades", F.round("share", 6).alias("share"))
 
 
 @query("SELECT count(*) AS rows, round(count(*) / 800000.0, 6) AS seconds FROM tick")
