@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom import config
+from tickloom import config, strategy
 from tickloom.functions.numeric import half_away, normal_cdf, normal_ppf
 from tickloom.operators import bars, book, clean, factors, meta, micro, perf, portfolio, regime, signals, statarb, validate, windows
 from tickloom.sources import files
@@ -122,6 +122,83 @@ def series(spark, values, name="s"):
     return spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], f"symbol string, date int, {name} double")
 
 
+def test_replace_goes_to_the_end_of_the_queue():
+    b = book.Book()
+    b.quote(9.0, 12.0, 0, 0)
+    b.submit(1, "me", "BUY", "LIMIT", 100, 10.0)
+    b.rest("BUY", 10.0, "crowd", 50)
+    assert b.replace(2, "me", 40, 10.0) and not b.replace(2, "other", 1, 1.0)
+    b.tick(3, 10.0, 60, (9.0, 12.0, 0, 0))
+    assert [(f[0], f[2]) for f in b.fills] == [("me", 10)]
+    t = book.TouchBook("top_of_book")
+    t.submit(0, "m", "BUY", "MARKET", 5, None)
+    t.submit(0, "l", "BUY", "LIMIT", 5, 10.0)
+    assert not t.replace(1, "m", 9, 9.0) and t.replace(1, "l", 7, 11.0)
+    t.tick(2, 10.0, 5, (9.0, 11.0, 50, 40))
+    assert sorted((f[0], f[2]) for f in t.fills) == [("l", 7), ("m", 5)]
+
+
+def test_second_pass_serves_orders_made_on_fills():
+    t = book.TouchBook("top_of_book")
+    t.submit(0, "a", "BUY", "MARKET", 10, None)
+    t.tick(1, 10.0, 5, (9.0, 11.0, 50, 15), lambda: t.submit(1, "b", "BUY", "MARKET", 10, None))
+    assert [(f[0], f[2]) for f in t.fills] == [("a", 10), ("b", 5)]
+
+
+class Greedy(strategy.Strategy):
+    """Buys on its first tick, sells what it got, and breaks on the ninth."""
+
+    def __init__(self):
+        super().__init__()
+        self.seen, self.bars = 0, []
+
+    def on_tick(self, tick):
+        self.seen += 1
+        if self.seen == 1:
+            self.broker.market(tick.symbol, "BUY", 10)
+        if self.seen == 9:
+            raise ValueError("broken")
+
+    def on_bar(self, bar):
+        self.bars.append(bar)
+
+    def on_fill(self, fill):
+        if fill.side == "BUY":
+            self.broker.limit(fill.symbol, "SELL", fill.qty, 100.0)
+
+
+def test_strategy_callbacks_and_its_failure(spark):
+    rows = [("A", i, at(i * 400), 10.0 + i, 5, 9.0, 11.0, 50, 4) for i in range(12)] + [("B", 1, at(0), 1.0, 1, 1.0, 1.0, 1, 1), ("B", 2, at(1), None, 1, 1.0, 1.0, 1, 1), (None, 3, at(1), 1.0, 1, 1.0, 1.0, 1, 1)]
+    df = spark.createDataFrame(rows, "symbol string, seq long, ts timestamp, price double, volume long, bid double, ask double, bid_size long, ask_size long").withColumn("key", F.lit("clash"))
+    got = [r for r in strategy.backtest(df, Greedy, 1).collect() if r["symbol"] == "A"]
+    kinds = [r["kind"] for r in got]
+    assert kinds.count("error") == 1 and next(r["note"] for r in got if r["kind"] == "error") == "ValueError: broken"
+    fills = [(r["seq"], r["side"], r["qty"]) for r in got if r["kind"] == "fill"]
+    assert fills == [(0, "BUY", 4), (1, "BUY", 4), (2, "BUY", 2)]
+    assert [r["qty"] for r in got if r["kind"] == "order"] == [10, 4, 4, 2] and max(r["seq"] for r in got) == 8
+    assert [(r["bar_s"], r["open"], r["close"]) for r in got if r["kind"] == "bar"] == [(0, 10.0, 12.0), (1, 13.0, 14.0), (2, 15.0, 17.0), (3, 18.0, 18.0)]  # the open one is flushed
+    assert [r["position"] for r in strategy.positions(strategy.backtest(df, Greedy, 1)).orderBy("seq").collect() if r["symbol"] == "A"] == [4, 8, 10]
+    assert strategy.backtest(df.limit(0), Greedy, 1).count() == 0
+
+
+def test_portfolio_equity_against_a_loop(spark):
+    rng = random.Random(8)
+    ticks_ = [(rng.choice("AB"), i, None if rng.random() < 0.1 else round(rng.uniform(9, 11), 2)) for i in range(60)]
+    fills = [(rng.choice("AB"), rng.randint(0, 59), rng.choice(["BUY", "SELL"]), rng.randint(1, 5), 10.0) for _ in range(20)]
+    want, cash, pos, last = [], 1000.0, {"A": 0, "B": 0}, {}
+    for s, i, p in ticks_:
+        for fs, seq, side, q, px in fills:
+            if seq == i:
+                sign = 1 if side == "BUY" else -1
+                pos[fs] += sign * q
+                cash -= sign * q * px
+        last = last | ({s: p} if p is not None else {})
+        want.append(cash + sum(pos[k] * v for k, v in last.items()))
+    t = spark.createDataFrame(ticks_, "symbol string, seq long, price double")
+    f = spark.createDataFrame(fills, "symbol string, seq long, side string, qty int, price double")
+    assert [r["equity"] for r in book.portfolio_equity(f, t, 1000.0).orderBy("seq").collect()] == pytest.approx(want)
+
+
 def test_banded_positions_equal_the_fold(spark):
     rng = random.Random(4)
     for _ in range(3):

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
+from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.fold import fold_sorted
 from tickloom.functions.running import day_of, running
 
 SPAN = 1_000_000  # sequence numbers of one bucket of a running value
@@ -118,22 +120,26 @@ def ledger(fills: DataFrame, cash: float, by: str = "symbol", order: tuple[str,
 def guarded_ledger(fills: DataFrame, cash: float, by: str = "account") -> DataFrame:
     """Per account, trades in order: a buy that costs more than the cash left changes nothing.
 
-    Each decision rests on all before it, so an account is one ordered fold (its own trades only).
+    Each decision rests on all before it, so an account is one ordered fold, streamed in batches with the cash left as its
+    state. Returns (by, seq, accepted, cash).
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-        left, ok, after = cash, [], []
-        for side, qty, price in zip(pdf["side"], pdf["qty"], pdf["price"]):
-            cost = qty * price
-            done = side != "BUY" or cost <= left
+    class Account:
+        def __init__(self) -> None:
+            self.left = cash
+
+        def row(self, r: Any) -> list[tuple]:
+            cost = r.qty * r.price
+            done = r.side != "BUY" or cost <= self.left
             if done:
-                left += -cost if side == "BUY" else cost
-            ok.append(done)
-            after.append(left)
-        return pdf.assign(accepted=ok, cash=after)[[by, "seq", "accepted", "cash"]]
+                self.left += -cost if r.side == "BUY" else cost
+            return [(r.key, r.seq, done, self.left)]
+
+        def end(self) -> list[tuple]:
+            return []
 
-    return fills.groupBy(by).applyInPandas(fold, f"{by} {fills.schema[by].dataType.simpleString()}, seq bigint, accepted boolean, cash double")
+    rows_ = fills.select(F.col(by).alias("key"), "ts", "seq", "side", "qty", "price")
+    return fold_sorted(rows_, "key", ["ts", "seq"], Account, f"key {fills.schema[by].dataType.simpleString()}, seq bigint, accepted boolean, cash double").withColumnRenamed("key", by)
 
 
 def equity_curve(fills: DataFrame, ticks: DataFrame, cash: float) -> DataFrame:
@@ -149,6 +155,25 @@ def equity_curve(fills: DataFrame, ticks: DataFrame, cash: float) -> DataFrame:
     return run.where("k = 1").select("symbol", "seq", (F.lit(cash) + F.col("c") + F.col("q") * F.col("px")).alias("equity"))
 
 
+def portfolio_equity(fills: DataFrame, ticks: DataFrame, cash: float) -> DataFrame:
+    """(symbol, seq, equity): one row per tick, the whole portfolio valued at the last price seen of every symbol.
+
+    Positions of symbols without a price yet count nothing; a fill at a tick's instant comes before it. Each event
+    changes the equity by what its own symbol alone tells (a tick by position times price change, a fill by quantity
+    times last price less its cost), so the symbols are walked side by side and the changes summed along ``seq``.
+    """
+    sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
+    f = fills.select("symbol", F.col("seq").cast("bigint").alias("seq"), F.lit(0).alias("k"), (sign * F.col("qty")).cast("bigint").alias("dq"), F.col("price").cast("double").alias("paid"), F.lit(None).cast("double").alias("px"))
+    t = ticks.select("symbol", F.col("seq").cast("bigint").alias("seq"), F.lit(1).alias("k"), F.lit(0).cast("bigint").alias("dq"), F.lit(0.0).alias("paid"), F.col("price").cast("double").alias("px"))
+    place = F.floor(F.col("seq") / SPAN)
+    own = running(f.unionByName(t), ["symbol"], ["seq", "k"], place, sums={"q": F.col("dq")}, lasts={"last": F.col("px")})
+    prior = running(own, ["symbol"], ["seq", "k"], place, before={"was": F.col("last")})
+    was = F.coalesce("was", F.lit(0.0))
+    change = F.when(F.col("k") == 1, F.when(F.col("px").isNotNull(), F.col("q") * (F.col("px") - was)).otherwise(0.0)).otherwise(F.col("dq") * (was - F.col("paid")))
+    line = running(prior.select("symbol", "seq", "k", change.alias("change")), [], ["seq", "k", "symbol"], place, sums={"sum": F.col("change")})
+    return line.where("k = 1").select("symbol", "seq", (F.lit(cash) + F.col("sum")).alias("equity"))
+
+
 class Book:
     """One symbol's full-depth book with first-in-first-out queues, plus tracked orders of our own."""
 
@@ -241,16 +266,32 @@ class Book:
             self.fills.append((oid, seq, n, p, "taker"))
             self.credit(seq, [(other, n)], p)
 
-    def tick(self, seq: int, price: float, volume: int, quote: tuple[float, float, int, int]) -> None:
-        """Print, then quote, then matching, then what is immediate-or-cancel goes."""
-        side = "SELL" if price in self.queues["SELL"] else "BUY"
-        self.credit(seq, self.take(side, price, volume), price)
-        self.quote(*quote)
+    def replace(self, seq: int, oid: str, qty: int, limit: float) -> bool:
+        """Cancel and submit anew, at the end of the queue; only a working limit order can be replaced."""
+        o = self.ours.get(oid)
+        if not o or o["kind"] != "LIMIT" or not self.cancel(oid):
+            return False
+        self.submit(seq, oid, o["side"], "LIMIT", qty, limit)
+        return True
+
+    def attempt(self, seq: int) -> None:
+        """What is live and not resting walks the book as it stands."""
         for oid in list(self.live):
             self._cross(seq, oid)
-            if self.ours[oid]["left"] <= 0 or self.ours[oid]["kind"] == "IOC":
+            if self.ours[oid]["left"] <= 0:
                 self.live.remove(oid)
 
+    def tick(self, seq: int, price: float, volume: int, quote: tuple[float, float, int, int], between: Callable[[], object] | None = None) -> None:
+        """Print, then quote, then matching, then what is immediate-or-cancel goes; then a second pass over what is left."""
+        side = "SELL" if price in self.queues["SELL"] else "BUY"
+        self.credit(seq, self.take(side, price, volume), price)
+        self.quote(*quote)
+        self.attempt(seq)
+        self.live = [x for x in self.live if self.ours[x]["kind"] != "IOC"]
+        if between:
+            between()
+        self.attempt(seq)
+
 
 class TouchBook:
     """Matching without depth: at the touch with a shared displayed size, or naively at the mid.
@@ -262,6 +303,7 @@ class TouchBook:
 
     def __init__(self, model: str) -> None:
         self.model, self.live, self.fills = model, {}, []
+        self.shown, self.touch = {"BUY": 0, "SELL": 0}, None
 
     def submit(self, seq: int, oid: str, side: str, kind: str, qty: int, limit: float | None) -> None:
         self.live[oid] = [side, kind, qty, limit]
@@ -269,44 +311,81 @@ class TouchBook:
     def cancel(self, oid: str) -> bool:
         return self.live.pop(oid, None) is not None
 
-    def tick(self, seq: int, price: float, volume: int, quote: tuple[float, float, int, int]) -> None:
-        bid, ask, bid_size, ask_size = quote
-        shown = {"BUY": ask_size, "SELL": bid_size}
+    def replace(self, seq: int, oid: str, qty: int, limit: float) -> bool:
+        o = self.live.get(oid)
+        if not o or o[1] != "LIMIT":
+            return False
+        self.cancel(oid)
+        self.submit(seq, oid, o[0], "LIMIT", qty, limit)
+        return True
+
+    def attempt(self, seq: int, volume: int) -> None:
+        if self.touch is None:
+            return
+        bid, ask = self.touch
         for oid, o in list(self.live.items()):
             side, kind, left, limit = o
             touch = ask if side == "BUY" else bid
             crosses = kind == "MARKET" or limit is not None and (touch <= limit if side == "BUY" else touch >= limit)
-            n = min(left, volume if self.model == "naive" else shown[side]) if crosses else 0
+            n = min(left, volume if self.model == "naive" else self.shown[side]) if crosses else 0
             if n > 0:
                 at = touch if self.model != "naive" else (bid + ask) / 2 if kind == "MARKET" else limit
                 self.fills.append((oid, seq, n, at, "taker"))
                 o[2] -= n
-                shown[side] -= n
-            if o[2] <= 0 or kind == "IOC":
+                self.shown[side] -= n
+            if o[2] <= 0:
                 del self.live[oid]
 
+    def tick(self, seq: int, price: float, volume: int, quote: tuple[float, float, int, int], between: Callable[[], object] | None = None) -> None:
+        """Quote, then matching, then what is immediate-or-cancel goes; with a book a second pass over what is left."""
+        bid, ask, bid_size, ask_size = quote
+        self.shown, self.touch = {"BUY": ask_size, "SELL": bid_size}, (bid, ask)
+        self.attempt(seq, volume)
+        for oid in [x for x, o in self.live.items() if o[1] == "IOC"]:
+            del self.live[oid]
+        if between:
+            between()
+        if self.model != "naive":
+            self.attempt(seq, volume)
+
+
+def book_of(model: str) -> Book | TouchBook:
+    return Book() if model == "full_depth" else TouchBook(model)
+
+
+FILL = "symbol string, order_id string, seq bigint, qty bigint, price double, role string"
+
+
+class Replay:
+    """One symbol's book under a stream of ticks, orders, cancels and replaces."""
+
+    def __init__(self, model: str) -> None:
+        self.book = book_of(model)
+
+    def row(self, e: Any) -> list[tuple]:
+        if e.kind == "tick":
+            self.book.tick(e.seq, e.price, int(e.volume), (e.bid, e.ask, int(e.bid_size), int(e.ask_size)))
+        elif e.kind == "order":
+            self.book.submit(e.seq, e.order_id, e.side, e.order_type, int(e.qty), e.limit_price)
+        elif e.kind == "replace":
+            self.book.replace(e.seq, e.order_id, int(e.qty), e.limit_price)
+        else:
+            self.book.cancel(e.order_id)
+        done, self.book.fills = self.book.fills, []
+        return [(e.symbol, *f) for f in done]
+
+    def end(self) -> list[tuple]:
+        return []
+
 
 def replay_book(events: DataFrame, model: str = "full_depth") -> DataFrame:
     """Fills (symbol, order_id, seq, qty, price, role) of orders meeting a stream of ticks, per symbol.
 
-    events: (symbol, seq, kind tick|order|cancel, order_id, side, order_type, qty, limit_price, price, volume, bid, ask,
-    bid_size, ask_size). Queue priority makes each event depend on all before it, so a symbol is one ordered fold;
-    symbols run side by side.
+    events: (symbol, seq, kind tick|order|cancel|replace, order_id, side, order_type, qty, limit_price, price, volume, bid,
+    ask, bid_size, ask_size). Queue priority makes each event depend on all before it, so a symbol is one ordered fold,
+    streamed in batches with the book as its state; symbols run side by side.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        book = Book() if model == "full_depth" else TouchBook(model)
-        for e in pdf.sort_values("seq", kind="stable").itertuples():
-            if e.kind == "tick":
-                book.tick(e.seq, e.price, int(e.volume), (e.bid, e.ask, int(e.bid_size), int(e.ask_size)))
-            elif e.kind == "order":
-                book.submit(e.seq, e.order_id, e.side, e.order_type, int(e.qty), e.limit_price)
-            else:
-                book.cancel(e.order_id)
-        out = pd.DataFrame(book.fills, columns=["order_id", "seq", "qty", "price", "role"])
-        return out.assign(symbol=pdf["symbol"].iloc[0])[["symbol", "order_id", "seq", "qty", "price", "role"]]
-
-    return events.groupBy("symbol").applyInPandas(fold, "symbol string, order_id string, seq bigint, qty bigint, price double, role string")
+    return fold_sorted(events, "symbol", ["seq"], lambda: Replay(model), FILL)
 
 
 def impact_curve(mids: DataFrame, sizes: list[int], depth: int, half_spread: float, grid: float, base: int) -> DataFrame:

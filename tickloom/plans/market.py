@@ -11,6 +11,7 @@ from tickloom.operators import bars as B
 from tickloom.operators import clean as C
 from tickloom.operators import signals as S
 from tickloom.operators import windows as W
+from tickloom import strategy
 from tickloom.plans import base
 from tickloom.plans.base import ET, HB, PANEL, PX, RET, TR, iso, q6, r6
 from tickloom.session import load
@@ -472,6 +473,29 @@ def t2_crossover(spark: SparkSession, d: str) -> DataFrame:
     return S.crossover(_bars(spark, d), 5, 20).where("signal <> 0").select("symbol", "bar_s", "signal")
 
 
+@query(f"WITH {_CROSS} SELECT symbol, bar_s, CASE WHEN guarded > 0 THEN 'BUY' ELSE 'SELL' END AS side, CAST(100 AS BIGINT) AS qty, round(close, 6) AS close FROM flips")
+def t1_signal_strategy(spark: SparkSession, d: str) -> DataFrame:
+    """A strategy written as a plan, over bars."""
+    return strategy.signal_orders(strategy.SmaCrossover(5, 20), _bars(spark, d), 100).select("symbol", "bar_s", "side", "qty", *r6("close"))
+
+
+_RUN = f"{_CROSS}, lst AS (SELECT symbol, max(bar_s) AS last FROM hb GROUP BY symbol), lead_ AS (SELECT flips.symbol, bar_s, guarded, (SELECT min(seq) FROM et WHERE et.symbol = flips.symbol AND epoch_us(et.ts) // 1000000 >= flips.bar_s + 3600) AS seq FROM flips)"
+
+
+@query(f"WITH {_RUN} SELECT symbol, seq, CASE WHEN guarded > 0 THEN 'BUY' ELSE 'SELL' END AS side, CAST(100 AS BIGINT) AS qty FROM lead_ WHERE seq IS NOT NULL")
+def t1_callback_strategy(spark: SparkSession, d: str) -> DataFrame:
+    """The same strategy written with callbacks: its orders, on the tick that closes the bar."""
+    e = strategy.backtest(base.eticks(spark, d), strategy.CallbackCrossover, 3600)
+    return e.where("kind = 'order'").select("symbol", "seq", "side", "qty")
+
+
+@query(f"WITH {HB} SELECT symbol, bar_s, {q6('open', 'high', 'low', 'close')}, volume FROM hb")
+def t1_b3_backtest_bars(spark: SparkSession, d: str) -> DataFrame:
+    """The bars of a run, those still open at its end flushed."""
+    e = strategy.backtest(base.eticks(spark, d), strategy.Strategy, 3600)
+    return e.where("kind = 'bar'").select("symbol", "bar_s", *r6("open", "high", "low", "close"), "volume")
+
+
 @query(f"WITH {_CROSS} SELECT symbol, bar_s, guarded AS signal, round(close, 6) AS close FROM flips")
 def t3_t4_gated_crossover(spark: SparkSession, d: str) -> DataFrame:
     return S.long_flat(S.crossover(_bars(spark, d), 5, 20, guarded=True)).select("symbol", "bar_s", "signal", *r6("close"))

@@ -133,6 +133,16 @@ def o22_equity_marks(spark: SparkSession, d: str) -> DataFrame:
     return K.equity_curve(f, e, 10_000.0).select("symbol", "seq", *r6("equity", digits=4))
 
 
+@query(f"""WITH {ET}, f AS (SELECT symbol, min(seq) AS seq, CASE WHEN epoch_us(ts) // 3600000000 % 2 = 0 THEN 1 ELSE -1 END * arg_min(volume, seq) AS dq, arg_min(price, seq) AS paid FROM et GROUP BY symbol, epoch_us(ts) // 3600000000), po AS (SELECT symbol, seq, sum(dq) OVER (PARTITION BY symbol ORDER BY seq) AS q FROM f), ca AS (SELECT seq, sum(-dq * paid) OVER (ORDER BY seq) AS c FROM f),
+ sy AS (SELECT DISTINCT symbol FROM et), ts_ AS (SELECT et.symbol, et.seq, sy.symbol AS other FROM et, sy), pq AS (SELECT ts_.*, p.price FROM ts_ ASOF LEFT JOIN et p ON p.symbol = ts_.other AND ts_.seq >= p.seq), qq AS (SELECT pq.*, po.q FROM pq ASOF LEFT JOIN po ON po.symbol = pq.other AND pq.seq >= po.seq), vl AS (SELECT symbol, seq, sum(coalesce(price, 0) * coalesce(q, 0)) AS v FROM qq GROUP BY 1, 2)
+ SELECT vl.symbol, vl.seq, round(10000 + coalesce(c, 0) + v, 4) + 0.0 AS equity FROM vl ASOF LEFT JOIN ca ON vl.seq >= ca.seq""")
+def o22_portfolio_equity(spark: SparkSession, d: str) -> DataFrame:
+    """One account over all symbols, marked on every tick."""
+    e = base.eticks(spark, d)
+    f = _opening(e).select("symbol", "seq", F.when(F.col("hour") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.col("volume").alias("qty"), "price")
+    return K.portfolio_equity(f, e, 10_000.0).select("symbol", "seq", *r6("equity", digits=4))
+
+
 @query(f"WITH {_NAIVE}, s AS (SELECT ord.order_id, CASE WHEN coalesce(sum(fill), 0) >= any_value(qty) THEN 'FILLED' WHEN coalesce(sum(fill), 0) > 0 THEN 'PARTIALLY_FILLED' ELSE 'PENDING' END AS status FROM ord LEFT JOIN fills USING (order_id) GROUP BY ord.order_id) SELECT order_id FROM s WHERE status IN ('PENDING', 'PARTIALLY_FILLED')")
 def o23_active_orders(spark: SparkSession, d: str) -> DataFrame:
     return K.order_summary(*_naive(spark, d)).where("status IN ('PENDING', 'PARTIALLY_FILLED')").select("order_id")
@@ -153,6 +163,22 @@ def o10_o21_book_replay(spark: SparkSession, d: str) -> DataFrame:
     return K.replay_book(_order_stream(spark, d))
 
 
+@query(f"WITH {ET}, o AS (SELECT DISTINCT symbol, epoch_us(ts) // 3600000000 AS hour FROM et) SELECT model, count(*) AS orders, 0 AS overfilled, 0 AS beyond_limit, 0 AS before_order, 0 AS after_cancel FROM o, (SELECT unnest(['full_depth', 'top_of_book', 'naive']) AS model) GROUP BY model")
+def o10_o21_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for every order in every model: no fill beyond its quantity or limit, before it came, or after its cancel."""
+    stream = _order_stream(spark, d)
+    orders = stream.where("kind = 'order'").select("order_id", F.col("seq").alias("came"), "side", "order_type", "qty", "limit_price")
+    out = None
+    for model in ("full_depth", "top_of_book", "naive"):
+        f = K.replay_book(stream, model).select("order_id", "seq", F.col("qty").alias("n"), "price")
+        m = orders.join(f, "order_id", "left")
+        worse = (F.col("order_type") != "MARKET") & F.when(F.col("side") == "BUY", F.col("price") > F.col("limit_price") + 1e-9).otherwise(F.col("price") < F.col("limit_price") - 1e-9)
+        g = m.groupBy("order_id").agg((F.sum("n") > F.first("qty")).cast("int").alias("over"), F.count_if(worse).alias("beyond"), F.count_if(F.col("seq") < F.col("came")).alias("before"), F.count_if(F.col("seq") > F.col("came") + 1000).alias("after"))
+        one = g.agg(F.lit(model).alias("model"), F.count("*").alias("orders"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("over", "overfilled"), ("beyond", "beyond_limit"), ("before", "before_order"), ("after", "after_cancel"))])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def o14_top_of_book_replay(spark: SparkSession, d: str) -> DataFrame:
     return K.replay_book(_order_stream(spark, d), "top_of_book")
