@@ -74,9 +74,26 @@ def test_order_flow_values(spark):
     df = spark.createDataFrame([("A", at(i), i, *r) for i, r in enumerate(q)], "symbol string, ts timestamp, seq long, bid double, bid_size long, ask double, ask_size long")
     got = [r["e"] for r in micro.flow_events(df).orderBy("seq").collect()]
     assert got == [None, 5, 3, -10, -8]
-    for bucketed in (False, True):
-        flow = micro.rolling_flow(micro.flow_events(df, bucketed=bucketed), 2, bucketed=bucketed).orderBy("seq").collect()
-        assert [r["e"] for r in flow] == got and flow[-1]["ofi"] == -18
+    flow = micro.rolling_flow(micro.flow_events(df), 2).orderBy("seq").collect()
+    assert [r["e"] for r in flow] == got and flow[-1]["ofi"] == -18
+
+
+def test_toxicity_of_a_hot_key_in_chunks(spark, monkeypatch):
+    """One symbol with nine tenths of the rows, over several days: chunks of any size give the same, and none holds more rows than it may."""
+    rng = random.Random(3)
+    rows_ = [("HOT" if i % 10 else "B", T0 + dt.timedelta(hours=i), i, round(10 + rng.uniform(-1, 1), 2), rng.randint(1, 400), 9.9 + rng.randint(0, 2) / 10, rng.randint(1, 9), 10.1, rng.randint(1, 9)) for i in range(400)]
+    df = spark.createDataFrame(rows_, "symbol string, ts timestamp, seq long, price double, volume long, bid double, bid_size long, ask double, ask_size long").cache()
+    tell = lambda: [(r["seq"], r["ofi"], r["vpin"] and round(r["vpin"], 9)) for r in micro.toxicity(df, 300, 4, 5).orderBy("seq").collect()]
+    whole = tell()
+    gated = signals.scheduled_orders(micro.toxicity(df, 300, 4, 5), 10, 5, 0.05, 0.4).count()
+    assert sum(v is not None for *_, v in whole) > 300
+    monkeypatch.setattr(micro, "CHUNK", 16)
+    monkeypatch.setattr(signals, "CHUNK", 16)
+    assert tell() == whole and gated == signals.scheduled_orders(micro.toxicity(df, 300, 4, 5), 10, 5, 0.05, 0.4).count() > 20
+    from tickloom.functions.running import overlapping
+
+    most = overlapping(micro.flow_events(df), "n_", 16, back=4, ahead=3).groupBy("symbol", "chunk_").count().agg(F.max("count")).head()[0]
+    assert most == 16 + 4 + 3
 
 
 def test_volume_buckets(spark):

@@ -30,6 +30,16 @@ def running(df: DataFrame, by: list[str], order: list[str], bucket: Column, sums
     return met.select(*[F.col(f"o.{c}").alias(c) for c in df.columns if c not in out], *[c.alias(n) for n, c in out.items()])
 
 
+def overlapping(df: DataFrame, place: str, size: int, back: int = 0, ahead: int = 0) -> DataFrame:
+    """Rows numbered 1, 2, ... by ``place``, cut into chunks that also hold ``back`` rows before and ``ahead`` rows after.
+
+    Adds chunk_ and own_: a window over series and chunk then sees all it needs, and its own rows are kept after it.
+    """
+    first, last = F.greatest(F.floor((F.col(place) - 1 - ahead) / size), F.lit(0)), F.floor((F.col(place) - 1 + back) / size)
+    out = df.withColumn("chunk_", F.explode(F.sequence(first, last)))
+    return out.withColumn("own_", F.col("chunk_") == F.floor((F.col(place) - 1) / size))
+
+
 def day_of(ts: str) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 86_400_000_000)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import half_away, rows
+from tickloom.functions.running import overlapping, running
+from tickloom.operators.micro import CHUNK
 from tickloom.operators.windows import moving_average
 
 
@@ -133,19 +135,21 @@ def toxic(vpin: Column, ofi: Column, side: Column, threshold: float) -> Column:
 def scheduled_orders(ticks: DataFrame, every: int, ahead: int, half_spread: float, threshold: float, by: str = "symbol") -> DataFrame:
     """An order every ``every`` ticks once VPIN is known, sides in turn, filled blindly or through the gate.
 
+    Ticks are those of ``toxicity``, numbered by n_; chunks of them overlap by ``ahead`` rows, so that a hot key spreads.
     A rested order fills passively if one of the next ``ahead`` prices reaches the near side, else it crosses at the
     tick ``ahead`` later. Columns blind_slip and filtered_slip are the costs against the arrival mid.
     """
-    w = Window.partitionBy(by).orderBy("ts", "seq")
+    c = overlapping(ticks, "n_", max(CHUNK, 2 * ahead), ahead=ahead)
+    w = Window.partitionBy(by, "chunk_").orderBy("n_")
     nxt = w.rowsBetween(1, ahead)
-    t = ticks.select("*", F.min("price").over(nxt).alias("lo_"), F.max("price").over(nxt).alias("hi_"), F.lead("price", ahead).over(w).alias("then_"), ((F.col("bid") + F.col("ask")) / 2).alias("mid"))
-    t = t.where("vpin IS NOT NULL AND then_ IS NOT NULL").withColumn("i", F.row_number().over(w)).where((F.col("i") - 1) % every == 0)
+    t = c.select("*", F.min("price").over(nxt).alias("lo_"), F.max("price").over(nxt).alias("hi_"), F.lead("price", ahead).over(w).alias("then_"), ((F.col("bid") + F.col("ask")) / 2).alias("mid")).where("own_").drop("chunk_", "own_")
+    t = running(t.where("vpin IS NOT NULL AND then_ IS NOT NULL"), [by], ["n_"], F.floor(F.col("n_") / CHUNK), sums={"i": F.lit(1)}).where((F.col("i") - 1) % every == 0)
     t = t.withColumn("side", F.when(F.floor((F.col("i") - 1) / every) % 2 == 0, "BUY").otherwise("SELL"))
     sign = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
     rest = toxic(F.col("vpin"), F.col("ofi"), F.col("side"), threshold)
     passive = F.when(F.col("side") == "BUY", F.col("lo_") <= F.col("mid") - half_spread).otherwise(F.col("hi_") >= F.col("mid") + half_spread)
     late = sign * (F.col("then_") - F.col("mid")) + half_spread
-    return t.withColumn("rested", rest).withColumn("filled_passive", rest & passive).withColumn("blind_slip", F.lit(half_spread)).withColumn("filtered_slip", F.when(~rest, F.lit(half_spread)).when(passive, F.lit(-half_spread)).otherwise(late)).drop("lo_", "hi_", "then_")
+    return t.withColumn("rested", rest).withColumn("filled_passive", rest & passive).withColumn("blind_slip", F.lit(half_spread)).withColumn("filtered_slip", F.when(~rest, F.lit(half_spread)).when(passive, F.lit(-half_spread)).otherwise(late)).drop("lo_", "hi_", "then_", "n_")
 
 
 def reconcile_fills(fills: DataFrame, venue: DataFrame) -> DataFrame:
