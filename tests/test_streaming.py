@@ -77,3 +77,12 @@ def test_batch_bars_of_the_same_input(spark):
     rows = [("A", T0 + dt.timedelta(seconds=s), i, float(i), 1) for i, s in enumerate((0, 10, 60))]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp, seq long, price double, volume long")
     assert bars.time_bars(df, 60).agg(F.sum("volume")).head()[0] == 3
+
+
+def test_publisher_sends_batches_in_order_of_time(spark):
+    from tickloom.sources.files import replay
+
+    df = spark.range(10).selectExpr("timestamp_seconds(100 - id) AS ts", "id AS seq", "id * 2 AS price").repartition(3)
+    got = list(replay(df, 4))
+    assert [len(b) for b in got] == [4, 4, 2] and [x for b in got for x in b["seq"]] == list(range(9, -1, -1))
+    assert list(replay(df.limit(0), 4)) == []

@@ -193,6 +193,24 @@ def family_weights(positions: DataFrame, scored: DataFrame, configs: list[tuple[
     return sized_weights(held, by="cell").select("config", "date", "symbol", "idx", "size", "weight")
 
 
+def engine_b(books: DataFrame, returns: DataFrame, configs: int, notionals: list[float], half_spread: float, grid: float, base: int, periods: int = 252) -> DataFrame:
+    """(config, notional, net_pnl, net_sharpe): books of several sizes traded against a ladder of equal levels.
+
+    books: (config, date, symbol, weight), held from the second row after; the shares that change hands the row before
+    walk the ladder ``base`` a level. returns: (date, symbol, ret, close). Each walk is an arithmetic series of its row.
+    """
+    met = returns.select("date", "symbol", "ret", "close").withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(configs - 1)))).join(books.select("config", "date", "symbol", "weight"), ["config", "date", "symbol"], "left")
+    w = Window.partitionBy("config", "symbol").orderBy("date")
+    weight = F.coalesce("weight", F.lit(0.0))
+    met = met.withColumn("next_", F.coalesce(F.lag(weight).over(w), F.lit(0.0))).withColumn("held_", F.coalesce(F.lag(weight, 2).over(w), F.lit(0.0)))
+    met = met.withColumn("notional", F.explode(F.array(*[F.lit(x) for x in notionals])))
+    q = F.floor(F.abs(F.col("next_") - F.col("held_")) * F.col("notional") / F.col("close"))
+    k = F.floor(F.col("q") / base)
+    cost = F.col("q") * half_spread + grid * (base * k * (k - 1) / 2 + (F.col("q") - base * k) * k)
+    day = met.withColumn("q", q).withColumn("net", F.col("held_") * F.col("ret") * F.col("notional") - cost).groupBy("config", "notional", "date").agg(F.sum("net").alias("net"))
+    return day.groupBy("config", "notional").agg(F.sum("net").alias("net_pnl"), (F.try_divide(F.avg("net"), F.stddev_samp("net")) * periods**0.5).alias("net_sharpe"))
+
+
 def accuracy(scored: DataFrame) -> DataFrame:
     """Accuracy at one half beside that of always naming the commoner class."""
     right = (F.col("p") > 0.5) == (F.col("label") == 1)

@@ -11,7 +11,7 @@ from tickloom.operators import bars as B
 from tickloom.operators import clean as C
 from tickloom.operators import signals as S
 from tickloom.operators import windows as W
-from tickloom import strategy
+from tickloom import config, strategy
 from tickloom.plans import base
 from tickloom.plans.base import ET, HB, PANEL, PX, RET, TR, iso, q6, r6
 from tickloom.session import load
@@ -153,12 +153,6 @@ def i22_usable_weights(spark: SparkSession, d: str) -> DataFrame:
     return I.usable_weights(li)
 
 
-@query("SELECT account, epoch_us(CAST(date AS TIMESTAMP)) AS ts_us, round(equity, 4) AS equity FROM (WITH " + base.EQ + " SELECT * FROM eq) WHERE account = 0")
-def i25_loaded_equity(spark: SparkSession, d: str) -> DataFrame:
-    e = base.equity(spark, d).where("account = 0").select(F.unix_millis(F.col("date").cast("timestamp")).alias("timestamp"), F.col("equity").alias("portfolio_value"))
-    return I.load_equity(e).select(F.lit(0).cast("bigint").alias("account"), "ts_us", *r6("equity", digits=4))
-
-
 @query("SELECT account, epoch_us(CAST(date AS TIMESTAMP)) AS ts_us, round(equity, 4) AS equity FROM (WITH " + base.EQ + " SELECT * FROM eq)")
 def i25_loaded_accounts(spark: SparkSession, d: str) -> DataFrame:
     e = base.equity(spark, d).select("account", F.unix_millis(F.col("date").cast("timestamp")).alias("timestamp"), F.col("equity").alias("portfolio_value"))
@@ -473,6 +467,15 @@ def t2_crossover(spark: SparkSession, d: str) -> DataFrame:
     return S.crossover(_bars(spark, d), 5, 20).where("signal <> 0").select("symbol", "bar_s", "signal")
 
 
+@query(f"WITH {ET} SELECT symbol, CASE symbol WHEN 'click' THEN 0.002 WHEN 'view' THEN 0.001 ELSE 0.0 END AS coefficient, count(*) AS ticks, 'top_of_book' AS fill_model FROM et GROUP BY symbol")
+def i28_backtest_config(spark: SparkSession, d: str) -> DataFrame:
+    """A configuration as read, applied to every symbol; the unknown fill model falls back."""
+    c = config.read(config.BacktestConfig, {"fill_model": "other", "slippage": {"click": 0.002, "view": 0.001}, "unknown": 1})
+    of = F.create_map(*[F.lit(x) for kv in c.slippage.items() for x in kv])
+    t = base.eticks(spark, d).groupBy("symbol").agg(F.count("*").alias("ticks"))
+    return t.select("symbol", F.coalesce(of[F.col("symbol")], F.lit(0.0)).alias("coefficient"), "ticks", F.lit(c.fill_model).alias("fill_model"))
+
+
 @query(f"WITH {_CROSS} SELECT symbol, bar_s, CASE WHEN guarded > 0 THEN 'BUY' ELSE 'SELL' END AS side, CAST(100 AS BIGINT) AS qty, round(close, 6) AS close FROM flips")
 def t1_signal_strategy(spark: SparkSession, d: str) -> DataFrame:
     """A strategy written as a plan, over bars."""
@@ -511,23 +514,6 @@ def t8_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return S.event_counts(base.eticks(spark, d), _bars(spark, d))
 
 
-_BOOK = """bk AS (SELECT p_partkey AS symbol, p_retailprice AS price, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE ((p_size % 11) - 5) / 1000.0 END AS weight, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE (p_size % 7) - 3 END AS position FROM part)"""
-
-
-def _book(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = load(spark, d, "part").select(F.col("p_partkey").alias("symbol"), F.col("p_retailprice").alias("price"), "p_size")
-    w = p.where("symbol % 3 <> 0").select("symbol", ((F.col("p_size") % 11 - 5) / 1000.0).alias("weight"))
-    h = p.where("symbol % 4 <> 0").select("symbol", (F.col("p_size") % 7 - 3).alias("position"))
-    return w, h, p.select("symbol", "price")
-
-
-@query(f"""WITH {_BOOK}, live AS (SELECT * FROM bk WHERE (weight IS NOT NULL OR position IS NOT NULL) AND price > 0), nav AS (SELECT 1000000.0 + sum(coalesce(position, 0) * price) AS nav FROM live), o AS (SELECT symbol, coalesce(weight, 0) * nav - coalesce(position, 0) * price AS dollars, price FROM live, nav)
- SELECT symbol, CASE WHEN dollars > 0 THEN 'BUY' ELSE 'SELL' END AS side, CAST(floor(abs(dollars / price)) AS BIGINT) AS qty FROM o WHERE abs(dollars) >= 50 AND floor(abs(dollars / price)) > 0""")
-def t9_delta_orders(spark: SparkSession, d: str) -> DataFrame:
-    w, h, p = _book(spark, d)
-    return S.delta_orders(w, h, p, 1_000_000.0, 50.0)
-
-
 @query(f"WITH {ET} SELECT strftime(ts, '%Y-%m-%d') AS day, arg_min(symbol, seq) AS symbol, min(seq) AS seq FROM et GROUP BY 1")
 def t10_first_of_day(spark: SparkSession, d: str) -> DataFrame:
     return S.first_of_day(base.eticks(spark, d)).select(iso("day"), "symbol", "seq")
@@ -538,25 +524,11 @@ def t11_time_of_day(spark: SparkSession, d: str) -> DataFrame:
     return S.at_time_of_day(base.eticks(spark, d), 15, 0).select("seq")
 
 
-@query(f"""WITH {_BOOK}, t AS (SELECT symbol, coalesce(position, 0) AS position, weight * 1000000.0 / price AS target FROM bk WHERE weight IS NOT NULL AND price > 0), x AS (SELECT symbol, CAST(sign(target - position) * floor(abs((target - position) / 5) + 0.5) * 5 AS BIGINT) AS delta FROM t WHERE abs(target) <= 1e9)
- SELECT symbol, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, abs(delta) AS qty, 'MARKET' AS order_type, 'PENDING' AS status FROM x WHERE delta <> 0 AND abs(delta) > 4""")
-def t12_t14_sized_orders(spark: SparkSession, d: str) -> DataFrame:
-    w, h, p = _book(spark, d)
-    return S.submit_status(S.build_orders(S.target_deltas(w, h, p, 1_000_000.0, 5), 4))
-
-
 @query(f"WITH {TR} SELECT symbol, CAST(sum(CASE WHEN type = 'BUY' THEN quantity ELSE -quantity END) AS BIGINT) AS position FROM tr GROUP BY symbol HAVING sum(CASE WHEN type = 'BUY' THEN quantity ELSE -quantity END) <> 0")
 def t15_positions(spark: SparkSession, d: str) -> DataFrame:
     return S.positions(base.ledger_trades(spark, d).select("symbol", F.col("type").alias("side"), F.col("quantity").alias("qty")))
 
 
-@query(f"""WITH {_WEIGHTS}, days AS (SELECT DISTINCT date FROM wt WHERE date_part('day', date) % 3 = 0), t AS (SELECT panel.date, panel.symbol, CAST(sign(coalesce(weight, 0)) * floor(abs(coalesce(weight, 0) * 1e6 / close) + 0.5) AS BIGINT) AS target FROM panel JOIN days USING (date) LEFT JOIN wt ON wt.date = panel.date AND wt.symbol = panel.symbol AND panel.symbol <> 'S03')
- SELECT strftime(date, '%Y-%m-%d') AS date, symbol, target, target - coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY date), 0) AS trade FROM t""")
-def t16_rebalance_trades(spark: SparkSession, d: str) -> DataFrame:
-    w = _weights(spark, d).where("day(date) % 3 = 0 AND symbol <> 'S03'")
-    return S.rebalance_trades(w, base.panel(spark, d), 1e6).select(iso(), "symbol", "target", "trade")
-
-
 _WHOLE = """bk AS (SELECT p_partkey AS symbol, p_retailprice AS price, ((p_size % 11) - 5) / 1000.0 AS weight, (p_size % 7) - 3 AS position FROM part)"""
 
 

@@ -366,6 +366,14 @@ def r30_r32_causal_states(spark: SparkSession, d: str) -> DataFrame:
     return G.causal_states(_market(spark, d), ["rv_long", "rv_short", "vov", "range_short", "volume_ratio"], 3, 252, 63)
 
 
+@query(f"WITH {RET}, nd AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM ret)) SELECT strftime(date, '%Y-%m-%d') AS date, 1.0 AS total, true AS named FROM nd WHERE i >= 63 + 251")
+def r30_r32_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of filtered states: one row a date from the warm-th on, chances that add up to 1, the likeliest state named."""
+    s = r30_r32_causal_states(spark, d)
+    ps = [F.col(f"p_state_{j}") for j in range(3)]
+    return s.select(iso(), F.round(ps[0] + ps[1] + ps[2], 9).alias("total"), (F.get(F.array(*ps), F.col("state")) == F.greatest(*ps)).alias("named"))
+
+
 _STATES = f"{RET}, vs AS (SELECT symbol AS series, date, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS BIGINT) AS i, CASE WHEN abs(ret) > 0.6 THEN 2 WHEN abs(ret) > 0.2 THEN 1 ELSE 0 END AS state, 0.5 + (volume % 50) / 100.0 AS p FROM ret)"
 _DEB = f"""{_STATES}, q AS (SELECT *, p >= 0.6 AS ok, coalesce(lag(p >= 0.6) OVER w, false) AS pok, lag(state) OVER w AS ps FROM vs WINDOW w AS (PARTITION BY series ORDER BY date)), isl AS (SELECT *, sum(CASE WHEN NOT ok OR NOT pok OR state IS DISTINCT FROM ps THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY date) AS isle FROM q),
  rn AS (SELECT *, CASE WHEN ok THEN row_number() OVER (PARTITION BY series, isle ORDER BY date) ELSE 0 END AS run FROM isl), cm AS (SELECT series, date, state, coalesce(last_value(CASE WHEN run >= 2 AND i > 0 THEN state END IGNORE NULLS) OVER (PARTITION BY series ORDER BY date), first_value(state) OVER (PARTITION BY series ORDER BY date)) AS committed FROM rn)"""
@@ -387,6 +395,12 @@ def r34_regime_stats(spark: SparkSession, d: str) -> DataFrame:
     return G.regime_stats(_states(spark, d), "committed").select("series", "committed", "rows", "entered", F.round("share", 6).alias("share"))
 
 
+@query(f"WITH {_DEB} SELECT vs.series, committed, round(avg(ret), 6) + 0.0 AS mean_ret FROM cm JOIN ret ON ret.symbol = cm.series AND ret.date = cm.date JOIN vs ON vs.series = cm.series AND vs.date = cm.date GROUP BY 1, 2")
+def r34_means_by_state(spark: SparkSession, d: str) -> DataFrame:
+    s = _states(spark, d).join(base.returns(spark, d).select(F.col("symbol").alias("series"), "date", "ret"), ["series", "date"])
+    return G.regime_stats(s, "committed", means=("ret",)).select("series", "committed", *r6("mean_ret"))
+
+
 # ------------------------------------------------------------------ portfolios
 
 @query(f"WITH {RET}, v AS (SELECT symbol, var_samp(ret) AS v FROM ret GROUP BY 1) SELECT symbol, round((1 / v) / sum(1 / v) OVER (), 6) AS ivp, round(1.0 / count(*) OVER (), 6) AS equal FROM v WHERE v > 0")
@@ -574,10 +588,15 @@ def l6_sequential_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return L.sequential_bootstrap(_labels(spark, d)[0])
 
 
+def _stand_in_regimes(p: DataFrame) -> DataFrame:
+    """A state by a rule that SQL can follow, known on every fifth date only, so that it is carried forward between."""
+    return p.select("idx").distinct().where("idx % 5 = 0").select("idx", (F.col("idx") % 3).alias("state"))
+
+
 def _meta(spark: SparkSession, d: str, p: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     labels, p = _labels(spark, d) if p is None else (L.triple_barrier(p, L.entries(p), 0.5, 0.5, 10), p)
     scores = p.select("symbol", "idx", "date", "s", "close")
-    regimes = p.where("symbol = 'S00'").select("idx", (F.col("idx") % 3).alias("state")).where("idx % 5 = 0")
+    regimes = _stand_in_regimes(p)
     m = L.meta_dataset(L.sample_weights(L.uniqueness(cut_lineage(labels))), scores, regimes)
     numbered = running(m, [], ["t0", "symbol"], F.floor(F.col("t0") / 64), sums={"event": F.lit(1)})  # in order of start
     ev = cut_lineage(numbered.withColumn("event", F.col("event").cast("int") - 1).select("event", "symbol", "t0", "t1", "label", "ret", "weight", "s", "abs_s", "regime", "dow"))
@@ -599,10 +618,10 @@ def l10_importance(spark: SparkSession, d: str) -> DataFrame:
     return L.importance(ev, roles, ["abs_s", "regime", "dow"], 10)
 
 
-@query(f"WITH RECURSIVE {_TB}, ns AS (SELECT symbol, i AS idx, date, s FROM nz), rg AS (SELECT DISTINCT i AS idx, max(CASE WHEN i % 5 = 0 THEN i END) OVER (ORDER BY i) AS last FROM nz WHERE symbol = 'S00') SELECT lb.symbol, t0, round(abs(s), 6) AS abs_s, CAST(coalesce(last % 3, -1) AS BIGINT) AS regime, CAST((dayofweek(date) + 6) % 7 AS INT) AS dow, label FROM lb JOIN ns ON ns.symbol = lb.symbol AND ns.idx = lb.t0 JOIN rg ON rg.idx = lb.t0")
+@query(f"WITH RECURSIVE {_TB}, ns AS (SELECT symbol, i AS idx, date, s FROM nz), rg AS (SELECT DISTINCT i AS idx, max(CASE WHEN i % 5 = 0 THEN i END) OVER (ORDER BY i) AS last FROM (SELECT DISTINCT i FROM nz)) SELECT lb.symbol, t0, round(abs(s), 6) AS abs_s, CAST(coalesce(last % 3, -1) AS BIGINT) AS regime, CAST((dayofweek(date) + 6) % 7 AS INT) AS dow, label FROM lb JOIN ns ON ns.symbol = lb.symbol AND ns.idx = lb.t0 JOIN rg ON rg.idx = lb.t0")
 def l11_meta_dataset(spark: SparkSession, d: str) -> DataFrame:
     labels, p = _labels(spark, d)
-    regimes = p.where("symbol = 'S00' AND idx % 5 = 0").select("idx", (F.col("idx") % 3).alias("state"))
+    regimes = _stand_in_regimes(p)
     m = L.meta_dataset(labels, p.select("symbol", "idx", "date", "s"), regimes)
     return m.select("symbol", "t0", F.round("abs_s", 6).alias("abs_s"), "regime", "dow", "label")
 
@@ -653,6 +672,29 @@ def l16_l17_meta_verdict(spark: SparkSession, d: str) -> DataFrame:
     return out.select("mode", "days", F.round("sharpe", 5).alias("sharpe"))
 
 
+def _engine_b_sql() -> str:
+    parts = []
+    for m in ("off", "gate", "size"):
+        parts.append(f"""SELECT '{m}' AS mode, ret.date, ret.symbol, ret.ret, ret.close, lag(coalesce(weight, 0)) OVER s AS h0, lag(coalesce(weight, 0), 2) OVER s AS h FROM ret LEFT JOIN w_{m} w ON w.date = ret.date AND w.symbol = ret.symbol WINDOW s AS (PARTITION BY ret.symbol ORDER BY ret.date)""")
+    sql = _verdict_sql()
+    body = sql[: sql.index(" SELECT 'off' AS mode")]
+    return f"""{body}, eb AS ({' UNION ALL '.join(parts)}), sn AS (SELECT unnest([100000.0, 10000000.0]) AS notional), sh AS (SELECT mode, notional, date, coalesce(h * ret, 0) * notional AS gain, floor(abs(coalesce(h0, 0) - coalesce(h, 0)) * notional / close) AS q FROM eb, sn),
+ co AS (SELECT mode, notional, date, gain - (q * 0.01 + 0.01 * (100 * floor(q / 100) * (floor(q / 100) - 1) / 2 + (q - 100 * floor(q / 100)) * floor(q / 100))) AS net FROM sh), dy AS (SELECT mode, notional, date, sum(net) AS net FROM co GROUP BY 1, 2, 3)
+ SELECT mode, notional, round(sum(net), 2) + 0.0 AS net_pnl, round(avg(net) / stddev_samp(net) * sqrt(252), 4) + 0.0 AS net_sharpe FROM dy GROUP BY 1, 2"""
+
+
+@query(_engine_b_sql())
+def l17_engine_b(spark: SparkSession, d: str) -> DataFrame:
+    """Profit and Sharpe ratio net of walking a ladder, per mode of the meta search and size of the book."""
+    labels, p = _labels(spark, d)
+    scored = labels.select("symbol", "t0", (0.3 + F.col("t0") * 7 % 60 / 100.0).alias("p"))
+    modes = [("off", 0.0), ("gate", 0.5), ("size", 0.5)]
+    books = L.family_weights(p, scored, modes)
+    out = L.engine_b(books, base.returns(spark, d), len(modes), [100_000.0, 10_000_000.0], 0.01, 0.01, 100)
+    name = F.get(F.array(*[F.lit(m) for m, _ in modes]), F.col("config"))
+    return out.select(name.alias("mode"), "notional", *r6("net_pnl", digits=2), *r6("net_sharpe", digits=4))
+
+
 # sizing by the model's out-of-sample p, on the positions of the s-scores; a fitted model has no SQL
 _FLOORS = [0.5, 0.52, 0.54, 0.56, 0.58, 0.6]
 

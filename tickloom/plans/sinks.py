@@ -33,14 +33,6 @@ def i16_partitioned_bars(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(b.schema).parquet(folder).select("symbol", "bar_s", F.round("close", 6).alias("close"), "volume")
 
 
-@query(f"WITH {EQ} SELECT CAST(epoch_ms(CAST(date AS TIMESTAMP)) AS BIGINT) AS timestamp, round(equity, 4) AS equity FROM eq WHERE account = 1")
-def i19_equity_sink(spark: SparkSession, d: str) -> DataFrame:
-    e = base.equity(spark, d).where("account = 1").select(F.unix_millis(F.col("date").cast("timestamp")).alias("timestamp"), F.round("equity", 4).alias("equity"))
-    folder = f"{E.shared_folder(spark)}/equity"
-    I.write_equity(e, folder)
-    return spark.read.csv(folder, schema="timestamp bigint, equity double", header=True)
-
-
 @query(f"WITH {EQ} SELECT account, CAST(epoch_ms(CAST(date AS TIMESTAMP)) AS BIGINT) AS timestamp, round(equity, 4) AS equity FROM eq")
 def i19_account_sink(spark: SparkSession, d: str) -> DataFrame:
     e = base.equity(spark, d).select("account", F.unix_millis(F.col("date").cast("timestamp")).alias("timestamp"), F.round("equity", 4).alias("equity"))

@@ -40,6 +40,12 @@ def s1_stream_bars(spark: SparkSession, d: str) -> DataFrame:
     return E.run_to_table(E.stream_bars(_ticks(spark, d), 3600).drop("ts"), E.shared_folder(spark), "bars")
 
 
+@query(f"{_CLOSED} SELECT sb.* FROM sb")
+def b3_s6_flushed_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Every bar, the last ones closed by an end-of-stream mark."""
+    return E.flushed_bars(_ticks(spark, d), 3600, E.shared_folder(spark))
+
+
 @query(f"{_CLOSED}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_s DESC) AS back, row_number() OVER (PARTITION BY symbol ORDER BY bar_s) - 1 AS i FROM sb) SELECT symbol, bar_s, open, high, low, close, volume, i AS n FROM n WHERE back > 1")
 def b2_emitted_bars(spark: SparkSession, d: str) -> DataFrame:
     return E.run_to_table(E.emitted_bars(_ticks(spark, d), 3600), E.shared_folder(spark), "emitted")

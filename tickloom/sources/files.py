@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,13 +188,20 @@ def head_subset(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def replay(df: DataFrame, batch: int = 1000) -> Iterator[DataFrame]:
-    """A bounded frame as consecutive batches in order of time, for publishers and tests."""
-    from pyspark.sql import Window
+def replay(df: DataFrame, batch: int = 1000, pause: float = 0.0) -> Iterator[pd.DataFrame]:
+    """A bounded frame as consecutive batches in order of time, for one publishing process, ``pause`` seconds apart.
 
-    numbered = df.withColumn("_b", F.floor((F.row_number().over(Window.orderBy("ts", "seq")) - 1) / batch))
-    for b in range((numbered.agg(F.max("_b")).head()[0] or 0) + 1):
-        yield numbered.where(F.col("_b") == b).drop("_b")
+    The engine sorts by ranges, and partitions come to the publisher one after another: it holds one and the next.
+    """
+    held: list[tuple] = []
+    for row in df.orderBy("ts", "seq").toLocalIterator(prefetchPartitions=True):
+        held.append(tuple(row))
+        if len(held) == batch:
+            yield pd.DataFrame(held, columns=df.columns)
+            held = []
+            time.sleep(pause)
+    if held:
+        yield pd.DataFrame(held, columns=df.columns)
 
 
 def bars_as_ticks(bars: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,26 @@ def stream_bars(ticks: DataFrame, seconds: int, lateness: str = "10 seconds") ->
     return bars.select("symbol", F.unix_seconds("window.start").alias("bar_s"), "open", "high", "low", "close", "volume", F.col("window.start").alias("ts"))
 
 
+END = "__end__"  # the symbol of an end-of-stream mark
+
+
+def flushed_bars(ticks: DataFrame, seconds: int, folder: str, lateness: str = "10 seconds") -> DataFrame:
+    """All bars of a stream that ends: run to the end of its input, then to an end-of-stream mark that closes what is open.
+
+    The mark is a tick in the far future beside the feed; the run resumes from its own checkpoint, so that every bar is
+    emitted once.
+    """
+    spark, marks = ticks.sparkSession, f"{folder}/marks"
+    feed = ticks.select("symbol", "ts", "seq", "price", "volume")
+    far = spark.range(1).select(F.lit(END).alias("symbol"), F.lit("9999-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit(0).alias("seq"), F.lit(0.0).alias("price"), F.lit(0).alias("volume"))
+    far = far.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in feed.schema])
+    far.limit(0).write.mode("overwrite").parquet(marks)
+    bars = stream_bars(feed.unionByName(spark.readStream.schema(feed.schema).parquet(marks)), seconds, lateness).drop("ts")
+    run_to_table(bars, folder, "bars")
+    far.write.mode("append").parquet(marks)
+    return run_to_table(bars, folder, "bars").where(F.col("symbol") != END)
+
+
 def emitted_bars(ticks: DataFrame, seconds: int) -> DataFrame:
     """Bars as an arrival-order builder emits them: a tick of any other interval closes the open one.
 
@@ -47,20 +68,26 @@ def emitted_bars(ticks: DataFrame, seconds: int) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         bar = list(state.get) if state.exists else None
-        out = []
+        columns = ["symbol", "bar_s", "open", "high", "low", "close", "volume", "n"]
         for pdf in batches:
-            for t in pdf.sort_values("seq", kind="stable").itertuples():
-                start = int(t.second) // seconds * seconds
-                if bar is not None and bar[0] != start:
-                    out.append((key[0], *bar))
-                    bar = [start, t.price, t.price, t.price, t.price, int(t.volume), bar[6] + 1]
-                elif bar is None:
-                    bar = [start, t.price, t.price, t.price, t.price, int(t.volume), 0]
-                else:
-                    bar[2], bar[3], bar[4], bar[5] = max(bar[2], t.price), min(bar[3], t.price), t.price, bar[5] + int(t.volume)
+            pdf = pdf.sort_values("seq", kind="stable")
+            if not len(pdf):
+                continue
+            start, price, volume = (pdf["second"].to_numpy() // seconds * seconds).astype(np.int64), pdf["price"].to_numpy(float), pdf["volume"].to_numpy(np.int64)
+            first = np.concatenate([[0], np.flatnonzero(np.diff(start)) + 1])  # runs of one interval are bars
+            last = np.append(first[1:], len(start)) - 1
+            bars = pd.DataFrame({"symbol": key[0], "bar_s": start[first], "open": price[first], "high": np.maximum.reduceat(price, first), "low": np.minimum.reduceat(price, first), "close": price[last], "volume": np.add.reduceat(volume, first)})
+            if bar is not None and bar[0] == start[0]:  # the first run continues the open bar
+                bars.loc[0, ["open", "high", "low"]] = [bar[1], max(bar[2], bars["high"][0]), min(bar[3], bars["low"][0])]
+                bars.loc[0, "volume"] += bar[5]
+            elif bar is not None:
+                bars = pd.concat([pd.DataFrame([(key[0], *bar[:6])], columns=columns[:7]), bars], ignore_index=True)
+            bars["n"] = (bar[6] if bar is not None else 0) + np.arange(len(bars))
+            bar = bars.iloc[-1][columns[1:]].tolist()
+            bar = [int(bar[0]), *map(float, bar[1:5]), int(bar[5]), int(bar[6])]
+            yield bars.iloc[:-1][columns]
         if bar is not None:
             state.update(tuple(bar))
-        yield pd.DataFrame(out, columns=["symbol", "bar_s", "open", "high", "low", "close", "volume", "n"])
 
     fields = "bar_s bigint, open double, high double, low double, close double, volume bigint, n bigint"
     return ticks.select("symbol", "seq", F.unix_seconds("ts").alias("second"), "price", "volume").groupBy("symbol").applyInPandasWithState(step, f"symbol string, {fields}", fields, "append", GroupStateTimeout.NoTimeout)
@@ -71,22 +98,23 @@ def stream_crossover(bars: DataFrame, short: int, long: int) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         closes, held = (list(state.get[0]), state.get[1]) if state.exists else ([], False)
-        out = []
         for pdf in batches:
-            for b in pdf.sort_values("bar_s").itertuples():
-                closes.append(b.close)
-                if len(closes) > long:
-                    prev, now = closes[-long - 1 : -1], closes[-long:]
-                    ps, pl, s, l = sum(prev[-short:]) / short, sum(prev) / long, sum(now[-short:]) / short, sum(now) / long
-                    if not held and ps <= pl and s > l:
-                        held = True
-                        out.append((key[0], b.bar_s, 1, b.close))
-                    elif held and ps >= pl and s < l:
-                        held = False
-                        out.append((key[0], b.bar_s, -1, b.close))
-                closes = closes[-(long + 1) :]
+            pdf = pdf.sort_values("bar_s")
+            c = np.concatenate([np.array(closes, float), pdf["close"].to_numpy(float)])
+            at = np.arange(len(closes), len(c))[np.arange(len(closes), len(c)) >= long]  # bars with a long average on the bar before
+            out = []
+            if len(at):
+                mean = lambda n: np.lib.stride_tricks.sliding_window_view(c, n).sum(axis=1) / n
+                s, l = mean(short), mean(long)
+                ps, pl, s, l = s[at - short], l[at - long], s[at - short + 1], l[at - long + 1]
+                up, down = (ps <= pl) & (s > l), (ps >= pl) & (s < l)
+                for k in np.flatnonzero(up | down):  # crossings only
+                    if up[k] != held:
+                        held = bool(up[k])
+                        out.append((key[0], int(pdf["bar_s"].iloc[at[k] - len(closes)]), 1 if held else -1, float(c[at[k]])))
+            closes = c[-(long + 1) :].tolist()
+            yield pd.DataFrame(out, columns=["symbol", "bar_s", "signal", "close"])
         state.update((closes, held))
-        yield pd.DataFrame(out, columns=["symbol", "bar_s", "signal", "close"])
 
     return bars.select("symbol", "bar_s", "close").groupBy("symbol").applyInPandasWithState(step, "symbol string, bar_s bigint, signal int, close double", "closes array<double>, held boolean", "append", GroupStateTimeout.NoTimeout)
 
@@ -114,14 +142,13 @@ def stream_fill_increments(reports: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done = state.get[0] if state.exists else 0
-        out = []
         for pdf in batches:
-            for r in pdf.sort_values("seq").itertuples():
-                if r.filled_qty > done:
-                    out.append((key[0], r.seq, int(r.filled_qty - done)))
-                    done = int(r.filled_qty)
+            pdf = pdf.sort_values("seq")
+            most = np.maximum.accumulate(np.append(done, pdf["filled_qty"].fillna(0).to_numpy(np.int64)))
+            fill = np.diff(most)
+            done = int(most[-1])
+            yield pd.DataFrame({"order_id": key[0], "seq": pdf["seq"].to_numpy()[fill > 0], "fill": fill[fill > 0]})
         state.update((done,))
-        yield pd.DataFrame(out, columns=["order_id", "seq", "fill"])
 
     return reports.select("order_id", "seq", "filled_qty").groupBy("order_id").applyInPandasWithState(step, "order_id string, seq bigint, fill bigint", "done bigint", "append", GroupStateTimeout.NoTimeout)
 
