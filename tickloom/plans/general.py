@@ -153,6 +153,33 @@ _ACTS = f"""trades AS (SELECT DISTINCT trade_id, {_SYM} AS symbol, timestamp FRO
  best AS (SELECT trade_id, kind, action_id, date, value FROM (SELECT trade_id, kind, action_id, date, value, row_number() OVER (PARTITION BY trade_id, kind ORDER BY date DESC, recorded_at DESC, action_id DESC) AS rn
   FROM trades JOIN acts USING (symbol) WHERE kind IN ('split', 'dividend') AND date <= CAST(timestamp AS DATE) AND recorded_at <= timestamp) WHERE rn = 1)"""
 
+def _cases() -> str:
+    """p4 as a walk from reading to reading: ``base`` is the last sound one, k the length of a group that leaves it and returns."""
+    side = "sign(m.level - w.base)"
+    far = lambda x: f"({x} - w.base) * {side} > w.lim"
+    over = lambda x, y: f"({x} - {y}) * {side} > w.lim"
+    xs = ["m.level", "m.x1", "m.x2", "m.x3"]
+    group = " ".join(f"WHEN {xs[k]} IS NOT NULL AND {' AND '.join([far(x) for x in xs[:k]] + [over(x, xs[k]) for x in xs[:k]])} THEN {k}" for k in (1, 2, 3))
+    key = "PARTITION BY table_name, symbol"
+    return f"""WITH RECURSIVE raw AS (SELECT DISTINCT 'tick' AS table_name, {_SYM} AS symbol, tick_id AS row_id, epoch_us(timestamp) AS s, price AS level, CAST(NULL AS BIGINT) AS amount FROM tick WHERE {_SYM} IS NOT NULL AND tick_id IS NOT NULL AND timestamp IS NOT NULL AND price IS NOT NULL
+  UNION ALL SELECT DISTINCT 'test_data', {_SYM}, bar_id, timestamp * 1000000, close, volume FROM test_data WHERE {_SYM} IS NOT NULL AND bar_id IS NOT NULL AND timestamp IS NOT NULL AND (close IS NOT NULL OR volume IS NOT NULL)),
+ ps AS (SELECT *, row_number() OVER ({key} ORDER BY s, row_id) AS i FROM raw WHERE level IS NOT NULL AND isfinite(level) AND level > 0),
+ mv AS MATERIALIZED (SELECT *, lag(level) OVER o AS pl, lead(level) OVER o AS x1, lead(level, 2) OVER o AS x2, lead(level, 3) OVER o AS x3 FROM ps WINDOW o AS ({key} ORDER BY i)),
+ us AS (SELECT table_name, symbol, 10 * median(abs(level - pl)) AS lim FROM mv WHERE pl IS NOT NULL GROUP BY 1, 2),
+ walk AS (SELECT table_name, symbol, CAST(2 AS BIGINT) AS i, level AS base, lim, CAST(0 AS BIGINT) AS bad_from, 0 AS k FROM mv JOIN us USING (table_name, symbol) WHERE i = 1
+  UNION ALL SELECT table_name, symbol, i + greatest(n, 1), CASE WHEN n > 0 THEN base ELSE level END, lim, i, n FROM (SELECT w.*, m.level, CASE WHEN abs(m.level - w.base) <= w.lim THEN 0 {group} ELSE 0 END AS n FROM walk w JOIN mv m ON m.table_name = w.table_name AND m.symbol = w.symbol AND m.i = w.i)),
+ bad AS (SELECT table_name, symbol, unnest(generate_series(bad_from, bad_from + k - 1)) AS i FROM walk WHERE k > 0),
+ halts AS (SELECT table_name, row_id FROM mv WHERE amount = 0 AND level = pl),
+ lv AS (SELECT *, row_number() OVER o AS j, level IS DISTINCT FROM lag(level) OVER o AS new FROM mv ANTI JOIN halts USING (table_name, row_id) WINDOW o AS ({key} ORDER BY s, row_id)), lr AS (SELECT *, sum(CAST(new AS INT)) OVER ({key} ORDER BY j) AS g FROM lv), ls AS (SELECT *, count(*) OVER (PARTITION BY table_name, symbol, g) AS c FROM lr),
+ am AS (SELECT * FROM raw WHERE amount IS NOT NULL), ty AS (SELECT table_name, symbol, 25 * median(amount) AS most FROM am GROUP BY 1, 2),
+ av AS (SELECT *, row_number() OVER o AS j, amount IS DISTINCT FROM lag(amount) OVER o AS new FROM am ANTI JOIN halts USING (table_name, row_id) WINDOW o AS ({key} ORDER BY s, row_id)), ar AS (SELECT *, sum(CAST(new AS INT)) OVER ({key} ORDER BY j) AS g FROM av), as_ AS (SELECT *, count(*) OVER (PARTITION BY table_name, symbol, g) AS c FROM ar),
+ cases AS (SELECT table_name, row_id, 'level' AS field, 'impossible' AS reason FROM raw WHERE level IS NOT NULL AND NOT (isfinite(level) AND level > 0)
+  UNION ALL SELECT mv.table_name, row_id, 'level', 'spike' FROM mv JOIN bad ON bad.table_name = mv.table_name AND bad.symbol = mv.symbol AND bad.i = mv.i
+  UNION ALL SELECT table_name, row_id, 'level', 'stuck' FROM ls WHERE c >= 6 AND NOT new UNION ALL SELECT table_name, row_id, 'amount', 'impossible' FROM am WHERE amount < 0
+  UNION ALL SELECT am.table_name, row_id, 'amount', 'spike' FROM am JOIN ty USING (table_name, symbol) WHERE amount > most UNION ALL SELECT table_name, row_id, 'amount', 'stuck' FROM as_ WHERE c >= 6 AND NOT new),
+ named AS (SELECT DISTINCT table_name, row_id, CASE WHEN field = 'amount' THEN 'volume' WHEN table_name = 'tick' THEN 'price' ELSE 'close' END AS field, reason FROM cases)"""
+
+
 SQL = {
     "p1_found": f"""WITH {_latest("local", "local_fill_qty")}, {_latest("venue", "venue_fill_qty")},
  both_sides AS (SELECT coalesce(l.k, v.k) AS order_id, l.k IS NULL AS no_l, v.k IS NULL AS no_v, l.symbol IS DISTINCT FROM v.symbol AS a, l.side IS DISTINCT FROM v.side AS b,
@@ -166,6 +193,8 @@ SQL = {
  SELECT symbol, strftime(date, '%Y-%m-%d') AS date_iso FROM m WHERE coalesce(abs(rolling_mean - mean_30) > 1e-6, (rolling_mean IS NULL) <> (mean_30 IS NULL))""",
     "p2_volatility": f"WITH {_FACTORS}, {_DENSE} " + _trail("volatility", 9),
     "p2_close": f"WITH held AS (SELECT {_SYM} AS symbol, CAST(make_timestamp(timestamp * 1000000) AS DATE) AS date, CASE WHEN NOT isnan(close) THEN close END AS close FROM (SELECT DISTINCT bar_id, symbol, timestamp, close FROM test_data) WHERE {_SYM} IS NOT NULL), {_DENSE} " + _trail("close", 8),
+    "p4_found": f"{_cases()} SELECT DISTINCT table_name, row_id, field FROM named",
+    "p4_reasons": f"{_cases()} SELECT table_name, field, reason, count(*) AS n FROM named GROUP BY ALL",
     "p5_found": f"WITH {_TICKS} SELECT symbol, slot AS slot_start_s FROM met WHERE n IS NULL",
     "p5_series": f"""WITH {_TICKS} SELECT symbol, slot AS slot_start_s, coalesce(n, 0) AS n, open, close, round(mean_price, 6) AS mean_price, CASE WHEN n IS NULL THEN 0 ELSE volume END AS volume,
  CASE WHEN n IS NOT NULL THEN 'observed' WHEN slot - seen <= 900 THEN 'filled' ELSE 'missing' END AS state, CASE WHEN slot - seen <= 900 THEN held END AS filled_price FROM met""",

@@ -66,6 +66,26 @@ def f2_f4_regression(spark: SparkSession, d: str) -> DataFrame:
     return X.regress_two(base.cross_section(spark, d), "ret", "f1", "f2", "date").select("date", "n", *r6("b1", "b2", "r2"), *r6("t1", "t2", digits=5), *r6("r2_1"))
 
 
+def _three_sql() -> str:
+    at = lambda c, q: f"v_{c}[least(CAST(floor(len(v_{c}) * {q}) AS INT) + 1, len(v_{c}))]"
+    cols, xs = ("f1", "f2", "f3", "ret"), ("f1", "f2", "f3")
+    clamped = ", ".join(f"least(greatest({c}, {at(c, 0.01)}), {at(c, 0.99)}) AS {c}" for c in cols)
+    sums = ", ".join(f"sum({a} * {b}) AS {a}{b}" for i, a in enumerate(xs) for b in (*xs[i:], "ret"))
+    det = lambda m: f"({m[0]} * ({m[4]} * {m[8]} - {m[5]} * {m[7]}) - {m[1]} * ({m[3]} * {m[8]} - {m[5]} * {m[6]}) + {m[2]} * ({m[3]} * {m[7]} - {m[4]} * {m[6]}))"
+    x = ["f1f1", "f1f2", "f1f3", "f1f2", "f2f2", "f2f3", "f1f3", "f2f3", "f3f3"]
+    y = ["f1ret", "f2ret", "f3ret"]
+    beta = [f"round({det([y[i // 3] if i % 3 == k else x[i] for i in range(9)])} / {det(x)}, 5) + 0.0 AS b{k + 1}" for k in range(3)]
+    return f"""WITH {XS}, lim_ AS (SELECT date, {', '.join(f'list_sort(list({c})) AS v_{c}' for c in cols)} FROM xs GROUP BY 1), cl_ AS (SELECT s.* REPLACE ({clamped}) FROM (SELECT * FROM xs JOIN lim_ USING (date)) s), sm AS (SELECT date, count(*) AS n, {sums} FROM cl_ GROUP BY date)
+ SELECT date, n, {', '.join(beta)} FROM sm WHERE n >= 10"""
+
+
+@query(_three_sql())
+def f2_three_factors(spark: SparkSession, d: str) -> DataFrame:
+    """Dates of at least ten names: below that three factors nearly explain the returns, and two solvers differ in the last digits."""
+    b = X.regress_many(base.cross_section(spark, d), "ret", ["f1", "f2", "f3"], "date").where("n >= 10")
+    return b.select("date", "n", *[(F.round(F.col("betas")[i], 5) + F.lit(0.0)).alias(f"b{i + 1}") for i in range(3)])
+
+
 @query()
 def f2_many_factors(spark: SparkSession, d: str) -> DataFrame:
     return X.regress_many(base.cross_section(spark, d), "ret", ["f1", "f2", "f3"], "date")
@@ -633,6 +653,23 @@ def l12_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return L.accuracy(ev.join(p, "event"))
 
 
+@query(f"WITH RECURSIVE {_TB} SELECT symbol, count(*) AS draws, true AS known FROM lb GROUP BY symbol")
+def l6_draws(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the bootstrap: as many draws as labels, each of a label."""
+    labels = cut_lineage(_labels(spark, d)[0])
+    drawn = L.sequential_bootstrap(labels).join(labels.select("symbol", "t0", F.lit(True).alias("is_label")), ["symbol", "t0"], "left")
+    return drawn.groupBy("symbol").agg(F.count("*").alias("draws"), F.every(F.coalesce("is_label", F.lit(False))).alias("known"))
+
+
+@query(f"WITH RECURSIVE {_TB} SELECT count(*) AS n, round(greatest(avg(label), 1 - avg(label)), 6) AS baseline, true AS within FROM lb")
+def l7_l12_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold out of sample: every event is predicted, by a chance, beside the share of the commoner class."""
+    ev, roles = _meta(spark, d)
+    scored = ev.join(L.out_of_sample(ev, roles, ["abs_s", "regime", "dow"]), "event")
+    within = scored.agg(F.every((F.col("p") > 0) & (F.col("p") < 1)).alias("within"))
+    return L.accuracy(scored).select("n", F.round("baseline", 6).alias("baseline"), within.scalar().alias("within"))
+
+
 _PSIZE = "0.3 + (t0 * 7 % 60) / 100.0"
 _SZ = f"""{_TB}, sz AS (SELECT symbol, t0 AS idx, least(greatest(({_PSIZE} - 0.5) / 0.5, 0), 1) AS size FROM lb), ru AS (SELECT *, sum(CASE WHEN pos <> pp THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY idx) AS run FROM (SELECT *, coalesce(lag(pos) OVER (PARTITION BY symbol ORDER BY idx), 0) AS pp FROM pi)),
  cs AS (SELECT ru.symbol, ru.idx, ru.date, ru.pos, coalesce(first_value(size IGNORE NULLS) OVER (PARTITION BY ru.symbol, run ORDER BY ru.idx ROWS UNBOUNDED PRECEDING), 1.0) AS size FROM ru LEFT JOIN sz ON sz.symbol = ru.symbol AND sz.idx = ru.idx),

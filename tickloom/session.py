@@ -23,6 +23,7 @@ def build_session(app: str = "tickloom", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go with their frames
         .getOrCreate()
     )
 
