@@ -55,18 +55,23 @@ def back_adjust(prices: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def close_panel(prices: DataFrame) -> DataFrame:
-    """Dense (date, symbol, close, volume) from the day all symbols trade: gaps carry the last close, volume too.
+    """Dense (date, symbol, close, volume, was_filled) from the day all symbols trade: gaps carry the last close, volume too.
 
-    The grid is the distinct dates for each symbol; the universe's names are a scalar. A column tells what was filled.
+    The distinct dates are numbered, so that a gap is a range of numbers: each row is repeated up to the row before its
+    symbol's next one, and neither the grid nor the universe's names are ever built. A column tells what was filled.
     """
-    span = prices.groupBy("symbol").agg(F.min("date").alias("first"))
-    live = span.agg(F.max("first").alias("live"), F.collect_list("symbol").alias("symbols"))
-    dates = prices.select("date").distinct()
-    grid = dates.select("date", live.select("live").scalar().alias("live"), F.explode(live.select("symbols").scalar()).alias("symbol"))
-    w = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    met = grid.join(prices.select("date", "symbol", "close", "volume"), ["date", "symbol"], "left")
-    out = met.withColumn("was_filled", F.col("close").isNull()).withColumn("close", F.last("close", ignorenulls=True).over(w)).withColumn("volume", F.coalesce(F.last("volume", ignorenulls=True).over(w), F.lit(0)))
-    return out.where("date >= live").drop("live")
+    live = prices.groupBy("symbol").agg(F.min("date").alias("first")).agg(F.max("first").alias("live"))
+    dates = prices.where("date IS NOT NULL").select("date").distinct()
+    all_ = Window.partitionBy(F.lit(0))  # date-level rows
+    dates = dates.withColumn("at_", F.row_number().over(all_.orderBy("date"))).withColumn("end_", F.count("*").over(all_))
+    w = Window.partitionBy("symbol").orderBy("at_")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    own = prices.select("date", "symbol", "close", "volume").join(dates, "date").withColumn("was_filled", F.col("close").isNull())
+    own = own.withColumn("close", F.last("close", ignorenulls=True).over(so_far)).withColumn("volume", F.coalesce(F.last("volume", ignorenulls=True).over(so_far), F.lit(0)))
+    until = F.greatest(F.coalesce(F.lead("at_").over(w) - 1, F.col("end_")), F.col("at_"))
+    out = own.withColumn("until_", until).withColumn("of_", F.explode(F.sequence("at_", "until_"))).withColumn("was_filled", F.col("was_filled") | (F.col("of_") > F.col("at_")))
+    day = dates.select(F.col("at_").alias("of_"), F.col("date").alias("day_"))
+    return out.join(day, "of_").where(F.col("day_") >= live.scalar()).select(F.col("day_").alias("date"), "symbol", "close", "volume", "was_filled")
 
 
 def simple_returns(panel: DataFrame, by: str = "symbol", order: str = "date") -> DataFrame:
