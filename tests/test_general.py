@@ -269,6 +269,14 @@ def test_objects_are_nodes():
     assert drift.edit_script(schema([], [], "last"), schema(["x"], [], "first")) == [("add", None, "x")]
 
 
+def test_report_of_nested_columns(spark):
+    old = ['{"trade": {"px": 7.5, "qty": 3}, "v": "X"}', '{"trade": {"px": 8.5, "qty": 4}, "v": "Y"}']
+    new = ['{"deal": {"px": 7.5}, "qty": 3, "v": "X"}', '{"deal": {"px": 8.5}, "qty": 4, "v": "Y"}']
+    df = spark.createDataFrame(file_rows("s", 1, old) + file_rows("s", 2, new), LINES)
+    assert sorted(tuple(r)[1:] for r in drift.drift_report(df).collect()) == [("deal", "renamed"), ("qty", "moved")]
+    assert sorted(tuple(r)[1:] for r in drift.drift_report(df, written=True).collect()) == [("deal.px", "renamed"), ("qty", "renamed")]
+
+
 def test_tree_distance_is_least():
     """Against all ways to pair the columns of flat schemas."""
     from itertools import permutations

@@ -464,14 +464,21 @@ def schema_scripts(schemas: DataFrame) -> DataFrame:
     return paired.drop("order").mapInPandas(compare, "stream string, file_no int, file_name string, op string, old string, new string, old_kind string, new_kind string, scale double")
 
 
-def drift_report(lines: DataFrame) -> DataFrame:
+def drift_report(lines: DataFrame, written: bool = False) -> DataFrame:
     """(file_name, column_name, change): added, removed, renamed, moved or retyped, file against file before.
 
-    A renamed object is one change, under its own path; its members keep theirs.
+    A renamed object is one change, under its own path; its members keep theirs. With ``written`` only columns count, as
+    written: whatever changes the name of a column, be it a new parent, is renamed.
     """
     s = schema_scripts(file_schemas(data_lines(lines)))
+    if written:
+        renamed = F.col("op").isin("keep", "rename", "move") & (F.col("old") != F.col("new"))
+        moved = F.lit(None).cast("string")
+    else:
+        renamed = F.col("op").isin("rename", "rename_node")
+        moved = F.when(F.col("op") == "move", F.lit("moved"))
     change = F.array_compact(F.array(
-        F.when(F.col("op") == "remove", F.lit("removed")).when(F.col("op") == "add", F.lit("added")).when(F.col("op").isin("rename", "rename_node"), F.lit("renamed")).when(F.col("op") == "move", F.lit("moved")),
+        F.when(F.col("op") == "remove", F.lit("removed")).when(F.col("op") == "add", F.lit("added")).when(renamed, F.lit("renamed")).otherwise(moved),
         F.when(F.col("op").isin("keep", "rename", "move") & (F.col("old_kind") != F.col("new_kind")), F.lit("retyped")),
     ))
     return s.where("op <> 'start'").select("file_name", F.coalesce("new", "old").alias("column_name"), F.explode(change).alias("change"))

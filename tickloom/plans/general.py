@@ -85,7 +85,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.drift_report(load(spark, d, "tradelog_files"))
+    return drift.drift_report(load(spark, d, "tradelog_files"), written=True)
 
 
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
