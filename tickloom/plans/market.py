@@ -556,6 +556,13 @@ def t16_whole_trades(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+@query("""WITH s AS (SELECT lower(trim(status, E' \\t\\r\\n')) AS s FROM recon_venue) SELECT CASE WHEN s = 'partially_filled' THEN 'PARTIALLY_FILLED' WHEN s = 'filled' THEN 'FILLED' WHEN s IN ('canceled', 'cancelled', 'expired') THEN 'CANCELLED' WHEN s = 'rejected' THEN 'REJECTED' ELSE 'PENDING' END AS status, count(*) AS orders FROM s GROUP BY 1""")
+def t21_venue_status(spark: SparkSession, d: str) -> DataFrame:
+    """Order states of the venue in ours."""
+    v = load(spark, d, "recon_venue").select(S.venue_status(F.lower(code("status"))).alias("status"))
+    return v.groupBy("status").agg(F.count("*").alias("orders"))
+
+
 @query(f"""WITH l AS (SELECT order_id, sum(local_fill_qty) AS q FROM (SELECT DISTINCT nullif(upper(trim(order_id, E' \\t\\r\\n')), '') AS order_id, local_fill_qty, updated_at FROM recon_local) GROUP BY 1), v AS (SELECT order_id, max(venue_fill_qty) AS f FROM (SELECT nullif(upper(trim(order_id, E' \\t\\r\\n')), '') AS order_id, venue_fill_qty FROM recon_venue) GROUP BY 1)
  SELECT v.order_id, coalesce(f, 0) AS filled_qty, CAST(coalesce(q, 0) AS BIGINT) AS local_qty, coalesce(q, 0) = coalesce(f, 0) AS matched FROM v LEFT JOIN l USING (order_id)""")
 def t20_reconciled_fills(spark: SparkSession, d: str) -> DataFrame:

@@ -46,6 +46,28 @@ def b3_s6_flushed_bars(spark: SparkSession, d: str) -> DataFrame:
     return E.flushed_bars(_ticks(spark, d), 3600, E.shared_folder(spark))
 
 
+_HALF = "md AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS half FROM et)"
+
+
+@query(f"WITH {ET}, {_HALF}, hi AS (SELECT max(epoch_us(ts)) - 10000000 AS mark FROM et, md WHERE epoch_us(ts) >= half AND seq % 2 = 0), gr AS (SELECT count(*) AS late FROM (SELECT DISTINCT symbol, epoch_us(ts) // 3600000000 AS hour FROM et, md WHERE epoch_us(ts) < half) g, hi WHERE (hour + 1) * 3600000000 <= mark) SELECT (SELECT count(*) FROM et) AS rows, late FROM gr")
+def s2_s5_i13_late_drops(spark: SparkSession, d: str) -> DataFrame:
+    """The later half of the ticks arrives first, one file a batch: what then comes of the earlier half is late, and counted.
+
+    A batch is late against the watermark the batch before ran with, so the later half comes in two files.
+    """
+    from tickloom.plans.base import eticks
+
+    folder = E.shared_folder(spark)
+    t = eticks(spark, d).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "seq", "price", "volume")
+    half = t.agg(F.floor((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2).alias("half")).scalar()
+    first = F.unix_micros("ts") >= half
+    even = F.col("seq") % 2 == 0
+    for part in (first & even, first & ~even, ~first):  # in order of arrival
+        t.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/feed")
+    bars = E.stream_bars(E.file_stream(spark, f"{folder}/feed", 1), 3600)
+    return E.dropped_late(bars, folder, "late").agg(F.sum("rows").alias("rows"), F.sum("late").alias("late"))
+
+
 @query(f"{_CLOSED}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_s DESC) AS back, row_number() OVER (PARTITION BY symbol ORDER BY bar_s) - 1 AS i FROM sb) SELECT symbol, bar_s, open, high, low, close, volume, i AS n FROM n WHERE back > 1")
 def b2_emitted_bars(spark: SparkSession, d: str) -> DataFrame:
     return E.run_to_table(E.emitted_bars(_ticks(spark, d), 3600), E.shared_folder(spark), "emitted")

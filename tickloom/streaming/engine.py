@@ -181,6 +181,18 @@ class Heartbeat(StreamingQueryListener):
         self.seen[str(event.id)] = {"state": "failed" if event.exception else "ended"}
 
 
+def dropped_late(stream: DataFrame, folder: str, name: str) -> DataFrame:
+    """Run to the end of what is there and count, per micro-batch: rows read, and groups dropped as later than the watermark.
+
+    A bounded queue drops what it cannot hold; here the source is limited instead, and only lateness drops. Late rows are
+    counted after they are combined per window and key within their batch.
+    """
+    q = stream.writeStream.format("noop").outputMode("append").option("checkpointLocation", f"{folder}/{name}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    seen = [(int(p["batchId"]), int(p["numInputRows"]), sum(int(o["numRowsDroppedByWatermark"]) for o in p["stateOperators"])) for p in q.recentProgress]
+    return stream.sparkSession.createDataFrame(seen, "batch bigint, rows bigint, late bigint")
+
+
 def run_to_table(stream: DataFrame, folder: str, name: str, mode: str = "append") -> DataFrame:
     """Run to the end of what is there (available-now) into Parquet files, and read them back."""
     out = f"{folder}/{name}"
