@@ -54,6 +54,7 @@ CLOSERS = set(PAIRS.values()) | {'"', "“"}
 WIDE = set("。！？｡")
 TERMINALS = set(".!?…。！？｡؟।॥۔")
 TOKENS = re.compile(rf'[.!?…。！？｡؟।॥۔]+|[()\[\]（）［］「」『』《》«»“”„【】‹›‚‘"]|(?<=[{THAI}])[ \t ​]+(?=[{THAI}])')
+OPENER = re.compile("[" + re.escape("".join(PAIRS)) + '"]')
 BREAK = r"(?:\r\n|\n|\r(?!\n))"
 BLOCK_END = re.compile(rf"{BREAK}(?:[ \t\x0b\x0c ]*{BREAK})+")
 MARKER = re.compile(r"\s*(?:¶\s*\d+\.?|[(（]\d+[)）]|\[\d+\]|\d+[.)](?!\d)|§+\s*\d+\.|[IVXLC]+\.|[A-Z][.)])(?=\s)\s*")
@@ -66,16 +67,16 @@ def _words(text: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """A pair of patterns: what precedes a position (ending there) and what follows it, blanks left out."""
+    """A pair of patterns: what precedes a position (ending there) and what follows it, blanks left out; None fits all."""
 
     breaks: bool
-    before: re.Pattern[str]
-    after: re.Pattern[str]
+    before: re.Pattern[str] | None
+    after: re.Pattern[str] | None
     own: bool = False  # of one language among those of a script
 
 
 def rule(breaks: bool, before: str, after: str = "", engine: ModuleType = re, own: bool = False) -> Rule:
-    return Rule(breaks, engine.compile(rf"(?:{before})\Z"), engine.compile(after), own)
+    return Rule(breaks, engine.compile(rf"(?:{before})\Z") if before else None, engine.compile(after) if after else None, own)
 
 
 W0 = r"(?<![^\W_])"  # a word begins here
@@ -98,8 +99,8 @@ _GERMAN_DAYS = [
     rule(False, r"(?<!\d)\d{1,2}\.", rf"(?:{_words(GERMAN_MONTHS)}|M\S{{1,3}}rz|J\S{{1,3}}nner)(?!\w)", own=True),
     rule(False, r"(?<!\w)(?:[Aa]m|[Zz]um|[Vv]om|[Dd]em|[Dd]en)\s+\d{1,2}\.", r"[█*\[]|[A-Z]\.", own=True),
 ]
+_REFERENCE = rule(False, rf"{W0}(?:{_words(BEFORE_NUMBERS)})\.", NUMBERS)
 _LATIN_LAST = [
-    rule(False, rf"{W0}(?:{_words(BEFORE_NUMBERS)})\.", NUMBERS),
     rule(False, rf"{W0}(?:{_words(BEFORE_LETTERS)})\.", r"(?:[IVXLC]{1,6}|[A-Z])(?![^\W_])"),
     rule(False, r"(?<!\w)[A-ZÀ-ÖØ-Þ]\.", r""),  # initials, and X. for a name taken out
     rule(False, r"\s(?:\.\.\.|…)", r"[█*\[\d]"),  # a gap in a quotation
@@ -108,7 +109,7 @@ _LATIN_LAST = [
 
 def _latin(*languages: str) -> list[Rule]:
     own = " ".join(ABBREVIATIONS[x] for x in languages)
-    return [*_LATIN_FIRST[:2], rule(False, rf"{W0}(?:{_words(ABBREVIATIONS['shared'])})\.", r""), *_LATIN_FIRST[2:], *(_GERMAN_DAYS if "de" in languages else []), rule(False, rf"{W0}(?:{_words(own)})\.", r"", own=True), *_LATIN_LAST]
+    return [*_LATIN_FIRST[:2], rule(False, rf"{W0}(?:{_words(ABBREVIATIONS['shared'])})\.", r""), _REFERENCE, *_LATIN_FIRST[2:], *(_GERMAN_DAYS if "de" in languages else []), rule(False, rf"{W0}(?:{_words(own)})\.", r"", own=True), *_LATIN_LAST]
 
 
 #: by language; "" where no language can be told
@@ -167,7 +168,7 @@ _TABLES = (LATIN[""], CYRILLIC, ARABIC, INDIC, THAI_RULES, WIDE_RULES)
 
 
 def _after_only(rules: list[Rule]) -> list[Rule]:
-    return [r for r in rules if r.before.pattern == r"(?:)\Z" and not r.breaks]
+    return [r for r in rules if r.before is None and r.after is not None and not r.breaks]
 
 
 #: what goes on after any word: pairs that look only ahead; they lead each table, so that those of the table come first
@@ -265,7 +266,7 @@ def first_fit(before: str, after: str, *tables: list[Rule]) -> Rule | None:
     """The first rule whose pair fits; None if none does."""
     for rules in tables:
         for r in rules:
-            if r.after.match(after) and r.before.search(before):
+            if (r.after is None or r.after.match(after)) and (r.before is None or r.before.search(before)):
                 return r
     return None
 
@@ -363,7 +364,7 @@ def block_units(text: str, lo: int, hi: int, tongue: Tongue | None = None) -> It
     m = MARKER.match(text, lo, hi)
     start = m.end() if m else lo  # where the running sentence begins, paragraph number aside
     found = list(TOKENS.finditer(text, start, hi))
-    pairs = _pairs(text, found) if any(f.group()[0] in PAIRS or f.group() == '"' for f in found) else {}
+    pairs = _pairs(text, found) if found and OPENER.search(text, start, hi) else {}
     inside = start
     block = Block(text, lo, hi, start, tongue)
     for f in found:
@@ -409,7 +410,7 @@ def block_units(text: str, lo: int, hi: int, tongue: Tongue | None = None) -> It
         if nxt >= hi:
             break
         wide = text[at] in WIDE or text[f.end() - 1] in WIDE
-        if nxt == end and not wide and not breaks("", text[nxt : nxt + 2], JOINED):
+        if nxt == end and not wide and (text[nxt].isdigit() or not breaks("", text[nxt : nxt + 2], JOINED)):
             continue
         if at == start:  # nothing but punctuation so far
             continue
