@@ -163,7 +163,7 @@ def o10_o21_book_replay(spark: SparkSession, d: str) -> DataFrame:
     return K.replay_book(_order_stream(spark, d))
 
 
-@query(f"WITH {ET}, o AS (SELECT DISTINCT symbol, epoch_us(ts) // 3600000000 AS hour FROM et) SELECT model, count(*) AS orders, 0 AS overfilled, 0 AS beyond_limit, 0 AS before_order, 0 AS after_cancel FROM o, (SELECT unnest(['full_depth', 'top_of_book', 'naive']) AS model) GROUP BY model")
+@query(f"WITH {ET}, o AS (SELECT DISTINCT symbol, epoch_us(ts) // 3600000000 AS hour FROM et) SELECT model, count(*) AS orders, CAST(0 AS BIGINT) AS overfilled, CAST(0 AS BIGINT) AS beyond_limit, CAST(0 AS BIGINT) AS before_order, CAST(0 AS BIGINT) AS after_cancel FROM o, (SELECT unnest(['full_depth', 'top_of_book', 'naive']) AS model) GROUP BY model")
 def o10_o21_invariants(spark: SparkSession, d: str) -> DataFrame:
     """What must hold for every order in every model: no fill beyond its quantity or limit, before it came, or after its cancel."""
     stream = _order_stream(spark, d)

@@ -185,7 +185,7 @@ def f15_f18_equal_risk(spark: SparkSession, d: str) -> DataFrame:
     return X.optimise(x, 0.01, 1.0, 0.15, 2.0).select("date", "symbol", *r6("weight", digits=5))
 
 
-@query(f"WITH {XS}, dt AS (SELECT date, count(*) AS n FROM xs GROUP BY date) SELECT date, 0.0 AS net, 0.0 AS beta, true AS within FROM dt")
+@query(f"WITH {XS}, dt AS (SELECT date, count(*) AS n FROM xs GROUP BY date) SELECT date, CAST(0 AS DOUBLE) AS net, CAST(0 AS DOUBLE) AS beta, true AS within FROM dt")
 def f16_f17_limits(spark: SparkSession, d: str) -> DataFrame:
     """What must hold for every optimised book: no net, no beta, gross within its limit."""
     w, x = _optimised(spark, d)
@@ -386,7 +386,7 @@ def r30_r32_causal_states(spark: SparkSession, d: str) -> DataFrame:
     return G.causal_states(_market(spark, d), ["rv_long", "rv_short", "vov", "range_short", "volume_ratio"], 3, 252, 63)
 
 
-@query(f"WITH {RET}, nd AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM ret)) SELECT strftime(date, '%Y-%m-%d') AS date, 1.0 AS total, true AS named FROM nd WHERE i >= 63 + 251")
+@query(f"WITH {RET}, nd AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM ret)) SELECT strftime(date, '%Y-%m-%d') AS date, CAST(1 AS DOUBLE) AS total, true AS named FROM nd WHERE i >= 63 + 251")
 def r30_r32_invariants(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of filtered states: one row a date from the warm-th on, chances that add up to 1, the likeliest state named."""
     s = r30_r32_causal_states(spark, d)
@@ -715,7 +715,7 @@ def _engine_b_sql() -> str:
         parts.append(f"""SELECT '{m}' AS mode, ret.date, ret.symbol, ret.ret, ret.close, lag(coalesce(weight, 0)) OVER s AS h0, lag(coalesce(weight, 0), 2) OVER s AS h FROM ret LEFT JOIN w_{m} w ON w.date = ret.date AND w.symbol = ret.symbol WINDOW s AS (PARTITION BY ret.symbol ORDER BY ret.date)""")
     sql = _verdict_sql()
     body = sql[: sql.index(" SELECT 'off' AS mode")]
-    return f"""{body}, eb AS ({' UNION ALL '.join(parts)}), sn AS (SELECT unnest([100000.0, 10000000.0]) AS notional), sh AS (SELECT mode, notional, date, coalesce(h * ret, 0) * notional AS gain, floor(abs(coalesce(h0, 0) - coalesce(h, 0)) * notional / close) AS q FROM eb, sn),
+    return f"""{body}, eb AS ({' UNION ALL '.join(parts)}), sn AS (SELECT CAST(unnest([100000.0, 10000000.0]) AS DOUBLE) AS notional), sh AS (SELECT mode, notional, date, coalesce(h * ret, 0) * notional AS gain, floor(abs(coalesce(h0, 0) - coalesce(h, 0)) * notional / close) AS q FROM eb, sn),
  co AS (SELECT mode, notional, date, gain - (q * 0.01 + 0.01 * (100 * floor(q / 100) * (floor(q / 100) - 1) / 2 + (q - 100 * floor(q / 100)) * floor(q / 100))) AS net FROM sh), dy AS (SELECT mode, notional, date, sum(net) AS net FROM co GROUP BY 1, 2, 3)
  SELECT mode, notional, round(sum(net), 2) + 0.0 AS net_pnl, round(avg(net) / stddev_samp(net) * sqrt(252), 4) + 0.0 AS net_sharpe FROM dy GROUP BY 1, 2"""
 
